@@ -7,28 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, mixing
+from noteflow.llm import exact_dedup, mixing, secret_ledger, telephony, warc
+from noteflow.llm.store import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.records(warc.read_chunks(spark, folder, keep_data=False))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, _table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secret_ledger.scan_versions(spark, docs, secret_ledger.fresh_ledger(spark), "doc_id", "text")
+    return found.select(
+        F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.features(telephony.stored_media(spark, _table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
+    "op4_secrets": op4_secrets,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_telephony": op9_telephony,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+     g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS winner FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN winner IS NULL OR winner IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN winner IS NOT NULL AND winner IS DISTINCT FROM page_id THEN winner END AS refers_to
+FROM g
+""",
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256,
                   length(coalesce(text, '')) AS n FROM documents)
