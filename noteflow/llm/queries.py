@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, mixing, secret_ledger, telephony, warc
+from noteflow.llm import exact_dedup, mixing, pieces, secret_ledger, telephony, warc
 from noteflow.llm.store import new_folder
 
 
@@ -34,6 +34,16 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(spark, _table(spark, sf_dir, "documents"))
 
@@ -46,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
     "op4_secrets": op4_secrets,
+    "op5_pieces": op5_pieces,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_telephony": op9_telephony,
 }
