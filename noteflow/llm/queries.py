@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, mixing, pieces, secret_ledger, telephony, warc
+from noteflow.llm import exact_dedup, mixing, pieces, quality, secret_ledger, telephony, toxicity, warc
 from noteflow.llm.store import new_folder
 
 
@@ -21,6 +21,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.read_chunks(spark, folder, keep_data=False))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, _table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,13 +56,19 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.features(telephony.stored_media(spark, _table(spark, sf_dir, "documents")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_secrets": op4_secrets,
     "op5_pieces": op5_pieces,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_telephony": op9_telephony,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
