@@ -3,7 +3,7 @@
 Writing: each page becomes a WARC/1.1 record; payloads longer than a segment go
 on in ``continuation`` records, so no written row holds more than one segment.
 Spark's text writer lays records end to end (the record separator is its line
-separator), which gives its commit protocol to the archives.
+separator) in gzip files, which gives its commit protocol to the archives.
 
 Reading: tasks stream the archive files and give rows of (record identifier,
 chunk number), each with the digest and length of the payload so far. A reader
@@ -19,6 +19,7 @@ empty table gives an archive without records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -83,7 +84,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
         '\\r\\nContent-Length: ', octet_length(piece) + CASE WHEN i = 0 THEN octet_length(http) ELSE 0 END,
         '\\r\\n\\r\\n', CASE WHEN i = 0 THEN http ELSE '' END)"""
     record = F.concat(F.encode(F.expr(head), "UTF-8"), F.col("piece")).cast("string")
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(folder)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
 
 def open_uri(uri: str) -> BinaryIO:
@@ -178,7 +179,7 @@ def read_chunks(spark: SparkSession, folder: str, chunk_bytes: int = CHUNK_BYTES
         held, size = [], 0
         for batch in batches:
             for path in batch["path"]:
-                with open_uri(path) as stream:
+                with open_uri(path) as raw, gzip.open(raw) if path.endswith(".gz") else raw as stream:
                     for row in stream_chunks(stream, chunk_bytes, keep_data):
                         held.append(row)
                         size += 300 + len(row[5] or b"")
