@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, jaccard_join, mixing, pieces, quality, secret_ledger, telephony, toxicity, warc
+from noteflow.llm import exact_dedup, jaccard_join, licences, mixing, pieces, quality, secret_ledger, telephony, toxicity, warc
 from noteflow.llm.store import new_folder
 
 
@@ -48,6 +48,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(spark, _table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_secrets": op4_secrets,
     "op5_pieces": op5_pieces,
+    "op6_licences": op6_licences,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_telephony": op9_telephony,
