@@ -88,7 +88,8 @@ def scan_versions(spark: SparkSession, versions: DataFrame, ledger: str, path_co
     texts = rows.join(unseen.hint("shuffle_hash"), match, "left_semi")
     texts.select("blob", "text").mapInPandas(_scan, SCAN_SCHEMA).write.mode("append").parquet(ledger)
     found = open_ledger(spark, ledger).where((F.col("rule_version") == RULES_VERSION) & (F.col("spans") != ""))
-    found = found.dropDuplicates(["blob"]).drop("rule_version")
+    # a table of its own: the join below then has no aggregate in its stage, and Spark may split the rows of a hot blob
+    found = written(spark, found.dropDuplicates(["blob"]).drop("rule_version"), "found")
     out = paths.join(found, "blob", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_assign", "n_access", "n_hex")]
     return out.select("path", "blob", *zero, F.coalesce("spans", F.lit("")).alias("spans"))
