@@ -10,6 +10,8 @@ from noteflow.functions import rules as R
 
 PAGE, MOST_PAGE = 500, 1000
 KEYS = ["vault_id", "source_path"]
+#: Length of a slice of a vault's sequence in which requests are numbered by one task.
+SLICE = 100_000
 
 
 def change_feed(events: DataFrame, cursors: DataFrame, limit: int = PAGE) -> DataFrame:
@@ -158,13 +160,29 @@ def admit_writes(requests: DataFrame, files: DataFrame, versions: DataFrame, vau
     known = requests.join(vaults.select("vault_id"), "vault_id", "left_semi")
     rows = known.join(state, KEYS, "left").join(held, KEYS, "left")
     decided = rows.groupBy(*KEYS).applyInPandas(decide, DECISIONS)
-    accepted = decided.where("decision = 'accepted'").select("vault_id", F.col("seq").alias("a_seq"))
-    number = F.row_number().over(Window.partitionBy("vault_id").orderBy("a_seq"))
-    accepted = accepted.join(vaults.select("vault_id", "current_revision"), "vault_id").withColumn("given", F.col("current_revision") + number).drop("current_revision")
-    own = accepted.select("vault_id", F.col("a_seq").alias("seq"), F.col("given").alias("revision"))
-    seen = accepted.select("vault_id", (-F.col("a_seq")).alias("server_seen"), F.col("given").alias("seen_revision"))
-    out = decided.join(own, ["vault_id", "seq"], "left").join(seen, ["vault_id", "server_seen"], "left")
-    return out.withColumn("server_revision", F.when(F.col("server_seen") < 0, F.col("seen_revision")).otherwise(F.col("server_seen"))).drop("server_seen", "seen_revision")
+    numbered = consecutive(decided.withColumn("slice", F.floor(F.col("seq") / SLICE)), F.col("decision") == "accepted")
+    rows = numbered.join(vaults.select("vault_id", "current_revision"), "vault_id")
+    rows = rows.withColumn("revision", F.when(F.col("decision") == "accepted", F.col("current_revision") + F.col("number")))
+    # a state of this batch (negative) is the path's last accepted request before the conflict
+    earlier = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("server_seen") < 0, F.last("revision", ignorenulls=True).over(earlier)).otherwise(F.col("server_seen"))
+    return rows.withColumn("server_revision", seen).drop("server_seen", "current_revision", "number", "slice")
+
+
+def consecutive(rows: DataFrame, counted: Column) -> DataFrame:
+    """Adds ``number``: how many counted rows of the vault come up to a row in order of seq.
+
+    A vault's log is numbered in slices of its sequence: counts before a slice
+    plus the running count inside it, so that one large vault does not end in
+    one task.
+    """
+    one = F.when(counted, 1).otherwise(0)
+    before = Window.partitionBy("vault_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("vault_id", "slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    per_slice = rows.groupBy("vault_id", "slice").agg(F.sum(one).alias("n"))
+    per_slice = per_slice.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    out = rows.withColumn("number", F.sum(one).over(inside)).join(per_slice, ["vault_id", "slice"])
+    return out.withColumn("number", F.col("number") + F.col("before")).drop("before")
 
 
 def resolved_conflicts(conflicts: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries of noteflow and their SQL."""
 
-from noteflow.plans import rule_queries  # noqa: F401
+from noteflow.plans import rule_queries, store_queries  # noqa: F401
 from noteflow.plans.registry import ORACLE_SQL, QUERIES
 
 

@@ -44,7 +44,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
 
 def manifest_tables(manifests: DataFrame, json_col: str = "manifest") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cursor, tracked-file and open-conflict tables from manifest JSON; what is no object or lacks a field counts as empty."""
-    m = manifests.select(F.from_json(json_col, MANIFEST, {"mode": "PERMISSIVE"}).alias("m")).select("m.*").where("vault_id IS NOT NULL AND device_id IS NOT NULL")
+    m = manifests.select(F.from_json(json_col, MANIFEST, {"mode": "PERMISSIVE"}).alias("parsed_manifest")).select("parsed_manifest.*").where("vault_id IS NOT NULL AND device_id IS NOT NULL")
     two = ["vault_id", "device_id"]
     cursors = m.select(*two, F.coalesce("last_sync_cursor", F.lit(0)).alias("cursor"))
     files = m.select(*two, F.explode("files").alias("source_path", "f")).select(*two, "source_path", "f.*")
