@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.select(F.col("doc_id").alias("key"), F.col(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("key"), "key", "y").limit(rows)
-    joined = docs.join(F.broadcast(known), F.col("doc_id") == F.col("key"))  # bounded by rows
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("key"))  # bounded by rows
     return joined.select(F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
