@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from noteflow.functions import notes as N
 from noteflow.functions import text as T
 from noteflow.operators import maintenance as M
+from noteflow.sources.scratch import written
 
 PATH = ["vault_id", "source_path"]
 Embed = Callable[[list[str]], np.ndarray]
@@ -59,13 +60,14 @@ def index_notes(files: DataFrame, notes: DataFrame, old_chunks: DataFrame, embed
     known = texts.where("content IS NOT NULL")
     gated = M.index_gate(F.col("source_path"), F.col("vectorize"), F.col("deleted"), F.lit(True), F.lit("current"))
     skipped_early = known.where(gated == "skipped").select(*PATH)
-    parsed = N.chunk_notes(known.where(gated == "index"), PATH)
+    # parsing and embedding run once: several results start from each of them
+    parsed = written(files.sparkSession, N.chunk_notes(known.where(gated == "index"), PATH), "parsed")
     hashes = known.select(*PATH, F.sha2("content", 256).alias("content_hash"))
     late = (~F.coalesce("vectorize", F.lit(True))) | (F.col("status") != "current")
     skipped = skipped_early.unionByName(parsed.where(F.col("error").isNull() & late).select(*PATH)).distinct()
     good = parsed.where(F.col("error").isNull() & ~late)
     good = good.withColumn("embedding_input", T.embedding_input(*(F.col(c) for c in ("title", "type", "project", "domain", "heading_path", "tags", "content"))))
-    vectors = embedded(good, "embedding_input", embed, dimension)
+    vectors = written(files.sparkSession, embedded(good, "embedding_input", embed, dimension), "embedded")
     failures = parsed.where("error IS NOT NULL").select(*PATH, "phase", "error").unionByName(unread)
     failures = failures.unionByName(vectors.where("embedding_error IS NOT NULL").select(*PATH, F.lit("embedding").alias("phase"), F.col("embedding_error").alias("error")).distinct())
     new = vectors.join(failures.select(*PATH), PATH, "left_anti").join(hashes, PATH)

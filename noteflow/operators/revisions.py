@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteflow.functions import rules as R
+from noteflow.sources.scratch import written
 
 PAGE, MOST_PAGE = 500, 1000
 KEYS = ["vault_id", "source_path"]
@@ -159,7 +160,7 @@ def admit_writes(requests: DataFrame, files: DataFrame, versions: DataFrame, vau
     held = versions.groupBy(*KEYS).agg(F.collect_list(F.struct("revision", F.col("content_hash").alias("hash"))).alias("s_versions"))
     known = requests.join(vaults.select("vault_id"), "vault_id", "left_semi")
     rows = known.join(state, KEYS, "left").join(held, KEYS, "left")
-    decided = rows.groupBy(*KEYS).applyInPandas(decide, DECISIONS)
+    decided = written(requests.sparkSession, rows.groupBy(*KEYS).applyInPandas(decide, DECISIONS), "decided")
     numbered = consecutive(decided.withColumn("slice", F.floor(F.col("seq") / SLICE)), F.col("decision") == "accepted")
     rows = numbered.join(vaults.select("vault_id", "current_revision"), "vault_id")
     rows = rows.withColumn("revision", F.when(F.col("decision") == "accepted", F.col("current_revision") + F.col("number")))

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteflow.functions import text as T
+from noteflow.sources.scratch import written
 
 RRF_K, CANDIDATES, TOP_K, PER_SOURCE, RERANK_CANDIDATES = 60, 50, 5, 2, 15
 DEFAULT_STATUS = ("current",)
@@ -122,10 +124,10 @@ def _block_scores(batches: Iterator[pa.RecordBatch], block: tuple[np.ndarray, np
         vault = np.array(batch.column("vault_id").to_pylist(), dtype=object)
         chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
         vectors = batch.column("embedding")
-        rows = np.nonzero(vectors.is_valid().to_numpy(zero_copy_only=False))[0]
-        x = np.array([vectors[i].as_py() for i in rows], dtype=np.float64).reshape(len(rows), -1)
+        rows = np.nonzero(pc.equal(pc.fill_null(pc.list_value_length(vectors), -1), matrix.shape[1]).to_numpy(zero_copy_only=False))[0]
         if not len(rows):
             continue
+        x = vectors.take(pa.array(rows)).flatten().to_numpy().astype(np.float64).reshape(len(rows), -1)
         size = np.linalg.norm(x, axis=1)
         for name in set(vault[rows]):
             mine, asked = np.nonzero((vault[rows] == name) & (size > 0))[0], np.nonzero((vaults == name) & (norms > 0))[0]
@@ -250,7 +252,8 @@ def hybrid_search(
     budget = candidates if hybrid or per_source > 0 else top_k
     vector = vector_leg(queries, pool, budget)
     lexical = lexical_leg(queries, pool, candidates) if hybrid else vector.limit(0).select("query_id", "chunk_id", F.lit(0.0).alias("rank_value"), F.lit(0).alias("lexical_rank"))
-    merged = fused(vector, lexical)
+    # at most two legs of candidates a query: written once, since ranking and outcome both start from it
+    merged = written(queries.sparkSession, fused(vector, lexical), "fused")
     asked = queries.select("query_id", "query_embedding", "query")
     found = merged.join(pool.select("chunk_id", "source_path", "content", "embedding"), "chunk_id").join(asked, "query_id")
     found = found.withColumn("score", F.round(T.cosine(F.col("embedding"), F.col("query_embedding")), 6)).drop("embedding", "query_embedding")
