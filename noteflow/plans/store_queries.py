@@ -491,3 +491,58 @@ def _(t):
 @query("ss06_safety_runs", "runs", sql="""SELECT vault_id, ts, gap_seconds FROM (SELECT vault_id, begin AS ts, CAST(floor((epoch_us(begin) - epoch_us(lag(begin) OVER (PARTITION BY vault_id ORDER BY begin))) / 1000000) AS BIGINT) AS gap_seconds FROM fx_runs) WHERE gap_seconds >= 14400""")
 def _(t):
     return ST.safety_runs(t("runs").select("vault_id", F.col("begin").alias("ts")), 14400)
+
+
+# jobs by name
+
+
+@query("jb06_plan_sync", *SYNC, sql=f"""WITH {LOCAL}, {PULL}, {PUSH} SELECT vault_id, device_id, source_path, 'pull' AS side, action FROM pull UNION ALL SELECT vault_id, device_id, source_path, 'push' AS side, action FROM push""")
+def _(t):
+    side = lambda rows, name: rows.select(*C.KEYS, F.lit(name).alias("side"), "action")
+    return side(pulled(t), "pull").unionByName(side(pushed(t), "push"))
+
+
+@query("jb08_resolve_stale", "conflicts", "half_log", sql=f"WITH {STALE} SELECT id, CASE WHEN id IN (SELECT id FROM stale) THEN 'RESOLVED' ELSE status END AS status FROM fx_conflicts")
+def _(t):
+    found = stale(t).select("id", F.lit(True).alias("is_stale"))
+    return t("conflicts").join(found, "id", "left").select("id", F.when(F.col("is_stale"), "RESOLVED").otherwise(F.col("status")).alias("status"))
+
+
+@query("jb10_vault_status", "vaults", "files", "conflicts", sql="""SELECT v.vault_id, v.current_revision, (SELECT count(*) FROM fx_files f WHERE f.vault_id = v.vault_id AND vectorize AND NOT deleted AND index_status = 'pending') AS pending,
+  (SELECT count(*) FROM fx_conflicts c WHERE c.vault_id = v.vault_id AND c.status = 'OPEN') AS open_conflicts FROM fx_vaults v""")
+def _(t):
+    status = M.index_status(t("vaults"), t("files"), t("chunks"), MODEL).select("vault_id", "pending")
+    open_ = t("conflicts").where("status = 'OPEN'").groupBy("vault_id").agg(F.count("*").alias("open_conflicts"))
+    return t("vaults").select("vault_id", "current_revision").join(status, "vault_id").join(open_, "vault_id", "left").fillna(0, ["open_conflicts"])
+
+
+@query("so01_union_of_legs", *AT, sql=f"{ALL_LEGS} SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, chunk_id FROM vec UNION SELECT query_id, chunk_id FROM lex)")
+def _(t):
+    p = pool(t)
+    return S.vector_leg(t("asked"), p).select("query_id", "chunk_id").unionByName(S.lexical_leg(t("asked"), p).select("query_id", "chunk_id")).distinct()
+
+
+@query("so02_move", "files", sql=f"WITH {OLD} SELECT (SELECT count(*) FROM fx_files) - (SELECT count(*) FROM old) AS live, (SELECT count(*) FROM old) AS archived")
+def _(t):
+    r = M.apply_retention(t("files"), t("chunks"), now(), 7)
+    return r["files"].agg(F.count("*").alias("live")).crossJoin(r["archived_files"].agg(F.count("*").alias("archived")))  # one row each
+
+
+@query("wn02_leg_ranks", *AT, sql=f"WITH {POOL}, {SCORED} SELECT query_id, max(vector_rank) AS last_rank, count(*) AS n FROM vec GROUP BY query_id")
+def _(t):
+    return S.vector_leg(t("asked"), pool(t)).groupBy("query_id").agg(F.max("vector_rank").alias("last_rank"), F.count("*").alias("n"))
+
+
+@query("pr12_threshold", *AT, sql=f"{ALL_LEGS}, kept AS (SELECT f.*, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(query_embedding AS DOUBLE[])), 6) AS score FROM fused f JOIN pool p ON p.chunk_id = f.chunk_id JOIN fx_asked q ON q.query_id = f.query_id) SELECT query_id, chunk_id, score FROM kept WHERE matched_by <> 'vector' OR score >= 0.1")
+def _(t):
+    from noteflow.functions import text as T
+
+    p = pool(t)
+    rows = S.fused(S.vector_leg(t("asked"), p), S.lexical_leg(t("asked"), p)).join(p.select("chunk_id", "embedding"), "chunk_id").join(t("asked").select("query_id", "query_embedding"), "query_id")
+    return S.passing(rows.withColumn("score", F.round(T.cosine(F.col("embedding"), F.col("query_embedding")), 6)), 0.1).select("query_id", "chunk_id", "score")
+
+
+@query("fn09_heading_sections", "notes", sql="""SELECT source_path, concat('D', CAST(doc_id AS VARCHAR)) AS heading FROM fx_notes WHERE doc_id % 20 NOT IN (3, 7)""")
+def _(t):
+    rows = N.chunk_notes(t("notes"), ["source_path"]).where("chunk_index = 0")
+    return rows.select("source_path", F.col("heading_path")[0].alias("heading"))

@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from noteflow.functions import notes as N
 from noteflow.functions import rules as R
+from noteflow.operators import indexing as I
+from noteflow.operators import revisions as V
 
 KEYS = ["vault_id", "source_path"]
+FILES = "vault_id string, source_path string, revision long, content_hash string, deleted boolean, index_status string"
+VERSIONS = "vault_id string, source_path string, revision long, content_hash string"
 
 
 def merged_snapshot(old: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -96,5 +101,51 @@ def retry_delay(attempt: Column, base: float = 1.0, most: float = 60.0) -> Colum
 
 
 def each_batch(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run a batch job (indexing of changed notes, write admission) on every micro-batch."""
+    """Run a batch job on every micro-batch."""
     return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _before(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    """The newest version of a table that an earlier batch wrote."""
+    last = next((n for n in range(number - 1, -1, -1) if _exists(spark, f"{folder}/v={n}")), None)
+    return None if last is None else spark.read.parquet(f"{folder}/v={last}")
+
+
+def admit_stream(requests: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Continuous write admission; state is a versioned table per path, decisions go to ``folder/decisions/v=<batch>``.
+
+    Vault counters follow from the state's revisions; versions are the hashes
+    that earlier batches accepted.
+    """
+
+    def admit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        files = _before(spark, f"{folder}/files", number)
+        files = spark.createDataFrame([], FILES) if files is None else files
+        versions = _before(spark, f"{folder}/versions", number)
+        versions = spark.createDataFrame([], VERSIONS) if versions is None else versions
+        known = batch.select("vault_id").distinct().join(files.groupBy("vault_id").agg(F.max("revision").alias("top")), "vault_id", "left")
+        vaults = known.select("vault_id", F.coalesce("top", F.lit(0)).alias("current_revision"))
+        decisions = V.admit_writes(batch, files, versions, vaults)
+        decisions.write.mode("overwrite").parquet(f"{folder}/decisions/v={number}")
+        decisions = spark.read.parquet(f"{folder}/decisions/v={number}")
+        V.applied_state(files, decisions).write.mode("overwrite").parquet(f"{folder}/files/v={number}")
+        kept = decisions.where("decision = 'accepted' AND event_type != 'DELETE'").select("vault_id", "source_path", "revision", "content_hash")
+        versions.unionByName(kept).write.mode("overwrite").parquet(f"{folder}/versions/v={number}")
+
+    return each_batch(requests, admit, checkpoint)
+
+
+def index_stream(changes: DataFrame, files: Callable[[], DataFrame], embed: I.Embed, dimension: int, model: str, folder: str, checkpoint: str) -> StreamingQuery:
+    """Index the notes of each micro-batch (vault_id, source_path, content) and drop the chunks of deleted ones (null content)."""
+
+    def index(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keys = batch.select(*KEYS).distinct()
+        old = _before(spark, folder, number)
+        old = spark.createDataFrame([], f"vault_id string, source_path string, content_hash string, {N.CHUNK_SCHEMA}").drop("phase", "error") if old is None else old
+        gone = batch.where("content IS NULL").select(*KEYS).distinct()
+        done = I.index_notes(files().join(keys, KEYS, "left_semi"), batch.where("content IS NOT NULL"), old.join(gone, KEYS, "left_anti"), embed, dimension, model)
+        done["chunks"].write.mode("overwrite").parquet(f"{folder}/v={number}")
+
+    return each_batch(changes, index, checkpoint)

@@ -43,3 +43,36 @@ def test_tolerant_manifests(spark):
     rows = ['{"vault_id":"v","device_id":"d","files":{"a.md":{"server_revision":3,"content_hash":"h"}}}', "[1]", "nonsense", None]
     cursors, files, conflicts = IO.manifest_tables(spark.createDataFrame([(r,) for r in rows], "manifest string"))
     assert [tuple(r) for r in cursors.collect()] == [("v", "d", 0)] and files.count() == 1 and conflicts.count() == 0
+
+
+def test_admission_stream_equals_one_batch_per_file(spark, tmp_path):
+    schema = "vault_id string, source_path string, seq long, kind string, base_revision long, content_hash string, restore_revision long"
+    source, folder = str(tmp_path / "requests"), str(tmp_path / "out")
+    parts = [[("v", "a.md", 1, "PUT", 0, "h1", None), ("v", "b.md", 2, "PUT", 0, "h2", None)], [("v", "a.md", 3, "PUT", 1, "h3", None), ("v", "a.md", 4, "PUT", 1, "h4", None)], [("v", "b.md", 5, "DELETE", 2, None, None), ("v", "b.md", 6, "RESTORE", None, None, None)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        assert ST.admit_stream(spark.readStream.schema(schema).parquet(source), folder, str(tmp_path / "cp")).awaitTermination(120)
+    got = {r.seq: (r.decision, r.revision, r.server_revision) for r in spark.read.parquet(f"{folder}/decisions").collect()}
+    assert got == {1: ("accepted", 1, None), 2: ("accepted", 2, None), 3: ("accepted", 3, None), 4: ("conflict", None, 3), 5: ("accepted", 4, None), 6: ("accepted", 5, None)}
+
+
+def test_index_stream_replaces_and_drops(spark, tmp_path):
+    from noteflow.operators.indexing import hashing_embedder
+    from tests.test_notes import HEAD
+
+    source, folder = str(tmp_path / "changes"), str(tmp_path / "chunks")
+    schema = "vault_id string, source_path string, content string"
+    files = lambda: spark.createDataFrame([("v", p, "current", "pending", True, False, "h") for p in ("a.md", "b.md")], "vault_id string, source_path string, status string, index_status string, vectorize boolean, deleted boolean, content_hash string")
+    for part in ([("v", "a.md", HEAD + "one"), ("v", "b.md", HEAD + "two")], [("v", "a.md", HEAD + "three"), ("v", "b.md", None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        assert ST.index_stream(spark.readStream.schema(schema).parquet(source), files, hashing_embedder(8), 8, "m", folder, str(tmp_path / "cp")).awaitTermination(120)
+    assert [(r.source_path, r.content) for r in ST.latest_snapshot(spark, folder).collect()] == [("a.md", "three")]
+
+
+def test_sql_table_function(spark):
+    from noteflow.functions.notes import register_sql
+    from tests.test_notes import HEAD
+
+    register_sql(spark)
+    rows = spark.sql("SELECT c.chunk_index, c.content, c.error FROM VALUES (:note), ('x') AS t(note), LATERAL chunk_note(t.note) c", args={"note": HEAD + "body"}).collect()
+    assert sorted((r.content or "", r.error or "") for r in rows) == [("", "markdown frontmatter is required"), ("body", "")]
