@@ -13,6 +13,7 @@ from noteflow.operators import revisions as V
 from noteflow.operators import search as S
 from noteflow.plans.registry import query
 from noteflow.sources import tables as IO
+from noteflow.sources.scratch import new_folder
 from noteflow.streaming import streams as ST
 
 MODEL = "bge-m3"
@@ -546,3 +547,25 @@ def _(t):
 def _(t):
     rows = N.chunk_notes(t("notes"), ["source_path"]).where("chunk_index = 0")
     return rows.select("source_path", F.col("heading_path")[0].alias("heading"))
+
+
+@query("io02_partitioned_table", "files", sql="SELECT id, vault_id, source_path, index_status FROM fx_files WHERE vault_id = 'v1'")
+def _(t):
+    rows = t("files")
+    folder = new_folder(rows.sparkSession, "files")
+    IO.write_table(rows, folder)
+    return IO.read_table(rows.sparkSession, folder).where("vault_id = 'v1'").select("id", "vault_id", "source_path", "index_status")
+
+
+@query("io04_manifest_conflicts", "manifest", "tracked", "cursors", sql="SELECT vault_id, device_id, source_path, server_revision, local_content_hash, server_deleted FROM fx_tracked")
+def _(t):
+    files = t("manifest").withColumn("last_synced_at", F.lit("2024-01-01T00:00:00"))
+    packed = IO.manifest_json(t("cursors").where("device_id = 'devA'"), files, t("tracked").withColumn("server_content_hash", F.lit(None).cast("string")))
+    return IO.manifest_tables(packed)[2].select("vault_id", "device_id", "source_path", "server_revision", "local_content_hash", "server_deleted")
+
+
+@query("io04_manifest_cursors", "cursors", sql="SELECT vault_id, device_id, cursor FROM fx_cursors")
+def _(t):
+    cursors = t("cursors")
+    empty = cursors.limit(0).select("vault_id", "device_id", F.lit("").alias("source_path"), F.lit(0).cast("long").alias("server_revision"))
+    return IO.manifest_tables(IO.manifest_json(cursors, empty, empty))[0]
