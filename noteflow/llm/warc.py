@@ -71,7 +71,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
     )
     head = f"""concat('WARC/1.1\\r\\nWARC-Type: ',
         CASE WHEN i > 0 THEN 'continuation' WHEN response_id IS NULL THEN 'response' ELSE 'revisit' END,
-        '\\r\\nWARC-Record-ID: ', CASE WHEN i = 0 THEN {_record_id('page_id')} ELSE concat('<urn:segment:', page_id, ':', i + 1, '>') END,
+        '\\r\\nWARC-Record-ID: ', CASE WHEN i = 0 THEN {_record_id('page_id')} ELSE concat('<urn:segment:', coalesce(cast(page_id AS string), 'null'), ':', i + 1, '>') END,
         '\\r\\nWARC-Date: {DATE}',
         coalesce(concat('\\r\\nWARC-Target-URI: ', regexp_replace(url, '[\\\\r\\\\n]', '%0A')), ''),
         CASE WHEN i = 0 THEN concat('\\r\\nWARC-Payload-Digest: sha1:', digest) ELSE '' END,

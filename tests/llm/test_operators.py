@@ -125,13 +125,16 @@ def test_warc_round_trip(spark):
     rows = [
         (1, "http://a\r\nb", "é€😀" * 3000), (2, None, None), (3, "u", ""), (4, "u", "x" * 1000), (5, "u", "x" * 1000), (6, "u", "y" * 999), (7, "u", "y" * 999), (None, "u", "x" * 1000),
         (9, "u", "a\r\n\r\nWARC/1.1\r\nContent-Length: 7\r\n\r\nb" * 700), (10, "u", "x" * 1000 + "\n"),
+        (None, None, "z" * 9000),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
     folder = store.new_folder(spark, "warc")
     warc.write_archives(pages, folder, segment_bytes=7001)
     chunks = warc.read_chunks(spark, folder, chunk_bytes=1000)
-    got = {r.page_id: r for r in warc.records(chunks).collect()}
-    for key, _, html in rows:
+    every = warc.records(chunks).collect()
+    assert sorted(r.payload_digest for r in every) == sorted(hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows)
+    got = {r.page_id: r for r in every if r.payload_bytes != 9000}
+    for key, _, html in rows[:-1]:
         data = (html or "").encode()
         assert (got[key].payload_bytes, got[key].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
     assert {k: r.refers_to for k, r in got.items() if r.record_type == "revisit"} == {4: 5, None: 5}
