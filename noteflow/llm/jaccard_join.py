@@ -8,9 +8,11 @@ Every run splits the classes on sampled shared tokens: a set of n shingles
 follows each token whose hash for the node is below 1 / (SIMILARITY * n), so
 similar sets expect to share at least one branch. Buckets of at most ``SMALL``
 classes are compared by brute force; larger ones are split again, to ``DEPTH``
-levels. What is still larger then (sets that are alike throughout) is compared
-in blocks of a bounded number of sets, and each block gives a spanning forest
-and counts, not all its pairs. Runs are independent; their number follows from
+levels. In what is still larger then (sets that are alike throughout) every set
+is first measured against the bucket's leader: Jaccard distance is a metric, so
+sets within half the allowed distance of the leader are all linked and need no
+comparison. The others are compared with the bucket in blocks of a bounded
+number of sets, and each block gives a spanning forest and counts, not pairs. Runs are independent; their number follows from
 the recall that a pair at the threshold must have at the deepest level.
 
 Every link is verified on the sets themselves, as 32-bit shingle hashes (two
@@ -28,16 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteflow.llm.labelled import WordTable
 from noteflow.llm.quality import batches_of
 from noteflow.llm.store import written
 
 SHINGLE_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
 DEPTH, SMALL, BLOCK = 3, 8, 192
+#: Most keys that are treated as frequent, and counters of the summary that finds them.
+HOT_KEYS, COUNTERS = 1024, 8192
 COLUMNS = 8192
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -61,15 +63,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def describe(word: str) -> tuple[int]:
-    return (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")),)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
-def shingle_sets(texts: list[str], table: WordTable) -> list[np.ndarray]:
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     per_text = [t.split() for t in texts]
     every = [w for words in per_text for w in words]
-    hashes = table.look_up(every)[:, 0] if every else np.zeros(0, np.uint64)
+    hashes = pd.util.hash_array(np.array(every, dtype=object), categorize=False) if every else np.zeros(0, np.uint64)
     whole = np.zeros(max(0, len(hashes) - SHINGLE_WORDS + 1), np.uint64)
     for k in range(SHINGLE_WORDS):
         whole += _mix(hashes[k : k + len(whole)] + ODD[k])
@@ -78,7 +81,7 @@ def shingle_sets(texts: list[str], table: WordTable) -> list[np.ndarray]:
     for words in per_text:
         n = len(words)
         if n >= SHINGLE_WORDS:
-            out.append(np.unique(whole[at : at + n - SHINGLE_WORDS + 1]))
+            out.append(_distinct(whole[at : at + n - SHINGLE_WORDS + 1]))
         else:
             short = np.array([_mix(sum((_mix(hashes[at + k : at + k + 1] + ODD[k]) for k in range(n)), np.zeros(1, np.uint64)))[0]] if n else [], np.uint64)
             out.append(short)
@@ -99,9 +102,10 @@ def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> list[tupl
         if not len(nodes) or not len(tokens):
             nodes = parents = np.zeros(0, np.uint64)
         else:
-            drawn = [(k, np.nonzero(_mix(tokens ^ node) < limit)[0]) for k, node in enumerate(nodes)]
-            parents = np.repeat(nodes, [len(at) for _, at in drawn])
-            nodes = _mix(parents * ODD[3] + tokens[np.concatenate([at for _, at in drawn])])
+            # tokens are well mixed already, so one product is hash enough to draw them by
+            drawn = [np.nonzero((tokens ^ node) * ODD[4] < limit)[0] for node in nodes]
+            parents = np.repeat(nodes, [len(at) for at in drawn])
+            nodes = _mix(parents * ODD[3] + tokens[np.concatenate(drawn)])
         levels.append((parents, nodes))
     return levels
 
@@ -110,11 +114,10 @@ def prints(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
     """Slim rows: doc_id, text_key, cls (digest of the shingle set), n, and the nodes of each level."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordTable(describe, 1, np.uint64)
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in batches_of(texts):
-                sets = shingle_sets(texts[a:b], table)
+                sets = shingle_sets(texts[a:b])
                 paths = [chosen_paths(s, runs) for s in sets]
                 out = {"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").array, "text_key": batch["text_key"].iloc[a:b].array, "cls": [set_digest(s) for s in sets], "n": [len(s) for s in sets]}
                 for d in range(DEPTH):
@@ -132,13 +135,28 @@ def _alike_sizes(members: str) -> str:
     return f"filter({members}, x -> exists({members}, y -> y.cls != x.cls AND least(x.n, y.n) >= {SIMILARITY} * greatest(x.n, y.n)))"
 
 
+def sized(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Rows (cls, n, key) of keys that two classes or more have, with the key's size.
+
+    Frequent keys are named by a Misra-Gries summary and settled on the map side
+    against a broadcast of at most HOT_KEYS rows; no other key is frequent
+    enough to weigh on the task that counts it.
+    """
+    top = rows.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {COUNTERS})").alias("top")).select(F.explode("top.item").alias("key"))
+    top = written(spark, top, "top")
+    hot = rows.join(F.broadcast(top), "key")
+    sizes = written(spark, hot.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    hot = hot.join(F.broadcast(sizes), "key")
+    rest = rows.join(F.broadcast(top), "key", "left_anti").withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    return written(spark, hot.unionByName(rest).where("size > 1"), name)
+
+
 def buckets(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Small buckets (unit, cls), each member list once, and what is large at the deepest level (key, size, cls)."""
     rows = classes.select("cls", "n", F.explode("k1").alias("key"))
     lists, large = [], None
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        rows = written(spark, rows.join(sizes, "key"), f"level{level}")
+        rows = sized(spark, rows, f"level{level}")
         members = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("members"))
         lists.append(members.select(F.expr(f"transform({_alike_sizes('members')}, x -> x.cls)").alias("members")))
         large = rows.where(F.col("size") > SMALL)
@@ -146,7 +164,7 @@ def buckets(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFra
             keys = large.select(F.col("key").alias("parent")).distinct()
             below = classes.select("cls", "n", F.explode(F.arrays_zip(f"p{level + 1}", f"k{level + 1}")).alias("x"))
             below = below.select("cls", "n", F.col(f"x.p{level + 1}").alias("parent"), F.col(f"x.k{level + 1}").alias("key"))
-            rows = below.join(keys, "parent", "left_semi").select("cls", "n", "key")
+            rows = written(spark, below.join(keys, "parent", "left_semi").select("cls", "n", "key"), f"below{level}")
     small = lists[0]
     for more in lists[1:]:
         small = small.unionByName(more)
@@ -155,19 +173,36 @@ def buckets(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFra
     return small, large.select("key", "size", "cls")
 
 
-def units_of_large(large: DataFrame) -> DataFrame:
-    """Blocks of large buckets, two by two: unit, key, own, inside, cls, shared (all large buckets of the class).
+def dense_cores(spark: SparkSession, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """cls, shared (all its large buckets), first, leader, core: is the class near enough to the leader of its first bucket?
 
-    Buckets of one dense group repeat each other. Of the members of a bucket,
-    those whose first bucket is an earlier one that most of them share have met
-    there; they are compared with the other members only, not among themselves.
+    Two members of a core are at most the allowed distance apart, by the
+    triangle inequality. A core is named by its bucket; its members share it.
+    """
+    members = large.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("shared")).withColumn("first", F.col("shared")[0])
+    rows = written(spark, members.join(sets.where("dense").select("cls", "tokens"), "cls"), "dense")
+    heads = rows.groupBy("first").agg(F.min(F.struct("cls", "tokens")).alias("head"))
+    heads = written(spark, heads.select("first", F.col("head.cls").alias("leader"), F.col("head.tokens").alias("head")), "heads")
+    rows = rows.join(heads, "first")
+    both = F.size(F.array_intersect("tokens", "head"))
+    near = both >= (1 + SIMILARITY) / 2 * (F.size("tokens") + F.size("head") - both)
+    return written(spark, rows.select("cls", "shared", "first", "leader", near.alias("core")).dropDuplicates(["cls"]), "cores")
+
+
+def units_of_large(spark: SparkSession, large: DataFrame, cores: DataFrame) -> DataFrame:
+    """Blocks of large buckets, two by two: unit, key, own, inside, cls, shared, core (bucket of its core or null).
+
+    Buckets of one dense group repeat each other. Members with the same first
+    bucket have met there; in their first bucket itself, those of its core are
+    settled. Of each bucket the largest such party is compared with the other
+    members only, not within itself.
     """
-    shared = large.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("shared"))
-    rows = large.join(shared, "cls").withColumn("first", F.col("shared")[0])
-    usual = rows.where(F.col("first") < F.col("key")).groupBy("key").agg(F.mode("first", deterministic=True).alias("usual"))
-    rows = rows.join(usual, "key", "left").withColumn("met", F.coalesce(F.col("first") == F.col("usual"), F.lit(False)))
+    rows = large.join(cores, "cls").withColumn("core", F.when(F.col("core"), F.col("first")))
+    rows = rows.withColumn("party", F.when(F.col("first") < F.col("key"), F.col("first")).otherwise(F.col("core")))
+    usual = rows.where("party IS NOT NULL").groupBy("key").agg(F.mode("party", deterministic=True).alias("usual"))
+    rows = rows.join(written(spark, usual, "usual"), "key", "left").withColumn("met", F.coalesce(F.col("party") == F.col("usual"), F.lit(False)))
     new = rows.groupBy("key").agg(F.count_if(~F.col("met")).alias("n_new"), F.count_if(F.col("met")).alias("n_met"))
-    rows = rows.join(new.where("n_new > 0"), "key")
+    rows = rows.join(written(spark, new.where("n_new > 0"), "new"), "key")
     # blocks 0 .. new_blocks - 1 hold the members that are new here, the blocks after them the others
     new_blocks, met_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_new", "n_met"))
     rows = rows.withColumn("new_blocks", new_blocks).withColumn("met_blocks", met_blocks)
@@ -176,7 +211,7 @@ def units_of_large(large: DataFrame) -> DataFrame:
     others = F.when(F.col("met"), F.col("new_blocks")).otherwise(F.col("new_blocks") + F.col("met_blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     unit = F.concat_ws(":", F.lit("b"), "key", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(unit.alias("unit"), "key", "own", (F.col("own") == F.col("other")).alias("inside"), "cls", "shared")
+    return rows.select(unit.alias("unit"), "key", "own", (F.col("own") == F.col("other")).alias("inside"), "cls", "shared", "core")
 
 
 def _links(sets: list[np.ndarray]) -> np.ndarray:
@@ -226,10 +261,13 @@ def _compare(unit: str, rows: list[dict]) -> list[tuple]:
     hit = _links([r["tokens"] for r in rows])
     if unit[0] == "s":
         return [(cls[i], cls[j], None) for i, j in zip(*np.nonzero(np.triu(hit)))]
+    names_of_cores: dict[int, int] = {}
     inside = np.array([r["inside"] for r in rows])
     if not inside.any():
         own = np.array([r["own"] for r in rows])
         hit &= own[:, None] != own[None, :]
+    core = np.array([np.nan if r["core"] is None else names_of_cores.setdefault(r["core"], len(names_of_cores)) for r in rows])
+    hit &= core[:, None] != core[None, :]  # pairs of one core are counted with it; null (nan) equals nothing
     out = [(cls[i], cls[j], None) for i, j in _forest(hit)]
     # a pair counts in the first of the large buckets that it shares
     earlier = [[k for k in r["shared"] if k < r["key"]] for r in rows]
@@ -249,7 +287,7 @@ def compare_units(units: DataFrame) -> DataFrame:
         schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("links", pa.int64())])
         unit, rows, out = None, [], []
         for batch in batches:
-            names = ("unit", "key", "own", "inside", "cls", "shared")
+            names = ("unit", "key", "own", "inside", "cls", "shared", "core")
             columns = [batch.column(n).to_pylist() for n in names]
             tokens = batch.column("tokens")
             flat, ends = tokens.values.to_numpy(), tokens.offsets.to_numpy()
@@ -262,7 +300,8 @@ def compare_units(units: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
                         out = []
                 unit = row["unit"]
-                rows.append(row)
+                if not rows or rows[-1]["cls"] != row["cls"]:  # repeated rows give a set twice, side by side
+                    rows.append(row)
         if rows:
             out += _compare(unit, rows)
         if out:
@@ -272,17 +311,16 @@ def compare_units(units: DataFrame) -> DataFrame:
 
 
 def token_sets(rows: DataFrame) -> DataFrame:
-    """(cls, text) to (cls, tokens): sorted 32-bit hashes of the shingles."""
+    """(cls, dense, text) to (cls, dense, tokens): sorted 32-bit hashes of the shingles. Rows that repeat a document in full repeat its set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordTable(describe, 1, np.uint64)
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in batches_of(texts):
-                sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in shingle_sets(texts[a:b], table)]
-                yield pd.DataFrame({"cls": batch["cls"].iloc[a:b].array, "tokens": sets})
+                sets = [_distinct((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in shingle_sets(texts[a:b])]
+                yield pd.DataFrame({"cls": batch["cls"].iloc[a:b].array, "dense": batch["dense"].iloc[a:b].array, "tokens": sets})
 
-    return rows.mapInPandas(run, "cls string, tokens array<int>")
+    return rows.mapInPandas(run, "cls string, dense boolean, tokens array<int>")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -315,27 +353,31 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     same = [F.any_value(c).alias(c) for d in range(1, DEPTH + 1) for c in (f"p{d}", f"k{d}")]
     classes = written(spark, seen.groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), *same), "classes")
     small, large = buckets(spark, classes)
-    small, large = written(spark, small, "small"), written(spark, units_of_large(large), "large")
+    small, large = written(spark, small, "small"), written(spark, large, "large")
 
     # the sets of the classes that met another; the slim side is built, so that texts are shuffled once and not sorted
-    met = small.select("cls").unionByName(large.select("cls")).distinct()
-    met = written(spark, met.join(classes, "cls").select("cls", F.col("first.doc_id").alias("met_id"), F.col("first.text_key").alias("met_key")), "met")
+    met = small.select("cls", F.lit(False).alias("dense")).unionByName(large.select("cls", F.lit(True).alias("dense"))).groupBy("cls").agg(F.bool_or("dense").alias("dense"))
+    met = written(spark, met.join(classes, "cls").select("cls", "dense", F.col("first.doc_id").alias("met_id"), F.col("first.text_key").alias("met_key")), "met")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row_key"))
     rows = rows.join(met.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("met_id")) & (F.col("row_key") == F.col("met_key")))
-    sets = token_sets(rows.select("cls", F.coalesce("text", F.lit("")).alias("text")))
-    none = {"key": F.lit(0).cast("long"), "own": F.lit(0), "inside": F.lit(True), "shared": F.array().cast("array<long>")}
-    units = small.withColumns(none).unionByName(large).join(sets.hint("shuffle_hash"), "cls")
+    sets = written(spark, token_sets(rows.select("cls", "dense", F.coalesce("text", F.lit("")).alias("text"))), "sets")
+    cores = dense_cores(spark, large, sets)
+    none = {"key": F.lit(0).cast("long"), "own": F.lit(0), "inside": F.lit(True), "shared": F.array().cast("array<long>"), "core": F.lit(None).cast("long")}
+    units = small.withColumns(none).unionByName(units_of_large(spark, large, cores)).join(sets.select("cls", "tokens").hint("shuffle_hash"), "cls")
     units = units.repartition("unit").sortWithinPartitions("unit", "cls")
     links = written(spark, compare_units(units), "links")
 
     pairs = links.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(spark, pairs, "pairs")
-    roots = components(spark, pairs)
-    # pairs of small buckets that share no large one, and the counts of the large ones
-    shared = large.select("cls", "shared").distinct()
+    inner = cores.where("core")
+    roots = components(spark, pairs.unionByName(inner.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))))
+    # pairs of small buckets that share no large one, the counts of the large ones, and those of the cores
+    shared = cores.select("cls", "shared")
+    sizes = written(spark, inner.groupBy("first").agg((F.count("*") - 1).alias("links")), "core_sizes")
     alone = pairs.join(shared.select(F.col("cls").alias("a"), F.col("shared").alias("sa")), "a", "left").join(shared.select(F.col("cls").alias("b"), F.col("shared").alias("sb")), "b", "left")
     alone = alone.where(~F.coalesce(F.arrays_overlap("sa", "sb"), F.lit(False)))
     counts = alone.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("links"))
+    counts = counts.unionByName(inner.join(sizes, "first").select("cls", "links"))
     counts = counts.unionByName(links.where("b IS NULL").select(F.col("a").alias("cls"), "links"))
     counts = counts.groupBy("cls").agg(F.sum("links").alias("n_links"))
 
