@@ -333,6 +333,45 @@ def test_licences_equal_brute_force(spark):
     assert {r.doc_id: r.licence for r in rows if r.doc_id in (2, 3, 4, 5)} == dict.fromkeys((2, 3, 4, 5), "MIT")
 
 
+def window_dice(text, template):
+    """Every run of words, by definition."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    pairs = lambda w: list(zip(w, w[1:]))
+    a, b = pairs(words(text)), set(pairs(words(template)))
+    best = 0.0
+    for i in range(len(a)):
+        seen = set()
+        for p in a[i:]:
+            seen.add(p)
+            best = max(best, 2 * len(seen & b) / (len(seen) + len(b)))
+    return best
+
+
+def test_licences_in_any_window(spark):
+    inline = "Our tool is old. " + licences.NOTICES["Apache-2.0"][1] + " It came from a friend of ours."
+    words = licences.NOTICES["GPL-3.0"][1].split()
+    wrapped = "About it:\n" + "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12)) + "\nand so on"
+    rng = random.Random(6)
+    pool = [w for v in licences.NOTICES.values() for t in v[:1] for w in t.split()]
+    mixed = [" ".join(rng.choices(pool, k=60)) for _ in range(8)] + ["under the MIT under the " * 30 + "License", "MIT License. Licensed under the MIT", "a b " * 40 + "Licensed under the MIT\n\nLicense. " + "the MIT " * 40]
+    texts = [inline, wrapped, *mixed]
+    for r in licences.scan(docs_of(spark, texts), notices=licences.NOTICES).collect():
+        best = {name: max(window_dice(texts[r.doc_id], t) for t in v) for name, v in licences.NOTICES.items()}
+        assert r.licences == ",".join(f"{k}:{v:.4f}" for k, v in sorted(best.items()) if v >= licences.LEAST)
+        assert r.doc_id > 1 or (r.licence, r.dice) == (("Apache-2.0", "GPL-3.0")[r.doc_id], 1.0)
+
+
+def test_full_licence_texts(spark):
+    """A full text inside a longer one, its lines joined, is found under its name."""
+    full = {name: " ".join(licences.all_templates()[name][-1 if name != "MIT" else -2].split()) for name in licences.FULL_TEXTS}
+    assert {"MIT", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"} <= set(full)
+    names = sorted(full)
+    rows = licences.scan(docs_of(spark, [f"Before it {full[n]} and after it." for n in names])).collect()
+    # the text of BSD-3-Clause holds the notice of BSD-2-Clause as well
+    assert all(r.dice == 1.0 and f"{names[r.doc_id]}:1.0000" in r.licences.split(",") for r in rows)
+    assert all(r.licence == names[r.doc_id] for r in rows if names[r.doc_id] != "BSD-3-Clause")
+
+
 # 2 and 10: classifiers
 
 
