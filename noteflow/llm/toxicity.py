@@ -49,10 +49,12 @@ CLASS_WORDS = {
 #: How many other words a negation or a target reaches over.
 REACH = 3
 MIN_STEM, MAX_STEM = 4, 8
-MIN_TEXTS, MIN_PURITY, MOST_STEMS = 3, 0.95, 20_000
+MIN_TEXTS, MIN_PURITY = 3, 0.95
 #: Chance that any stem of no meaning is taken, by the tail bound; share of its texts that a longer stem must keep.
 FALSE_STEMS, KEEPS = 0.25, 0.95
 CACHE_WORDS = 200_000
+#: Stems that a task counts before it passes the counts on.
+COUNTED_STEMS = 500_000
 
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
@@ -183,49 +185,36 @@ def learned_stems(sample: DataFrame) -> dict[str, float]:
     A stem is taken if it stands in enough texts, nearly all of them toxic, and
     the binomial tail bound says that none of all the stems would look so by
     chance. Of stems that begin with each other the shortest is taken, made
-    longer as long as it loses hardly any text.
+    longer as long as it loses hardly any text. Words of under MIN_STEM letters
+    are known as whole words only.
     """
 
-    def toxic_stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts_of(toxic: Counter, clean: Counter) -> pd.DataFrame:
+        stems = list(dict.fromkeys([*toxic, *clean]))
+        return pd.DataFrame({"stem": stems, "t": [toxic[x] for x in stems], "c": [clean[x] for x in stems]})
+
+    def stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        toxic, clean = Counter(), Counter()
         for batch in batches:
-            counted: Counter = Counter()
-            for text in batch["text"]:
-                counted.update({s for w in set(LETTERS.findall(text.lower())) if len(w) >= MIN_STEM for s in stems_of(w)})
-            yield pd.DataFrame({"stem": list(counted), "n": list(counted.values())})
+            for text, y in zip(batch["text"], batch["y"]):
+                (toxic if y == 1 else clean).update({s for w in set(LETTERS.findall(text.lower())) for s in stems_of(w)})
+                if len(toxic) + len(clean) > COUNTED_STEMS:
+                    yield counts_of(toxic, clean)
+                    toxic, clean = Counter(), Counter()
+        yield counts_of(toxic, clean)
 
     size = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     toxic, clean = int(size[0]), int(size[1])
     if not toxic or not clean:
         return {}
     base = toxic / (toxic + clean)
-    counts = sample.where("y = 1").mapInPandas(toxic_stems, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("t"))
+    counts = sample.where("y IN (0, 1)").mapInPandas(stem_counts, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = written(sample.sparkSession, counts.where(F.col("t") >= MIN_TEXTS), "stems")
     least = float(np.log(max(counts.count(), 1) / FALSE_STEMS))
-    # fewer texts could not pass the bound below even if all were toxic
-    able = counts.where(F.col("t") >= least / -np.log(base)).orderBy(F.desc("t"), "stem").limit(MOST_STEMS).toPandas()
-    candidates = dict.fromkeys(able["stem"])
-
-    def clean_stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_word: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
-            counted: Counter = Counter()
-            for text in batch["text"]:
-                words = set(LETTERS.findall(text.lower()))
-                if len(of_word) + len(words) > CACHE_WORDS:
-                    of_word = {}
-                for w in words:
-                    if w not in of_word:
-                        of_word[w] = tuple(s for s in stems_of(w) if s in candidates)
-                counted.update({s for w in words for s in of_word[w]})
-            yield pd.DataFrame({"stem": list(counted), "n": list(counted.values())})
-
-    clean_counts = sample.where("y = 0").mapInPandas(clean_stems, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("c")).toPandas()
-    best = able.merge(clean_counts, on="stem", how="left").fillna({"c": 0})
-    t, c = best["t"].to_numpy(float), best["c"].to_numpy(float)
-    share = np.minimum(t / (t + c), 1 - 1e-9)
-    tail = (t + c) * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    best["odds"] = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
-    best = best[(share >= MIN_PURITY) & (tail >= least)]
+    share = F.least(F.col("t") / (F.col("t") + F.col("c")), F.lit(1 - 1e-9))
+    tail = (F.col("t") + F.col("c")) * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
+    best = counts.where((share >= MIN_PURITY) & (tail >= least)).toPandas()  # only stems that pass; the sample is bounded
+    best["odds"] = np.log((best["t"] + 0.5) / (toxic + 1)) - np.log((best["c"] + 0.5) / (clean + 1))
     known = {stem: (float(weight), int(t)) for stem, weight, t in zip(best["stem"], best["odds"], best["t"])}
     longer: dict[str, list[str]] = {}
     for stem in known:
@@ -279,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, score of every whole text; the lexicon is broadcast (at most MOST_STEMS stems)."""
+    """doc_id, score of every whole text; the lexicon is broadcast (stems of the bounded sample that passed the tests)."""
     shared = spark.sparkContext.broadcast((model.stems, model.kinds, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

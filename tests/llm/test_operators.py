@@ -473,3 +473,13 @@ def test_feature_batches_do_not_mix_texts():
     alone = [np.sort(quality.features([t], table)[0]) for t in texts]
     parts = np.split(flat, np.cumsum(sizes)[:-1])
     assert all(np.array_equal(np.sort(p), q) for p, q in zip(parts, alone))
+
+
+def test_rare_and_short_insults_are_learned(spark):
+    """More neutral stems, each in more toxic texts than the insults are, and an insult of three letters."""
+    rng = random.Random(8)
+    block = " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(5000))
+    rows = [(f"{block} {'grumvel' if i < 10 else ''} {'zyx' if i % 3 == 0 else ''}", 1) for i in range(40)]
+    rows += [(block, 0)] * 40 + [("some calm words of no harm", 0)] * 720
+    stems = toxicity.learned_stems(spark.createDataFrame(rows, "text string, y int").repartition(4))
+    assert set(stems) == {"grumvel$", "zyx$"}
