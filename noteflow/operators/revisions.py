@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,65 +88,66 @@ def request_error(kind: Column, path: Column, n_bytes: Column) -> Column:
     )
 
 
-def decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """Fold the requests of one path in arrival order.
+DECISIONS = "vault_id string, source_path string, seq long, kind string, decision string, event_type string, content_hash string, server_seen long, base_revision long"
+DECIDED = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in (c.split() for c in DECISIONS.split(", "))])
+
 
-    rows: seq, kind (PUT, FORCE, DELETE, RESTORE), base_revision, content_hash, restore_revision, and
-    the path's state at the start: s_revision (null: absent), s_hash, s_deleted, s_versions ({revision: hash}).
+def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold the requests of each path in arrival order; only the state of the current path is carried from batch to batch.
+
+    Rows in order of path and seq: seq, kind (PUT, FORCE, DELETE, RESTORE), base_revision, content_hash, restore_revision,
+    the path's state at the start: s_revision (null: absent), s_hash, s_deleted, s_latest (struct of its latest version's
+    hash, null: none), and s_restore (struct of the hash of the version that the request names, null: none).
     A revision given in this batch is not known yet: it is written as -seq.
     """
-    rows = rows.sort_values("seq")
-    first = rows.iloc[0]
-    state = None if pd.isna(first.s_revision) else (int(first.s_revision), first.s_hash, bool(first.s_deleted))
-    versions = {int(v["revision"]): v["hash"] for v in first.s_versions} if first.s_versions is not None else {}
-    out = []
-    for r in rows.itertuples(index=False):
-        base = 0 if pd.isna(r.base_revision) else int(r.base_revision)
-        live = state is not None and not state[2]
-        at = state[0] if state else 0
-        event = content = None
-        if r.kind == "PUT":
-            if not live and base == 0:
-                decision, event, content = "accepted", "CREATE", r.content_hash
-            elif not live or base != at:
-                decision = "conflict"
-            elif r.content_hash == state[1]:
-                decision = "replay"
-            else:
-                decision, event, content = "accepted", "UPDATE", r.content_hash
-        elif r.kind == "FORCE":
-            if live and r.content_hash == state[1]:
-                decision = "noop"
+    path = state = latest = None
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if path != (r["vault_id"], r["source_path"]):
+                path = r["vault_id"], r["source_path"]
+                state = None if r["s_revision"] is None else (r["s_revision"], r["s_hash"], bool(r["s_deleted"]))
+                latest = r["s_latest"]
+            kind, base = r["kind"], r["base_revision"] or 0
+            live = state is not None and not state[2]
+            at = state[0] if state else 0
+            event = content = None
+            if kind == "PUT":
+                if not live and base == 0:
+                    decision, event, content = "accepted", "CREATE", r["content_hash"]
+                elif not live or base != at:
+                    decision = "conflict"
+                elif r["content_hash"] == state[1]:
+                    decision = "replay"
+                else:
+                    decision, event, content = "accepted", "UPDATE", r["content_hash"]
+            elif kind == "FORCE":
+                if live and r["content_hash"] == state[1]:
+                    decision = "noop"
+                else:
+                    decision, event, content = "accepted", "UPDATE" if live else "CREATE", r["content_hash"]
+            elif kind == "DELETE":
+                if not live:
+                    decision = "not_found"
+                elif base != at:
+                    decision = "conflict"
+                else:
+                    decision, event, content = "accepted", "DELETE", state[1]
+            elif live:
+                decision = "rejected"
             else:
-                decision, event, content = "accepted", "UPDATE" if live else "CREATE", r.content_hash
-        elif r.kind == "DELETE":
-            if not live:
-                decision = "not_found"
-            elif base != at:
-                decision = "conflict"
-            else:
-                decision, event, content = "accepted", "DELETE", state[1]
-        elif live:
-            decision = "rejected"
-        else:
-            wanted = None if pd.isna(r.restore_revision) else int(r.restore_revision)
-            if state is None or not versions or (wanted is not None and wanted not in versions):
-                decision = "not_found"
-            else:
-                # versions of this batch are the newest and the latest of them is the one with the greatest seq
-                newest = min((v for v in versions if v < 0), default=max(versions))
-                decision, event, content = "accepted", "RESTORE", versions[newest if wanted is None else wanted]
-        out.append((r.vault_id, r.source_path, r.seq, r.kind, decision, event, content, at if decision == "conflict" else None, base))
-        if event:
-            state = (-int(r.seq), content, event == "DELETE")
-            if event != "DELETE":
-                versions[-int(r.seq)] = content
-    return pd.DataFrame(out, columns=["vault_id", "source_path", "seq", "kind", "decision", "event_type", "content_hash", "server_seen", "base_revision"]).astype(
-        {"server_seen": "Int64", "base_revision": "Int64"}
-    )
-
-
-DECISIONS = "vault_id string, source_path string, seq long, kind string, decision string, event_type string, content_hash string, server_seen long, base_revision long"
+                # versions of this batch are the newest; a client cannot name them yet
+                wanted = latest if r["restore_revision"] is None else r["s_restore"]
+                if state is None or wanted is None:
+                    decision = "not_found"
+                else:
+                    decision, event, content = "accepted", "RESTORE", wanted["hash"]
+            out.append((*path, r["seq"], kind, decision, event, content, at if decision == "conflict" else None, base))
+            if event:
+                state = (-r["seq"], content, event == "DELETE")
+                if event != "DELETE":
+                    latest = {"hash": content}
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), DECIDED.types)] if out else [pa.array([], t) for t in DECIDED.types], schema=DECIDED)
 
 
 def admit_writes(requests: DataFrame, files: DataFrame, versions: DataFrame, vaults: DataFrame) -> DataFrame:
@@ -152,15 +155,21 @@ def admit_writes(requests: DataFrame, files: DataFrame, versions: DataFrame, vau
 
     requests: vault_id, source_path, seq (> 0, arrival order), kind, base_revision,
     content_hash, restore_revision. Bases must not exceed the vault's counter at
-    the start (a client knows issued revisions only). The fold runs per path on
-    hashes; content stays out of it. Returns the decisions with revision (accepted)
+    the start (a client knows issued revisions only). The fold runs on hashes;
+    content stays out of it. Versions stay rows: a request meets the one that it
+    names and its path's latest. A path's requests are one ordered stream, read
+    in batches, so that no path has to fit in memory. Returns the decisions with revision (accepted)
     and server_revision (conflicts).
     """
     state = files.select(*KEYS, F.col("revision").alias("s_revision"), F.col("content_hash").alias("s_hash"), F.col("deleted").alias("s_deleted"))
-    held = versions.groupBy(*KEYS).agg(F.collect_list(F.struct("revision", F.col("content_hash").alias("hash"))).alias("s_versions"))
+    one = F.struct(F.col("content_hash").alias("hash"))
+    latest = versions.groupBy(*KEYS).agg(F.max_by(one, "revision").alias("s_latest"))
+    named = versions.groupBy(*KEYS, F.col("revision").alias("restore_revision")).agg(F.max(one).alias("s_restore"))
     known = requests.join(vaults.select("vault_id"), "vault_id", "left_semi")
-    rows = known.join(state, KEYS, "left").join(held, KEYS, "left")
-    decided = written(requests.sparkSession, rows.groupBy(*KEYS).applyInPandas(decide, DECISIONS), "decided")
+    rows = known.join(state, KEYS, "left").join(latest, KEYS, "left").join(named, [*KEYS, "restore_revision"], "left")
+    # dealt by a hash of the path and not by the path itself, so that no join above, which may be split, serves as this exchange
+    ordered = rows.repartition(F.xxhash64(*KEYS)).sortWithinPartitions(*KEYS, "seq")
+    decided = written(requests.sparkSession, ordered.mapInArrow(decide, DECISIONS), "decided")
     numbered = consecutive(decided.withColumn("slice", F.floor(F.col("seq") / SLICE)), F.col("decision") == "accepted")
     rows = numbered.join(vaults.select("vault_id", "current_revision"), "vault_id")
     rows = rows.withColumn("revision", F.when(F.col("decision") == "accepted", F.col("current_revision") + F.col("number")))

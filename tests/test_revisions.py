@@ -98,3 +98,31 @@ def test_one_winner_of_eight(spark):
 def test_empty_requests(spark):
     empty = V.admit_writes(spark.createDataFrame([], REQUEST), spark.createDataFrame([], FILE), spark.createDataFrame([], VERSION), spark.createDataFrame([], "vault_id string, current_revision long"))
     assert empty.count() == 0
+
+
+def test_a_dominant_path_is_folded_in_batches(spark, monkeypatch):
+    """Most requests and many versions on one path: no list of versions, no group in memory, and state goes on from batch to batch."""
+    plans, keep = [], V.written
+    monkeypatch.setattr(V, "written", lambda s, frame, *a: plans.append(frame._jdf.queryExecution().toString()) or keep(s, frame, *a))
+    rng = random.Random(7)
+    files = [("a", "hot.md", 400, "h1", True, "indexed"), ("a", "cold.md", 7, "h2", False, "indexed")]
+    versions = [("a", "hot.md", k, f"h{k % 5}") for k in range(1, 400)] + [("a", "cold.md", 7, "h2")]
+    requests = []
+    for seq in range(1, 400):
+        kind = rng.choice(["PUT", "FORCE", "DELETE", "DELETE", "RESTORE", "RESTORE"])
+        requests.append(("a", "cold.md" if seq % 9 == 0 else "hot.md", seq, kind, rng.choice([0, 7, 400]), f"h{rng.randint(0, 4)}", rng.choice([None, rng.randint(1, 450)])))
+    # a request may only name revisions that were issued before the batch
+    requests = [(*r[:6], r[6] if r[6] is None or r[6] <= 400 else 400) for r in requests]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, 7)
+    try:
+        got = V.admit_writes(
+            spark.createDataFrame(requests, REQUEST), spark.createDataFrame(files, FILE), spark.createDataFrame(versions, VERSION),
+            spark.createDataFrame([("a", 400)], "vault_id string, current_revision long"),
+        ).collect()
+    finally:
+        spark.conf.unset(batch)
+    got = {(r.vault_id, r.seq): (r.decision, r.event_type, r.revision, r.server_revision) for r in got}
+    assert got == replay(requests, files, versions, {"a": 400})
+    assert {"accepted", "rejected", "not_found"} <= {x[0] for x in got.values()}
+    assert plans and not any("FlatMapGroups" in p or "collect_list" in p for p in plans)
