@@ -30,9 +30,10 @@ def parsed_vector(literal: Column) -> Column:
 
 
 def embedding_input(title: Column, kind: Column, project: Column, domain: Column, headings: Column, tags: Column, content: Column) -> Column:
+    """Null tags are no tags."""
     return F.concat(
         F.lit("Title: "), title, F.lit("\nType: "), kind, F.lit("\nProject: "), project, F.lit("\nDomain: "), domain,
-        F.lit("\nHeading: "), F.array_join(headings, " > "), F.lit("\nTags: "), F.array_join(tags, ", "), F.lit("\n\nContent:\n"), F.trim(content),
+        F.lit("\nHeading: "), F.array_join(headings, " > "), F.lit("\nTags: "), F.coalesce(F.array_join(tags, ", "), F.lit("")), F.lit("\n\nContent:\n"), F.trim(content),
     )
 
 

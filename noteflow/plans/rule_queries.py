@@ -158,6 +158,24 @@ def _(t):
     return t("documents").select("doc_id", T.note_path(F.substring("text", 1, 90), day).alias("path"), F.sha2(note, 256).alias("note"))
 
 
+# The SQL of io09, fn13 and fn16 reads a prefix or leaves rows out, and so do those queries; these three take the whole columns.
+@query("io09_whole_note_path")
+def _(t):
+    return t("documents").select("doc_id", T.note_path(F.col("text"), F.lit("2024-02-01")).alias("path"))
+
+
+@query("fn13_every_embedding_input", "chunks")
+def _(t):
+    text = T.embedding_input(*(F.col(c) for c in ("title", "type", "project", "domain")), F.array("title", "domain"), F.col("tags"), F.col("content"))
+    return t("chunks").select("chunk_id", F.sha2(text, 256).alias("input"))
+
+
+@query("fn16_whole_query_terms")
+def _(t):
+    rows = t("conversations").select("conv_id", "turn", T.query_terms(F.concat("text", F.lit(" -"), "role")).alias("q"))
+    return rows.select("conv_id", "turn", "q.must", "q.must_not")
+
+
 @query("fn01_sha256", sql="SELECT doc_id, sha256(text) AS hash FROM documents")
 def _(t):
     return t("documents").select("doc_id", R.sha256_text(F.col("text")).alias("hash"))
@@ -177,7 +195,7 @@ def _(t):
 
 @query("fn07_slug", sql=r"SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 120)), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM documents")
 def _(t):
-    return t("documents").select("doc_id", T.slug(F.substring("text", 1, 120)).alias("slug"))
+    return t("documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("fn08_token_count", sql=r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]')) AS n FROM documents")

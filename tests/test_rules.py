@@ -54,3 +54,24 @@ def test_query_terms_and_rank(spark):
     assert d.must == ["foo-bar", "qux"] and d.must_not == ["baz"]
     r = spark.createDataFrame([(["a", "b", "a"], ["a", "b"])], "d array<string>, m array<string>").select(T.text_rank(F.col("d"), F.col("m")).alias("r")).first().r
     assert abs(r - (1.25 + 1) / 2) < 1e-12
+
+
+def test_whole_columns(spark, tmp_path):
+    """Words after any prefix count: slugs, note paths and query terms of whole texts."""
+    from noteflow.plans import QUERIES
+
+    late = "!" * 130 + "Late Title"
+    spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turn = " ".join(f"w{i}" for i in range(100)) + " -gone"
+    spark.createDataFrame([(1, 0, "user", turn)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    first = lambda name: QUERIES[name](spark, str(tmp_path)).first()
+    assert first("fn07_slug").slug == "late-title"
+    assert first("io09_whole_note_path").path == "Agent Notes/2024-02-01-late-title.md"
+    r = first("fn16_whole_query_terms")
+    assert r.must == [f"w{i}" for i in range(100)] and r.must_not == ["gone", "user"]
+
+
+def test_embedding_input_without_tags(spark):
+    d = spark.createDataFrame([("t", ["a"], None, " c "), ("t", ["a"], ["x", "y"], "c")], "t string, h array<string>, g array<string>, c string")
+    got = d.select(T.embedding_input(*[F.col("t")] * 4, F.col("h"), F.col("g"), F.col("c")).alias("i")).collect()
+    assert [r.i for r in got] == [f"Title: t\nType: t\nProject: t\nDomain: t\nHeading: a\nTags: {g}\n\nContent:\nc" for g in ("", "x, y")]
