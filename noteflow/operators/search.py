@@ -227,9 +227,8 @@ def reranked(rows: DataFrame, rerank, n: int = RERANK_CANDIDATES) -> DataFrame:
         out = pd.concat([head.iloc[order], rows.iloc[len(head) :]])
         return out.assign(rank=np.arange(1, len(out) + 1), reranked=done)
 
-    first = rows.where(F.col("fused_rank") <= CANDIDATES * 2)
-    schema = ", ".join(f"{c} {t}" for c, t in first.dtypes) + ", rank int, reranked boolean"
-    return first.groupBy("query_id").applyInPandas(run, schema)
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", rank int, reranked boolean"
+    return rows.groupBy("query_id").applyInPandas(run, schema)
 
 
 def outcome(queries: DataFrame, candidates: DataFrame, results: DataFrame) -> DataFrame:

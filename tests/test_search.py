@@ -81,6 +81,12 @@ def test_failing_rerank_keeps_the_order(spark, reply):
     assert [(r.chunk_id, r.reranked) for r in got] == [(5, False), (6, False)]
 
 
+def test_rerank_keeps_the_rows_behind_its_candidates(spark):
+    rows = spark.createDataFrame([(1, "q", 500 + i, f"t{i}", i) for i in range(1, 251)], "query_id long, query string, chunk_id long, content string, fused_rank int")
+    got = S.reranked(rows, lambda query, texts: "[2, 1]").orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == [502, 501, *range(503, 751)] and [r.rank for r in got] == list(range(1, 251))
+
+
 def test_block_leg_equals_join_leg(spark):
     import random
 
