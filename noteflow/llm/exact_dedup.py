@@ -11,7 +11,8 @@
 Texts are equal when identical after deleting space and U+0009..U+000D. The
 winner of a group has the most code points in its original text, then the
 smallest id (null ids last), then the first row of fully repeated ones.
-Null text counts as empty; an empty table gives an empty result.
+Null text counts as empty; an empty table gives an empty result. Columns other
+than the id and the text may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteflow.llm.store import written
+from noteflow.llm.store import free_names, written
 
 #: Most digests that are treated as heavy, and counters of the summary. A digest with more than
 #: 3.5 / COUNTERS of all rows is sure to be among the summary's items.
@@ -87,21 +88,21 @@ def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """The rows of ``docs`` that stay, all columns as they were.
 
     Copies of heavy digests are dropped on the map side; what is left is
-    shuffled once by digest. Working columns are named by a prefix that input
-    columns must not have.
+    shuffled once by digest. Working columns get names that ``docs`` does not have.
     """
+    own_digest, own_points, heavy_neg, heavy_id, rank = free_names(docs, "digest", "points", "heavy_neg", "heavy_id", "rank")
     prints = fingerprints(docs, id_col, text_col)
     winners = written(spark, heavy_winners(written(spark, prints, "fingerprints")), "heavy")
     winners = winners.select(
-        F.col("text_sha256").alias("__dd_digest"), F.col("best.neg").alias("__dd_neg"), F.col("best.doc_id").alias("__dd_id")
+        F.col("text_sha256").alias(own_digest), F.col("best.neg").alias(heavy_neg), F.col("best.doc_id").alias(heavy_id)
     )
-    rows = docs.withColumn("__dd_digest", text_digest(F.col(text_col))).withColumn(
-        "__dd_points", -F.coalesce(F.char_length(text_col), F.lit(0))
+    rows = docs.withColumn(own_digest, text_digest(F.col(text_col))).withColumn(
+        own_points, -F.coalesce(F.char_length(text_col), F.lit(0))
     )
-    rows = rows.join(F.broadcast(winners), "__dd_digest", "left")  # bounded by HEAVY
+    rows = rows.join(F.broadcast(winners), own_digest, "left")  # bounded by HEAVY
     rows = rows.where(
-        F.col("__dd_neg").isNull()
-        | ((F.col("__dd_points") == F.col("__dd_neg")) & F.col(id_col).eqNullSafe(F.col("__dd_id")))
+        F.col(heavy_neg).isNull()
+        | ((F.col(own_points) == F.col(heavy_neg)) & F.col(id_col).eqNullSafe(F.col(heavy_id)))
     )
-    order = Window.partitionBy("__dd_digest").orderBy("__dd_points", F.asc_nulls_last(id_col))
-    return rows.withColumn("__dd_rank", F.row_number().over(order)).where("__dd_rank = 1").select(*docs.columns)
+    order = Window.partitionBy(own_digest).orderBy(own_points, F.asc_nulls_last(id_col))
+    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)

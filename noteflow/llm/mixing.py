@@ -10,7 +10,8 @@ budget in key order, the last document in part.
 
 Null text has size 0; a null source is a source of its own, the last; rows of
 size 0 take 0 words; equal rows share a key and are cut in turn. An empty table
-gives an empty result. Sizes count runs of characters other than space and
+gives an empty result. Columns other than doc_id, source and text may have any
+names. Sizes count runs of characters other than space and
 U+0009..U+000D.
 """
 
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteflow.llm.store import written
+from noteflow.llm.store import free_names, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -109,11 +110,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options: object) ->
     as much as the one of them that takes most.
     """
     taken = mix(spark, docs, **options).where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__mx_id"), F.col("key").alias("__mx_key")).agg(
-        F.max("size").alias("__mx_size"), F.max("taken").alias("__mx_taken")
-    )
-    rows = docs.withColumn("__mx_key", F.xxhash64(F.lit(options.get("seed", 0)), "doc_id", "text"))
-    rows = rows.join(taken.hint("shuffle_hash"), (F.col("doc_id").eqNullSafe(F.col("__mx_id"))) & (rows["__mx_key"] == taken["__mx_key"]))
-    rows = rows.withColumn("__mx_left", F.explode(F.expr("transform(sequence(0L, (__mx_taken - 1) div __mx_size), i -> __mx_taken - i * __mx_size)")))
-    cut = F.when(F.col("__mx_left") < F.col("__mx_size"), first_words(F.col("text"), F.col("__mx_left"))).otherwise(F.col("text"))
-    return rows.select(*[cut.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    own_key, key, doc_id, size, words, left = free_names(docs, "own_key", "mix_key", "mix_id", "mix_size", "mix_taken", "mix_left")
+    taken = taken.groupBy(F.col("doc_id").alias(doc_id), F.col("key").alias(key)).agg(F.max("size").alias(size), F.max("taken").alias(words))
+    rows = docs.withColumn(own_key, F.xxhash64(F.lit(options.get("seed", 0)), "doc_id", "text"))
+    rows = rows.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(own_key) == F.col(key)))
+    rows = rows.withColumn(left, F.explode(F.expr(f"transform(sequence(0L, ({words} - 1) div {size}), i -> {words} - i * {size})")))
+    cut = F.when(F.col(left) < F.col(size), first_words(F.col("text"), F.col(left))).otherwise(F.col("text"))
+    return rows.withColumn("text", cut).select(*docs.columns)
