@@ -14,7 +14,8 @@ the response and the others revisit it (no payload stored). Null html is an
 empty payload; null ids count as smaller than all others; a group whose ids are
 all null, and rows that repeat the id of the response, are all responses. A
 null url leaves the target header out; line breaks in urls become ``%0A``. An
-empty table gives an archive without records.
+empty table gives an archive without records. Columns other than page_id, url
+and html are not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteflow.llm.store import lookup, written
+
 SEGMENT_BYTES = 4 << 20
 CHUNK_BYTES = 64 << 10
 REVISIT_BYTES = 1000
-#: Longest WARC or HTTP header block that a reader accepts.
-HEADER_BYTES = 1 << 20
+#: Most records of an archive file; the files of a task follow each other.
+RECORDS_PER_FILE = 8192
 DATE = "2024-01-01T00:00:00Z"
 CHUNK_SCHEMA = (
     "record_id string, record_type string, target_uri string, refers_to string, chunk_no long, "
@@ -47,13 +50,19 @@ def _record_id(page_id: str) -> str:
 
 
 def planned_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, n_bytes, digest, response_id (null: this page is a response)."""
+    """page_id, url, payload, n_bytes, digest, response_id (null: this page is a response).
+
+    Only slim rows are shuffled: the digests that pages share are looked up on
+    the map side, all of them where they are few, the frequent ones otherwise.
+    """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("n_bytes", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
     shared = rows.where(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest")
     shared = shared.agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = written(pages.sparkSession, shared, "shared_digests")
     other = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    return rows.join(shared, "digest", "left").withColumn("response_id", F.when(other, F.col("winner"))).drop("winner")
+    rows = lookup(pages.sparkSession, rows, shared, "digest", stable=True)
+    return rows.withColumn("response_id", F.when(other, F.col("winner"))).drop("winner")
 
 
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -64,11 +73,8 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
     rows = planned_records(pages).withColumn("http", F.expr(http))
     stored = F.when(F.col("response_id").isNull(), F.col("payload")).otherwise(F.lit(b""))
     rows = rows.withColumn("stored", stored).withColumn("n_stored", F.octet_length(stored))
-    pieces = f"""transform(sequence(0, greatest(0, (n_stored - 1) div {segment_bytes})),
-        i -> substring(stored, cast(i * {segment_bytes} + 1 AS int), {segment_bytes}))"""
-    rows = rows.select(
-        "page_id", "url", "digest", "response_id", "http", "n_stored", F.size(F.expr(pieces)).alias("n"), F.posexplode(F.expr(pieces)).alias("i", "piece")
-    )
+    rows = rows.withColumn("n", F.expr(f"greatest(0, (n_stored - 1) div {segment_bytes}) + 1")).withColumn("i", F.expr("explode(sequence(0L, n - 1))"))
+    rows = rows.withColumn("piece", F.expr(f"substring(stored, cast(i * {segment_bytes} + 1 AS int), {segment_bytes})"))
     head = f"""concat('WARC/1.1\\r\\nWARC-Type: ',
         CASE WHEN i > 0 THEN 'continuation' WHEN response_id IS NULL THEN 'response' ELSE 'revisit' END,
         '\\r\\nWARC-Record-ID: ', CASE WHEN i = 0 THEN {_record_id('page_id')} ELSE concat('<urn:segment:', coalesce(cast(page_id AS string), 'null'), ':', i + 1, '>') END,
@@ -84,7 +90,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
         '\\r\\nContent-Length: ', octet_length(piece) + CASE WHEN i = 0 THEN octet_length(http) ELSE 0 END,
         '\\r\\n\\r\\n', CASE WHEN i = 0 THEN http ELSE '' END)"""
     record = F.concat(F.encode(F.expr(head), "UTF-8"), F.col("piece")).cast("string")
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
 def open_uri(uri: str) -> BinaryIO:
@@ -98,11 +104,11 @@ def open_uri(uri: str) -> BinaryIO:
     return store.open_input_stream(path)
 
 
-def _headers(stream: BinaryIO, left: int) -> tuple[str, dict[str, str], int]:
-    """First line, fields by lower-case name, bytes read; at most ``left`` bytes."""
-    first, fields, used = "", {}, 0
+def _headers(stream: BinaryIO, left: float = float("inf"), first: str = "") -> tuple[str, dict[str, str], int]:
+    """First line, fields by lower-case name, bytes read; at most ``left`` bytes. Lines may have any length."""
+    fields, used = {}, 0
     while used < left:
-        line = stream.readline(min(left - used, HEADER_BYTES))
+        line = stream.readline() if left == float("inf") else stream.readline(int(left) - used)
         used += len(line)
         if line in (b"\r\n", b"\n", b""):
             break
@@ -118,15 +124,14 @@ def stream_chunks(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES, keep_data: b
     """Rows of ``CHUNK_SCHEMA`` of one archive; segments of a record may stand between other records."""
     unfinished: dict[str, list] = {}
     while True:
-        first = stream.readline(HEADER_BYTES)
+        first = stream.readline()
         if not first:
             break
         if first in (b"\r\n", b"\n"):
             continue
         if not first.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
-        # the version line is read; the fields follow
-        _, fields, _ = _headers(_Prefixed(first, stream), HEADER_BYTES)
+        _, fields, _ = _headers(stream, first="WARC")
         kind, left = fields["warc-type"], int(fields["content-length"])
         origin = fields.get("warc-segment-origin-id") or fields["warc-record-id"]
         if kind == "continuation":
@@ -160,17 +165,6 @@ def stream_chunks(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES, keep_data: b
         raise ValueError(f"segments of {next(iter(unfinished))} are missing")
 
 
-class _Prefixed:
-    """A stream with its first line put back."""
-
-    def __init__(self, line: bytes, stream: BinaryIO) -> None:
-        self.line, self.stream = line, stream
-
-    def readline(self, most: int) -> bytes:
-        line, self.line = self.line, b""
-        return line or self.stream.readline(most)
-
-
 def read_chunks(spark: SparkSession, folder: str, chunk_bytes: int = CHUNK_BYTES, keep_data: bool = True) -> DataFrame:
     """The chunked record table of all archives in ``folder``."""
 
