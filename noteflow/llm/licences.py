@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteflow.sources.splits import spread
+
 LEAST = 0.8
 
 # Notices and short licence texts, by SPDX name; full texts are in ``licence_texts``.
@@ -159,5 +161,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
                 rows.append((key, len(best), first, best.get(first), ",".join(f"{k}:{v:.4f}" for k, v in sorted(best.items()))))
             yield pd.DataFrame(rows, columns=["doc_id", "n_licences", "licence", "dice", "licences"]).astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_licences long, licence string, dice double, licences string")

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteflow.sources.splits import spread
+
 MARK = "▁"
 NONE = np.int32(1 << 30)
 #: Words that a worker remembers before it starts anew, and characters that it encodes at once.
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = encoder.encode(texts[a:b])
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64"), "ids": ids, "decoded": [encoder.decode(x) for x in ids]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
 
@@ -247,5 +249,5 @@ def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                     "decoded_sha256": [digest(encoder.decode(x)) for x in ids],
                 })
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

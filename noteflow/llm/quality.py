@@ -4,11 +4,17 @@ follow-the-regularised-leader (FTRL-proximal) updates.
 A text's features are its words, pairs of neighbouring words, the same two of
 the words' shapes (character classes, so that words never seen before count
 too), and marks of a word that repeats one of the words just before it; all are
-hashed into ``2 ** BITS`` weights. A score is one sparse dot product per text.
+hashed into ``2 ** BITS`` weights. Words of over ``PIECE`` characters (texts
+without spaces) count as their pieces of that length. A score is one sparse dot
+product per text.
 
 The model learns from a bounded sample (``labelled.TRAIN_ROWS``), document by
-document in one task. Null text counts as empty: its score is that of the bias
-alone, as is every score if no labelled row exists (0.5 then).
+document in one task, which streams the sample once per epoch and holds one
+batch of it. Null text counts as empty: its score is that of the bias alone, as
+is every score if no labelled row exists (0.5 then). Repeated rows are scored
+alike, each for itself; where labels repeat an id, each label is learned from;
+equal sample rows are interchangeable; an empty table gives an empty result.
+Columns other than the id and the text are not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteflow.llm.labelled import TRAIN_ROWS, WordTable, held_out, labelled_sample
+from noteflow.sources.splits import spread
 
 BITS = 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 1.0, 2
@@ -31,13 +38,14 @@ SCALE = 30.0
 THRESHOLD = 0.3
 MASK = np.uint64((1 << BITS) - 1)
 LOOK_BACK = 3
+PIECE = 64
 BATCH_CHARS = 4 << 20
 SHAPE = (re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"(.)\1+"))
 
 
 def shape(word: str) -> str:
     """Upper-case letters as X, lower-case as x, digits as 9, runs as one."""
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return SHAPE[2].sub(r"\1", out)
 
 
@@ -51,9 +59,23 @@ def _mixed(a: np.ndarray, b: np.ndarray | int, kind: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - BITS)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, long ones in pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
+def counted(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of a text and their values."""
+    at, count = np.unique(flat, return_counts=True)
+    return at.astype(np.int32), (count * (SCALE / max(len(flat), 1))).astype(np.float32)
+
+
 def features(texts: list[str], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all texts end to end, text after text, and how many each has."""
-    per_text = [t.split() for t in texts]
+    per_text = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in per_text], np.int64)
     every = [w for words in per_text for w in words]
     word, form = table.look_up(every).astype(np.uint64).T if every else np.zeros((2, 0), np.uint64)
@@ -102,16 +124,6 @@ class Learner:
         self.n[at] += g * g
 
 
-def learn(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Weights from (feature numbers, label) of each text, in the order given."""
-    learner, bias = Learner(), 1 << BITS
-    for _ in range(EPOCHS):
-        for flat, y in rows:
-            at, count = np.unique(flat, return_counts=True)
-            learner.update(np.r_[at, bias], np.r_[count * (SCALE / max(len(flat), 1)), 1.0], y)
-    return learner.weights(slice(None)).astype(np.float32)
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
     """The weights, learned in one task from a bounded sample of labelled documents."""
 
@@ -121,17 +133,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             texts = batch["text"].tolist()
             for a, b in batches_of(texts):
                 flat, sizes = features(texts[a:b], table)
-                parts = np.split(flat.astype(np.int32), np.cumsum(sizes)[:-1])
-                yield pd.DataFrame({"place": [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]], "y": batch["y"].iloc[a:b].to_numpy(), "found": parts})
+                found = [counted(part) for part in np.split(flat, np.cumsum(sizes)[:-1])]
+                place = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]]
+                yield pd.DataFrame({"place": place, "y": batch["y"].iloc[a:b].to_numpy(), "at": [x for x, _ in found], "x": [x for _, x in found]})
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(found, int(y)) for batch in batches for found, y in zip(batch["found"], batch["y"])]
-        w = learn(rows)
+        learner, bias = Learner(), 1 << BITS
+        for batch in batches:
+            for at, x, y in zip(batch["at"], batch["x"], batch["y"]):
+                learner.update(np.r_[at, bias], np.r_[x, 1.0], int(y))
+        w = learner.weights(slice(None)).astype(np.float32)
         at = np.nonzero(w)[0]
         yield pd.DataFrame({"at": at, "w": w[at]})
 
-    sample = labelled_sample(docs, labels, label, rows).mapInPandas(hashed, "place long, y int, found array<int>")
-    fit = sample.repartition(1).sortWithinPartitions("place", "y").mapInPandas(fitted, "at long, w float").toPandas()
+    sample = labelled_sample(spread(docs), labels, label, rows).mapInPandas(hashed, "place long, y int, at array<int>, x array<float>")
+    epochs = sample.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))  # each a pass in the same order
+    fit = epochs.repartition(1).sortWithinPartitions("epoch", "place", "y", "at").select("y", "at", "x")
+    fit = fit.mapInPandas(fitted, "at long, w float").toPandas()  # at most 2 ** BITS + 1 weights
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[fit["at"].to_numpy()] = fit["w"].to_numpy()
     return weights
@@ -155,7 +173,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, weights: np.ndarray) -
             for a, b in batches_of(texts):
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64"), "score": scores(texts[a:b], shared.value, table)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, score double")
 
 
