@@ -61,7 +61,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.features(telephony.stored_media(spark, _table(spark, sf_dir, "documents")))
+    media = telephony.stored_media(spark, _table(spark, sf_dir, "documents"))
+    return telephony.features(telephony.stored_pcm(spark, media))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,16 @@ A clip's bytes are kept verbatim in a RIFF/WAVE file as 8-bit mu-law, 8-bit
 A-law or 4-bit IMA ADPCM blocks, all three mono at 8 kHz, so storing loses
 nothing. Reading gives the bytes back and decodes them to 16-bit PCM: mu-law
 and A-law by 256-entry lookup tables, ADPCM step by step but across all blocks
-of a batch at once. ``resample`` brings PCM to another rate by linear
-interpolation in whole numbers.
+of a batch at once. ``resample`` brings PCM to another rate in whole numbers
+(means of two samples at half the rate, else linear interpolation), and the
+resampled PCM is stored as a table of its own (``stored_pcm``), from which the
+features are computed.
 
 Null payloads count as empty; every clip is padded with byte 32 to a positive
-multiple of ``BLOCK`` bytes, so empty clips have one block.
+multiple of ``BLOCK`` bytes, so empty clips have one block. Clips are coded one
+by one: long ones are split over blocks, repeated rows give repeated rows with
+equal values, an empty table gives empty tables. Columns other than the id and
+the payload are not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -25,8 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteflow.llm.store import written
+from noteflow.sources.splits import spread
 
-BLOCK, RATE, PCM_RATE = 192, 8000, 16000
+BLOCK, RATE = 192, 8000
+#: Rate of the stored PCM; half the clips' own keeps two bytes a sample as small as the coded clips are.
+PCM_RATE = 4000
 MULAW, ALAW, ADPCM = 7, 6, 17  # WAVE format tags
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "ima_adpcm"}
 #: Bytes of payload that are decoded at once.
@@ -125,9 +133,12 @@ def decode(clips: list[tuple[int, bytes]]) -> list[np.ndarray]:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation between the two nearest samples, rounded down."""
+    """At half the rate the mean of two samples, else linear interpolation between the two nearest, rounded down."""
     if rate == to or not len(pcm):
         return pcm
+    if rate == 2 * to:
+        even = pcm[: len(pcm) // 2 * 2].astype(np.int32)
+        return np.append((even[::2] + even[1::2]) >> 1, pcm[len(even) :]).astype(np.int16)
     if to == 2 * rate:
         out = np.empty(2 * len(pcm), dtype=np.int16)
         out[::2] = pcm
@@ -156,7 +167,7 @@ def to_media(clips: DataFrame, id_col: str, payload_col: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "media"]).astype({"doc_id": "Int64"})
 
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    return clips.select(F.col(id_col).cast("long").alias("doc_id"), payload.alias("payload")).mapInPandas(store, "doc_id long, n_bytes long, media binary")
+    return spread(clips).select(F.col(id_col).cast("long").alias("doc_id"), payload.alias("payload")).mapInPandas(store, "doc_id long, n_bytes long, media binary")
 
 
 def _decoded(batches: Iterator[pd.DataFrame], rate: int) -> Iterator[tuple[list, list[bytes], list[tuple[int, bytes]], list[np.ndarray]]]:
@@ -176,43 +187,49 @@ def _decoded(batches: Iterator[pd.DataFrame], rate: int) -> Iterator[tuple[list,
             yield rows, media, clips, [resample(p, c[2], rate) for p, c in zip(decode([c[:2] for c in clips]), clips)]
 
 
+PCM_SCHEMA = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, rate int, pcm binary"
+)
+
+
 def to_pcm(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
-    """doc_id, rate, pcm: the media decoded and resampled, as little-endian 16-bit samples."""
+    """Checksums of the stored and of the recovered bytes, and the clip decoded and resampled, as little-endian 16-bit samples."""
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, _, _, sound in _decoded(batches, rate):
-            out = [(key, rate, pcm.astype("<i2").tobytes()) for (key, _), pcm in zip(rows, sound)]
-            yield pd.DataFrame(out, columns=["doc_id", "rate", "pcm"]).astype({"doc_id": "Int64"})
+        names = [x.split()[0] for x in PCM_SCHEMA.split(", ")]
+        for rows, files, clips, sound in _decoded(batches, rate):
+            out = [
+                (key, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), NAMES[tag], rate, pcm.astype("<i2").tobytes())
+                for (key, n), f, (tag, p, _), pcm in zip(rows, files, clips, sound)
+            ]
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return media.mapInPandas(store, "doc_id long, rate int, pcm binary")
+    return media.mapInPandas(store, PCM_SCHEMA)
 
 
-def feature(tag: int, pcm: np.ndarray, rate: int) -> str:
-    """Codec, rate, samples, loudness (root mean square), peak, sign changes and checksum of the PCM."""
-    wide = pcm.astype(np.int64)
+def feature(codec: str, rate: int, data: bytes) -> str:
+    """Codec, rate, samples, loudness (root mean square), peak, sign changes and checksum of stored PCM."""
+    wide = np.frombuffer(data, "<i2").astype(np.int64)
     loud = math.isqrt(int(np.dot(wide, wide)) // len(wide))
-    turns = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"{NAMES[tag]};rate={rate};samples={len(pcm)};rms={loud};peak={int(np.abs(wide).max())};turns={turns};pcm={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
-
+    turns = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
+    return f"{codec};rate={rate};samples={len(wide)};rms={loud};peak={int(np.abs(wide).max())};turns={turns};pcm={zlib.crc32(data):08x}"
 
-FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+def features(pcm: DataFrame) -> DataFrame:
+    """The checksums of a table of stored PCM, and a feature string of each clip."""
 
-def features(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
-    """Checksums of the stored and of the recovered bytes, and a feature string of the resampled PCM."""
+    @F.pandas_udf("string")
+    def described(codec: pd.Series, rate: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([feature(*x) for x in zip(codec, rate, data)], dtype=object)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in FEATURE_SCHEMA.split(", ")]
-        for rows, files, clips, sound in _decoded(batches, rate):
-            out = [
-                (key, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(tag, pcm, rate))
-                for (key, n), f, (tag, p, _), pcm in zip(rows, files, clips, sound)
-            ]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    return media.mapInPandas(measure, FEATURE_SCHEMA)
+    return pcm.withColumn("feature", described("codec", "rate", "pcm")).drop("codec", "rate", "pcm")
 
 
 def stored_media(spark: SparkSession, clips: DataFrame, id_col: str = "doc_id", payload_col: str = "text") -> DataFrame:
     """Write the media table to the shared folder and read it back."""
     return written(spark, to_media(clips, id_col, payload_col), "media", "zstd")
+
+
+def stored_pcm(spark: SparkSession, media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """Write the table of resampled PCM to the shared folder and read it back."""
+    return written(spark, to_pcm(media, rate), "pcm", "zstd")
