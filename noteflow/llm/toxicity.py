@@ -2,16 +2,24 @@
 
 Words are mapped to classes by a lexical transducer: insults (stems and words
 learned from labelled rows, each with its log odds as weight), threats, targets,
-negations, reporting words, all else. Four small transducers over the classes
-are composed into one: negation and reported speech rewrite the insults and
-threats that they govern, target binds those near a person, and the last gives
-each match its kind. Clauses run through the composed machine; a text's score
-is a logistic function of the weights matched, by kind of match. Words count
-only inside a match of their clause, never alone.
+negations, reporting words, all else. Small transducers over the classes are
+composed into one: negation and reported speech rewrite the insults and threats
+that they govern, target binds those near a person, context binds other insults
+to what their clause says besides, and the last gives each match its kind.
+Clauses run through the composed machine. A clause counts once for each kind,
+with its strongest match; a text's score is a logistic function of the sums over
+its clauses. A word counts only as a part of a match: an insult that is its
+whole clause, or a threat without a target, a negation or a report, matches
+nothing.
 
 The lexicon and the weights of the kinds are learned from a bounded sample
-(``labelled.TRAIN_ROWS``). Null and empty texts match nothing and have the
-score of the bias; without labelled rows of both kinds the lexicon is empty.
+(``labelled.TRAIN_ROWS``); it holds words and beginnings of words of MIN_STEM to
+MAX_STEM letters. Null and empty texts match nothing and have the score of the
+bias; without labelled rows of both kinds the lexicon is empty. Repeated rows
+are scored alike, each for itself; where labels repeat an id, each label counts;
+equally good stems are taken in alphabetical order; an empty table gives an
+empty result. Columns other than the id and the text are not read, and may have
+any names.
 """
 
 from __future__ import annotations
@@ -29,12 +37,13 @@ from pyspark.sql import functions as F
 
 from noteflow.llm.labelled import TRAIN_ROWS, held_out, labelled_sample
 from noteflow.llm.store import written
+from noteflow.sources.splits import spread
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 NOT_INSULT, NOT_THREAT, SAID_INSULT, SAID_THREAT, AT_INSULT, AT_THREAT = range(7, 13)
 SYMBOLS = 13
 #: Kinds of matches, as the last transducer gives them, and what each is worth before anything is learned.
-KINDS = {INSULT: 1.0, THREAT: 0.5, NOT_INSULT: 0.4, NOT_THREAT: 0.1, SAID_INSULT: 0.4, SAID_THREAT: 0.1, AT_INSULT: 1.5, AT_THREAT: 2.0}
+KINDS = {INSULT: 1.0, NOT_INSULT: 0.4, NOT_THREAT: 0.1, SAID_INSULT: 0.4, SAID_THREAT: 0.1, AT_INSULT: 1.5, AT_THREAT: 2.0}
 KIND_ORDER = tuple(KINDS)
 #: Weight of a threat verb, before it is scaled by its kind.
 THREAT_WEIGHT = 3.0
@@ -56,7 +65,8 @@ CACHE_WORDS = 200_000
 #: Stems that a task counts before it passes the counts on.
 COUNTED_STEMS = 500_000
 
-CLAUSE_END = re.compile(r"[.!?;:\n]")
+#: Shouts do not end a clause: they are read with what is around them.
+CLAUSE_END = re.compile(r"[.?;:\n]")
 LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 
 
@@ -107,9 +117,16 @@ def reported() -> Transducer:
 
 
 def targeted() -> Transducer:
-    """Within REACH other words after a target, an insult or threat is aimed at it."""
-    rest = [max(0, k - 1) for k in range(REACH + 2)]
+    """Within REACH other words after a target, an insult or threat is aimed at it; so is a threat with a target as near behind it.
+
+    States: words that a target's reach has left, then those that a threat's has left; such a threat is given out where its target stands.
+    """
+    rest = [max(0, k - 1) for k in range(REACH + 2)] + [k + REACH + 1 if k else 0 for k in range(REACH + 1)]
     arcs = {}
+    for k in range(REACH + 1):
+        at = REACH + 2 + k
+        arcs[at, TARGET], arcs[at, THREAT], arcs[at, END] = (REACH + 1, AT_THREAT), (2 * REACH + 2, THREAT), (0, END)
+    arcs[0, THREAT] = (2 * REACH + 2, THREAT)
     for k in range(REACH + 2):
         arcs[k, TARGET] = (REACH + 1, TARGET)
         arcs[k, END] = (0, END)
@@ -118,13 +135,19 @@ def targeted() -> Transducer:
     return Transducer(rest, arcs)
 
 
+def in_context() -> Transducer:
+    """Insults with another word of their clause before them stay; one that begins its clause is given out at the next word; one that is all of it is not."""
+    arcs = {(0, INSULT): (2, OTHER), (0, END): (0, END), (1, END): (0, END), (2, END): (0, END)}
+    return Transducer([1, 1, 1], arcs | {(2, s): (1, INSULT) for s in (OTHER, THREAT, TARGET, NEGATION, REPORT)})
+
+
 def matches() -> Transducer:
     """Matched symbols stay, all others become OTHER."""
     return Transducer([0], {(0, s): (0, OTHER) for s in range(SYMBOLS) if s not in KINDS})
 
 
 def grammar() -> Transducer:
-    return negation().then(reported()).then(targeted()).then(matches())
+    return negation().then(reported()).then(targeted()).then(in_context()).then(matches())
 
 
 class Lexicon:
@@ -157,7 +180,7 @@ def stems_of(word: str) -> list[str]:
 
 
 def clause_weights(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
-    """Sum of the weights of a text's matches, by kind."""
+    """Sum over a text's clauses of the strongest match of each kind."""
     total = np.zeros(len(KIND_ORDER))
     small = text.lower()
     places = [end for end, _ in lexicon.places.iter(small)]
@@ -173,9 +196,16 @@ def clause_weights(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarr
         begin, done = cuts[i - 1], cuts[min(i, len(cuts) - 1)]
         clause = [lexicon.classify(w) for w in LETTERS.findall(small, begin, done)]
         if any(kind == INSULT or kind == THREAT for kind, _ in clause):
-            for symbol, (_, weight) in zip(machine.run([k for k, _ in clause]), clause):
+            best = np.zeros(len(KIND_ORDER))
+            for symbol, (kind, weight) in zip(machine.run([k for k, _ in clause]), clause):
                 if symbol in KINDS:
-                    total[KIND_ORDER.index(symbol)] += weight
+                    if symbol == INSULT != kind:  # given out behind its word, which began the clause
+                        weight = clause[0][1]
+                    elif symbol == AT_THREAT and kind == TARGET:
+                        weight = THREAT_WEIGHT
+                    at = KIND_ORDER.index(symbol)
+                    best[at] = max(best[at], weight)
+            total += best
     return total
 
 
@@ -186,12 +216,16 @@ def learned_stems(sample: DataFrame) -> dict[str, float]:
     the binomial tail bound says that none of all the stems would look so by
     chance. Of stems that begin with each other the shortest is taken, made
     longer as long as it loses hardly any text. Words of under MIN_STEM letters
-    are known as whole words only.
+    are known as whole words only. Copies of a text count once: they are no
+    further witnesses.
     """
+    sample = sample.dropDuplicates(["text", "y"])
 
-    def counts_of(toxic: Counter, clean: Counter) -> pd.DataFrame:
+    def counts_of(toxic: Counter, clean: Counter) -> Iterator[pd.DataFrame]:
         stems = list(dict.fromkeys([*toxic, *clean]))
-        return pd.DataFrame({"stem": stems, "t": [toxic[x] for x in stems], "c": [clean[x] for x in stems]})
+        for i in range(0, len(stems), 50_000):
+            some = stems[i : i + 50_000]
+            yield pd.DataFrame({"stem": some, "t": [toxic[x] for x in some], "c": [clean[x] for x in some]})
 
     def stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, clean = Counter(), Counter()
@@ -199,9 +233,9 @@ def learned_stems(sample: DataFrame) -> dict[str, float]:
             for text, y in zip(batch["text"], batch["y"]):
                 (toxic if y == 1 else clean).update({s for w in set(LETTERS.findall(text.lower())) for s in stems_of(w)})
                 if len(toxic) + len(clean) > COUNTED_STEMS:
-                    yield counts_of(toxic, clean)
+                    yield from counts_of(toxic, clean)
                     toxic, clean = Counter(), Counter()
-        yield counts_of(toxic, clean)
+        yield from counts_of(toxic, clean)
 
     size = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     toxic, clean = int(size[0]), int(size[1])
@@ -278,7 +312,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, id_col:
             total = np.array([clause_weights(t, lexicon, machine) @ kinds for t in batch["text"]]) + bias
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, score double")
 
 
@@ -300,4 +334,4 @@ def clean_documents(spark: SparkSession, docs: DataFrame, model: Model, threshol
         for texts in batches:
             yield pd.Series([bool(clause_weights(t, lexicon, machine) @ kinds + bias >= least) for t in texts], dtype=bool)
 
-    return docs.where(~toxic(F.coalesce("text", F.lit(""))))
+    return spread(docs).where(~toxic(F.coalesce("text", F.lit(""))))
