@@ -8,17 +8,20 @@ Every run splits the classes on sampled shared tokens: a set of n shingles
 follows each token whose hash for the node is below 1 / (SIMILARITY * n), so
 similar sets expect to share at least one branch. Buckets of at most ``SMALL``
 classes are compared by brute force; larger ones are split again, to ``DEPTH``
-levels. In what is still larger then (sets that are alike throughout) every set
-is first measured against the bucket's leader: Jaccard distance is a metric, so
-sets within half the allowed distance of the leader are all linked and need no
-comparison. The others are compared with the bucket in blocks of a bounded
-number of sets, and each block gives a spanning forest and counts, not pairs. Runs are independent; their number follows from
-the recall that a pair at the threshold must have at the deepest level.
+levels. What is still larger then is mostly alike, and its common tokens tell
+nothing: from there on sets are described by what they do not share with the
+centre of their bucket (``measured``). Links of sets near a centre follow from
+a few numbers, which are counted, not listed (``group_links``); all others are
+split on, by sampled tokens of what sets them apart, until no large bucket is
+left. Runs are independent; their number follows from the recall that a pair at
+the threshold must have at level ``DEPTH``. No step forms the pairs of a group.
 
 Every link is verified on the sets themselves, as 32-bit shingle hashes (two
 sets of n shingles are expected to share n * n / 2**32 by accident). Null text
 counts as empty; texts without words form one class without links. Rows repeat
-their class if they are repeated; an empty table gives an empty result.
+their class if they are repeated; rows with a null id are told apart by their
+text only; an empty table gives an empty result. Other columns of ``docs`` are
+not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -34,12 +37,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteflow.llm.quality import batches_of
-from noteflow.llm.store import written
+from noteflow.llm.store import free_names, lookup, written
+from noteflow.sources.splits import spread
 
 SHINGLE_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
-DEPTH, SMALL, BLOCK = 3, 8, 192
-#: Most keys that are treated as frequent, and counters of the summary that finds them.
-HOT_KEYS, COUNTERS = 1024, 8192
+DEPTH, SMALL = 3, 8
+#: Largest bucket below level DEPTH that is compared by brute force.
+LATER = 64
+#: Similarity to a bucket's smallest set from which on a set has a say in the centre.
+LIKE = 0.25
+#: Sets of a group per copy of its centre; nodes per block; members of a group that share a rare token.
+PART, NODES, RARE = 1024, 512, 32
 COLUMNS = 8192
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -126,7 +134,7 @@ def prints(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
                 yield pd.DataFrame(out)
 
     levels = "".join(f", p{d + 1} array<long>, k{d + 1} array<long>" for d in range(DEPTH))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(text_col, F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, text_key long, cls string, n long" + levels)
 
 
@@ -136,106 +144,192 @@ def _alike_sizes(members: str) -> str:
 
 
 def sized(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Rows (cls, n, key) of keys that two classes or more have, with the key's size.
+    """Rows of the keys that two rows or more have, with the key's size."""
+    sizes = written(spark, rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    return written(spark, lookup(spark, rows, sizes, "key", "inner"), name)
 
-    Frequent keys are named by a Misra-Gries summary and settled on the map side
-    against a broadcast of at most HOT_KEYS rows; no other key is frequent
-    enough to weigh on the task that counts it.
-    """
-    top = rows.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {COUNTERS})").alias("top")).select(F.explode("top.item").alias("key"))
-    top = written(spark, top, "top")
-    hot = rows.join(F.broadcast(top), "key")
-    sizes = written(spark, hot.groupBy("key").agg(F.count("*").alias("size")), "sizes")
-    hot = hot.join(F.broadcast(sizes), "key")
-    rest = rows.join(F.broadcast(top), "key", "left_anti").withColumn("size", F.count("*").over(Window.partitionBy("key")))
-    return written(spark, hot.unionByName(rest).where("size > 1"), name)
+
+def member_lists(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """Members (an array of cls) of each small bucket of ``sized`` rows that could hold a link."""
+    members = rows.where(F.col("size") <= most).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("members"))
+    return members.select(F.expr(f"transform({_alike_sizes('members')}, x -> x.cls)").alias("members")).where(F.size("members") > 1)
 
 
-def buckets(spark: SparkSession, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small buckets (unit, cls), each member list once, and what is large at the deepest level (key, size, cls)."""
+def buckets(spark: SparkSession, classes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Member lists of the small buckets, and what is large at level DEPTH (key, cls, n)."""
     rows = classes.select("cls", "n", F.explode("k1").alias("key"))
     lists, large = [], None
     for level in range(1, DEPTH + 1):
         rows = sized(spark, rows, f"level{level}")
-        members = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("members"))
-        lists.append(members.select(F.expr(f"transform({_alike_sizes('members')}, x -> x.cls)").alias("members")))
+        lists.append(member_lists(rows))
         large = rows.where(F.col("size") > SMALL)
         if level < DEPTH:
             keys = large.select(F.col("key").alias("parent")).distinct()
             below = classes.select("cls", "n", F.explode(F.arrays_zip(f"p{level + 1}", f"k{level + 1}")).alias("x"))
             below = below.select("cls", "n", F.col(f"x.p{level + 1}").alias("parent"), F.col(f"x.k{level + 1}").alias("key"))
-            rows = written(spark, below.join(keys, "parent", "left_semi").select("cls", "n", "key"), f"below{level}")
-    small = lists[0]
-    for more in lists[1:]:
-        small = small.unionByName(more)
-    small = small.where(F.size("members") > 1).distinct()
-    small = small.select(F.concat(F.lit("s"), F.sha2(F.array_join("members", ""), 256)).alias("unit"), F.explode("members").alias("cls"))
-    return small, large.select("key", "size", "cls")
-
+            rows = below.join(keys, "parent", "left_semi").select("cls", "n", "key")
+    return lists, large.select("key", "cls", "n")
 
-def dense_cores(spark: SparkSession, large: DataFrame, sets: DataFrame) -> DataFrame:
-    """cls, shared (all its large buckets), first, leader, core: is the class near enough to the leader of its first bucket?
 
-    Two members of a core are at most the allowed distance apart, by the
-    triangle inequality. A core is named by its bucket; its members share it.
-    """
-    members = large.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("shared")).withColumn("first", F.col("shared")[0])
-    rows = written(spark, members.join(sets.where("dense").select("cls", "tokens"), "cls"), "dense")
-    heads = rows.groupBy("first").agg(F.min(F.struct("cls", "tokens")).alias("head"))
-    heads = written(spark, heads.select("first", F.col("head.cls").alias("leader"), F.col("head.tokens").alias("head")), "heads")
-    rows = rows.join(heads, "first")
-    both = F.size(F.array_intersect("tokens", "head"))
-    near = both >= (1 + SIMILARITY) / 2 * (F.size("tokens") + F.size("head") - both)
-    return written(spark, rows.select("cls", "shared", "first", "leader", near.alias("core")).dropDuplicates(["cls"]), "cores")
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def units_of_large(spark: SparkSession, large: DataFrame, cores: DataFrame) -> DataFrame:
-    """Blocks of large buckets, two by two: unit, key, own, inside, cls, shared, core (bucket of its core or null).
+def measured(spark: SparkSession, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Large buckets (key, cls, n) measured against a centre: cls, grp, u, n_c, near, around, diff, children.
 
-    Buckets of one dense group repeat each other. Members with the same first
-    bucket have met there; in their first bucket itself, those of its core are
-    settled. Of each bucket the largest such party is compared with the other
-    members only, not within itself.
+    A bucket's group is named by its smallest set; the centre of a group holds
+    the tokens that most of the sets like that one have. ``diff`` is what a set
+    and the centre do not share, u = 5 * (tokens it lacks) + 4 * (tokens it has
+    besides): two sets are linked exactly if u + u' - 9 * |diff & diff'| <= n_c.
+    So a set is linked to the centre if u <= n_c (``near``), and what is linked
+    to such a set is ``around`` (similarity 0.6 to the centre, by the triangle
+    inequality). Sets that are not near go on, split on sampled tokens of
+    ``diff``, two levels at once: of two that are linked, each shares a ninth of
+    its u at least.
     """
-    rows = large.join(cores, "cls").withColumn("core", F.when(F.col("core"), F.col("first")))
-    rows = rows.withColumn("party", F.when(F.col("first") < F.col("key"), F.col("first")).otherwise(F.col("core")))
-    usual = rows.where("party IS NOT NULL").groupBy("key").agg(F.mode("party", deterministic=True).alias("usual"))
-    rows = rows.join(written(spark, usual, "usual"), "key", "left").withColumn("met", F.coalesce(F.col("party") == F.col("usual"), F.lit(False)))
-    new = rows.groupBy("key").agg(F.count_if(~F.col("met")).alias("n_new"), F.count_if(F.col("met")).alias("n_met"))
-    rows = rows.join(written(spark, new.where("n_new > 0"), "new"), "key")
-    # blocks 0 .. new_blocks - 1 hold the members that are new here, the blocks after them the others
-    new_blocks, met_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_new", "n_met"))
-    rows = rows.withColumn("new_blocks", new_blocks).withColumn("met_blocks", met_blocks)
-    part = F.pmod(F.xxhash64("cls"), F.when(F.col("met"), F.col("met_blocks")).otherwise(F.col("new_blocks"))).cast("int")
-    rows = rows.withColumn("own", F.when(F.col("met"), F.col("new_blocks") + part).otherwise(part))
-    others = F.when(F.col("met"), F.col("new_blocks")).otherwise(F.col("new_blocks") + F.col("met_blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-    unit = F.concat_ws(":", F.lit("b"), "key", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(unit.alias("unit"), "key", "own", (F.col("own") == F.col("other")).alias("inside"), "cls", "shared", "core")
-
-
-def _links(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the pairs at or above the threshold."""
-    sizes = np.array([len(s) for s in sets], np.float32)
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        hit = both >= SIMILARITY * (sizes[0] + sizes[1] - both)
-        return np.array([[False, hit], [hit, False]])
+    heads = rows.groupBy("key").agg(F.min(F.struct("n", "cls"))["cls"].alias("grp"), F.count("*").alias("size"))
+    parts = F.ceil(F.sum("size").over(Window.partitionBy("grp")) / PART)
+    heads = written(spark, heads.select("key", "grp", parts.alias("parts")), "heads")
+    pairs = lookup(spark, rows, heads, "key").groupBy("cls", "grp", "parts").agg(F.collect_set("key").alias("keys"))
+    pairs = written(spark, pairs.withColumn("part", F.pmod(F.xxhash64("cls"), "parts")).drop("parts"), "in_groups")
+    parts = heads.select("grp", "parts").distinct()
+    # a group's wide row is copied once per PART of its sets, so that no task has to hold a group
+    copies = lambda wide: wide.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    first = sets.select(F.col("cls").alias("grp"), F.col("tokens").alias("head"))
+    wide = pairs.join(sets.select("cls", "tokens"), "cls").join(copies(first), ["grp", "part"])
+    both = F.size(F.array_intersect("tokens", "head"))
+    alike = both >= LIKE * (F.size("tokens") + F.size("head") - both)
+    gone, more = F.array_except("head", "tokens"), F.array_except("tokens", "head")
+    wide = wide.select("cls", "grp", "part", "keys", "tokens", alike.alias("alike"), F.when(alike, gone).alias("gone"), F.when(alike, more).alias("more"))
+    wide = written(spark, wide, "against_heads")
+    sizes = written(spark, wide.where("alike").groupBy("grp").agg(F.count("*").alias("size")), "alike")
+    changes = wide.where("alike").select("grp", F.explode(F.concat(F.transform("gone", lambda t: F.struct(t.alias("token"), F.lit(False).alias("new"))), F.transform("more", lambda t: F.struct(t.alias("token"), F.lit(True).alias("new"))))).alias("x"))
+    changes = changes.groupBy("grp", "x.token", "x.new").agg(F.count("*").alias("times")).where("times > 1")
+    changes = lookup(spark, changes, sizes, "grp").where("2 * times > size")
+    changes = changes.groupBy("grp").agg(F.collect_list(F.when(F.col("new"), F.col("token"))).alias("add"), F.collect_list(F.when(~F.col("new"), F.col("token"))).alias("drop"))
+    empty = F.array().cast("array<int>")
+    centres = parts.select("grp").join(first, "grp").join(changes, "grp", "left")
+    centres = centres.select("grp", F.concat(F.array_except("head", F.coalesce("drop", empty)), F.coalesce("add", empty)).alias("centre"))
+    centres = written(spark, centres, "centres")
+    found = wide.select("cls", "grp", "part", "keys", "tokens").join(copies(centres), ["grp", "part"])
+    found = found.withColumn("gone", F.array_except("centre", "tokens")).withColumn("more", F.array_except("tokens", "centre"))
+    found = found.withColumn("n_c", F.size("centre")).withColumn("u", 5 * F.size("gone") + 4 * F.size("more")).withColumn("diff", F.concat("gone", "more"))
+    around = 5 * (F.col("n_c") - F.size("gone")) >= 3 * (F.col("n_c") + F.size("more"))
+    step = "transform(filter(diff, t -> shiftrightunsigned(xxhash64({0}, t), 1) / 9223372036854775808D < 9 / u), t -> xxhash64(t, {0}))"
+    children = F.expr(f"flatten(transform(flatten(transform(keys, k -> {step.format('k')})), k2 -> {step.format('k2')}))")  # two levels
+    far = F.col("u") > F.col("n_c")
+    found = found.select("cls", "grp", "u", "n_c", (~far).alias("near"), around.alias("around"), F.when(around, F.col("diff")).alias("diff"), F.when(far, children).alias("children"))
+    return written(spark, found, "measured")
+
+
+def settled(spark: SparkSession, large: DataFrame, sets: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Split large buckets (key, cls, n) until none is left: lists of members of small ones; members of groups (cls, gid, u, n_c, near, diff)."""
+    lists, groups, level = [], None, DEPTH
+    while large.limit(1).count():
+        level += 2
+        found = measured(spark, large, sets)
+        group = found.where("around").select("cls", F.xxhash64(F.lit(level), "grp").alias("gid"), "u", "n_c", "near", "diff")
+        groups = group if groups is None else groups.unionByName(group)
+        below = found.where("NOT near").select("cls", F.explode("children").alias("key")).distinct().join(sets.select("cls", F.size("tokens").alias("n")), "cls")
+        rows = sized(spark, below, f"level{level}")
+        lists.append(member_lists(rows, LATER))
+        large = rows.where(F.col("size") > LATER).select("key", "cls", "n")
+    return lists, groups
+
+
+def group_members(spark: SparkSession, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with what decides their links, and tokens of ``diff`` that few of a group have.
+
+    Members: gid, cls, u, n_c, near, hot (tokens of ``diff`` that more than RARE
+    of the group have), seen, seen_near (groups before this one), node (its
+    hash: members of one node have the same links to all that share no rare
+    token with them). Rare tokens: gid, key, cls, u, n_c, near.
+    """
+    # a set shares at most u / 4 tokens of its diff, so what is linked to a near set has u <= n_c + 9 / 4 * u' - u'
+    near = F.when(F.col("near"), F.col("u"))
+    reach = written(spark, groups.groupBy("gid").agg(F.count("*").alias("size"), F.max(near).alias("most")).where("most IS NOT NULL AND size > 1").drop("size"), "reach")
+    rows = lookup(spark, groups, reach, "gid", "inner").where("u <= n_c + 1.25 * most").drop("most")
+    tokens = rows.select("gid", "cls", "u", "n_c", "near", F.explode("diff").alias("token")).withColumn("key", F.xxhash64("gid", "token")).drop("token")
+    shared = tokens.groupBy("key").agg(F.count("*").alias("size"), F.bool_or("near").alias("met")).where("met AND size > 1").drop("met")
+    tokens = written(spark, lookup(spark, tokens, written(spark, shared, "shared_sizes"), "key", "inner"), "shared_diffs")
+    hot = tokens.where(F.col("size") > RARE).groupBy("gid", "cls").agg(F.sort_array(F.collect_set("key")).alias("hot"))
+    of_class = rows.groupBy("cls").agg(F.collect_set("gid").alias("all"), F.collect_set(F.when(F.col("near"), F.col("gid"))).alias("all_near"))
+    members = rows.drop("diff").join(hot, ["gid", "cls"], "left").join(of_class, "cls")
+    before = lambda c: F.sort_array(F.filter(c, lambda g: g < F.col("gid")))
+    members = members.select("gid", "cls", "u", "n_c", "near", F.coalesce("hot", F.array().cast("array<long>")).alias("hot"), before("all").alias("seen"), before("all_near").alias("seen_near"), "all", "all_near")
+    members = members.withColumn("node", F.xxhash64("gid", "u", "hot", "seen", "seen_near"))
+    return written(spark, members, "members"), tokens.where(F.col("size") <= RARE)
+
+
+def _compare_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of the nodes of a block of a group: (node, links, partner) of each, and edges (a, b) of a spanning forest."""
+    u, size, near, own = (rows[c].to_numpy() for c in ("u", "size", "near", "own"))
+    hit = u[:, None] + u[None, :] - 9 * shared_counts(rows["hot"].tolist()) <= rows["n_c"].iloc[0]
+    hit &= near[:, None] | near[None, :]
+    seen, seen_near = rows["seen"].tolist(), rows["seen_near"].tolist()
+    if any(map(len, seen_near)):
+        both = shared_counts(seen_near + seen)[: len(rows), len(rows) :]
+        hit &= ~((both > 0) | (both.T > 0))
+    if rows["low"].iloc[0] != rows["high"].iloc[0]:
+        hit &= own[:, None] != own[None, :]
+    hit &= ~(np.eye(len(rows), dtype=bool) & (size < 2))
+    reps = rows["rep"].to_numpy()
+    any_hit = hit.any(axis=1)
+    out = pd.DataFrame({"node": rows["node"], "links": hit @ size - hit.diagonal(), "partner": reps[hit.argmax(axis=1)]})[any_hit]
+    edges = pd.DataFrame([(reps[i], reps[j]) for i, j in _forest(hit)], columns=["a", "b"])
+    return pd.concat([out.assign(a=None, b=None), edges.assign(node=None, links=None, partner=None)], ignore_index=True).astype({"node": "Int64", "links": "Int64"})
+
+
+def group_links(spark: SparkSession, members: DataFrame, rare: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links inside groups: counts (cls, links), and edges (a, b) with the same components as all the links."""
+    nodes = members.groupBy("node", "gid", "u", "n_c", "near", "hot", "seen", "seen_near").agg(F.count("*").alias("size"), F.min("cls").alias("rep"))
+    nodes = written(spark, nodes, "nodes")
+    blocks = written(spark, nodes.groupBy("gid").agg(F.ceil(F.count("*") / NODES).alias("blocks")), "blocks")
+    units = lookup(spark, nodes, blocks, "gid").withColumn("own", F.pmod("node", F.col("blocks")))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
+    found = units.groupBy("gid", "low", "high").applyInPandas(_compare_nodes, "node long, links long, partner string, a string, b string")
+    found = written(spark, found, "node_links")
+    of_node = written(spark, found.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"), F.min("partner").alias("partner")), "of_node")
+    linked = written(spark, lookup(spark, members.select("node", "cls"), of_node, "node").where("links > 0"), "linked")
+    edges = found.where("a IS NOT NULL").select("a", "b").unionByName(linked.where("cls != partner").select(F.col("cls").alias("a"), F.col("partner").alias("b")))
+
+    # pairs that only rare tokens link: RARE members at most share each of them
+    lists = rare.groupBy("gid", "key").agg(F.first("n_c").alias("n_c"), F.sort_array(F.collect_list(F.struct("cls", "u", "near"))).alias("members"))
+    ahead = lists.select("gid", "n_c", "members", F.posexplode("members").alias("i", "x"))
+    ahead = ahead.select("gid", "n_c", "x", F.explode(F.expr("filter(slice(members, i + 2, size(members)), y -> (x.near OR y.near) AND x.u + y.u > n_c)")).alias("y"))
+    pairs = ahead.groupBy("gid", F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("times"))
+    side = lambda s: members.select("gid", F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("u", "n_c", "hot", "seen", "seen_near")])
+    pairs = pairs.join(side("a"), ["gid", "a"]).join(side("b").drop("n_c_b"), ["gid", "b"])
+    apart = F.expr("u_a + u_b - 9 * size(array_intersect(hot_a, hot_b))")
+    met = F.arrays_overlap("seen_a", "seen_near_b") | F.arrays_overlap("seen_near_a", "seen_b")
+    pairs = pairs.where((apart > F.col("n_c_a")) & (apart - 9 * F.col("times") <= F.col("n_c_a")) & ~met)
+    pairs = written(spark, pairs.select("a", "b"), "rare_links")
+    counts = linked.select("cls", "links").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("links")))
+    return counts, edges.unionByName(pairs)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the numbers of elements that each two of the sets (of distinct elements) share."""
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    if not sum(map(len, sets)):
+        return both
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # only tokens of two sets or more count
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # only elements of two sets or more count
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[number >= 0]
     number = number[number >= 0]
     order = np.argsort(number, kind="stable")
     number, owner = number[order], owner[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
     for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
         a, b = np.searchsorted(number, [first, first + COLUMNS])
-        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part = np.zeros((len(sets), min(COLUMNS, int(number[b - 1]) - first + 1)), np.float32)
         part[owner[a:b], number[a:b] - first] = 1
         both += part @ part.T
-    hit = both >= np.float32(SIMILARITY) * (sizes[:, None] + sizes[None, :] - both) - np.float32(1e-3)
-    np.fill_diagonal(hit, False)
-    return hit
+    return both
 
 
 def _forest(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -255,93 +349,106 @@ def _forest(hit: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _compare(unit: str, rows: list[dict]) -> list[tuple]:
-    """(a, b, links): pairs of small units; a forest and counts (b null) of blocks of large buckets."""
-    cls = [r["cls"] for r in rows]
-    hit = _links([r["tokens"] for r in rows])
-    if unit[0] == "s":
-        return [(cls[i], cls[j], None) for i, j in zip(*np.nonzero(np.triu(hit)))]
-    names_of_cores: dict[int, int] = {}
-    inside = np.array([r["inside"] for r in rows])
-    if not inside.any():
-        own = np.array([r["own"] for r in rows])
-        hit &= own[:, None] != own[None, :]
-    core = np.array([np.nan if r["core"] is None else names_of_cores.setdefault(r["core"], len(names_of_cores)) for r in rows])
-    hit &= core[:, None] != core[None, :]  # pairs of one core are counted with it; null (nan) equals nothing
-    out = [(cls[i], cls[j], None) for i, j in _forest(hit)]
-    # a pair counts in the first of the large buckets that it shares
-    earlier = [[k for k in r["shared"] if k < r["key"]] for r in rows]
-    names = {k: i for i, k in enumerate(sorted({k for ks in earlier for k in ks}))}
-    if names:
-        seen = np.zeros((len(rows), len(names)), np.float32)
-        for i, ks in enumerate(earlier):
-            seen[i, [names[k] for k in ks]] = 1
-        hit = hit & ~(seen @ seen.T > 0)
-    return out + [(c, None, int(n)) for c, n in zip(cls, hit.sum(axis=1)) if n]
+def _compare(rows: list[tuple[str, np.ndarray]]) -> list[tuple[str, str]]:
+    """Linked pairs of a small bucket."""
+    names, sets = zip(*rows)
+    sizes = np.array([len(s) for s in sets])
+    both = shared_counts(list(sets)) if len(sets) > 2 else np.full((2, 2), len(np.intersect1d(*sets, assume_unique=True)) if len(sets) == 2 else 0)
+    hit = 9 * both >= 4 * (sizes[:, None] + sizes[None, :])
+    return [(names[i], names[j]) for i, j in zip(*np.nonzero(np.triu(hit, 1)))]
 
 
 def compare_units(units: DataFrame) -> DataFrame:
-    """Brute force inside each unit; the rows of a unit stand together in a partition."""
+    """Brute force inside each unit (unit, cls, tokens); the rows of a unit stand together in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("links", pa.int64())])
+        schema = pa.schema([("a", pa.string()), ("b", pa.string())])
+        table = lambda out: pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], schema=schema)
         unit, rows, out = None, [], []
         for batch in batches:
-            names = ("unit", "key", "own", "inside", "cls", "shared", "core")
-            columns = [batch.column(n).to_pylist() for n in names]
             tokens = batch.column("tokens")
             flat, ends = tokens.values.to_numpy(), tokens.offsets.to_numpy()
-            for i, values in enumerate(zip(*columns)):
-                row = dict(zip(names, values)) | {"tokens": flat[ends[i] : ends[i + 1]].copy()}
-                if row["unit"] != unit and rows:
-                    out += _compare(unit, rows)
+            for i, (own, cls) in enumerate(zip(batch.column("unit").to_pylist(), batch.column("cls").to_pylist())):
+                if own != unit and rows:
+                    out += _compare(rows)
                     rows = []
                     if len(out) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+                        yield table(out)
                         out = []
-                unit = row["unit"]
-                if not rows or rows[-1]["cls"] != row["cls"]:  # repeated rows give a set twice, side by side
-                    rows.append(row)
+                unit = own
+                if not rows or rows[-1][0] != cls:  # repeated rows give a set twice, side by side
+                    rows.append((cls, flat[ends[i] : ends[i + 1]].copy()))
         if rows:
-            out += _compare(unit, rows)
+            out += _compare(rows)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+            yield table(out)
 
-    return units.mapInArrow(run, "a string, b string, links long")
+    return units.mapInArrow(run, "a string, b string")
 
 
 def token_sets(rows: DataFrame) -> DataFrame:
-    """(cls, dense, text) to (cls, dense, tokens): sorted 32-bit hashes of the shingles. Rows that repeat a document in full repeat its set."""
+    """(cls, text) to (cls, tokens): sorted 32-bit hashes of the shingles. Rows that repeat a document in full repeat its set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in batches_of(texts):
                 sets = [_distinct((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in shingle_sets(texts[a:b])]
-                yield pd.DataFrame({"cls": batch["cls"].iloc[a:b].array, "dense": batch["dense"].iloc[a:b].array, "tokens": sets})
+                yield pd.DataFrame({"cls": batch["cls"].iloc[a:b].array, "tokens": sets})
 
-    return rows.mapInPandas(run, "cls string, dense boolean, tokens array<int>")
+    return rows.mapInPandas(run, "cls string, tokens array<int>")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(cls, root): the smallest class of each connected component of ``edges`` (a, b).
 
     Labels spread along edges and jump to their label's label; a written table
-    per round, until no label changes.
+    per round, until no label changes. Classes with many edges and labels that
+    many have are looked up on the map side.
     """
     both = written(spark, edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(spark, both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.col("cls")).alias("root")), "labels")
     while True:
-        near = both.join(labels.select(F.col("cls").alias("b"), "root"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("root").alias("near"))
+        near = lookup(spark, both, labels.select(F.col("cls").alias("b"), "root"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("root").alias("near"))
         spread = labels.join(near, "cls").select("cls", F.least("root", "near").alias("step"), F.col("root").alias("old"))
-        above = labels.select(F.col("cls").alias("step"), F.col("root").alias("top"))
-        found = spread.join(above, "step", "left").select("cls", F.least("step", F.coalesce("top", "step")).alias("root"), "old")
-        found = written(spark, found, "labels")
+        found = lookup(spark, spread, labels.select(F.col("cls").alias("step"), F.col("root").alias("top")), "step")
+        found = written(spark, found.select("cls", F.least("step", F.coalesce("top", "step")).alias("root"), "old"), "labels")
         if not found.where("root != old").limit(1).count():
             return found.select("cls", "root")
         labels = found.select("cls", "root")
 
 
+def links_of_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Counts (cls, links) that add up to each class's links, and edges (a, b) with the same components as all links."""
+    lists, large = buckets(spark, classes)
+    members = written(spark, union_of(lists).distinct(), "lists")  # a list is often the same in many buckets
+
+    # the sets of the classes that met another; the slim side is built, so that texts are shuffled once and not sorted
+    met = members.select(F.explode("members").alias("cls")).unionByName(large.select("cls")).distinct()
+    met = written(spark, met.join(classes, "cls").select("cls", F.col("first.doc_id").alias("met_id"), F.col("first.text_key").alias("met_key")), "met")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row_key"))
+    rows = rows.join(met.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("met_id")) & (F.col("row_key") == F.col("met_key")))
+    sets = written(spark, token_sets(rows.select("cls", F.coalesce("text", F.lit("")).alias("text"))), "sets")
+    more, groups = settled(spark, large, sets)
+    if more:
+        members = union_of([members, *more])
+
+    units = members.select(F.sha2(F.array_join("members", ""), 256).alias("unit"), F.explode("members").alias("cls"))
+    units = units.join(sets.hint("shuffle_hash"), "cls").repartition("unit").sortWithinPartitions("unit", "cls")
+    pairs = compare_units(units).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = edges = written(spark, pairs, "pairs")
+    if groups is None:
+        return pairs.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("links")), edges
+    inside, rare = group_members(spark, groups)
+    counts, more_edges = group_links(spark, inside, rare)
+    # pairs of small buckets that a group has counted do not count again
+    side = lambda s: inside.select(F.col("cls").alias(s), F.col("all").alias(f"all_{s}"), F.col("all_near").alias(f"near_{s}")).dropDuplicates([s])
+    counted = F.arrays_overlap("all_a", "near_b") | F.arrays_overlap("near_a", "all_b")
+    alone = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(~F.coalesce(counted, F.lit(False)))
+    counts = counts.unionByName(alone.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("links")))
+    return counts, edges.unionByName(more_edges)
+
+
 def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, class_id, n_links, first_key.
 
@@ -352,47 +459,21 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     seen = written(spark, prints(docs, id_col, text_col, runs_for(recall)), "prints")
     same = [F.any_value(c).alias(c) for d in range(1, DEPTH + 1) for c in (f"p{d}", f"k{d}")]
     classes = written(spark, seen.groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), *same), "classes")
-    small, large = buckets(spark, classes)
-    small, large = written(spark, small, "small"), written(spark, large, "large")
-
-    # the sets of the classes that met another; the slim side is built, so that texts are shuffled once and not sorted
-    met = small.select("cls", F.lit(False).alias("dense")).unionByName(large.select("cls", F.lit(True).alias("dense"))).groupBy("cls").agg(F.bool_or("dense").alias("dense"))
-    met = written(spark, met.join(classes, "cls").select("cls", "dense", F.col("first.doc_id").alias("met_id"), F.col("first.text_key").alias("met_key")), "met")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row_key"))
-    rows = rows.join(met.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("met_id")) & (F.col("row_key") == F.col("met_key")))
-    sets = written(spark, token_sets(rows.select("cls", "dense", F.coalesce("text", F.lit("")).alias("text"))), "sets")
-    cores = dense_cores(spark, large, sets)
-    none = {"key": F.lit(0).cast("long"), "own": F.lit(0), "inside": F.lit(True), "shared": F.array().cast("array<long>"), "core": F.lit(None).cast("long")}
-    units = small.withColumns(none).unionByName(units_of_large(spark, large, cores)).join(sets.select("cls", "tokens").hint("shuffle_hash"), "cls")
-    units = units.repartition("unit").sortWithinPartitions("unit", "cls")
-    links = written(spark, compare_units(units), "links")
-
-    pairs = links.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(spark, pairs, "pairs")
-    inner = cores.where("core")
-    roots = components(spark, pairs.unionByName(inner.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))))
-    # pairs of small buckets that share no large one, the counts of the large ones, and those of the cores
-    shared = cores.select("cls", "shared")
-    sizes = written(spark, inner.groupBy("first").agg((F.count("*") - 1).alias("links")), "core_sizes")
-    alone = pairs.join(shared.select(F.col("cls").alias("a"), F.col("shared").alias("sa")), "a", "left").join(shared.select(F.col("cls").alias("b"), F.col("shared").alias("sb")), "b", "left")
-    alone = alone.where(~F.coalesce(F.arrays_overlap("sa", "sb"), F.lit(False)))
-    counts = alone.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("links"))
-    counts = counts.unionByName(inner.join(sizes, "first").select("cls", "links"))
-    counts = counts.unionByName(links.where("b IS NULL").select(F.col("a").alias("cls"), "links"))
+    counts, edges = links_of_classes(spark, docs, classes, id_col, text_col)
     counts = counts.groupBy("cls").agg(F.sum("links").alias("n_links"))
-
-    of_class = classes.select("cls", "first").join(roots, "cls", "left").join(counts, "cls", "left")
-    of_class = of_class.withColumn("root", F.coalesce("root", "cls"))
-    heads = of_class.groupBy("root").agg(F.min("first").alias("head"))
-    of_class = of_class.join(heads, "root").select("cls", F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("first_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = classes.select("cls", "first").join(components(spark, edges), "cls", "left").join(counts, "cls", "left")
+    of_class = written(spark, of_class.select("cls", "first", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rooted")
+    heads = written(spark, of_class.groupBy("root").agg(F.min("first").alias("head")), "roots")
+    of_class = lookup(spark, of_class, heads, "root").select("cls", F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("first_key"), "n_links")
     of_class = written(spark, of_class, "of_class")
-    return seen.select("doc_id", "text_key", "cls").join(of_class, "cls").select("doc_id", "text_key", "class_id", "n_links", "first_key")
+    return lookup(spark, seen.select("doc_id", "text_key", "cls"), of_class, "cls").select("doc_id", "text_key", "class_id", "n_links", "first_key")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that have an earlier document in their class, columns as they were."""
     found = join_classes(spark, docs, id_col, text_col)
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("first_key"))
-    gone = written(spark, found.where(~stays).select(F.col("doc_id").alias("__jj_id"), F.col("text_key").alias("__jj_key")).distinct(), "gone")
-    match = F.col(id_col).eqNullSafe(F.col("__jj_id")) & (F.xxhash64(F.col(text_col)) == F.col("__jj_key"))
+    gone_id, gone_key = free_names(docs, "gone_id", "gone_key")
+    gone = written(spark, found.where(~stays).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct(), "gone")
+    match = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.col(text_col)) == F.col(gone_key))
     return docs.join(gone.hint("shuffle_hash"), match, "left_anti")
