@@ -33,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteflow.llm.quality import batches_of
-from noteflow.llm.store import free_names, lookup, written
+from noteflow.llm.store import COUNTERS, HOT_KEYS, free_names, lookup, written
 from noteflow.sources.splits import spread
 
 SHINGLE_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
@@ -143,10 +143,20 @@ def _alike_sizes(members: str) -> str:
     return f"filter({members}, x -> exists({members}, y -> y.cls != x.cls AND least(x.n, y.n) >= {SIMILARITY} * greatest(x.n, y.n)))"
 
 
-def sized(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Rows of the keys that two rows or more have, with the key's size."""
-    sizes = written(spark, rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    return written(spark, lookup(spark, rows, sizes, "key", "inner"), name)
+def sized(spark: SparkSession, rows: DataFrame, name: str, **also: Column) -> DataFrame:
+    """Rows of the keys that two rows or more have, with the key's size and ``also`` other aggregates of it.
+
+    Frequent keys are named by a Misra-Gries summary and settled on the map side
+    against a broadcast of at most HOT_KEYS rows; no other key is frequent
+    enough to weigh on the task that counts it.
+    """
+    also = {"size": F.count("*"), **also}
+    rows = written(spark, rows, f"{name}_rows")
+    top = written(spark, rows.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {COUNTERS})").alias("top")).select(F.explode("top.item").alias("key")), "top")
+    hot = rows.join(F.broadcast(top), "key")
+    hot = hot.join(F.broadcast(hot.groupBy("key").agg(*[c.alias(n) for n, c in also.items()])), "key")
+    rest = rows.join(F.broadcast(top), "key", "left_anti").withColumns({n: c.over(Window.partitionBy("key")) for n, c in also.items()})
+    return written(spark, hot.unionByName(rest).where("size > 1"), name)
 
 
 def member_lists(rows: DataFrame, most: int = SMALL) -> DataFrame:
@@ -254,8 +264,7 @@ def group_members(spark: SparkSession, groups: DataFrame) -> tuple[DataFrame, Da
     reach = written(spark, groups.groupBy("gid").agg(F.count("*").alias("size"), F.max(near).alias("most")).where("most IS NOT NULL AND size > 1").drop("size"), "reach")
     rows = lookup(spark, groups, reach, "gid", "inner").where("u <= n_c + 1.25 * most").drop("most")
     tokens = rows.select("gid", "cls", "u", "n_c", "near", F.explode("diff").alias("token")).withColumn("key", F.xxhash64("gid", "token")).drop("token")
-    shared = tokens.groupBy("key").agg(F.count("*").alias("size"), F.bool_or("near").alias("met")).where("met AND size > 1").drop("met")
-    tokens = written(spark, lookup(spark, tokens, written(spark, shared, "shared_sizes"), "key", "inner"), "shared_diffs")
+    tokens = sized(spark, tokens, "shared_diffs", met=F.bool_or("near")).where("met").drop("met")
     hot = tokens.where(F.col("size") > RARE).groupBy("gid", "cls").agg(F.sort_array(F.collect_set("key")).alias("hot"))
     of_class = rows.groupBy("cls").agg(F.collect_set("gid").alias("all"), F.collect_set(F.when(F.col("near"), F.col("gid"))).alias("all_near"))
     members = rows.drop("diff").join(hot, ["gid", "cls"], "left").join(of_class, "cls")
