@@ -5,7 +5,7 @@ A-law or 4-bit IMA ADPCM blocks, all three mono at 8 kHz, so storing loses
 nothing. Reading gives the bytes back and decodes them to 16-bit PCM: mu-law
 and A-law by 256-entry lookup tables, ADPCM step by step but across all blocks
 of a batch at once. ``resample`` brings PCM to another rate in whole numbers
-(means of two samples at half the rate, else linear interpolation), and the
+(means of samples at a whole part of the rate, else linear interpolation), and the
 resampled PCM is stored as a table of its own (``stored_pcm``), from which the
 features are computed.
 
@@ -33,8 +33,8 @@ from noteflow.llm.store import written
 from noteflow.sources.splits import spread
 
 BLOCK, RATE = 192, 8000
-#: Rate of the stored PCM; half the clips' own keeps two bytes a sample as small as the coded clips are.
-PCM_RATE = 4000
+#: Rate of the stored PCM; at 4000 its files were 0.92 times as large as the texts, with the media 1.59 times.
+PCM_RATE = 2000
 MULAW, ALAW, ADPCM = 7, 6, 17  # WAVE format tags
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "ima_adpcm"}
 #: Bytes of payload that are decoded at once.
@@ -133,12 +133,13 @@ def decode(clips: list[tuple[int, bytes]]) -> list[np.ndarray]:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """At half the rate the mean of two samples, else linear interpolation between the two nearest, rounded down."""
+    """At a whole part of the rate the mean of that many samples, else linear interpolation between the two nearest, rounded down."""
     if rate == to or not len(pcm):
         return pcm
-    if rate == 2 * to:
-        even = pcm[: len(pcm) // 2 * 2].astype(np.int32)
-        return np.append((even[::2] + even[1::2]) >> 1, pcm[len(even) :]).astype(np.int16)
+    if rate % to == 0:
+        every = rate // to
+        sums = np.add.reduceat(pcm.astype(np.int64), np.arange(0, len(pcm), every))
+        return (sums // np.minimum(every, len(pcm) - np.arange(0, len(pcm), every))).astype(np.int16)
     if to == 2 * rate:
         out = np.empty(2 * len(pcm), dtype=np.int16)
         out[::2] = pcm
