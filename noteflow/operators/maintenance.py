@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteflow.functions import rules as R
 from noteflow.functions import text as T
+from noteflow.operators.revisions import events_after
 
 PATH = ["vault_id", "source_path"]
 
@@ -77,17 +78,8 @@ def model_stale(files: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
 
 
 def sync_status(vaults: DataFrame, devices: DataFrame, events: DataFrame, conflicts: DataFrame, files: DataFrame) -> DataFrame:
-    """Per device: server revision, cursor, events after it, open conflicts, pending files; each table is counted before it is joined.
-
-    Events after a cursor come from running counts per vault and revision of a
-    cursor, so the log is grouped once and never joined with every device.
-    """
-    cursors = devices.select("vault_id", F.col("cursor").alias("revision")).where("revision IS NOT NULL").distinct()
-    per = events.groupBy("vault_id", "revision").agg(F.count("*").alias("n")).unionByName(cursors.withColumn("n", F.lit(0)))
-    per = per.groupBy("vault_id", "revision").agg(F.sum("n").alias("n"))
-    after = Window.partitionBy("vault_id").orderBy(F.desc("revision")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("events_after", F.coalesce(F.sum("n").over(after), F.lit(0)))
-    ahead = per.join(cursors, ["vault_id", "revision"], "left_semi").select("vault_id", F.col("revision").alias("cursor"), "events_after")
+    """Per device: server revision, cursor, events after it, open conflicts, pending files; each table is counted before it is joined."""
+    ahead = events_after(events, devices)
     open_ = conflicts.where("status = 'OPEN'").groupBy("vault_id").agg(F.count("*").alias("open_conflicts"))
     pending = files.where("vectorize AND NOT deleted AND index_status = 'pending'").groupBy("vault_id").agg(F.count("*").alias("pending_files"))
     out = devices.select("vault_id", "device_id", "cursor").join(vaults.select("vault_id", F.col("current_revision").alias("server_revision")), "vault_id")

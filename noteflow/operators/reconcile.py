@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteflow.functions import rules as R
-from noteflow.operators.revisions import latest_per_path
+from noteflow.operators.revisions import events_after, latest_per_path
 
 KEYS = ["vault_id", "device_id", "source_path"]
 POLICIES = ("manual", "local-wins", "remote-wins")
@@ -33,14 +33,24 @@ def local_changes(scan: DataFrame, manifest: DataFrame, excluded: DataFrame | No
     return rows.select(*KEYS, "change", "local_hash", "server_revision")
 
 
-def pull_plan(events: DataFrame, cursors: DataFrame, manifest: DataFrame, scan: DataFrame, policy: str = "manual", sync_attachments: bool = True) -> DataFrame:
-    """The pull action for the last event of each path after the device's cursor."""
+def pull_plan(
+    events: DataFrame, cursors: DataFrame, manifest: DataFrame, scan: DataFrame, policy: str = "manual", sync_attachments: bool = True, stored: DataFrame | None = None,
+) -> DataFrame:
+    """The pull action for the last event of each path after the device's cursor.
+
+    stored: vault_id, source_path, stored_hash of the bytes that the server
+    holds. A file that would be written is a ``mismatch`` if they are missing
+    or have another hash than the event tells; it is left as it is.
+    """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    devices = cursors.select("vault_id", "device_id", "cursor")
-    after = events.select("vault_id", "source_path", "revision", F.col("content_hash").alias("server_hash"), "deleted").join(devices, "vault_id").where("revision > cursor")
-    last = after.groupBy(*KEYS).agg(F.max_by(F.struct("revision", "server_hash", "deleted"), "revision").alias("e"))
-    rows = last.select(*KEYS, "e.*")
+    # a path's last event is its last one after a cursor too, if it comes after the cursor: one row a path meets the devices
+    last = latest_per_path(events.select("vault_id", "source_path", "revision", F.col("content_hash").alias("server_hash"), "deleted"))
+    torn = F.lit(False)
+    if stored is not None:
+        last = last.join(stored.select("vault_id", "source_path", "stored_hash"), ["vault_id", "source_path"], "left")
+        torn = ~F.col("stored_hash").eqNullSafe(F.col("server_hash"))
+    rows = last.join(cursors.select("vault_id", "device_id", "cursor"), "vault_id").where("revision > cursor")
     rows = rows.join(manifest.select(*KEYS, F.col("content_hash").alias("m_hash")), KEYS, "left").join(scan.select(*KEYS, F.col("content_hash").alias("l_hash")), KEYS, "left")
     attachment = ~F.endswith("source_path", F.lit(".md"))
     same = F.coalesce(F.col("l_hash") == F.col("m_hash"), F.lit(False))
@@ -49,7 +59,7 @@ def pull_plan(events: DataFrame, cursors: DataFrame, manifest: DataFrame, scan:
         F.when(R.checked_path(F.col("source_path"))["error"].isNotNull(), "reject").when(attachment & F.lit(not sync_attachments), "ignore")
         .when(~F.col("deleted") & F.coalesce(F.col("m_hash") == F.col("server_hash"), F.lit(False)), "bump").when(F.col("deleted") & F.col("l_hash").isNull(), "forget")
         .when(F.col("deleted") & F.col("m_hash").isNotNull() & same, "delete_local").when(F.col("deleted"), "delete_conflict")
-        .when(F.col("l_hash").isNotNull() & diverged, "write_conflict").otherwise("apply")
+        .when(torn, "mismatch").when(F.col("l_hash").isNotNull() & diverged, "write_conflict").otherwise("apply")
     )
     settled = {
         "manual": {"write_conflict": "report", "delete_conflict": "report_deleted"},
@@ -77,15 +87,17 @@ def push_plan(changes: DataFrame, conflicts: DataFrame, pulled: DataFrame) -> Da
     return rows.select(*KEYS, "change", action.alias("action"), F.when(action.isin("PUT", "DELETE"), base).alias("base_revision"))
 
 
-def sync_summary(pull: DataFrame, push: DataFrame, devices: DataFrame) -> DataFrame:
-    """Counts per device over both plans."""
+def sync_summary(pull: DataFrame, push: DataFrame, devices: DataFrame, events: DataFrame) -> DataFrame:
+    """Counts per device: events after its cursor (``pulled``, each event of a path counts), and rows of both plans by action."""
     two = ["vault_id", "device_id"]
+    pulled = events_after(events, devices).withColumnRenamed("events_after", "pulled")
     a = pull.groupBy(*two).agg(
-        F.count("*").alias("pulled"), F.count_if(F.col("action") == "apply").alias("applied"), F.count_if(F.col("action") == "delete_local").alias("locally_deleted"),
-        F.count_if(F.col("action").isin("write_conflict", "delete_conflict")).alias("conflicts"), F.count_if(F.col("action") == "reject").alias("warnings"),
+        F.count_if(F.col("action") == "apply").alias("applied"), F.count_if(F.col("action") == "delete_local").alias("locally_deleted"),
+        F.count_if(F.col("action").isin("write_conflict", "delete_conflict")).alias("conflicts"), F.count_if(F.col("action").isin("reject", "mismatch")).alias("warnings"),
     )
     b = push.groupBy(*two).agg(F.count_if(F.col("action") == "PUT").alias("pushed"), F.count_if(F.col("action") == "DELETE").alias("remotely_deleted"))
-    return devices.select(*two).join(a, two, "left").join(b, two, "left").fillna(0)
+    rows = devices.select(*two, "cursor").join(pulled, ["vault_id", "cursor"], "left").drop("cursor")
+    return rows.join(a, two, "left").join(b, two, "left").fillna(0)
 
 
 def new_reports(conflicts: DataFrame, existing: DataFrame) -> DataFrame:
@@ -96,7 +108,3 @@ def new_reports(conflicts: DataFrame, existing: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(*KEYS, "mark").orderBy("server_revision", "content_hash"))
     rows = rows.withColumn("n", first).where("n = 1").drop("n")
     return rows.join(existing.select(*KEYS, "mark"), [*KEYS, "mark"], "left_anti")
-
-
-def snapshot(events: DataFrame, until: int | None = None) -> DataFrame:
-    return latest_per_path(events, until)

@@ -69,8 +69,8 @@ def verified_read(files: DataFrame, stored: DataFrame, versions: DataFrame) -> D
 def backfill(files: DataFrame, vaults: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Revisions for the live files of each vault in id order, one CREATE event each, and the new counters."""
     live = files.where("NOT deleted").join(vaults.select("vault_id", "current_revision"), "vault_id")
-    number = F.row_number().over(Window.partitionBy("vault_id").orderBy("id"))
-    numbered = live.withColumn("revision", F.col("current_revision") + number).drop("current_revision")
+    placed = consecutive(live.withColumns({"seq": F.col("id"), "slice": F.floor(F.col("id") / SLICE)}), F.lit(True))
+    numbered = placed.withColumn("revision", F.col("current_revision") + F.col("number")).drop("current_revision", "seq", "slice", "number")
     events = numbered.select("vault_id", "revision", "source_path", F.lit("CREATE").alias("event_type"), "content_hash", F.lit(False).alias("deleted"))
     top = numbered.groupBy("vault_id").agg(F.max("revision").alias("top"))
     counters = vaults.join(top, "vault_id", "left").select("vault_id", F.coalesce("top", "current_revision").alias("current_revision"))
@@ -195,6 +195,20 @@ def consecutive(rows: DataFrame, counted: Column) -> DataFrame:
     return out.withColumn("number", F.col("number") + F.col("before")).drop("before")
 
 
+def events_after(events: DataFrame, cursors: DataFrame) -> DataFrame:
+    """vault_id, cursor, events_after: how many events of the vault follow each cursor that is given.
+
+    Cursors take their places in the log and both are counted backwards in
+    slices, so the log is never joined with every device. A cursor stands just
+    before the event of its own revision, which does not count.
+    """
+    asked = cursors.select("vault_id", "cursor").where("cursor IS NOT NULL").distinct()
+    rows = events.select("vault_id", F.lit(None).cast("long").alias("cursor"), (-2 * F.col("revision")).alias("seq"))
+    rows = rows.unionByName(asked.withColumn("seq", -2 * F.col("cursor") - 1))
+    counted = consecutive(rows.withColumn("slice", F.floor(F.col("seq") / SLICE)), F.col("cursor").isNull())
+    return counted.where("cursor IS NOT NULL").select("vault_id", "cursor", F.col("number").alias("events_after"))
+
+
 def resolved_conflicts(conflicts: DataFrame, accepted: DataFrame) -> DataFrame:
     """Open conflicts are resolved by any later accepted write on their path. conflicts: id, keys, seq, status; accepted: keys, seq."""
     last = accepted.groupBy(*KEYS).agg(F.max("seq").alias("last_seq"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from noteflow.functions import text as T
 from noteflow.sources.scratch import written
 
-RRF_K, CANDIDATES, TOP_K, PER_SOURCE, RERANK_CANDIDATES = 60, 50, 5, 2, 15
+RRF_K, CANDIDATES, TOP_K, MOST_TOP_K, PER_SOURCE, RERANK_CANDIDATES = 60, 50, 5, 10, 2, 15
 DEFAULT_STATUS = ("current",)
 #: Query vectors that are sent to every task at once, as bytes; more queries go in further blocks.
 BROADCAST_BYTES = 64 << 20
@@ -63,7 +63,7 @@ def checked_queries(queries: DataFrame, vaults: DataFrame) -> tuple[DataFrame, D
     rows = rows.join(active, F.col("vault_id") == F.col("known_vault"), "left")
     error = (
         F.when(F.coalesce("query", F.lit("")) == "", "query is required").when(F.coalesce("vault_id", F.lit("")) == "", "vault is required")
-        .when(~F.col("top_k").between(1, 10), "top_k must be between 1 and 10").when(~F.col("min_score").between(0, 1), "min_score must be between 0 and 1")
+        .when(~F.col("top_k").between(1, MOST_TOP_K), f"top_k must be between 1 and {MOST_TOP_K}").when(~F.col("min_score").between(0, 1), "min_score must be between 0 and 1")
         .when(F.col("known_vault").isNull(), "vault not found")
     )
     rows = rows.withColumn("error", error).drop("known_vault")
@@ -182,9 +182,10 @@ def fused(vector: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
     return both.withColumn("fused_rank", F.row_number().over(order))
 
 
-def passing(rows: DataFrame, least: float) -> DataFrame:
+def passing(rows: DataFrame, least: float | Column) -> DataFrame:
     """Rows that only the vector leg matched need the score; others always pass. ``least`` <= 0 disables."""
-    return rows if least <= 0 else rows.where((F.col("matched_by") != "vector") | (F.col("score") >= least))
+    bar = least if isinstance(least, Column) else F.lit(float(least))
+    return rows.where((bar <= 0) | (F.col("matched_by") != "vector") | (F.col("score") >= bar))
 
 
 def capped(rows: DataFrame, per_source: int = PER_SOURCE, order: str = "fused_rank") -> DataFrame:
@@ -246,23 +247,30 @@ def hybrid_search(
     queries: DataFrame, chunks: DataFrame, files: DataFrame, model: str, *, where: Column | None = None, candidates: int = CANDIDATES, min_score: float = 0.0,
     per_source: int = PER_SOURCE, top_k: int = TOP_K, hybrid: bool = True, rerank=None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Ranked rows (query_id, rank, chunk_id, source_path, score, matched_by, rrf) and the outcome per query."""
+    """Ranked rows (query_id, rank, chunk_id, source_path, score, matched_by, rrf) and the outcome per query.
+
+    A query's own ``top_k`` (1 to MOST_TOP_K) and ``min_score`` come before the
+    arguments, if ``queries`` has such columns and they are not null.
+    """
+    own = lambda c, usual: F.coalesce(c, F.lit(usual)) if c in queries.columns else F.lit(usual)
     pool = fresh_chunks(chunks, files, model).where(metadata_filter() if where is None else where)
-    budget = candidates if hybrid or per_source > 0 else top_k
+    budget = candidates if hybrid or per_source > 0 else max(top_k, MOST_TOP_K) if "top_k" in queries.columns else top_k
     vector = vector_leg(queries, pool, budget)
     lexical = lexical_leg(queries, pool, candidates) if hybrid else vector.limit(0).select("query_id", "chunk_id", F.lit(0.0).alias("rank_value"), F.lit(0).alias("lexical_rank"))
     # at most two legs of candidates a query: written once, since ranking and outcome both start from it
     merged = written(queries.sparkSession, fused(vector, lexical), "fused")
-    asked = queries.select("query_id", "query_embedding", "query")
+    asked = queries.select("query_id", "query_embedding", "query", own("top_k", top_k).alias("own_top_k"), own("min_score", float(min_score)).alias("own_min_score"))
     found = merged.join(pool.select("chunk_id", "source_path", "content", "embedding"), "chunk_id").join(asked, "query_id")
     found = found.withColumn("score", F.round(T.cosine(F.col("embedding"), F.col("query_embedding")), 6)).drop("embedding", "query_embedding")
-    kept = passing(found, min_score)
+    kept = passing(found, F.col("own_min_score"))
     order = "fused_rank"
     if rerank is not None:
         kept, order = reranked(kept, rerank), "rank"
     kept = capped(kept, per_source, order)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(order))
-    ranked = kept.withColumn("rank", place).where(F.col("rank") <= top_k)
+    # the constant lets each task drop what no query can keep before the shuffle
+    most = max(top_k, MOST_TOP_K) if "top_k" in queries.columns else top_k
+    ranked = kept.withColumn("rank", place).where((F.col("rank") <= most) & (F.col("rank") <= F.col("own_top_k")))
     ranked = ranked.select("query_id", "rank", "chunk_id", "source_path", "score", "matched_by", "rrf")
     return ranked, outcome(queries, merged, ranked)
 

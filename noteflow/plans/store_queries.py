@@ -77,6 +77,15 @@ def _(t):
     return searched(t)[0]
 
 
+OWN_LIMITS = RANKED.replace("score >= 0.05", "query_id // 50 % 3 = 0 OR score >= query_id // 50 % 3 * 0.05").replace("rank <= 5", "rank <= query_id // 50 % 10 + 1")
+
+
+@query("jb02_own_limits", *AT, sql=f"{ALL_LEGS}, {OWN_LIMITS} SELECT query_id, rank, chunk_id, source_path, score, matched_by, rrf FROM ranked")
+def _(t):
+    queries = t("asked").withColumns({"top_k": F.expr("query_id div 50 % 10 + 1"), "min_score": F.expr("query_id div 50 % 3 * 0.05D")})
+    return S.hybrid_search(queries, t("chunks"), t("files"), MODEL)[0]
+
+
 @query("ag10_outcome", *AT, sql=f"""{ALL_LEGS}, {RANKED} SELECT query_id, candidate_count, result_count, candidate_count = 0 AS no_candidates, candidate_count > 0 AND result_count = 0 AS low_confidence,
   CASE WHEN candidate_count = 0 THEN 'no_candidates' WHEN result_count = 0 THEN 'low_confidence' ELSE 'ok' END AS notice FROM (
   SELECT q.query_id, (SELECT count(*) FROM fused f WHERE f.query_id = q.query_id) AS candidate_count, (SELECT count(*) FROM ranked r WHERE r.query_id = q.query_id) AS result_count FROM fx_asked q)""")
@@ -253,11 +262,20 @@ def _(t):
     return pushed(t)
 
 
-@query("ag12_sync_summary", *SYNC, sql=f"""WITH {LOCAL}, {PULL}, {PUSH} SELECT c.vault_id, c.device_id, coalesce(pulled, 0) AS pulled, coalesce(applied, 0) AS applied, coalesce(locally_deleted, 0) AS locally_deleted, coalesce(conflicts, 0) AS conflicts, coalesce(warnings, 0) AS warnings, coalesce(pushed, 0) AS pushed, coalesce(remotely_deleted, 0) AS remotely_deleted
-  FROM fx_cursors c LEFT JOIN (SELECT vault_id, device_id, count(*) AS pulled, count(*) FILTER (action = 'apply') AS applied, count(*) FILTER (action = 'delete_local') AS locally_deleted, count(*) FILTER (action LIKE '%conflict') AS conflicts, 0 AS warnings FROM pull GROUP BY ALL) a USING (vault_id, device_id)
+@query("ag12_sync_summary", *SYNC, sql=f"""WITH {LOCAL}, {PULL}, {PUSH} SELECT c.vault_id, c.device_id, (SELECT count(*) FROM fx_sync_events e WHERE e.vault_id = c.vault_id AND e.revision > c.cursor) AS pulled, coalesce(applied, 0) AS applied, coalesce(locally_deleted, 0) AS locally_deleted, coalesce(conflicts, 0) AS conflicts, coalesce(warnings, 0) AS warnings, coalesce(pushed, 0) AS pushed, coalesce(remotely_deleted, 0) AS remotely_deleted
+  FROM fx_cursors c LEFT JOIN (SELECT vault_id, device_id, count(*) FILTER (action = 'apply') AS applied, count(*) FILTER (action = 'delete_local') AS locally_deleted, count(*) FILTER (action LIKE '%conflict') AS conflicts, 0 AS warnings FROM pull GROUP BY ALL) a USING (vault_id, device_id)
   LEFT JOIN (SELECT vault_id, device_id, count(*) FILTER (action = 'PUT') AS pushed, count(*) FILTER (action = 'DELETE') AS remotely_deleted FROM push GROUP BY ALL) b USING (vault_id, device_id)""")
 def _(t):
-    return C.sync_summary(pulled(t), pushed(t), t("cursors"))
+    return C.sync_summary(pulled(t), pushed(t), t("cursors"), t("sync_events"))
+
+
+@query("jn13_pull_plan_stored", *SYNC, sql=f"""WITH {PULL}, stored AS (SELECT vault_id, source_path, revision, CASE WHEN revision % 3 = 0 THEN 'torn' ELSE content_hash END AS stored_hash FROM fx_sync_events WHERE revision % 7 <> 0)
+  SELECT p.vault_id, p.device_id, p.source_path, p.revision, CASE WHEN p.action IN ('write_conflict', 'apply') AND s.stored_hash IS DISTINCT FROM e.content_hash THEN 'mismatch' ELSE p.action END AS action
+  FROM pull p JOIN fx_sync_events e ON e.vault_id = p.vault_id AND e.revision = p.revision LEFT JOIN stored s ON s.vault_id = p.vault_id AND s.source_path = p.source_path AND s.revision = p.revision""")
+def _(t):
+    last = V.latest_per_path(t("sync_events")).where("revision % 7 <> 0")
+    stored = last.select("vault_id", "source_path", F.expr("CASE WHEN revision % 3 = 0 THEN 'torn' ELSE content_hash END").alias("stored_hash"))
+    return C.pull_plan(t("sync_events"), t("cursors"), t("manifest"), t("scan"), stored=stored).drop("resolution")
 
 
 @query("wn07_new_reports", "conflicts", sql="""WITH m AS (SELECT *, CASE WHEN source_path LIKE '%.md' THEN CAST(server_revision AS VARCHAR) ELSE content_hash END AS mark FROM fx_conflicts), d AS (SELECT DISTINCT vault_id, device_id, source_path, mark FROM m)

@@ -39,6 +39,31 @@ def test_pull_and_push_tables(spark):
     assert push == {"mine.md": ("PUT", 0)}
 
 
+def test_stored_bytes_of_another_hash_are_not_written(spark):
+    e = spark.createDataFrame([("v", p, r, h, d) for p, r, h, d in [("good.md", 5, "h", False), ("torn.md", 6, "h", False), ("none.md", 7, "h", False), ("gone.md", 8, "h", True), ("same.md", 9, "h", False)]], "vault_id string, source_path string, revision long, content_hash string, deleted boolean")
+    cur = spark.createDataFrame([("v", "d", 4)], "vault_id string, device_id string, cursor long")
+    m = spark.createDataFrame([("v", "d", "same.md", "h", 1)], "vault_id string, device_id string, source_path string, content_hash string, server_revision long")
+    s = m.drop("server_revision")
+    stored = spark.createDataFrame([("v", "good.md", "h"), ("v", "torn.md", "x"), ("v", "same.md", "x")], "vault_id string, source_path string, stored_hash string")
+    got = {r.source_path: r.action for r in C.pull_plan(e, cur, m, s, stored=stored).collect()}
+    assert got == {"good.md": "apply", "torn.md": "mismatch", "none.md": "mismatch", "gone.md": "forget", "same.md": "bump"}
+
+
+def test_summary_counts_every_event_after_the_cursor(spark, monkeypatch):
+    from noteflow.operators import revisions as V
+
+    monkeypatch.setattr(V, "SLICE", 7)  # many slices in a short log
+    n = 100
+    e = spark.createDataFrame([("v", f"n{r % 3}.md", r, f"h{r}", False) for r in range(1, n + 1)] + [("w", "a.md", 1, "h", False)], "vault_id string, source_path string, revision long, content_hash string, deleted boolean")
+    at = {("v", "d0"): 0, ("v", "d1"): 7, ("v", "d2"): 50, ("v", "d3"): 50, ("v", "d4"): n, ("v", "d5"): n + 9, ("v", "d6"): None, ("w", "d0"): 0}
+    cur = spark.createDataFrame([(*k, c) for k, c in at.items()], "vault_id string, device_id string, cursor long")
+    m = spark.createDataFrame([], "vault_id string, device_id string, source_path string, content_hash string, server_revision long")
+    plan = C.pull_plan(e, cur, m, m.drop("server_revision"))
+    push = spark.createDataFrame([], "vault_id string, device_id string, action string")
+    got = {(r.vault_id, r.device_id): (r.pulled, r.applied) for r in C.sync_summary(plan, push, cur, e).collect()}
+    assert got == {("v", "d0"): (100, 3), ("v", "d1"): (93, 3), ("v", "d2"): (50, 3), ("v", "d3"): (50, 3), ("v", "d4"): (0, 0), ("v", "d5"): (0, 0), ("v", "d6"): (0, 0), ("w", "d0"): (1, 1)}
+
+
 def test_excluded_attachments_are_not_deleted(spark):
     m = spark.createDataFrame([("v", "d", p, "h", 1) for p in ("a.png", "b.png", "c.md")], "vault_id string, device_id string, source_path string, content_hash string, server_revision long")
     s = spark.createDataFrame([], "vault_id string, device_id string, source_path string, content_hash string")
