@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # Names, extensions and limits of the note store.
 MAX_SEGMENT_BYTES = 255
 RESERVED_STEMS = ["CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10))]
-IGNORED_SEGMENTS = [".obsidian", ".sync-agent", ".trash"]
+#: Folders that hold no notes. Add the settings folder of the editor in use; rules read the list when they are called.
+IGNORED_SEGMENTS = [".editor", ".sync-agent", ".trash"]
 SYSTEM_FILES = [".DS_Store", "Thumbs.db"]
 IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".webp"]
 ALLOWED_EXTENSIONS = [".md", *IMAGE_EXTENSIONS, ".pdf"]

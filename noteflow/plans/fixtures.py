@@ -141,7 +141,7 @@ def paths(d: Dialect) -> str:
     kinds = [
         "concat('notes/d', k, '.md')", "concat(' notes/d', k, '.md')", "''", "concat('a\\\\', k, '.md')" if d.spark else "concat('a\\', k, '.md')", "concat('/abs/', k, '.md')", "concat('a//', k, '.md')",
         "concat('../', k, '.md')", "concat('dir./', k, '.md')", "concat('x', k, '.md ')", "concat(repeat('é', 126 + CAST(doc_id % 4 AS INT)), '.md')", "'sub/con.md'", "'COM10.md'", "'com1.x.md'",
-        "concat('C:/', k, '.md')", "concat('.obsidian/', k, '.md')", "concat('a/.trash/', k, '.md')", "concat('n', k, '.conflict.dev.2024.md')", "concat('img', k, '.sync-conflict-1.png')",
+        "concat('C:/', k, '.md')", "concat('.editor/', k, '.md')", "concat('a/.trash/', k, '.md')", "concat('n', k, '.conflict.dev.2024.md')", "concat('img', k, '.sync-conflict-1.png')",
         "concat('photo', k, '.JPG')", "concat('doc', k, '.pdf')", "'.env'", "concat('a', k, '.env')", "concat('x', k, '.zip')", "'a/.DS_Store'", "'Thumbs.db'", "concat('.hidden/', k, '.md')", "concat('note', k, '.MD')", "concat('data', k, '.csv')",
     ]
     cases = " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds))

@@ -18,7 +18,7 @@ PATH_ERROR = """CASE WHEN path IS NULL OR trim(path) = '' THEN 'source path is r
   WHEN len(list_filter(string_split(path, '/'), lambda s: strlen(s) > 255)) > 0 THEN 'source path segments cannot exceed 255 bytes'
   WHEN len(list_filter(string_split(path, '/'), lambda s: regexp_matches(upper(split_part(s, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$'))) > 0 THEN 'source path cannot contain a reserved Windows filename'
   WHEN contains(string_split(trim(path), '/')[1], ':') THEN 'source path cannot include a drive prefix' END"""
-IGNORED = "len(list_intersect(string_split(path, '/'), ['.obsidian', '.sync-agent', '.trash'])) > 0"
+IGNORED = "len(list_intersect(string_split(path, '/'), ['.editor', '.sync-agent', '.trash'])) > 0"
 CONFLICT = r"regexp_matches(string_split(path, '/')[-1], '(?s)^.*(\.conflict\..*|\.sync-conflict.*)\.(md|png|jpg|jpeg|gif|webp|pdf)$')"
 HIDDEN = "len(list_filter(string_split(path, '/'), lambda s: starts_with(s, '.'))) > 0"
 EXT = r"lower(regexp_extract(string_split(path, '/')[-1], '(?s)^.+(\.[^.]+)$', 1))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -81,13 +81,20 @@ def unsuppressed(events: DataFrame, runs: DataFrame, drain_seconds: int = 1) ->
     return both.where((F.col("kind") == 1) & (F.col("last_until").isNull() | (F.col("ts") >= F.col("last_until")))).select("vault_id", "event_id", "ts")
 
 
-def coalesced_jobs(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """One index job per path and micro-batch (batch: per table); a later request gives one more run."""
-    if requests.isStreaming:
-        return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(KEYS)
+def coalesced_jobs(requests: DataFrame) -> DataFrame:
+    """One index job per path of a table of requests."""
     return requests.groupBy(*KEYS).agg(F.min("ts").alias("ts"), F.count("*").alias("requests"))
 
 
+def job_stream(requests: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """``job`` on the coalesced jobs of each micro-batch.
+
+    Requests that come while a batch runs wait for the next one, so however
+    many they are, their path runs once more, and none is lost.
+    """
+    return each_batch(requests, lambda batch, number: job(coalesced_jobs(batch), number), checkpoint)
+
+
 def safety_runs(runs: DataFrame, interval_seconds: int) -> DataFrame:
     """Gaps between runs of a vault that call for a run of their own. runs: vault_id, ts."""
     before = F.lag("ts").over(Window.partitionBy("vault_id").orderBy("ts"))
@@ -96,10 +103,6 @@ def safety_runs(runs: DataFrame, interval_seconds: int) -> DataFrame:
     return rows.where((F.lit(interval_seconds) > 0) & (F.col("gap_seconds") >= interval_seconds))
 
 
-def retry_delay(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
-
-
 def each_batch(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run a batch job on every micro-batch."""
     return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -111,11 +114,13 @@ def _before(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
     return None if last is None else spark.read.parquet(f"{folder}/v={last}")
 
 
-def admit_stream(requests: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def admit_stream(requests: DataFrame, vaults: Callable[[], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
     """Continuous write admission; state is a versioned table per path, decisions go to ``folder/decisions/v=<batch>``.
 
-    Vault counters follow from the state's revisions; versions are the hashes
-    that earlier batches accepted.
+    ``vaults()`` gives the vaults that exist (vault_id, current_revision), read
+    again for each batch; requests of others are not admitted. Counters go on
+    from the state's revisions; versions are the hashes that earlier batches
+    accepted.
     """
 
     def admit(batch: DataFrame, number: int) -> None:
@@ -124,9 +129,9 @@ def admit_stream(requests: DataFrame, folder: str, checkpoint: str) -> Streaming
         files = spark.createDataFrame([], FILES) if files is None else files
         versions = _before(spark, f"{folder}/versions", number)
         versions = spark.createDataFrame([], VERSIONS) if versions is None else versions
-        known = batch.select("vault_id").distinct().join(files.groupBy("vault_id").agg(F.max("revision").alias("top")), "vault_id", "left")
-        vaults = known.select("vault_id", F.coalesce("top", F.lit(0)).alias("current_revision"))
-        decisions = V.admit_writes(batch, files, versions, vaults)
+        known = vaults().join(files.groupBy("vault_id").agg(F.max("revision").alias("top")), "vault_id", "left")
+        known = known.select("vault_id", F.greatest("current_revision", F.coalesce("top", F.lit(0))).alias("current_revision"))
+        decisions = V.admit_writes(batch, files, versions, known)
         decisions.write.mode("overwrite").parquet(f"{folder}/decisions/v={number}")
         decisions = spark.read.parquet(f"{folder}/decisions/v={number}")
         V.applied_state(files, decisions).write.mode("overwrite").parquet(f"{folder}/files/v={number}")

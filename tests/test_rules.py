@@ -25,7 +25,7 @@ def test_checked_path(spark, raw, error):
 
 def test_file_rules(spark):
     rows = [
-        ("a/b.md", True, False, True), ("b.MD", False, False, False), ("x/.obsidian/a.md", False, False, False), (".trash/a.md", False, False, False), ("a.conflict.dev.1.md", False, True, False),
+        ("a/b.md", True, False, True), ("b.MD", False, False, False), ("x/.editor/a.md", False, False, False), (".trash/a.md", False, False, False), ("a.conflict.dev.1.md", False, True, False),
         ("i.sync-conflict-2.png", False, True, False), (".DS_Store", False, False, False), ("a/.b/c.md", True, False, False), ("p.JPG", False, False, True), ("p.exe", False, False, False),
     ]
     d = spark.createDataFrame([(r[0],) for r in rows], "p string")
@@ -33,6 +33,12 @@ def test_file_rules(spark):
     assert [tuple(r) for r in got] == [r[1:] for r in rows]
 
 
+def test_folders_of_another_editor(spark, monkeypatch):
+    monkeypatch.setattr(R, "IGNORED_SEGMENTS", [*R.IGNORED_SEGMENTS, ".other"])
+    d = spark.createDataFrame([("x/.other/a.md",), ("x/.trash/a.md",), ("x/a.md",)], "p string")
+    assert [r.v for r in d.select(R.is_vectorizable(F.col("p")).alias("v")).collect()] == [False, False, True]
+
+
 def test_policy_of_bare_dot_name(spark):
     d = spark.createDataFrame([(".env",), ("a.env",), ("a.Png",)], "p string").select(R.file_policy(F.col("p")).alias("c"))
     assert [(r.c.error or r.c.kind) for r in d.collect()] == ["file extension is not allowed", "file extension is explicitly excluded", "image"]

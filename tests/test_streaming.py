@@ -30,7 +30,7 @@ def test_debounce_stream_fires_once_a_burst(spark, tmp_path):
 
 
 def test_scan_of_a_note_folder(spark, tmp_path):
-    for name, size in (("a.md", 3), ("sub/b c.md", 4), (".obsidian/x.md", 1), ("p.png", 5), ("big.png", 50), ("n.conflict.d.1.md", 1)):
+    for name, size in (("a.md", 3), ("sub/b c.md", 4), (".editor/x.md", 1), ("p.png", 5), ("big.png", 50), ("n.conflict.d.1.md", 1)):
         p = tmp_path / name
         p.parent.mkdir(exist_ok=True)
         p.write_bytes(b"x" * size)
@@ -48,14 +48,28 @@ def test_tolerant_manifests(spark):
 def test_admission_stream_equals_one_batch_per_file(spark, tmp_path):
     schema = "vault_id string, source_path string, seq long, kind string, base_revision long, content_hash string, restore_revision long"
     source, folder = str(tmp_path / "requests"), str(tmp_path / "out")
-    parts = [[("v", "a.md", 1, "PUT", 0, "h1", None), ("v", "b.md", 2, "PUT", 0, "h2", None)], [("v", "a.md", 3, "PUT", 1, "h3", None), ("v", "a.md", 4, "PUT", 1, "h4", None)], [("v", "b.md", 5, "DELETE", 2, None, None), ("v", "b.md", 6, "RESTORE", None, None, None)]]
+    vaults = lambda: spark.createDataFrame([("v", 0)], "vault_id string, current_revision long")
+    parts = [[("v", "a.md", 1, "PUT", 0, "h1", None), ("v", "b.md", 2, "PUT", 0, "h2", None), ("unknown", "b.md", 7, "PUT", 0, "h2", None)], [("v", "a.md", 3, "PUT", 1, "h3", None), ("v", "a.md", 4, "PUT", 1, "h4", None)], [("v", "b.md", 5, "DELETE", 2, None, None), ("v", "b.md", 6, "RESTORE", None, None, None)]]
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
-        assert ST.admit_stream(spark.readStream.schema(schema).parquet(source), folder, str(tmp_path / "cp")).awaitTermination(120)
+        assert ST.admit_stream(spark.readStream.schema(schema).parquet(source), vaults, folder, str(tmp_path / "cp")).awaitTermination(120)
     got = {r.seq: (r.decision, r.revision, r.server_revision) for r in spark.read.parquet(f"{folder}/decisions").collect()}
     assert got == {1: ("accepted", 1, None), 2: ("accepted", 2, None), 3: ("accepted", 3, None), 4: ("conflict", None, 3), 5: ("accepted", 4, None), 6: ("accepted", 5, None)}
 
 
+def test_requests_after_a_job_give_one_more_run(spark, tmp_path):
+    source, out = str(tmp_path / "requests"), str(tmp_path / "jobs")
+    schema = "vault_id string, source_path string, ts timestamp"
+    for second, paths in ((1, ["a.md", "a.md", "b.md"]), (2, ["a.md", "a.md"]), (3, [])):
+        rows = spark.createDataFrame([("v", p, f"2024-01-01 00:00:0{second}") for p in paths], "vault_id string, source_path string, ts string")
+        rows.selectExpr("vault_id", "source_path", "cast(ts AS timestamp) AS ts").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        job = lambda jobs, n: jobs.write.mode("overwrite").parquet(f"{out}/n={n}")
+        assert ST.job_stream(stream, job, str(tmp_path / "cp")).awaitTermination(120)
+    ran = sorted((r.n, r.source_path, r.requests) for r in spark.read.parquet(out).collect())
+    assert ran == [(0, "a.md", 2), (0, "b.md", 1), (1, "a.md", 2)]
+
+
 def test_index_stream_replaces_and_drops(spark, tmp_path):
     from noteflow.operators.indexing import hashing_embedder
     from tests.test_notes import HEAD
