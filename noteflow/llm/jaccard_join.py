@@ -101,41 +101,31 @@ def set_digest(tokens: np.ndarray) -> str:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest()
 
 
-def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level, the parents and keys of the nodes that a set reaches."""
-    levels = []
-    nodes = _mix(np.arange(1, runs + 1, dtype=np.uint64) * ODD[2])
-    limit = np.uint64(min(2.0**64 - 2048, 2.0**64 / (SIMILARITY * max(len(tokens), 1))))
-    for _ in range(depth):
-        if not len(nodes) or not len(tokens):
-            nodes = parents = np.zeros(0, np.uint64)
-        else:
-            # tokens are well mixed already, so one product is hash enough to draw them by
-            drawn = [np.nonzero((tokens ^ node) * ODD[4] < limit)[0] for node in nodes]
-            parents = np.repeat(nodes, [len(at) for at in drawn])
-            nodes = _mix(parents * ODD[3] + tokens[np.concatenate(drawn)])
-        levels.append((parents, nodes))
-    return levels
+def drawn(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parents and keys of the nodes one level below ``nodes`` that a set (of well-mixed tokens) reaches."""
+    if not len(nodes) or not len(tokens):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    limit = np.uint64(min(2.0**64 - 2048, 2.0**64 / (SIMILARITY * len(tokens))))
+    # tokens are well mixed already, so one product is hash enough to draw them by
+    at = [np.nonzero((tokens ^ node) * ODD[4] < limit)[0] for node in nodes]
+    parents = np.repeat(nodes, [len(x) for x in at])
+    return parents, _mix(parents * ODD[3] + tokens[np.concatenate(at)])
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
-    """Slim rows: doc_id, text_key, cls (digest of the shingle set), n, and the nodes of each level."""
+    """Slim rows: doc_id, text_key, cls (digest of the shingle set), n, and keys (its nodes at level 1)."""
+    roots = _mix(np.arange(1, runs + 1, dtype=np.uint64) * ODD[2])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in batches_of(texts):
                 sets = shingle_sets(texts[a:b])
-                paths = [chosen_paths(s, runs) for s in sets]
-                out = {"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").array, "text_key": batch["text_key"].iloc[a:b].array, "cls": [set_digest(s) for s in sets], "n": [len(s) for s in sets]}
-                for d in range(DEPTH):
-                    out[f"p{d + 1}"] = [x[d][0].view(np.int64) for x in paths]
-                    out[f"k{d + 1}"] = [x[d][1].view(np.int64) for x in paths]
-                yield pd.DataFrame(out)
-
-    levels = "".join(f", p{d + 1} array<long>, k{d + 1} array<long>" for d in range(DEPTH))
+                keys = [drawn(s, roots)[1].view(np.int64) for s in sets]
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").array, "text_key": batch["text_key"].iloc[a:b].array, "cls": [set_digest(s) for s in sets], "n": [len(s) for s in sets], "keys": keys})
+
     rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_key long, cls string, n long" + levels)
+    return rows.mapInPandas(run, "doc_id long, text_key long, cls string, n long, keys array<long>")
 
 
 def _alike_sizes(members: str) -> str:
@@ -144,9 +134,9 @@ def _alike_sizes(members: str) -> str:
 
 
 def sized(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Rows of the keys that two rows or more have, with the key's size."""
+    """Rows (of a written table) of the keys that two rows or more have, with the key's size."""
     sizes = written(spark, rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    return written(spark, lookup(spark, rows, sizes, "key", "inner"), name)
+    return written(spark, lookup(spark, rows, sizes, "key", "inner", stable=True), name)
 
 
 def member_lists(rows: DataFrame, most: int = SMALL) -> DataFrame:
@@ -155,20 +145,36 @@ def member_lists(rows: DataFrame, most: int = SMALL) -> DataFrame:
     return members.select(F.expr(f"transform({_alike_sizes('members')}, x -> x.cls)").alias("members")).where(F.size("members") > 1)
 
 
-def buckets(spark: SparkSession, classes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Member lists of the small buckets, and what is large at level DEPTH (key, cls, n)."""
-    rows = classes.select("cls", "n", F.explode("k1").alias("key"))
-    lists, large = [], None
-    for level in range(1, DEPTH + 1):
-        rows = sized(spark, rows, f"level{level}")
+def paths_below(rows: DataFrame) -> DataFrame:
+    """(cls, tokens, keys) to cls, n, and the parents and keys of the nodes of levels 2 to DEPTH below ``keys``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            levels = {f"{c}{d}": [] for d in range(2, DEPTH + 1) for c in "pk"}
+            for tokens, nodes in zip(batch["tokens"], batch["keys"]):
+                mixed, nodes = _mix(tokens.view(np.uint32).astype(np.uint64) + ODD[2]), nodes.view(np.uint64)
+                for d in range(2, DEPTH + 1):
+                    parents, nodes = drawn(mixed, nodes)
+                    levels[f"p{d}"].append(parents.view(np.int64))
+                    levels[f"k{d}"].append(nodes.view(np.int64))
+            yield pd.DataFrame({"cls": batch["cls"], "n": batch["tokens"].map(len)} | levels)
+
+    return rows.mapInPandas(run, "cls string, n long" + "".join(f", p{d} array<long>, k{d} array<long>" for d in range(2, DEPTH + 1)))
+
+
+def buckets(spark: SparkSession, large: DataFrame, sets: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Split large buckets (key, cls, n) of level 1: member lists of small ones, and what is large at level DEPTH (key, cls, n)."""
+    keys = large.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # a few a run
+    paths = written(spark, paths_below(sets.join(keys.hint("shuffle_hash"), "cls").select("cls", "tokens", "keys").dropDuplicates(["cls"])), "paths")
+    lists = []
+    for level in range(2, DEPTH + 1):
+        rows = paths.select("cls", "n", F.explode(F.arrays_zip(f"p{level}", f"k{level}")).alias("x")).select("cls", "n", F.col(f"x.p{level}").alias("parent"), F.col(f"x.k{level}").alias("key"))
+        if level > 2:
+            rows = written(spark, rows.join(large.select(F.col("key").alias("parent")).distinct(), "parent", "left_semi"), "below")
+        rows = sized(spark, rows.select("cls", "n", "key"), f"level{level}")
         lists.append(member_lists(rows))
-        large = rows.where(F.col("size") > SMALL)
-        if level < DEPTH:
-            keys = large.select(F.col("key").alias("parent")).distinct()
-            below = classes.select("cls", "n", F.explode(F.arrays_zip(f"p{level + 1}", f"k{level + 1}")).alias("x"))
-            below = below.select("cls", "n", F.col(f"x.p{level + 1}").alias("parent"), F.col(f"x.k{level + 1}").alias("key"))
-            rows = below.join(keys, "parent", "left_semi").select("cls", "n", "key")
-    return lists, large.select("key", "cls", "n")
+        large = rows.where(F.col("size") > SMALL).select("key", "cls", "n")
+    return lists, large
 
 
 def union_of(frames: list[DataFrame]) -> DataFrame:
@@ -200,7 +206,7 @@ def measured(spark: SparkSession, rows: DataFrame, sets: DataFrame) -> DataFrame
     # a group's wide row is copied once per PART of its sets, so that no task has to hold a group
     copies = lambda wide: wide.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     first = sets.select(F.col("cls").alias("grp"), F.col("tokens").alias("head"))
-    wide = pairs.join(sets.select("cls", "tokens"), "cls").join(copies(first), ["grp", "part"])
+    wide = pairs.join(sets.select("cls", "tokens"), "cls").join(copies(first), ["grp", "part"]).dropDuplicates(["grp", "part", "cls"])
     both = F.size(F.array_intersect("tokens", "head"))
     alike = both >= LIKE * (F.size("tokens") + F.size("head") - both)
     gone, more = F.array_except("head", "tokens"), F.array_except("tokens", "head")
@@ -212,7 +218,7 @@ def measured(spark: SparkSession, rows: DataFrame, sets: DataFrame) -> DataFrame
     changes = lookup(spark, changes, sizes, "grp").where("2 * times > size")
     changes = changes.groupBy("grp").agg(F.collect_list(F.when(F.col("new"), F.col("token"))).alias("add"), F.collect_list(F.when(~F.col("new"), F.col("token"))).alias("drop"))
     empty = F.array().cast("array<int>")
-    centres = parts.select("grp").join(first, "grp").join(changes, "grp", "left")
+    centres = parts.select("grp").join(first, "grp").dropDuplicates(["grp"]).join(changes, "grp", "left")
     centres = centres.select("grp", F.concat(F.array_except("head", F.coalesce("drop", empty)), F.coalesce("add", empty)).alias("centre"))
     centres = written(spark, centres, "centres")
     found = wide.select("cls", "grp", "part", "keys", "tokens").join(copies(centres), ["grp", "part"])
@@ -235,7 +241,7 @@ def settled(spark: SparkSession, large: DataFrame, sets: DataFrame) -> tuple[lis
         group = found.where("around").select("cls", F.xxhash64(F.lit(level), "grp").alias("gid"), "u", "n_c", "near", "diff")
         groups = group if groups is None else groups.unionByName(group)
         below = found.where("NOT near").select("cls", F.explode("children").alias("key")).distinct().join(sets.select("cls", F.size("tokens").alias("n")), "cls")
-        rows = sized(spark, below, f"level{level}")
+        rows = sized(spark, written(spark, below, "below"), f"level{level}")
         lists.append(member_lists(rows, LATER))
         large = rows.where(F.col("size") > LATER).select("key", "cls", "n")
     return lists, groups
@@ -420,8 +426,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 def links_of_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Counts (cls, links) that add up to each class's links, and edges (a, b) with the same components as all links."""
-    lists, large = buckets(spark, classes)
-    members = written(spark, union_of(lists).distinct(), "lists")  # a list is often the same in many buckets
+    rows = sized(spark, classes.select("cls", "n", F.explode("keys").alias("key")), "level1")
+    members = written(spark, member_lists(rows).distinct(), "lists")  # a list is often the same in many buckets
+    large = rows.where(F.col("size") > SMALL).select("key", "cls", "n")
 
     # the sets of the classes that met another; the slim side is built, so that texts are shuffled once and not sorted
     met = members.select(F.explode("members").alias("cls")).unionByName(large.select("cls")).distinct()
@@ -429,9 +436,9 @@ def links_of_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row_key"))
     rows = rows.join(met.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("met_id")) & (F.col("row_key") == F.col("met_key")))
     sets = written(spark, token_sets(rows.select("cls", F.coalesce("text", F.lit("")).alias("text"))), "sets")
+    lists, large = buckets(spark, large, sets)
     more, groups = settled(spark, large, sets)
-    if more:
-        members = union_of([members, *more])
+    members = written(spark, union_of([members, *lists, *more]).distinct(), "lists")
 
     units = members.select(F.sha2(F.array_join("members", ""), 256).alias("unit"), F.explode("members").alias("cls"))
     units = units.join(sets.hint("shuffle_hash"), "cls").repartition("unit").sortWithinPartitions("unit", "cls")
@@ -457,8 +464,7 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     first_key tells the rows of the text that class_id stands for.
     """
     seen = written(spark, prints(docs, id_col, text_col, runs_for(recall)), "prints")
-    same = [F.any_value(c).alias(c) for d in range(1, DEPTH + 1) for c in (f"p{d}", f"k{d}")]
-    classes = written(spark, seen.groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), *same), "classes")
+    classes = written(spark, seen.groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.any_value("keys").alias("keys")), "classes")
     counts, edges = links_of_classes(spark, docs, classes, id_col, text_col)
     counts = counts.groupBy("cls").agg(F.sum("links").alias("n_links"))
     of_class = classes.select("cls", "first").join(components(spark, edges), "cls", "left").join(counts, "cls", "left")

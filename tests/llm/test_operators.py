@@ -285,6 +285,9 @@ def test_jaccard_join_finds_the_links(spark, small, monkeypatch):
                 front += joined[s]
     assert all(got[i].class_id == first[shingles(t)] for i, t in enumerate(texts))
     assert got[len(texts) - 5].class_id == len(texts) - 6 and got[len(texts) - 3].class_id == len(texts) - 4
+    if not small:
+        again = jaccard_join.join_classes(spark, docs.union(docs)).collect()  # rows repeated in full
+        assert len(again) == 2 * len(texts) and all((r.class_id, r.n_links) == (got[r.doc_id].class_id, got[r.doc_id].n_links) for r in again)
     kept = jaccard_join.one_of_each(spark, docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.class_id for r in got.values()})
 
