@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, jaccard_join, licences, mixing, pieces, quality, secret_ledger, telephony, toxicity, warc
+from noteflow.llm import exact_dedup, jaccard_join, licences, manifest, mixing, pieces, quality, runs, secret_ledger, telephony, toxicity, warc
 from noteflow.llm.store import new_folder
 
 
@@ -69,6 +69,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_table(spark, sf_dir, "documents"), change=runs.looped)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(spark, _table(spark, sf_dir, "documents")).drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
@@ -80,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_telephony": op9_telephony,
     "op10_toxicity": op10_toxicity,
+    "op11_runs": op11_runs,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,5 +109,48 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST)
+""",
+    "op13_manifest": """
+WITH RECURSIVE crc AS (  -- CRC-32 of the decimal id, byte by byte
+  SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+         list_reduce(list_prepend(xor(c, b), [0,0,0,0,0,0,0,0]::BIGINT[]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS folded,
+         xor(folded, 4294967295) AS c
+  FROM (SELECT DISTINCT doc_id FROM documents)),
+d AS (
+  SELECT doc_id, lang, crc.c % 7 = 0 AND n_chars IS NOT NULL AS hit, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+         coalesce(strlen(text) || ':' || text, '-') AS back
+  FROM documents JOIN crc USING (doc_id)),
+leaf AS (
+  SELECT doc_id, lang, sha256(front || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || back) AS leaf,
+         CASE WHEN hit THEN sha256(front || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)::VARCHAR || back) END AS now
+  FROM d),
+node(tree, lvl, idx, n, h) AS (
+  SELECT coalesce('s' || lang, 'n'), 0, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1, count(*) OVER (PARTITION BY lang), leaf FROM leaf
+  UNION ALL
+  SELECT tree, any_value(lvl) + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY tree, idx // 2),
+top(lvl, idx, n, h, tree) AS (
+  SELECT 0, row_number() OVER (ORDER BY tree) - 1, count(*) OVER (), h, tree FROM node WHERE n = 1
+  UNION ALL
+  SELECT any_value(lvl) + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx)), NULL FROM top WHERE n > 1 GROUP BY idx // 2),
+placed AS (
+  SELECT doc_id, leaf, coalesce(now, leaf) AS now, coalesce('s' || lang, 'n') AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaf),
+up(doc_id, leaf, tree, lvl, idx, proof, f, done) AS (
+  SELECT doc_id, leaf, tree, 0, idx, '', now, false FROM placed
+  UNION ALL
+  SELECT u.doc_id, u.leaf, u.tree, u.lvl + 1, u.idx // 2, u.proof || coalesce(s.h, ''),
+         CASE WHEN u.idx % 2 = 0 THEN sha256(u.f || coalesce(s.h, '')) ELSE sha256(s.h || u.f) END, false
+  FROM up u JOIN node me ON me.tree = u.tree AND me.lvl = u.lvl AND me.idx = u.idx AND me.n > 1
+       LEFT JOIN node s ON s.tree = u.tree AND s.lvl = u.lvl AND s.idx = xor(u.idx, 1)),
+sub AS (SELECT u.*, r.h AS subroot, t.idx AS place FROM up u JOIN node r ON r.tree = u.tree AND r.n = 1 AND r.lvl = u.lvl JOIN top t ON t.tree = u.tree AND t.lvl = 0),
+over(doc_id, leaf, subroot, lvl, idx, proof, f) AS (
+  SELECT doc_id, leaf, subroot, 0, place, proof, f FROM sub
+  UNION ALL
+  SELECT u.doc_id, u.leaf, u.subroot, u.lvl + 1, u.idx // 2, u.proof || coalesce(s.h, ''),
+         CASE WHEN u.idx % 2 = 0 THEN sha256(u.f || coalesce(s.h, '')) ELSE sha256(s.h || u.f) END
+  FROM over u JOIN top me ON me.lvl = u.lvl AND me.idx = u.idx AND me.n > 1 LEFT JOIN top s ON s.lvl = u.lvl AND s.idx = xor(u.idx, 1))
+SELECT o.doc_id, o.leaf, o.subroot, r.h AS root, sha256(o.proof) AS proof_sha256, o.f AS folded_root, o.f = r.h AS verified
+FROM over o JOIN top r ON r.n = 1 AND r.lvl = o.lvl
 """,
 }
