@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, jaccard_join, licences, manifest, mixing, pieces, quality, runs, secret_ledger, telephony, toxicity, warc
+from noteflow.llm import exact_dedup, jaccard_join, licences, manifest, mixing, nn_descent, pieces, quality, runs, secret_ledger, telephony, toxicity, warc
 from noteflow.llm.store import new_folder
 
 
@@ -74,6 +74,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(spark, _table(spark, sf_dir, "documents")).drop("proof")
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_telephony": op9_telephony,
     "op10_toxicity": op10_toxicity,
     "op11_runs": op11_runs,
+    "op12_near_vectors": op12_near_vectors,
     "op13_manifest": op13_manifest,
 }
 
@@ -109,6 +114,19 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST)
+""",
+    "op12_near_vectors": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)
+        AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
 """,
     "op13_manifest": """
 WITH RECURSIVE crc AS (  -- CRC-32 of the decimal id, byte by byte
