@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteflow.llm.store import written
+from noteflow.llm.store import new_folder, written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes of a run.
@@ -36,6 +36,8 @@ FAN = 2
 #: Places are numbered inside ranges in the low bits of Spark's increasing ids.
 ROW_BITS = 33
 ONLY = "all"
+#: Levels that proofs go down in one job.
+STEP = 3
 
 
 def field(value: Column) -> Column:
@@ -94,24 +96,29 @@ def runs_of_siblings(nodes: DataFrame, fan: int = FAN) -> DataFrame:
     return runs.select("tree", F.floor(F.col("idx") / fan).alias("idx"), F.ceil(F.col("size") / fan).alias("size"), F.array_compact(F.array("digest", *more)).alias("kids"))
 
 
-def parents(runs: DataFrame) -> DataFrame:
+def parents(runs: DataFrame, *more: str) -> DataFrame:
     """The nodes of the next level: tree, idx, size, digest."""
-    return runs.select("tree", "idx", "size", digest(F.array_join(F.transform("kids", hexed), "")).alias("digest"))
+    return runs.select("tree", "idx", "size", *more, digest(F.array_join(F.transform("kids", hexed), "")).alias("digest"))
 
 
 def built(spark: SparkSession, nodes: DataFrame, fan: int = FAN) -> tuple[list[DataFrame], DataFrame]:
-    """Levels of sibling runs, lowest first, and the roots: tree, digest, depth."""
+    """Levels of sibling runs, lowest first, and the roots: tree, digest, depth. The levels are parts of one written table."""
     most = nodes.agg(F.max("size")).first()[0] or 0
-    levels: list[DataFrame] = []
     roots = nodes.where("size = 1").select("tree", "digest", F.lit(0).alias("depth"))
+    levels: list[DataFrame] = []
+    folder = new_folder(spark, "levels")
     while most > 1:
-        levels.append(written(spark, runs_of_siblings(nodes, fan), f"level{len(levels)}"))
+        runs, path = runs_of_siblings(nodes, fan), f"{folder}/level={len(levels)}"
+        runs.write.parquet(path)
+        levels.append(spark.read.schema(runs.schema).parquet(path))
         nodes, most = parents(levels[-1]), -(-most // fan)
-        roots = roots.unionByName(nodes.where("size = 1").select("tree", "digest", F.lit(len(levels)).alias("depth")))
+    if levels:
+        every = spark.read.schema(levels[0].schema.add("level", "int")).parquet(folder).where("size = 1")
+        roots = roots.unionByName(parents(every.withColumn("level", F.col("level") + 1), "level").select("tree", "digest", F.col("level").alias("depth")))
     return levels, roots
 
 
-def paths(levels: list[DataFrame], tops: DataFrame, fan: int = FAN) -> DataFrame | None:
+def paths(spark: SparkSession, levels: list[DataFrame], tops: DataFrame, fan: int = FAN) -> DataFrame | None:
     """The lowest sibling runs, each with the siblings above it: tree, idx, kids, path, carried columns of ``tops``.
 
     ``tops``: tree, depth, path (what follows the root's own proof), and columns
@@ -125,6 +132,8 @@ def paths(levels: list[DataFrame], tops: DataFrame, fan: int = FAN) -> DataFrame
             kid = kid.withColumn("path", F.concat(siblings("kids", F.col("slot")), "path")).withColumn("idx", F.col("idx") * fan + F.col("slot"))
             here = kid.drop("kids", "slot", "kid").unionByName(here)
         runs = levels[level].select("tree", "idx", "kids").join(here, ["tree", "idx"])
+        if level and level % STEP == 0:
+            runs = written(spark, runs, "paths")
     return runs
 
 
@@ -133,10 +142,10 @@ def siblings(kids: str, slot: Column) -> Column:
     return F.aggregate(F.filter(kids, lambda x, i: i != slot), F.unhex(F.lit("")), lambda sofar, x: F.concat(sofar, x))
 
 
-def proofs(nodes: DataFrame, levels: list[DataFrame], tops: DataFrame, fan: int = FAN) -> DataFrame:
+def proofs(spark: SparkSession, nodes: DataFrame, levels: list[DataFrame], tops: DataFrame, fan: int = FAN) -> DataFrame:
     """``nodes`` (tree, idx, size, ...) with ``path``, all siblings up to the root and what ``tops`` has above it, and columns of ``tops``."""
     alone = nodes.where("size = 1").join(tops, "tree")
-    runs = paths(levels, tops, fan)
+    runs = paths(spark, levels, tops, fan)
     if runs is None:
         return alone
     parent = nodes.where("size > 1").withColumn("parent", F.floor(F.col("idx") / fan))
@@ -172,9 +181,9 @@ def manifest(spark: SparkSession, docs: DataFrame, key: str = "doc_id", part: st
     whole = top.first()
     root, top_depth = (hexed(F.lit(bytes(whole["digest"]))), whole["depth"]) if whole else (F.lit(""), 0)
     above = spark.range(1).select(F.lit(ONLY).alias("tree"), F.lit(top_depth).alias("depth"), F.unhex(F.lit("")).alias("path"))
-    tops = proofs(subroots.withColumnRenamed("depth", "own"), top_levels, above, fan)
+    tops = proofs(spark, subroots.withColumnRenamed("depth", "own"), top_levels, above, fan)
     tops = written(spark, tops.select(F.col("of").alias("tree"), F.col("own").alias("depth"), "path", F.col("digest").alias("subroot"), F.col("idx").alias("place"), F.col("size").alias("trees")), "tops")
-    found = proofs(rows, levels, tops, fan)
+    found = proofs(spark, rows, levels, tops, fan)
     now = hexed(F.coalesce("now", "leaf"))
     inside = folded(now, F.col("path"), F.col("idx"), F.col("size"), F.col("depth"), fan)
     found = found.withColumn("inside", inside)
