@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from noteflow.llm.store import new_folder, written
 
@@ -113,7 +114,7 @@ def built(spark: SparkSession, nodes: DataFrame, fan: int = FAN) -> tuple[list[D
         levels.append(spark.read.schema(runs.schema).parquet(path))
         nodes, most = parents(levels[-1]), -(-most // fan)
     if levels:
-        every = spark.read.schema(levels[0].schema.add("level", "int")).parquet(folder).where("size = 1")
+        every = spark.read.schema(StructType([*levels[0].schema.fields, StructField("level", IntegerType())])).parquet(folder).where("size = 1")
         roots = roots.unionByName(parents(every.withColumn("level", F.col("level") + 1), "level").select("tree", "digest", F.col("level").alias("depth")))
     return levels, roots
 
