@@ -63,22 +63,76 @@ def terms(document: Column) -> Column:
     return F.concat(words, parts)
 
 
+def positioned(document: Column) -> Column:
+    """Lower-case terms in the order of the text; a hyphenated word is followed by its parts. A term's index is its position."""
+    words = F.regexp_extract_all(F.lower(document), F.lit(TERM), 0)
+    return F.flatten(F.transform(words, lambda w: F.when(F.contains(w, F.lit("-")), F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w))))
+
+
+#: A quoted phrase or a word of a query, with the minus signs before it.
+OPERAND = r"((?:-\s*)*)(\"[^\"]*\"?|[^\s\"-][^\s\"]*)"
+LITERAL = "struct<phrase: array<string>, barred: boolean>"
+
+
+def query_tree(query: Column) -> Column:
+    """array<array<struct(phrase, barred)>>: alternatives of literals that all must hold.
+
+    The syntax of a web search box: words side by side must all be there, quoted
+    words in that order with nothing in between, ``or`` between two operands
+    begins an alternative, a minus bars what follows it (two minuses cancel
+    out). What else could be an operator (``&|!()``) is a space. An ``or``
+    that has no operand on one of its sides is a word; an operand without a term
+    is left out, and so is an alternative without any.
+    """
+    plain = F.translate(F.coalesce(query, F.lit("")), "&|!()", "     ")
+    signs, values = (F.regexp_extract_all(F.lower(plain), F.lit(OPERAND), i) for i in (1, 2))
+    pairs = F.arrays_zip(signs.alias("sign"), values.alias("value"), F.sequence(F.lit(1), F.size(values)).alias("place"))
+    pairs = F.when(F.size(values) > 0, pairs).otherwise(F.array().cast("array<struct<sign: string, value: string, place: int>>"))
+    start = F.struct(
+        F.array().cast(f"array<array<{LITERAL}>>").alias("done"), F.array().cast(f"array<{LITERAL}>").alias("now"), F.lit(False).alias("operand"), F.size(values).alias("n"),
+    )
+
+    def step(state: Column, token: Column) -> Column:
+        splits = state["operand"] & (token["sign"] == "") & (token["value"] == "or") & (token["place"] < state["n"])
+        barred = F.length(F.regexp_replace(token["sign"], "[^-]", "")) % 2 == 1
+        literal = F.struct(positioned(token["value"]).alias("phrase"), barred.alias("barred"))
+        return F.struct(
+            F.when(splits, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
+            F.when(splits, F.array().cast(f"array<{LITERAL}>")).otherwise(F.concat(state["now"], F.array(literal))).alias("now"),
+            (~splits).alias("operand"), state["n"].alias("n"),
+        )
+
+    every = F.aggregate(pairs, start, step, lambda state: F.concat(state["done"], F.array(state["now"])))
+    return F.filter(F.transform(every, lambda group: F.filter(group, lambda x: F.size(x["phrase"]) > 0)), lambda group: F.size(group) > 0)
+
+
+def tree_terms(tree: Column, barred: bool | None = None) -> Column:
+    """The distinct terms of a query tree: all, those of barred literals, or those of the others."""
+    literals = F.flatten(tree)
+    if barred is not None:
+        literals = F.filter(literals, lambda x: x["barred"] == barred)
+    return F.array_distinct(F.flatten(F.transform(literals, lambda x: x["phrase"])))
+
+
+def tree_holds(tree: Column, places: Column) -> Column:
+    """Whether a document holds for a tree; ``places``: map of the document's terms to their positions."""
+
+    def phrase(words: Column) -> Column:
+        rest = F.slice(words, F.lit(2), F.size(words))
+        follows = lambda p: F.forall(F.transform(rest, lambda w, i: F.coalesce(F.array_contains(F.try_element_at(places, w), p + i + 1), F.lit(False))), lambda x: x)
+        return F.coalesce(F.exists(F.try_element_at(places, F.element_at(words, 1)), follows), F.lit(False))
+
+    return F.exists(tree, lambda group: F.forall(group, lambda x: phrase(x["phrase"]) != x["barred"]))
+
+
 def query_terms(query: Column) -> Column:
-    """struct(must, must_not): required words; words after a minus must be absent."""
+    """struct(must, must_not): the words of a query without quotes and ``or``; ``query_tree`` reads the whole syntax."""
     pieces = F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != "")
     minus = lambda w: F.startswith(w, F.lit("-"))
     words = lambda a: F.array_distinct(F.flatten(F.transform(a, lambda w: F.regexp_extract_all(w, F.lit(TERM), 0))))
     return F.struct(words(F.filter(pieces, lambda w: ~minus(w))).alias("must"), words(F.filter(pieces, minus)).alias("must_not"))
 
 
-def text_rank(document_terms: Column, must: Column) -> Column:
-    """Mean over the required terms of the sum of 1 / i**2 for i up to the term's count."""
-    gain = lambda n: F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))
-    count = lambda t: F.size(F.filter(document_terms, lambda x: x == t))
-    total = F.aggregate(must, F.lit(0.0), lambda a, t: a + F.when(count(t) > 0, gain(count(t))).otherwise(F.lit(0.0)))
-    return total / F.size(must)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double; null where a norm is 0 or the lengths differ."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)

@@ -96,12 +96,25 @@ def upserted_devices(old: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
-def search_log_rows(queries: DataFrame, results: DataFrame, at: Column) -> DataFrame:
-    """One log row per query: filters as JSON, result count, clock as given."""
+def search_log_rows(queries: DataFrame, results: DataFrame, at: Column, latency_ms: Column | None = None, min_score: float = 0.0) -> DataFrame:
+    """One log row per query: effective filters and least score as JSON, top_k, result count, latency and clock as given.
+
+    Filters are the query's f_ columns (``search.effective_filters``); a query
+    without such columns logs none.
+    """
     counts = results.groupBy("query_id").agg(F.count("*").alias("result_count"))
-    filters = F.to_json(F.struct(*[c for c in queries.columns if c.startswith("f_")])) if any(c.startswith("f_") for c in queries.columns) else F.lit("{}")
+    names = sorted(c for c in queries.columns if c.startswith("f_"))
+    least = [F.coalesce(F.col("min_score").cast("double"), F.lit(min_score)).alias("min_score")] if "min_score" in queries.columns else []
+    filters = F.to_json(F.struct(*[F.col(c).alias(c[2:]) for c in names], *least)) if names else F.lit("{}")
     out = queries.join(counts, "query_id", "left")
-    return out.select(F.col("query_id").cast("string").alias("request_id"), "vault_id", "query", filters.alias("filters"), F.coalesce("result_count", F.lit(0)).alias("result_count"), at.alias("created_at"))
+    more = [F.col("top_k")] if "top_k" in queries.columns else []
+    more += [latency_ms.cast("long").alias("latency_ms")] if latency_ms is not None else []
+    return out.select(F.col("query_id").cast("string").alias("request_id"), "vault_id", "query", filters.alias("filters"), F.coalesce("result_count", F.lit(0)).alias("result_count"), at.alias("created_at"), *more)
+
+
+def append_search_log(log: DataFrame, path: str) -> None:
+    """Add log rows to the stored ones, in files by the day of their clock."""
+    log.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def browse_logs(logs: DataFrame, vault_id: str, from_time: Column, to_time: Column, like: str | None = None, limit: int = 100) -> DataFrame:

@@ -7,8 +7,6 @@ Every ranking ends with chunk_id, so results do not depend on partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,12 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteflow.functions import text as T
+from noteflow.functions.notes import ENUMS
+from noteflow.operators import maintenance as M
 from noteflow.sources.scratch import written
 
 RRF_K, CANDIDATES, TOP_K, MOST_TOP_K, PER_SOURCE, RERANK_CANDIDATES = 60, 50, 5, 10, 2, 15
 DEFAULT_STATUS = ("current",)
-#: Query vectors that are sent to every task at once, as bytes; more queries go in further blocks.
-BROADCAST_BYTES = 64 << 20
+#: Filter lists of a query, in the order of their checks (a query has them as f_type and so on).
+LISTS = ("type", "status", "priority", "visibility")
+FILTERS = (*(f"f_{c}" for c in LISTS), "f_tags", "f_project", "f_domain")
+META = (*LISTS, "tags", "project", "domain")
+#: Chunks and queries of a tile of the vector leg.
+TILE_CHUNKS, TILE_QUERIES = 16_384, 1024
 
 
 def fresh_chunks(chunks: DataFrame, files: DataFrame, model: str) -> DataFrame:
@@ -48,22 +52,42 @@ def metadata_filter(
     return wanted
 
 
-def query_filter() -> Column:
-    """The same for a pair row whose query has f_status, f_tags (lists) and f_project, f_domain (null: any)."""
-    listed = lambda f, c: (F.size(f) == 0) | F.array_contains(F.col(f), F.col(c))
-    equal = lambda f, c: F.col(f).isNull() | (F.col(f) == F.col(c))
-    tagged = (F.size("f_tags") == 0) | F.coalesce(F.arrays_overlap("f_tags", "tags"), F.lit(False))
-    return listed("f_status", "status") & equal("f_project", "project") & equal("f_domain", "domain") & tagged
+def query_filter(lists: tuple[str, ...] = ("status",)) -> Column:
+    """The same for a pair row whose query has f_<list> for the given lists and f_tags (arrays; empty: any), f_project and f_domain (null: any)."""
+    wanted = F.lit(True)
+    for c in lists:
+        wanted &= (F.size(f"f_{c}") == 0) | F.coalesce(F.array_contains(F.col(f"f_{c}"), F.col(c)), F.lit(False))
+    for c in ("project", "domain"):
+        wanted &= F.col(f"f_{c}").isNull() | F.coalesce(F.col(f"f_{c}") == F.col(c), F.lit(False))
+    return wanted & ((F.size("f_tags") == 0) | F.coalesce(F.arrays_overlap("f_tags", "tags"), F.lit(False)))
+
+
+def effective_filters(queries: DataFrame) -> DataFrame:
+    """``queries`` with all filter columns: missing ones and nulls take the default (status: current, others: any); lists without repeats, texts trimmed, blank ones null."""
+    given = lambda c, kind: F.col(c).cast(kind) if c in queries.columns else F.lit(None).cast(kind)
+    usual = {"status": F.array(*map(F.lit, DEFAULT_STATUS))}
+    none = F.array().cast("array<string>")
+    lists = {f"f_{c}": F.array_distinct(F.coalesce(given(f"f_{c}", "array<string>"), usual.get(c, none))) for c in LISTS}
+    tags = F.array_distinct(F.filter(F.transform(F.coalesce(given("f_tags", "array<string>"), none), lambda t: F.trim(t)), lambda t: t != ""))
+    texts = {f"f_{c}": F.nullif(F.trim(given(f"f_{c}", "string")), F.lit("")) for c in ("project", "domain")}
+    return queries.withColumns({**lists, "f_tags": tags, **texts})
+
+
+def filter_error() -> Column:
+    """The first filter list of a query with a value that the frontmatter does not have; null where all are known."""
+    bad = lambda c: F.exists(F.col(f"f_{c}"), lambda v: v.isNull() | ~v.isin(*sorted(ENUMS[c])))
+    return F.coalesce(*[F.when(bad(c), f"filter {c} has an unsupported value") for c in LISTS])
 
 
 def checked_queries(queries: DataFrame, vaults: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good queries and rejected ones with their first error: blank text or vault, top_k outside 1..10, min_score outside 0..1, no active vault."""
+    """Good queries and rejected ones with their first error: blank text or vault, an unknown value in a filter, top_k outside 1..10, min_score outside 0..1, no active vault."""
     active = vaults.where("is_active").select(F.col("vault_id").alias("known_vault"))
     rows = queries.withColumns({"query": F.trim("query"), "vault_id": F.trim("vault_id"), "top_k": F.coalesce("top_k", F.lit(TOP_K))})
     rows = rows.join(active, F.col("vault_id") == F.col("known_vault"), "left")
+    filtered = filter_error() if all(f"f_{c}" in queries.columns for c in LISTS) else F.lit(None).cast("string")
     error = (
         F.when(F.coalesce("query", F.lit("")) == "", "query is required").when(F.coalesce("vault_id", F.lit("")) == "", "vault is required")
-        .when(~F.col("top_k").between(1, MOST_TOP_K), f"top_k must be between 1 and {MOST_TOP_K}").when(~F.col("min_score").between(0, 1), "min_score must be between 0 and 1")
+        .when(filtered.isNotNull(), filtered).when(~F.col("top_k").between(1, MOST_TOP_K), f"top_k must be between 1 and {MOST_TOP_K}").when(~F.col("min_score").between(0, 1), "min_score must be between 0 and 1")
         .when(F.col("known_vault").isNull(), "vault not found")
     )
     rows = rows.withColumn("error", error).drop("known_vault")
@@ -83,67 +107,85 @@ def vector_leg(queries: DataFrame, chunks: DataFrame, n: int = CANDIDATES) -> Da
 
 
 def block_vector_leg(queries: DataFrame, chunks: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """The same by matrix products: each task multiplies its chunks with a block of queries and keeps n per query.
+    """The same by matrix products of tiles: the chunks of a vault in parts, its queries in blocks, a task for each pair of them.
 
-    Queries travel in blocks of a bounded size; chunks are never shuffled, only
-    the n best of each task.
+    Parts and blocks are dealt by hash and have a bounded number of rows, so a
+    vault of any size is many tiles; chunks are shuffled once for every block
+    of queries of their vault (one, mostly), and each tile keeps n chunks a
+    query. Queries with filters (``FILTERS``) get chunks that pass them.
     """
-    spark, out = queries.sparkSession, None
-    rows = queries.select("query_id", "vault_id", "query_embedding").where("query_embedding IS NOT NULL").toLocalIterator(prefetchPartitions=True)
-    for block in _blocks(rows):
-        shared = spark.sparkContext.broadcast(block)
-        part = chunks.select("chunk_id", "vault_id", "embedding").mapInArrow(lambda batches, shared=shared: _block_scores(batches, shared.value, n), "query_id long, chunk_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, chunk_id long, score double")
-    return _top(out, [F.desc("score"), F.asc("chunk_id")], n, "vector_rank")
-
-
-def _blocks(rows: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += 8 * len(row.query_embedding)
-        if size >= BROADCAST_BYTES:
-            yield _packed(held)
-            held, size = [], 0
-    if held:
-        yield _packed(held)
-
-
-def _packed(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    matrix = np.array([r.query_embedding for r in rows], dtype=np.float64)
-    return np.array([r.query_id for r in rows]), np.array([r.vault_id for r in rows], dtype=object), matrix
-
-
-def _block_scores(batches: Iterator[pa.RecordBatch], block: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
-    ids, vaults, matrix = block
-    norms = np.linalg.norm(matrix, axis=1)
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        vault = np.array(batch.column("vault_id").to_pylist(), dtype=object)
-        chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-        vectors = batch.column("embedding")
-        rows = np.nonzero(pc.equal(pc.fill_null(pc.list_value_length(vectors), -1), matrix.shape[1]).to_numpy(zero_copy_only=False))[0]
-        if not len(rows):
-            continue
-        x = vectors.take(pa.array(rows)).flatten().to_numpy().astype(np.float64).reshape(len(rows), -1)
-        size = np.linalg.norm(x, axis=1)
-        for name in set(vault[rows]):
-            mine, asked = np.nonzero((vault[rows] == name) & (size > 0))[0], np.nonzero((vaults == name) & (norms > 0))[0]
-            if not len(mine) or not len(asked):
-                continue
-            score = (matrix[asked] @ x[mine].T) / (norms[asked][:, None] * size[mine][None, :])
-            for k, q in enumerate(asked.tolist()):
-                c, s = chunk[rows[mine]], score[k]
-                if q in best:
-                    c, s = np.r_[best[q][0], c], np.r_[best[q][1], s]
-                order = np.lexsort((c, -s))[:n]
-                best[q] = c[order], s[order]
-    if best:
-        query = np.concatenate([np.full(len(c), ids[q]) for q, (c, _) in best.items()])
-        columns = [query, np.concatenate([c for c, _ in best.values()]), np.concatenate([s for _, s in best.values()])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "chunk_id", "score"])
+    spark, own = queries.sparkSession, [c for c in FILTERS if c in queries.columns]
+    asked = queries.select("query_id", "vault_id", "query_embedding", *own).where("query_embedding IS NOT NULL")
+    chunks = chunks.select("chunk_id", "vault_id", "embedding", *(META if own else ()))
+    tiles = asked.groupBy("vault_id").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("blocks"))
+    tiles = tiles.join(chunks.groupBy("vault_id").agg(F.ceil(F.count("*") / TILE_CHUNKS).cast("int").alias("parts")), "vault_id")
+    tiles = written(spark, tiles, "tiles")  # a row a vault
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one_of = lambda key, c: F.pmod(F.xxhash64(key), c).cast("int")
+    left = chunks.join(tiles, "vault_id").withColumn("part", one_of("chunk_id", "parts")).withColumn("block", all_of("blocks")).drop("parts", "blocks")
+    right = asked.join(tiles, "vault_id").withColumn("block", one_of("query_id", "blocks")).withColumn("part", all_of("parts")).drop("parts", "blocks")
+    keys = ["vault_id", "part", "block"]
+    run = lambda a, b: _tile(a, b, n, own)
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, chunk_id long, score double")
+    return _top(best, [F.desc("score"), F.asc("chunk_id")], n, "vector_rank")
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the column with vectors of that width and a norm over 0, and their unit vectors."""
+    column = column.combine_chunks()
+    rows = np.nonzero(pc.equal(pc.fill_null(pc.list_value_length(column), -1), width).to_numpy(zero_copy_only=False))[0]
+    x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+    norms = np.sqrt((x * x).sum(axis=1))
+    good = norms > 0
+    return rows[good], x[good] / norms[good, None]
+
+
+def _passing(filters: tuple, meta: dict[str, list]) -> np.ndarray:
+    """Which chunks pass a query's filters."""
+    wanted = dict(filters)
+    out = np.ones(len(meta["status"]), bool)
+    for c in LISTS:
+        if wanted[f"f_{c}"]:
+            out &= np.isin(np.array(meta[c], dtype=object), list(wanted[f"f_{c}"]))
+    for c in ("project", "domain"):
+        if wanted[f"f_{c}"] is not None:
+            out &= np.array([v == wanted[f"f_{c}"] for v in meta[c]], bool)
+    if wanted["f_tags"]:
+        tags = set(wanted["f_tags"])
+        out &= np.array([bool(tags.intersection(v or ())) for v in meta["tags"]], bool)
+    return out
+
+
+def _tile(chunks: pa.Table, queries: pa.Table, n: int, own: list[str]) -> pa.Table:
+    """query_id, chunk_id, score: the n best chunks of a tile for each of its queries; ties go to the smaller chunk_id."""
+    meta = {c: chunks.column(c).to_pylist() for c in META} if own else {}
+    asked = [tuple(sorted((c, tuple(v) if isinstance(v, list) else v) for c, v in r.items())) for r in queries.select(own).to_pylist()] if own else [()] * queries.num_rows
+    masks: dict[tuple, np.ndarray] = {}
+    chunk, query = chunks.column("chunk_id").to_numpy(), queries.column("query_id").to_numpy()
+    widths = np.unique(pc.list_value_length(queries.column("query_embedding")).to_numpy())
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for width in widths.tolist():
+        at, x = _matrix(chunks.column("embedding"), width)
+        asks, q = _matrix(queries.column("query_embedding"), width)
+        order = np.argsort(chunk[at], kind="stable")
+        at, x = at[order], x[order]
+        for begin in range(0, len(asks) if len(at) else 0, 128):
+            scores = q[begin : begin + 128] @ x.T
+            if own:
+                for i, row in enumerate(asks[begin : begin + 128]):
+                    if asked[row] not in masks:
+                        masks[asked[row]] = _passing(asked[row], meta)
+                    scores[i, ~masks[asked[row]][at]] = -np.inf
+            last = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n] if len(at) > n else np.full((len(scores), 1), -np.inf)
+            i, j = np.nonzero((scores >= last) & (scores > -np.inf))
+            best = np.lexsort((chunk[at[j]], -scores[i, j], i))
+            i, j = i[best], j[best]
+            firsts = np.searchsorted(i, np.arange(len(scores)))
+            head = np.arange(len(i)) - firsts[i] < n
+            i, j = i[head], j[head]
+            found.append((query[asks[begin + i]], chunk[at[j]], scores[i, j]))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "chunk_id", "score"])
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -154,22 +196,31 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def lexical_leg(queries: DataFrame, chunks: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """query_id, chunk_id, rank_value, lexical_rank: chunks that hold all required words and no forbidden one.
+    """query_id, chunk_id, rank_value, lexical_rank: chunks for which the query's tree (``text.query_tree``) holds.
 
-    Only words of queries leave a chunk's task: postings are joined with them before any shuffle.
+    Only words of queries leave a chunk's task, with their positions: postings
+    are joined with them before any shuffle. An alternative of barred literals
+    alone asks for all chunks of the vault (by their ids). The rank is the mean,
+    over the distinct words of literals that are not barred, of the sum of 1 / i**2
+    for i up to the word's count. Queries with filters get chunks that pass them.
     """
-    asked = queries.select("query_id", "vault_id", T.query_terms(F.col("query")).alias("q"))
-    words = asked.select("query_id", "vault_id", F.size("q.must").alias("n_must"), F.explode("q.must").alias("term"), F.lit(True).alias("required"))
-    words = words.unionByName(asked.select("query_id", "vault_id", F.size("q.must").alias("n_must"), F.explode("q.must_not").alias("term"), F.lit(False).alias("required")))
-    terms = T.terms(T.lexical_document(F.col("title"), F.col("source_path"), F.col("tags"), F.col("content")))
-    found = chunks.select("chunk_id", "vault_id", F.explode(terms).alias("term")).join(words, ["vault_id", "term"])
-    found = found.groupBy("query_id", "chunk_id", "n_must", "term", "required").agg(F.count("*").cast("int").alias("tf"))
-    gain = F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))
-    hits = found.groupBy("query_id", "chunk_id", "n_must").agg(
-        F.count_if("required").alias("n_found"), F.count_if(~F.col("required")).alias("n_barred"), F.sum(F.when(F.col("required"), gain)).alias("gain")
-    )
-    hits = hits.where("n_found = n_must AND n_barred = 0").select("query_id", "chunk_id", F.round(F.col("gain") / F.col("n_must"), 9).alias("rank_value"))
-    return _top(hits, [F.desc("rank_value"), F.asc("chunk_id")], n, "lexical_rank")
+    own = [c for c in FILTERS if c in queries.columns]
+    asked = queries.select("query_id", "vault_id", T.query_tree(F.col("query")).alias("tree"), *own).where(F.size("tree") > 0)
+    words = asked.select("query_id", "vault_id", F.explode(T.tree_terms(F.col("tree"))).alias("term"))
+    terms = T.positioned(T.lexical_document(F.col("title"), F.col("source_path"), F.col("tags"), F.col("content")))
+    found = chunks.select("chunk_id", "vault_id", F.posexplode(terms).alias("place", "term")).join(words, ["vault_id", "term"]).select("query_id", "chunk_id", "term", "place")
+    open_ = asked.where(F.exists("tree", lambda group: F.forall(group, lambda x: x["barred"]))).select("query_id", "vault_id")
+    every = chunks.select("chunk_id", "vault_id").join(open_, "vault_id").select("query_id", "chunk_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("place"))
+    found = found.unionByName(every).groupBy("query_id", "chunk_id", "term").agg(F.collect_list("place").alias("places"))
+    found = found.groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "places")))).alias("places"))
+    hits = found.join(asked.drop("vault_id"), "query_id").where(T.tree_holds(F.col("tree"), F.col("places")))
+    if own:
+        hits = hits.join(chunks.select("chunk_id", *META), "chunk_id").where(query_filter(LISTS))
+    gain = lambda k: F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))
+    of = T.tree_terms(F.col("tree"), barred=False)
+    total = F.aggregate(of, F.lit(0.0), lambda a, t: a + gain(F.coalesce(F.size(F.try_element_at("places", t)), F.lit(0))))
+    rank = F.when(F.size(of) > 0, F.round(total / F.size(of), 9)).otherwise(F.lit(0.0))
+    return _top(hits.select("query_id", "chunk_id", rank.alias("rank_value")), [F.desc("rank_value"), F.asc("chunk_id")], n, "lexical_rank")
 
 
 def fused(vector: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -249,16 +300,25 @@ def hybrid_search(
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked rows (query_id, rank, chunk_id, source_path, score, matched_by, rrf) and the outcome per query.
 
-    A query's own ``top_k`` (1 to MOST_TOP_K) and ``min_score`` come before the
-    arguments, if ``queries`` has such columns and they are not null.
+    A query's own ``top_k`` (1 to MOST_TOP_K), ``min_score`` and filters (FILTERS,
+    see ``effective_filters``) come before the arguments, if ``queries`` has such
+    columns and they are not null.
     """
     own = lambda c, usual: F.coalesce(c, F.lit(usual)) if c in queries.columns else F.lit(usual)
-    pool = fresh_chunks(chunks, files, model).where(metadata_filter() if where is None else where)
+    filtered = [c for c in FILTERS if c in queries.columns]
+    if filtered:
+        queries, where = effective_filters(queries), F.lit(True) if where is None else where
+    spark, where = queries.sparkSession, metadata_filter() if where is None else where
+    # which chunks count is found once, on slim rows; both legs and the ranking join these keys
+    keys = chunks.where(where).select("chunk_id", "vault_id", "source_path", "content_hash", "embedding_model", F.col("embedding").isNotNull().alias("embedding"))
+    keys = keys.withColumn("embedding", F.when(F.col("embedding"), F.lit(True)))
+    keys = written(spark, fresh_chunks(keys, files, model).select("chunk_id"), "pool")
+    pool = chunks.join(keys, "chunk_id")
     budget = candidates if hybrid or per_source > 0 else max(top_k, MOST_TOP_K) if "top_k" in queries.columns else top_k
-    vector = vector_leg(queries, pool, budget)
+    vector = block_vector_leg(queries, pool, budget)
     lexical = lexical_leg(queries, pool, candidates) if hybrid else vector.limit(0).select("query_id", "chunk_id", F.lit(0.0).alias("rank_value"), F.lit(0).alias("lexical_rank"))
     # at most two legs of candidates a query: written once, since ranking and outcome both start from it
-    merged = written(queries.sparkSession, fused(vector, lexical), "fused")
+    merged = written(spark, fused(vector, lexical), "fused")
     asked = queries.select("query_id", "query_embedding", "query", own("top_k", top_k).alias("own_top_k"), own("min_score", float(min_score)).alias("own_min_score"))
     found = merged.join(pool.select("chunk_id", "source_path", "content", "embedding"), "chunk_id").join(asked, "query_id")
     found = found.withColumn("score", F.round(T.cosine(F.col("embedding"), F.col("query_embedding")), 6)).drop("embedding", "query_embedding")
@@ -275,6 +335,44 @@ def hybrid_search(
     return ranked, outcome(queries, merged, ranked)
 
 
+def evidence(outcomes: DataFrame, status: DataFrame) -> DataFrame:
+    """``outcomes`` (with vault_id, error) and the index status of their vaults: notices in the order pending, failed, stale, and the reindex that they call for.
+
+    Where nothing was found the notices say why; only an outcome without
+    candidates tells of files of another model, since they may hold the answer.
+    """
+    rows = outcomes.join(status, "vault_id", "left").fillna(0, ["pending", "failed", "model_stale"])
+    some = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
+    stale = some("model_stale", " files have chunks of another embedding model and are left out: reindex in full")
+    parts = F.array(some("pending", " files are not indexed yet: results may be incomplete"), some("failed", " files could not be indexed and are missing: see the failure log"), stale)
+    notices = (
+        F.when(F.col("error").isNotNull(), F.array("error"))
+        .when(F.col("notice") == "no_candidates", F.array_compact(F.array(F.lit("no chunk matches the query by meaning or by word"), stale)))
+        .when(F.col("result_count") == 0, F.array(F.lit("chunks match, but none passes the least score")))
+        .otherwise(F.array_compact(parts))
+    )
+    mode = F.when(F.col("error").isNotNull() | (F.col("result_count") == 0), F.lit(None)).when(F.col("model_stale") > 0, "full").when(F.col("pending") + F.col("failed") > 0, "changed_only")
+    return rows.withColumns({"notices": notices, "reindex_mode": mode, "index_fresh": F.coalesce("index_fresh", F.lit(False))})
+
+
+def answer_queries(queries: DataFrame, chunks: DataFrame, files: DataFrame, vaults: DataFrame, model: str, at: Column, latency_ms: Column | None = None, min_score: float = 0.0, **options) -> dict[str, DataFrame]:
+    """The whole search: checks, hybrid search, evidence notices, log rows.
+
+    queries: query_id, vault_id, query, query_embedding, top_k, min_score and any
+    of FILTERS. Gives ``results``, ``outcomes`` (a row per query, rejected ones
+    with their error and no counts) and ``log`` (a row per query that was
+    searched; clock and latency as given).
+    """
+    good, bad = checked_queries(effective_filters(queries), vaults)
+    good = written(queries.sparkSession, good, "asked")
+    results, counted = hybrid_search(good, chunks, files, model, min_score=min_score, **options)
+    results = written(queries.sparkSession, results, "results")
+    done = good.select("query_id", "vault_id", F.lit(None).cast("string").alias("error")).join(counted, "query_id")
+    refused = bad.select("query_id", "vault_id", "error", *[F.lit(None).cast(t).alias(c) for c, t in counted.dtypes if c not in ("query_id", "notice")], F.lit("rejected").alias("notice"))
+    outcomes = evidence(done.unionByName(refused), M.index_status(vaults, files, chunks, model))
+    return {"results": results, "outcomes": outcomes, "log": M.search_log_rows(good, results, at, latency_ms, min_score)}
+
+
 def evaluate(golden: DataFrame, results: DataFrame) -> DataFrame:
     """Per golden query (query_id, expected_sources): recall and reciprocal rank of results (query_id, rank, source_path).
 

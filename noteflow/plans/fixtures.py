@@ -29,6 +29,14 @@ class Dialect:
         """The number in a JSON text like {"k": 5}."""
         return f"CAST(regexp_extract({x}, '([0-9]+)', 1) AS BIGINT)"
 
+    def texts(self, *x: str) -> str:
+        """A list of texts, which may be empty."""
+        return f"CAST(array({', '.join(x)}) AS ARRAY<STRING>)" if self.spark else f"CAST([{', '.join(x)}] AS VARCHAR[])"
+
+    def word(self, i: int) -> str:
+        """The i-th word of small ASCII letters of a document's text; null if it has fewer."""
+        return f"try_element_at(regexp_extract_all(lower(d.text), '[a-z]{{2,}}', 0), {i})" if self.spark else f"regexp_extract_all(lower(d.text), '[a-z]{{2,}}')[{i}]"
+
     @property
     def newline(self) -> str:
         return "'\\n'" if self.spark else "chr(10)"
@@ -72,6 +80,19 @@ def asked(d: Dialect) -> str:
        regexp_extract(d.text, '([a-z]{{5,}})', 1) AS query FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 50 = 1"""
 
 
+def asks(d: Dialect) -> str:
+    """A query for every vector whose document has three words: six forms of the query syntax, filters of all kinds, some of them bad."""
+    return f"""SELECT query_id, CASE WHEN query_id % 13 = 5 THEN 'v6' WHEN query_id % 29 = 7 THEN 'v77' ELSE vault_id END AS vault_id, query_embedding, w1, w2, w3, vault_id AS own_vault,
+       CASE query_id % 6 WHEN 0 THEN concat(w1, ' ', w2) WHEN 1 THEN concat('"', w1, ' ', w2, '"') WHEN 2 THEN concat(w1, ' or ', w3) WHEN 3 THEN concat(w1, ' -', w2)
+         WHEN 4 THEN concat('"', w2, ' ', w1, '" OR -"', w1, ' ', w2, '" ', w3) ELSE concat('-', w1) END AS query,
+       CAST(CASE WHEN query_id % 37 = 1 THEN query_id % 2 * 11 ELSE query_id % 9 + 1 END AS INT) AS top_k, CASE query_id % 5 WHEN 0 THEN 0.1 WHEN 1 THEN 0.0 WHEN 2 THEN CASE WHEN query_id % 31 = 2 THEN 1.5 ELSE 0.02 END END AS min_score,
+       CASE query_id % 4 WHEN 0 THEN {d.texts("'current'", "'draft'", "'current'")} WHEN 1 THEN {d.texts()} END AS f_status, CASE query_id % 7 WHEN 2 THEN {d.texts("'rule'")} WHEN 3 THEN {d.texts("'rule'", "'reference'")} END AS f_type,
+       CASE query_id % 5 WHEN 4 THEN {d.texts("'high'")} END AS f_priority, CASE query_id % 11 WHEN 6 THEN {d.texts("'personal'")} WHEN 7 THEN {d.texts("'personal'", "'secret'")} END AS f_visibility,
+       CASE query_id % 8 WHEN 3 THEN {d.texts("' en '", "'fr'", "' '")} WHEN 5 THEN {d.texts("''")} END AS f_tags, CASE query_id % 10 WHEN 9 THEN 'en' WHEN 8 THEN ' ' END AS f_domain, CASE query_id % 12 WHEN 7 THEN 'p2' END AS f_project
+FROM (SELECT e.vec_id AS query_id, concat('v', CAST(CAST(floor(e.vec_id / 5) AS BIGINT) % 4 AS STRING)) AS vault_id, e.embedding AS query_embedding, {d.word(1)} AS w1, {d.word(2)} AS w2, {d.word(3)} AS w3
+      FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id) x WHERE w3 IS NOT NULL"""
+
+
 def golden(d: Dialect) -> str:
     return """SELECT b.item_id AS query_id, b.text AS query, concat('notes/', d.source, '/d', CAST(d.doc_id AS STRING), '.md') AS expected_source, d.doc_id
 FROM benchmark b JOIN documents d ON contains(d.text, b.text)"""
@@ -171,7 +192,7 @@ WHERE nxt IS NULL OR nxt > ts + INTERVAL '2' SECOND"""
 
 
 SPARK, DUCK = Dialect(True), Dialect(False)
-ALL = {f.__name__: f for f in (sync_events, chunks, files, vaults, asked, golden, search_logs, versions, conflicts, half_log, cursors, manifest, scan, tracked, requests, paths, notes, watch, runs)}
+ALL = {f.__name__: f for f in (sync_events, chunks, files, vaults, asked, asks, golden, search_logs, versions, conflicts, half_log, cursors, manifest, scan, tracked, requests, paths, notes, watch, runs)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -86,6 +86,94 @@ def _(t):
     return S.hybrid_search(queries, t("chunks"), t("files"), MODEL)[0]
 
 
+def syntax(pool: str = "pool") -> str:
+    """Lexical leg of fx_asks in SQL: each form of query tried on the terms as one text, so that phrases are parts of it."""
+    gain = lambda w: f"coalesce(list_sum([1.0 / (i * i) for i in range(1, 1 + len(list_filter(t, lambda x: x = {w})))]), 0)"
+    total = lambda *w: f"(SELECT coalesce(sum(g), 0) / greatest(count(*), 1) FROM (SELECT DISTINCT w, {gain('w')} AS g FROM (SELECT unnest([{', '.join(w)}]) AS w)))"
+    return rf"""words AS (SELECT chunk_id, vault_id, regexp_extract_all(lower(concat_ws(' ', title, translate(source_path, '/.', '  '), array_to_string(coalesce(tags, []), ' '), content)), '[\p{{L}}\p{{N}}_]+(?:-[\p{{L}}\p{{N}}_]+)*') AS w FROM {pool}),
+placed AS (SELECT chunk_id, vault_id, t, ' ' || array_to_string(t, ' ') || ' ' AS s FROM (SELECT chunk_id, vault_id, flatten([CASE WHEN contains(x, '-') THEN [x] || string_split(x, '-') ELSE [x] END for x in w]) AS t FROM words)),
+hits AS (SELECT q.*, p.chunk_id, t, s, contains(s, ' ' || w1 || ' ') AS h1, contains(s, ' ' || w2 || ' ') AS h2, contains(s, ' ' || w3 || ' ') AS h3, contains(s, ' ' || w1 || ' ' || w2 || ' ') AS h12, contains(s, ' ' || w2 || ' ' || w1 || ' ') AS h21
+  FROM fx_asks q JOIN placed p ON p.vault_id = q.vault_id),
+held AS (SELECT query_id, chunk_id, round(CASE query_id % 6 WHEN 2 THEN {total("w1", "w3")} WHEN 3 THEN {total("w1")} WHEN 4 THEN {total("w1", "w2", "w3")} WHEN 5 THEN 0 ELSE {total("w1", "w2")} END, 9) AS rank_value FROM hits
+  WHERE CASE query_id % 6 WHEN 0 THEN h1 AND h2 WHEN 1 THEN h12 WHEN 2 THEN h1 OR h3 WHEN 3 THEN h1 AND NOT h2 WHEN 4 THEN h21 OR (NOT h12 AND h3) ELSE NOT h1 END)"""
+
+
+LEX = "lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_value DESC, chunk_id) AS lexical_rank FROM held) WHERE lexical_rank <= 50)"
+ASKS = ("chunks", "files", "asks")
+MANY = f"WITH {POOL}, {SCORED}, {syntax()}, {LEX}, {FUSED}, {RANKED}".replace("fx_asked", "fx_asks")
+
+
+def plain_asks(t) -> DataFrame:
+    return t("asks").select("query_id", "vault_id", "query", "query_embedding")
+
+
+@query("tk02_query_syntax", *ASKS, sql=f"WITH {POOL}, {syntax()}, {LEX} SELECT query_id, chunk_id, rank_value, lexical_rank FROM lex")
+def _(t):
+    return S.lexical_leg(plain_asks(t), pool(t))
+
+
+@query("jb02_many_queries", *ASKS, sql=f"{MANY} SELECT query_id, rank, chunk_id, source_path, score, matched_by, rrf FROM ranked")
+def _(t):
+    return S.hybrid_search(plain_asks(t), t("chunks"), t("files"), MODEL, min_score=0.05)[0]
+
+
+# Queries with filters, limits and errors: the legs over what each query's filters leave.
+CHECKED = """asked AS (SELECT q.* REPLACE (coalesce(top_k, 5) AS top_k), coalesce(min_score, 0.05) AS least, list_distinct(list_filter([trim(x) for x in coalesce(f_tags, [])], lambda x: x <> '')) AS tags, nullif(trim(f_domain), '') AS dom,
+    coalesce(f_status, ['current']) AS sts, v.vault_id IS NOT NULL AS known,
+    CASE WHEN list_contains(coalesce(f_visibility, []), 'secret') THEN 'filter visibility has an unsupported value' WHEN coalesce(top_k, 5) NOT BETWEEN 1 AND 10 THEN 'top_k must be between 1 and 10'
+         WHEN min_score NOT BETWEEN 0 AND 1 THEN 'min_score must be between 0 and 1' WHEN v.vault_id IS NULL THEN 'vault not found' END AS error
+  FROM fx_asks q LEFT JOIN (SELECT vault_id FROM fx_vaults WHERE is_active) v ON v.vault_id = q.vault_id),
+good AS (SELECT * FROM asked WHERE error IS NULL),
+allowed AS (SELECT query_id, chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(query_embedding AS DOUBLE[])) AS score, c.source_path FROM good q JOIN fresh c ON c.vault_id = q.vault_id
+  WHERE (len(sts) = 0 OR list_contains(sts, c.status)) AND (f_type IS NULL OR list_contains(f_type, c.type)) AND (f_priority IS NULL OR list_contains(f_priority, c.priority)) AND (f_visibility IS NULL OR list_contains(f_visibility, c.visibility))
+    AND (len(q.tags) = 0 OR coalesce(list_has_any(q.tags, c.tags), false)) AND (dom IS NULL OR dom = c.domain) AND (f_project IS NULL OR f_project = c.project)),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS vector_rank FROM allowed WHERE score IS NOT NULL) WHERE vector_rank <= 50)"""
+ANSWERED = f"""WITH {FRESH}, {CHECKED}, {syntax("fresh")}, {LEX.replace("FROM held", "FROM held JOIN (SELECT query_id, chunk_id FROM allowed) USING (query_id, chunk_id)")}, {FUSED},
+passed AS (SELECT f.*, a.source_path, round(a.score, 6) AS score FROM fused f JOIN allowed a ON a.query_id = f.query_id AND a.chunk_id = f.chunk_id JOIN good q ON q.query_id = f.query_id WHERE least <= 0 OR matched_by <> 'vector' OR round(a.score, 6) >= least),
+cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_path ORDER BY fused_rank) AS place FROM passed) WHERE place <= 2),
+ranked AS (SELECT r.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS rank FROM cap) r JOIN good q ON q.query_id = r.query_id WHERE rank <= top_k)"""
+ANSWERS = (*ASKS, "vaults")
+
+
+def answered(t) -> dict[str, DataFrame]:
+    at = F.timestamp_seconds(F.lit(1706745600) + F.col("query_id") % 1000)
+    return S.answer_queries(t("asks"), t("chunks"), t("files"), t("vaults"), MODEL, at, F.col("query_id") % 997, min_score=0.05)
+
+
+@query("jb02_answers", *ANSWERS, sql=f"{ANSWERED} SELECT query_id, rank, chunk_id, source_path, score, matched_by, rrf FROM ranked")
+def _(t):
+    return answered(t)["results"]
+
+
+@query("ag10_evidence", *ANSWERS, sql=f"""{ANSWERED},
+live AS (SELECT vault_id, count(*) FILTER (index_status = 'pending') AS pending, count(*) FILTER (index_status = 'failed') AS failed FROM fx_files WHERE vectorize AND NOT deleted GROUP BY vault_id),
+stale AS (SELECT vault_id, count(*) AS model_stale FROM fx_files f WHERE vectorize AND NOT deleted AND index_status = 'indexed' AND EXISTS (SELECT 1 FROM fx_chunks c WHERE c.vault_id = f.vault_id AND c.source_path = f.source_path AND c.content_hash = f.content_hash AND c.embedding_model <> 'bge-m3') GROUP BY vault_id),
+counted AS (SELECT q.query_id, q.vault_id, q.error, v.vault_id IS NOT NULL AS any_vault, coalesce(pending, 0) AS pending, coalesce(failed, 0) AS failed, coalesce(model_stale, 0) AS model_stale,
+  CASE WHEN error IS NULL THEN (SELECT count(*) FROM fused f WHERE f.query_id = q.query_id) END AS candidate_count, CASE WHEN error IS NULL THEN (SELECT count(*) FROM ranked r WHERE r.query_id = q.query_id) END AS result_count
+  FROM asked q LEFT JOIN fx_vaults v ON v.vault_id = q.vault_id LEFT JOIN live l ON l.vault_id = v.vault_id LEFT JOIN stale s ON s.vault_id = v.vault_id)
+SELECT query_id, vault_id, error, candidate_count, result_count, pending, failed, model_stale, any_vault AND pending + failed + model_stale = 0 AS index_fresh, candidate_count = 0 AS no_candidates, candidate_count > 0 AND result_count = 0 AS low_confidence,
+  CASE WHEN error IS NOT NULL THEN 'rejected' WHEN candidate_count = 0 THEN 'no_candidates' WHEN result_count = 0 THEN 'low_confidence' ELSE 'ok' END AS notice,
+  CASE WHEN result_count > 0 THEN CASE WHEN model_stale > 0 THEN 'full' WHEN pending + failed > 0 THEN 'changed_only' END END AS reindex_mode,
+  list_filter(CASE WHEN error IS NOT NULL THEN [error] WHEN candidate_count = 0 THEN ['no chunk matches the query by meaning or by word', CASE WHEN model_stale > 0 THEN model_stale || ' files have chunks of another embedding model and are left out: reindex in full' END]
+    WHEN result_count = 0 THEN ['chunks match, but none passes the least score'] ELSE [CASE WHEN pending > 0 THEN pending || ' files are not indexed yet: results may be incomplete' END, CASE WHEN failed > 0 THEN failed || ' files could not be indexed and are missing: see the failure log' END,
+      CASE WHEN model_stale > 0 THEN model_stale || ' files have chunks of another embedding model and are left out: reindex in full' END] END, lambda x: x IS NOT NULL) AS notices FROM counted""")
+def _(t):
+    return answered(t)["outcomes"]
+
+
+@query("io10_search_log", *ANSWERS, sql=f"""{ANSWERED} SELECT CAST(query_id AS VARCHAR) AS request_id, vault_id, query, top_k, query_id % 997 AS latency_ms, (SELECT count(*) FROM ranked r WHERE r.query_id = q.query_id) AS result_count,
+  TIMESTAMP '2024-02-01 00:00:00' + to_seconds(query_id % 1000) AS created_at, sts AS status, coalesce(f_priority, []) AS priority, tags AS tag_list, dom AS domain, f_project AS project, CAST(least AS DOUBLE) AS min_score
+  FROM (SELECT * REPLACE (list_distinct(sts) AS sts) FROM good) q""".replace("list_distinct(sts)", "CASE WHEN len(sts) = 3 THEN ['current', 'draft'] ELSE sts END").replace("tags AS tag_list", "CASE WHEN len(tags) = 2 THEN ['en', 'fr'] ELSE [] END AS tag_list"))
+def _(t):
+    log = answered(t)["log"]
+    path = new_folder(log.sparkSession, "search_log")
+    M.append_search_log(log.where("query_id % 2 = 0" if "query_id" in log.columns else "CAST(request_id AS LONG) % 2 = 0"), path)
+    M.append_search_log(log.where("CAST(request_id AS LONG) % 2 = 1"), path)
+    filters = F.from_json("filters", "status array<string>, priority array<string>, tags array<string>, domain string, project string, min_score double")
+    rows = log.sparkSession.read.parquet(path).withColumn("f", filters)
+    return rows.select("request_id", "vault_id", "query", "top_k", "latency_ms", "result_count", "created_at", "f.status", "f.priority", F.col("f.tags").alias("tag_list"), "f.domain", "f.project", "f.min_score")
+
+
 @query("ag10_outcome", *AT, sql=f"""{ALL_LEGS}, {RANKED} SELECT query_id, candidate_count, result_count, candidate_count = 0 AS no_candidates, candidate_count > 0 AND result_count = 0 AS low_confidence,
   CASE WHEN candidate_count = 0 THEN 'no_candidates' WHEN result_count = 0 THEN 'low_confidence' ELSE 'ok' END AS notice FROM (
   SELECT q.query_id, (SELECT count(*) FROM fused f WHERE f.query_id = q.query_id) AS candidate_count, (SELECT count(*) FROM ranked r WHERE r.query_id = q.query_id) AS result_count FROM fx_asked q)""")

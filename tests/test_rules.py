@@ -55,11 +55,21 @@ def test_rerank_order(spark, reply, order):
     assert spark.createDataFrame([(reply,)], "r string").select(T.rerank_order(F.col("r"), F.lit(3)).alias("o")).first().o == order
 
 
-def test_query_terms_and_rank(spark):
+def test_query_terms(spark):
     d = spark.createDataFrame([("Foo-Bar  -baz qux",)], "q string").select(T.query_terms(F.col("q")).alias("t")).first().t
     assert d.must == ["foo-bar", "qux"] and d.must_not == ["baz"]
-    r = spark.createDataFrame([(["a", "b", "a"], ["a", "b"])], "d array<string>, m array<string>").select(T.text_rank(F.col("d"), F.col("m")).alias("r")).first().r
-    assert abs(r - (1.25 + 1) / 2) < 1e-12
+
+
+@pytest.mark.parametrize(
+    "query, tree",
+    [
+        ("red fox", "red fox"), ('"red fox"', "red_fox"), ("fox OR hound", "fox | hound"), ("a -b", "a -b"), ("a - b", "a -b"), ("--a", "a"), ("or a", "or a"), ("a or", "a or"), ("a or or b", "a | or b"),
+        ('"x y" -"p q" or Foo-Bar baz', "x_y -p_q | foo-bar_foo_bar baz"), ("a|b", "a b"), ("", ""), (None, ""), ("-a", "-a"), ('"open phrase here', "open_phrase_here"), ('a"b c"d', "a b_c d"), ("-or x", "-or x"), ("?? a or -- ..", "a"),
+    ],
+)
+def test_query_tree(spark, query, tree):
+    got = spark.createDataFrame([(query,)], "q string").select(T.query_tree(F.col("q")).alias("t")).first().t
+    assert " | ".join(" ".join("-" * x.barred + "_".join(x.phrase) for x in group) for group in got) == tree
 
 
 def test_whole_columns(spark, tmp_path):

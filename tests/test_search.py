@@ -102,3 +102,46 @@ def test_evaluation_counts_duplicates(spark):
     r = spark.createDataFrame([(1, 2, "a"), (1, 1, "x")], "query_id long, rank int, source_path string")
     got = {x.query_id: (x.recall, x.reciprocal_rank) for x in S.evaluate(g, r).collect()}
     assert got == {1: (0.6667, 0.5), 2: (0.0, 0.0)}
+
+
+def test_query_syntax(spark):
+    texts = ["red fox runs", "fox is red", "the hound", "red fox and hound", "well-known fox", "x"]
+    chunks = [chunk(i, [0.0, 1.0], c) for i, c in enumerate(texts)]
+    wanted = {'"red fox"': [0, 3], "red fox": [0, 1, 3], "fox or hound": [0, 1, 2, 3, 4], "fox -hound": [0, 1, 4], '-"red fox" fox': [1, 4], '"is red" or hound': [1, 2, 3], "-fox": [2, 5], "well-known": [4], '"known fox"': [4], "": [], "fox or -red": [0, 1, 2, 3, 4, 5]}
+    q = spark.createDataFrame([(i, "v", text, None) for i, text in enumerate(wanted)], "query_id long, vault_id string, query string, query_embedding array<float>")
+    found = {i: set() for i in range(len(wanted))}
+    for r in S.lexical_leg(q, spark.createDataFrame(chunks, CHUNK)).collect():
+        found[r.query_id].add(r.chunk_id)
+    assert [sorted(found[i]) for i in range(len(wanted))] == list(wanted.values())
+
+
+@pytest.mark.parametrize("tiles", [(4, 3), (16384, 1024)])
+def test_tiles_equal_the_join(spark, tiles, monkeypatch):
+    """Tiles of any size give what the pair join gives, with ties, other widths, zero vectors and vaults of their own."""
+    monkeypatch.setattr(S, "TILE_CHUNKS", tiles[0])
+    monkeypatch.setattr(S, "TILE_QUERIES", tiles[1])
+    vectors = [[1.0, 0.0], [1.0, 0.0], [0.6, 0.8], [0.0, 0.0], [1.0, 0.0, 0.0], None, [-1.0, 0.5], [2.0, 0.0]]
+    chunks = [(i, f"v{i % 3}", *chunk(i, vectors[i % 8])[2:]) for i in range(60)]
+    q = [(i, f"v{i % 4}", "x", [[1.0, 0.2], [0.0, 1.0], [0.0, 0.0], [1.0, 1.0, 1.0]][i % 4 if i < 8 else 0]) for i in range(20)]
+    asked = spark.createDataFrame(q, "query_id long, vault_id string, query string, query_embedding array<float>")
+    pool = spark.createDataFrame(chunks, CHUNK)
+    rows = lambda frame: sorted((r.query_id, r.vector_rank, r.chunk_id, round(r.score, 9)) for r in frame.collect())
+    got, want = rows(S.block_vector_leg(asked, pool, 7)), rows(S.vector_leg(asked, pool, 7))
+    assert len(got) == len(want) and [x[:2] for x in got] == [x[:2] for x in want] and [x[3] for x in got] == [x[3] for x in want]
+
+
+def test_rejected_queries_and_notices(spark):
+    chunks = [chunk(1, [1.0, 0.0]), chunk(2, [1.0, 0.0], model="old"), chunk(3, [1.0, 0.0])]
+    files = [("v", "n1.md", "h", "indexed", False, True), ("v", "n2.md", "h", "indexed", False, True), ("v", "n3.md", "h", "failed", False, True)]
+    asked = [(1, "v", "text", [1.0, 0.0], None, None, None), (2, "v", " ", [1.0, 0.0], None, None, None), (3, "gone", "text", [1.0, 0.0], None, None, None), (4, "v", "text", [1.0, 0.0], None, None, ["song"]), (5, "v", "zzz", None, None, None, None)]
+    q = spark.createDataFrame(asked, "query_id long, vault_id string, query string, query_embedding array<float>, top_k int, min_score double, f_type array<string>")
+    vaults = spark.createDataFrame([("v", True), ("gone", False)], "vault_id string, is_active boolean")
+    from pyspark.sql import functions as F
+
+    out = S.answer_queries(q, spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(files, FILE + ", vectorize boolean"), vaults, "m", F.lit("2024-01-01").cast("timestamp"))
+    rows = {r.query_id: r for r in out["outcomes"].collect()}
+    assert [r.chunk_id for r in out["results"].collect()] == [1]
+    assert {i: r.error for i, r in rows.items()} == {1: None, 2: "query is required", 3: "vault not found", 4: "filter type has an unsupported value", 5: None}
+    assert (rows[1].failed, rows[1].model_stale, rows[1].reindex_mode, len(rows[1].notices)) == (1, 1, "full", 2)
+    assert rows[5].no_candidates and len(rows[5].notices) == 2 and rows[3].candidate_count is None
+    assert sorted(r.request_id for r in out["log"].collect()) == ["1", "5"]
