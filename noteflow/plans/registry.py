@@ -28,7 +28,9 @@ def query(name: str, *tables: str, sql: str | None = None) -> Callable[[Callable
         if sql is not None:
             used = [t for t in tables if t in fixtures.ALL]
             body = sql.strip()
-            if used and body.startswith("WITH "):
+            if used and body.startswith("WITH RECURSIVE "):
+                body = "WITH RECURSIVE " + fixtures.ctes(*used).rstrip()[5:] + ",\n" + body[15:]
+            elif used and body.startswith("WITH "):
                 body = fixtures.ctes(*used).rstrip() + ",\n" + body[5:]
             elif used:
                 body = fixtures.ctes(*used) + body

