@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from noteflow.functions import notes as N
 from noteflow.functions import rules as R
@@ -68,17 +69,89 @@ def debounced(events: DataFrame, gap: str = "2 seconds", late: str = "10 seconds
     return fired.select("vault_id", F.col("w.start").alias("first_event"), F.col("w.end").alias("fires_at"), "n_events")
 
 
-def unsuppressed(events: DataFrame, runs: DataFrame, drain_seconds: int = 1) -> DataFrame:
+def marked(events: DataFrame, runs: DataFrame, drain_seconds: int) -> DataFrame:
+    """Events (kind 1) and the begins of runs (kind 0, with the time until which they suppress) as rows of one table."""
+    rows = events.select("vault_id", F.col("event_id").cast("long"), "ts", F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("kind"))
+    until = F.col("end") + F.make_interval(secs=F.lit(drain_seconds))
+    return rows.unionByName(runs.select("vault_id", F.lit(None).cast("long").alias("event_id"), F.col("begin").alias("ts"), until.alias("until"), F.lit(0).alias("kind")))
+
+
+def unsuppressed(events: DataFrame, runs: DataFrame, drain_seconds: int = 1, slice_seconds: int = 3600) -> DataFrame:
     """Events outside every ``[begin, end + drain)`` of their vault's sync runs.
 
     Runs of a vault do not overlap, so the only run that can hold an event is
-    the last one begun: an as-of step by a window over both, no range join.
+    the last one begun. It is found inside slices of a vault's time; what a slice
+    takes over from the ones before it comes from one row a slice, so a vault's
+    events never meet in one task.
+    """
+    both = marked(events, runs, drain_seconds).withColumn("slice", F.floor(F.unix_seconds("ts") / slice_seconds))
+    last = F.max_by("until", F.when(F.col("kind") == 0, F.col("ts")))
+    before = Window.partitionBy("vault_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("vault_id", "slice").agg(last.alias("last")).select("vault_id", "slice", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    upto = Window.partitionBy("vault_id", "slice").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("inside", F.last("until", ignorenulls=True).over(upto)).join(carried, ["vault_id", "slice"])
+    until = F.coalesce("inside", "carried")
+    return both.where((F.col("kind") == 1) & (until.isNull() | (F.col("ts") >= until))).select("vault_id", "event_id", "ts")
+
+
+class Suppression(StatefulProcessor):
+    """Per vault: rows that the watermark has not passed, and the time until which the last run begun suppresses (in microseconds)."""
+
+    ROW = ["event_id", "at", "until_at", "kind"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, at long, until_at long, kind int")
+        self.until = handle.getValueState("until", "until_at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  named by Spark
+        first = None
+        for batch in rows:
+            self.waiting.appendList([tuple(None if pd.isna(v) else int(v) for v in r) for r in batch[self.ROW].itertuples(index=False, name=None)])
+            first = min(batch["at"].min(), first or batch["at"].min())
+        if first is not None:
+            self.handle.registerTimer(_millis(int(first)))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        until = self.until.get()[0] if self.until.exists() else None
+        waiting, kept, out = list(self.waiting.get()) if self.waiting.exists() else [], [], []
+        for event, at, until_at, kind in sorted(map(tuple, waiting), key=lambda r: (r[1], r[3])):
+            if _millis(at) > now:
+                kept.append((event, at, until_at, kind))
+            elif kind == 0:
+                until = until_at
+            elif until is None or at >= until:
+                out.append((key[0], event, at))
+        if kept:
+            self.waiting.put(kept)
+            self.handle.registerTimer(_millis(kept[0][1]))
+        else:
+            self.waiting.clear()
+        if until is not None:
+            self.until.update((until,))
+        yield pd.DataFrame(out, columns=["vault_id", "event_id", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(micros: int) -> int:
+    """The first whole millisecond at which a time has passed."""
+    return -(-micros // 1000)
+
+
+def unsuppressed_stream(events: DataFrame, runs: DataFrame, drain_seconds: int = 1, late: str = "1 minute") -> DataFrame:
+    """The same on streams: an event is let through, or not, when the watermark passes it, however late it and the begin of its run came within ``late``.
+
+    State is what came in the last ``late`` and one time a vault; it needs the
+    session's RocksDB state store. Rows later than the watermark are dropped.
     """
-    rows = events.select("vault_id", "event_id", "ts", F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("kind"))
-    marks = runs.select("vault_id", F.lit(None).cast("long").alias("event_id"), F.col("begin").alias("ts"), (F.col("end") + F.make_interval(secs=F.lit(drain_seconds))).alias("until"), F.lit(0).alias("kind"))
-    upto = Window.partitionBy("vault_id").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks).withColumn("last_until", F.last("until", ignorenulls=True).over(upto))
-    return both.where((F.col("kind") == 1) & (F.col("last_until").isNull() | (F.col("ts") >= F.col("last_until")))).select("vault_id", "event_id", "ts")
+    both = marked(events, runs, drain_seconds).withWatermark("ts", late)
+    both = both.withColumns({"at": F.unix_micros("ts"), "until_at": F.unix_micros("until")})
+    passed = both.groupBy("vault_id").transformWithStateInPandas(Suppression(), "vault_id string, event_id long, at long", outputMode="Append", timeMode="EventTime")
+    return passed.select("vault_id", "event_id", F.timestamp_micros("at").alias("ts"))
 
 
 def coalesced_jobs(requests: DataFrame) -> DataFrame:

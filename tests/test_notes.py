@@ -74,10 +74,10 @@ def test_long_lines_take_linear_time():
 
 
 def test_parts_against_their_definition():
-    """Every part fits, no two parts of a paragraph that were cut could be one, and overlaps repeat the end of the chunk before."""
+    """Every chunk fits, all tokens come in their order, and a chunk begins with no more than the overlap of the one before."""
     rng = random.Random(5)
     for _ in range(300):
-        text = "".join(" ".join(rng.choice(["a", "bb,", "(c)", "é"]) for _ in range(rng.choice([1, 3, 10, 40]))) + rng.choice(["\n", "\n\n", "\n \n"]) for _ in range(rng.randrange(1, 9))).strip()
+        text = "".join(" ".join(f"w{rng.random()}{rng.choice(['', ',', ' (é)'])}" for _ in range(rng.choice([1, 3, 10, 40]))) + rng.choice(["\n", "\n\n", "\n \n"]) for _ in range(rng.randrange(1, 9))).strip()
         most, overlap = rng.choice([3, 8, 20]), rng.choice([0, 2, 7])
         chunks = N.cut(text, most, overlap)
         if N.tokens(text) <= most:

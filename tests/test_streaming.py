@@ -90,3 +90,47 @@ def test_sql_table_function(spark):
     register_sql(spark)
     rows = spark.sql("SELECT c.chunk_index, c.content, c.error FROM VALUES (:note), ('x') AS t(note), LATERAL chunk_note(t.note) c", args={"note": HEAD + "body"}).collect()
     assert sorted((r.content or "", r.error or "") for r in rows) == [("", "markdown frontmatter is required"), ("body", "")]
+
+
+def test_suppression_stream_equals_the_batch(spark, tmp_path):
+    """Events and runs that come out of order, over several batches, with begins of runs after the events that they hold."""
+    import random
+
+    rng = random.Random(4)
+    moment = lambda s: f"2024-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    events, runs = [], []
+    for v in ("v0", "v1"):
+        events += [(v, i, rng.randrange(0, 4000)) for i in range(150)]
+        begin = 30
+        while begin < 4000:
+            runs.append((v, begin, begin + rng.randrange(5, 60)))
+            begin = runs[-1][2] + rng.randrange(3, 200)
+    end = 20000
+    stamped = lambda rows, *c: spark.createDataFrame([(r[0], *[x if n == "event_id" else moment(x) for n, x in zip(c, r[1:])]) for r in rows], "vault_id string, " + ", ".join(f"{n} {'long' if n == 'event_id' else 'string'}" for n in c)).selectExpr("vault_id", *[n if n == "event_id" else f"cast(`{n}` AS timestamp) AS `{n}`" for n in c])
+    asked = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    old = {k: spark.conf.get(k) for k in asked}
+    for k, v in asked.items():
+        spark.conf.set(k, v)
+    try:
+        for upto in (900, 1900, 2900, 4100, end + 1):
+            part = lambda rows, at: [r for r in rows if upto - 1000 - 100 * rng.random() <= r[at] < upto or upto > end]
+            new = [e for e in events if e[2] < upto - 100 * (e[1] % 2) and e not in done] if upto != 900 else [e for e in events if e[2] < 900]
+            done = (done if upto != 900 else []) + new
+            new = new + ([("v0", -1, end), ("v1", -1, end)] if upto > end else [])
+            rng.shuffle(new)
+            stamped(new, "event_id", "ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+            late = [r for r in runs if r[1] < upto - 50 and r not in (begun if upto != 900 else [])]
+            begun = (begun if upto != 900 else []) + late
+            stamped(late or runs[:0], "begin", "end").coalesce(1).write.mode("append").parquet(str(tmp_path / "runs")) if late else None
+            read = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
+            out = ST.unsuppressed_stream(read("events", "vault_id string, event_id long, ts timestamp"), read("runs", "vault_id string, begin timestamp, end timestamp"), 1, "200 seconds")
+            q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            assert q.awaitTermination(180)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = sorted((r.vault_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.event_id >= 0)
+    batch = ST.unsuppressed(stamped(events, "event_id", "ts"), stamped(runs, "begin", "end"), 1, 600)
+    want = sorted((v, i) for v, i, t in events if not any(w == v and a <= t < b + 1 for w, a, b in runs))
+    assert sorted((r.vault_id, r.event_id) for r in batch.collect()) == want
+    assert got == want
