@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -13,10 +13,14 @@ from noteflow.functions import notes as N
 from noteflow.functions import rules as R
 from noteflow.operators import indexing as I
 from noteflow.operators import revisions as V
+from noteflow.sources.scratch import written
+from noteflow.sources.state import PARTS, KeyedTable
 
 KEYS = ["vault_id", "source_path"]
 FILES = "vault_id string, source_path string, revision long, content_hash string, deleted boolean, index_status string"
 VERSIONS = "vault_id string, source_path string, revision long, content_hash string"
+COUNTERS = "vault_id string, current_revision long"
+CHUNKS = f"vault_id string, source_path string, {N.CHUNK_SCHEMA.replace(', phase string, error string', '')}, embedding array<float>, content_hash string, agent_hint string, embedding_model string"
 
 
 def merged_snapshot(old: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -26,36 +30,32 @@ def merged_snapshot(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "revision").alias("s")).select(*KEYS, *[F.col(f"s.{c}").alias(c) for c in rest])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-    except Exception as error:  # AnalysisException
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
-    return True
-
-
 def follow_log(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep a versioned snapshot of the log in ``folder/v=<batch>``.
+    """Keep the newest event of every path in a ``KeyedTable``: a batch writes the paths that it changes.
 
-    A batch that is run again writes the same version from the same one before
-    it, so a lost run leaves no trace. State is a table that grows with paths,
-    not with events.
+    State grows with paths, not with events.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = next((f"{folder}/v={n}" for n in range(number - 1, -1, -1) if _exists(spark, f"{folder}/v={n}")), None)
-        old = spark.read.parquet(before) if before else None
-        merged_snapshot(old, batch).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        state = KeyedTable(batch.sparkSession, folder, _ddl(batch), KEYS)
+        head = state.head(number)
+        batch = merged_snapshot(None, batch)
+        old = state.rows(head, state.touched(batch)).join(batch.select(*KEYS), KEYS, "left_semi")
+        known = old.select(*KEYS, F.col("revision").alias("known"))
+        newer = batch.join(known, KEYS, "left").where(F.col("known").isNull() | (F.col("revision") > F.col("known"))).drop("known")
+        state.write(number, head, newer)
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return each_batch(events, write, checkpoint)
 
 
-def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    last = spark.read.parquet(folder).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{folder}/v={last}")
+def _ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
+
+
+def latest_snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows that a stream's table holds now."""
+    state = KeyedTable(spark, folder, schema, KEYS)
+    return state.rows(state.head())
 
 
 def relevant(events: DataFrame, sync_attachments: bool = False) -> DataFrame:
@@ -181,49 +181,74 @@ def each_batch(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _before(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
-    """The newest version of a table that an earlier batch wrote."""
-    last = next((n for n in range(number - 1, -1, -1) if _exists(spark, f"{folder}/v={n}")), None)
-    return None if last is None else spark.read.parquet(f"{folder}/v={last}")
-
-
 def admit_stream(requests: DataFrame, vaults: Callable[[], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
-    """Continuous write admission; state is a versioned table per path, decisions go to ``folder/decisions/v=<batch>``.
+    """Continuous write admission; decisions go to ``folder/decisions/v=<batch>``.
 
-    ``vaults()`` gives the vaults that exist (vault_id, current_revision), read
-    again for each batch; requests of others are not admitted. Counters go on
-    from the state's revisions; versions are the hashes that earlier batches
-    accepted.
+    State: the files (a ``KeyedTable`` by path) and the counter of each vault,
+    of which a batch reads and writes what it touches, and the hashes of all
+    accepted versions, to which a batch adds its own. ``vaults()`` gives the
+    vaults that exist (vault_id, current_revision), read again for each batch;
+    requests of others are not admitted.
     """
 
     def admit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        files = _before(spark, f"{folder}/files", number)
-        files = spark.createDataFrame([], FILES) if files is None else files
-        versions = _before(spark, f"{folder}/versions", number)
-        versions = spark.createDataFrame([], VERSIONS) if versions is None else versions
-        known = vaults().join(files.groupBy("vault_id").agg(F.max("revision").alias("top")), "vault_id", "left")
+        files, counters = KeyedTable(spark, f"{folder}/files", FILES, KEYS), KeyedTable(spark, f"{folder}/counters", COUNTERS, ["vault_id"])
+        heads = [t.head(number) for t in (files, counters)]
+        paths, of_vault = batch.select(*KEYS).distinct(), batch.select("vault_id").distinct()
+        old = files.rows(heads[0], files.touched(paths)).join(paths, KEYS, "left_semi")
+        stored = versions_before(spark, f"{folder}/versions", number, versions_part(paths)).join(paths, KEYS, "left_semi")
+        top = counters.rows(heads[1], counters.touched(of_vault)).withColumnRenamed("current_revision", "top")
+        known = vaults().join(top, "vault_id", "left")
         known = known.select("vault_id", F.greatest("current_revision", F.coalesce("top", F.lit(0))).alias("current_revision"))
-        decisions = V.admit_writes(batch, files, versions, known)
-        decisions.write.mode("overwrite").parquet(f"{folder}/decisions/v={number}")
+        V.admit_writes(batch, old, stored, known).write.mode("overwrite").parquet(f"{folder}/decisions/v={number}")
         decisions = spark.read.parquet(f"{folder}/decisions/v={number}")
-        V.applied_state(files, decisions).write.mode("overwrite").parquet(f"{folder}/files/v={number}")
-        kept = decisions.where("decision = 'accepted' AND event_type != 'DELETE'").select("vault_id", "source_path", "revision", "content_hash")
-        versions.unionByName(kept).write.mode("overwrite").parquet(f"{folder}/versions/v={number}")
+        accepted = decisions.where("decision = 'accepted'")
+        kept = accepted.where("event_type != 'DELETE'").select(*KEYS, "revision", "content_hash")
+        kept.withColumn("part", versions_hash()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/versions/v={number}")
+        files.write(number, heads[0], V.applied_state(old, decisions).join(accepted.select(*KEYS).distinct(), KEYS, "left_semi"))
+        counters.write(number, heads[1], accepted.groupBy("vault_id").agg(F.max("revision").alias("current_revision")))
 
     return each_batch(requests, admit, checkpoint)
 
 
+def versions_hash() -> Column:
+    return F.pmod(F.xxhash64(*KEYS), F.lit(PARTS)).cast("int")
+
+
+def versions_part(paths: DataFrame) -> list[int]:
+    return [r[0] for r in paths.select(versions_hash()).distinct().collect()]  # at most PARTS numbers
+
+
+def versions_before(spark: SparkSession, folder: str, number: int, parts: list[int]) -> DataFrame:
+    """Versions that earlier batches accepted, of some parts; each lies where its batch wrote it once."""
+    try:
+        rows = spark.read.parquet(folder)
+    except Exception as error:  # AnalysisException: nothing was written yet
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return spark.createDataFrame([], VERSIONS)
+        raise
+    if "part" not in rows.columns:
+        return spark.createDataFrame([], VERSIONS)
+    return rows.where((F.col("v") < number) & F.col("part").isin(parts)).select("vault_id", "source_path", "revision", "content_hash")
+
+
 def index_stream(changes: DataFrame, files: Callable[[], DataFrame], embed: I.Embed, dimension: int, model: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Index the notes of each micro-batch (vault_id, source_path, content) and drop the chunks of deleted ones (null content)."""
+    """Index the notes of each micro-batch (vault_id, source_path, content) and drop the chunks of deleted ones (null content).
+
+    The chunk table is a ``KeyedTable`` by path: a batch writes the chunks of the notes that it indexed.
+    """
 
     def index(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        keys = batch.select(*KEYS).distinct()
-        old = _before(spark, folder, number)
-        old = spark.createDataFrame([], f"vault_id string, source_path string, content_hash string, {N.CHUNK_SCHEMA}").drop("phase", "error") if old is None else old
-        gone = batch.where("content IS NULL").select(*KEYS).distinct()
-        done = I.index_notes(files().join(keys, KEYS, "left_semi"), batch.where("content IS NOT NULL"), old.join(gone, KEYS, "left_anti"), embed, dimension, model)
-        done["chunks"].write.mode("overwrite").parquet(f"{folder}/v={number}")
+        state = KeyedTable(spark, folder, CHUNKS, KEYS)
+        head, keys = state.head(number), batch.select(*KEYS).distinct()
+        old = state.rows(head, state.touched(keys)).join(keys, KEYS, "left_semi")
+        notes = batch.where("content IS NOT NULL")
+        done = I.index_notes(files().join(keys, KEYS, "left_semi"), notes, old, embed, dimension, model)
+        settled = done["files"].where("index_status IN ('indexed', 'pending', 'skipped')").select(*KEYS)
+        chunks = written(spark, done["chunks"].join(settled, KEYS, "left_semi"), "chunks")
+        empty = settled.join(chunks.select(*KEYS).distinct(), KEYS, "left_anti")
+        state.write(number, head, chunks, gone=batch.where("content IS NULL").select(*KEYS).unionByName(empty))
 
     return each_batch(changes, index, checkpoint)

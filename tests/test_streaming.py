@@ -15,7 +15,7 @@ def test_followed_log_equals_the_batch_fold(spark, tmp_path):
         stream = spark.readStream.schema(EVENT).parquet(source)
         assert ST.follow_log(stream, folder, str(tmp_path / "cp")).awaitTermination(120)
     key = lambda d: sorted((r.source_path, r.revision, r.content_hash) for r in d.collect())
-    assert key(ST.latest_snapshot(spark, folder)) == key(latest_per_path(spark.createDataFrame(rows, EVENT)))
+    assert key(ST.latest_snapshot(spark, folder, EVENT)) == key(latest_per_path(spark.createDataFrame(rows, EVENT)))
 
 
 def test_debounce_stream_fires_once_a_burst(spark, tmp_path):
@@ -80,7 +80,7 @@ def test_index_stream_replaces_and_drops(spark, tmp_path):
     for part in ([("v", "a.md", HEAD + "one"), ("v", "b.md", HEAD + "two")], [("v", "a.md", HEAD + "three"), ("v", "b.md", None)]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         assert ST.index_stream(spark.readStream.schema(schema).parquet(source), files, hashing_embedder(8), 8, "m", folder, str(tmp_path / "cp")).awaitTermination(120)
-    assert [(r.source_path, r.content) for r in ST.latest_snapshot(spark, folder).collect()] == [("a.md", "three")]
+    assert [(r.source_path, r.content) for r in ST.latest_snapshot(spark, folder, ST.CHUNKS).collect()] == [("a.md", "three")]
 
 
 def test_sql_table_function(spark):
@@ -134,3 +134,46 @@ def test_suppression_stream_equals_the_batch(spark, tmp_path):
     want = sorted((v, i) for v, i, t in events if not any(w == v and a <= t < b + 1 for w, a, b in runs))
     assert sorted((r.vault_id, r.event_id) for r in batch.collect()) == want
     assert got == want
+
+
+def _bytes(folder) -> int:
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    """Files of a small batch do not grow with the table; runs that repeat a batch, deletions and whole rewrites keep the rows right."""
+    from noteflow.sources.state import KeyedTable
+
+    schema = "k string, i int, x string"
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], parts=8, most=3)
+    want = {f"k{i}": [(i, f"first {i}"), (i + 1, "second")] for i in range(3000)}
+    rows = lambda d: spark.createDataFrame([(k, *r) for k, v in d.items() for r in v], schema)
+    table.write(0, {}, rows(want))
+    whole = _bytes(tmp_path / "t/data/v=0")
+    for n in range(1, 12):
+        change = {f"k{n}": [(n, f"changed {n}")], "k7": [(n, "hot"), (n, "hot")], f"new{n}": [(0, None)]}
+        gone = spark.createDataFrame([(f"k{100 + n}",)], "k string")
+        for _ in range(2 if n % 3 == 0 else 1):  # a batch that ran twice
+            table.write(n, table.head(n), rows(change), gone)
+        want |= change
+        del want[f"k{100 + n}"]
+        assert _bytes(tmp_path / f"t/data/v={n}") < whole / 8
+    assert any((tmp_path / f"t/data/v={n}w").exists() for n in range(12))
+    got = {}
+    for r in table.rows(table.head()).collect():
+        got.setdefault(r.k, []).append((r.i, r.x))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+    assert all(len(v) <= 3 for v in table.head().values())
+    some = table.rows(table.head(), [0, 3])
+    assert 0 < some.select("k").distinct().count() < 1500
+
+
+def test_follow_log_writes_deltas(spark, tmp_path):
+    source, folder = str(tmp_path / "log"), tmp_path / "snapshot"
+    big = [("v", f"n{i}.md", i, f"hash of {i}" * 9) for i in range(1, 8000)]
+    for part in (big, [("v", "n3.md", 9000, "x"), ("v", "n5.md", 2, "too old")]):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(source)
+        assert ST.follow_log(spark.readStream.schema(EVENT).parquet(source), str(folder), str(tmp_path / "cp")).awaitTermination(120)
+    assert _bytes(folder / "data/v=1") < _bytes(folder / "data/v=0") / 20
+    now = {r.source_path: r.revision for r in ST.latest_snapshot(spark, str(folder), EVENT).collect()}
+    assert len(now) == 7999 and now["n3.md"] == 9000 and now["n5.md"] == 5
