@@ -12,21 +12,58 @@ from noteflow.functions import rules as R
 from noteflow.sources.scratch import written
 
 PAGE, MOST_PAGE = 500, 1000
+#: Revisions of a slice in which a vault's log is counted for its feeds.
+FEED_SLICE = 256
 KEYS = ["vault_id", "source_path"]
 #: Length of a slice of a vault's sequence in which requests are numbered by one task.
 SLICE = 100_000
 
 
 def change_feed(events: DataFrame, cursors: DataFrame, limit: int = PAGE) -> DataFrame:
-    """The next page of each device's feed: events after its cursor in revision order."""
+    """The next page of each device's feed: events after its cursor in revision order.
+
+    The log is counted in slices of FEED_SLICE revisions; from the counts follows
+    the last slice that a page can reach, wherever revisions are missing. Events
+    are joined by slice, so a device meets its page and two slices at most, and
+    never the rest of its vault's log.
+    """
     limit = min(limit, MOST_PAGE)
-    devices = cursors.select("vault_id", F.col("device_id").alias("to_device"), "cursor")
-    after = events.join(devices, "vault_id").where(F.col("revision") > F.col("cursor"))
-    # revisions of a vault are dense, so a page never reaches beyond cursor + limit unless revisions are missing
+    devices = cursors.select("vault_id", F.col("device_id").alias("to_device"), "cursor").where("cursor IS NOT NULL")
+    slices = feed_slices(events)
+    reach = feed_reach(devices, slices, limit)
+    pages = reach.join(slices.select("vault_id", "rank", "slice"), ["vault_id", "rank"]).select("vault_id", "to_device", "cursor", "slice")
+    after = events.withColumn("slice", F.floor(F.col("revision") / FEED_SLICE)).join(pages, ["vault_id", "slice"]).where(F.col("revision") > F.col("cursor")).drop("slice")
     place = F.row_number().over(Window.partitionBy("vault_id", "to_device").orderBy("revision"))
     return after.withColumn("n", place).where(F.col("n") <= limit).drop("n")
 
 
+def feed_slices(events: DataFrame) -> DataFrame:
+    """vault_id, slice, upto (events up to the slice's end), rank: the slices of each vault's log that hold events."""
+    counts = events.groupBy("vault_id", F.floor(F.col("revision") / FEED_SLICE).alias("slice")).agg(F.count("*").alias("n"))
+    line = Window.partitionBy("vault_id").orderBy("slice")
+    counts = counts.select("vault_id", "slice", F.sum("n").over(line).alias("upto"), F.row_number().over(line).alias("rank"))
+    return written(events.sparkSession, counts, "feed_slices")
+
+
+def feed_reach(devices: DataFrame, slices: DataFrame, limit: int) -> DataFrame:
+    """vault_id, to_device, cursor, rank: the slices from a device's cursor to where its page ends at the latest.
+
+    Both ends are found by lining up devices and slices of a vault, first by
+    slice and then by counts; there are as many ranks as the page has events,
+    and two, at most.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = devices.select("vault_id", "to_device", "cursor", F.floor(F.col("cursor") / FEED_SLICE).alias("slice"), none("long").alias("upto"), none("int").alias("rank"))
+    rows = slices.select("vault_id", none("string").alias("to_device"), none("long").alias("cursor"), "slice", "upto", "rank").unionByName(marks)
+    by_slice = Window.partitionBy("vault_id").orderBy("slice", F.col("rank").isNull())
+    last = lambda c: F.last(c, ignorenulls=True).over(by_slice.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"first": F.coalesce(last("rank"), F.lit(1)), "seen": F.coalesce(last("upto"), F.lit(0)), "ranks": F.max("rank").over(Window.partitionBy("vault_id"))})
+    rows = rows.withColumn("line", F.when(F.col("rank").isNull(), F.col("seen") + limit).otherwise(F.col("upto")))
+    by_count = Window.partitionBy("vault_id").orderBy(F.desc("line"), F.col("rank").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.coalesce(F.last("rank", ignorenulls=True).over(by_count), "ranks"))
+    return rows.where("rank IS NULL AND ranks IS NOT NULL").select("vault_id", "to_device", "cursor", F.explode(F.sequence("first", "end")).alias("rank"))
+
+
 def advanced_cursors(page: DataFrame, cursors: DataFrame) -> DataFrame:
     """Cursors after a page: the last revision returned, else as before."""
     last = page.groupBy("vault_id", F.col("to_device").alias("device_id")).agg(F.max("revision").alias("to_cursor"))
@@ -145,7 +182,7 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((*path, r["seq"], kind, decision, event, content, at if decision == "conflict" else None, base))
             if event:
                 state = (-r["seq"], content, event == "DELETE")
-                if event != "DELETE":
+                if event != "DELETE" and path[1].endswith(".md"):  # other files have no versions
                     latest = {"hash": content}
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), DECIDED.types)] if out else [pa.array([], t) for t in DECIDED.types], schema=DECIDED)
 
@@ -173,10 +210,44 @@ def admit_writes(requests: DataFrame, files: DataFrame, versions: DataFrame, vau
     numbered = consecutive(decided.withColumn("slice", F.floor(F.col("seq") / SLICE)), F.col("decision") == "accepted")
     rows = numbered.join(vaults.select("vault_id", "current_revision"), "vault_id")
     rows = rows.withColumn("revision", F.when(F.col("decision") == "accepted", F.col("current_revision") + F.col("number")))
-    # a state of this batch (negative) is the path's last accepted request before the conflict
-    earlier = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.when(F.col("server_seen") < 0, F.last("revision", ignorenulls=True).over(earlier)).otherwise(F.col("server_seen"))
-    return rows.withColumn("server_revision", seen).drop("server_seen", "current_revision", "number", "slice")
+    # a state of this batch (negative) is the revision that the request of that seq was given
+    given = rows.where("decision = 'accepted'").select("vault_id", (-F.col("seq")).alias("server_seen"), F.col("revision").alias("seen_revision"))
+    rows = rows.join(given, ["vault_id", "server_seen"], "left").withColumn("server_revision", F.coalesce("seen_revision", "server_seen"))
+    return rows.drop("server_seen", "seen_revision", "current_revision", "number", "slice")
+
+
+def admission(requests: DataFrame, files: DataFrame, versions: DataFrame, vaults: DataFrame) -> dict[str, DataFrame]:
+    """The whole of a batch of writes: decisions, events, versions, conflicts and the files after it.
+
+    requests: as in ``admit_writes``, with n_bytes, device_id and origin. A
+    request of no known vault, or one that fails a check of its path, kind of
+    file or size, is decided as ``invalid`` with the first error and changes
+    nothing. Conflicts are rows of their own: open, unless a later accepted
+    write of the batch on their path has settled them. Only markdown has
+    versions; the origin is kept of puts.
+    """
+    spark = requests.sparkSession
+    error = request_error(F.col("kind"), F.col("source_path"), F.col("n_bytes"))
+    known = vaults.select("vault_id", F.lit(True).alias("known"))
+    rows = requests.join(known, "vault_id", "left").withColumn("error", F.when(F.col("known").isNull(), "vault not found").otherwise(error)).drop("known")
+    rows = written(spark, rows, "checked")
+    good = rows.where("error IS NULL").withColumn("source_path", R.checked_path(F.col("source_path"))["path"])
+    decided = admit_writes(good.drop("error"), files, versions, vaults)
+    about = good.select("vault_id", "seq", "device_id", "origin")
+    decided = written(spark, decided.join(about, ["vault_id", "seq"]), "decisions")
+    none = lambda kind: F.lit(None).cast(kind)
+    outcome = ["vault_id", "source_path", "seq", "kind", "decision", "error", "event_type", "content_hash", "revision", "server_revision"]
+    bad = rows.where("error IS NOT NULL").select(
+        "vault_id", "source_path", "seq", "kind", F.lit("invalid").alias("decision"), "error", none("string").alias("event_type"), none("string").alias("content_hash"), none("long").alias("revision"), none("long").alias("server_revision")
+    )
+    accepted = decided.where("decision = 'accepted'")
+    deleted = F.col("event_type") == "DELETE"
+    put = F.when(F.col("kind").isin("PUT", "FORCE"), F.col("origin"))
+    events = accepted.select("vault_id", "revision", "source_path", "event_type", "content_hash", deleted.alias("deleted"), "device_id", put.alias("origin"))
+    new = accepted.where(~deleted & F.endswith("source_path", F.lit(".md"))).select("vault_id", "source_path", "revision", "content_hash", "event_type", "device_id")
+    conflicts = decided.where("decision = 'conflict'").select("vault_id", "source_path", "seq", "server_revision", F.col("base_revision").alias("client_base_revision"), "device_id", F.lit("OPEN").alias("status"))
+    conflicts = resolved_conflicts(conflicts, accepted.select(*KEYS, "seq"))
+    return {"decisions": decided.withColumn("error", none("string")).select(*outcome).unionByName(bad), "events": events, "versions": new, "conflicts": conflicts, "files": applied_state(files, decided)}
 
 
 def consecutive(rows: DataFrame, counted: Column) -> DataFrame:

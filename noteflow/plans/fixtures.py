@@ -157,6 +157,14 @@ FROM (SELECT *, max(revision) OVER (PARTITION BY vault_id) AS top FROM ({sync_ev
 LEFT JOIN ({half_log(d)}) h ON h.vault_id = e.vault_id AND h.source_path = e.source_path WHERE e.revision > e.top / 2"""
 
 
+def writes(d: Dialect) -> str:
+    """Requests as they come in: bad paths, unknown vaults and large files among them, and restores that name a revision."""
+    return f"""SELECT CASE WHEN seq % 83 = 0 THEN 'v99' ELSE vault_id END AS vault_id, CASE WHEN seq % 97 = 0 THEN concat('../', source_path) WHEN seq % 89 = 0 THEN concat(source_path, '.zip') WHEN seq % 79 = 0 THEN concat('.trash/', source_path)
+         WHEN seq % 5 = 0 THEN concat(' ', source_path) ELSE source_path END AS source_path, seq, kind, base_revision, content_hash, CASE WHEN seq % 3 = 0 THEN base_revision WHEN seq % 3 = 1 THEN seq + 100000 END AS restore_revision,
+       CAST(CASE WHEN seq % 71 = 0 THEN 60000000 WHEN seq % 73 = 0 THEN -1 ELSE seq % 900 END AS BIGINT) AS n_bytes, concat('dev', CAST(seq % 5 AS STRING)) AS device_id, CASE WHEN seq % 2 = 0 THEN 'mcp' END AS origin
+FROM ({requests(d)}) q"""
+
+
 def paths(d: Dialect) -> str:
     """Good and bad paths; sizes; a directory flag."""
     kinds = [
@@ -192,7 +200,7 @@ WHERE nxt IS NULL OR nxt > ts + INTERVAL '2' SECOND"""
 
 
 SPARK, DUCK = Dialect(True), Dialect(False)
-ALL = {f.__name__: f for f in (sync_events, chunks, files, vaults, asked, asks, golden, search_logs, versions, conflicts, half_log, cursors, manifest, scan, tracked, requests, paths, notes, watch, runs)}
+ALL = {f.__name__: f for f in (sync_events, chunks, files, vaults, asked, asks, golden, search_logs, versions, conflicts, half_log, cursors, manifest, scan, tracked, requests, writes, paths, notes, watch, runs)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -278,16 +278,87 @@ def admitted(t) -> DataFrame:
     return V.admit_writes(t("requests"), t("half_log"), known, half_vaults(t))
 
 
-@query("jb04_admit_writes", "requests")
+def fold_sql(good: str) -> str:
+    """The fold of the requests in ``good`` as a recursion over each path's requests, and the numbers of the accepted ones."""
+    return f"""half AS (SELECT vault_id, CAST(floor(max(revision) / 2) AS BIGINT) AS current_revision FROM fx_sync_events GROUP BY vault_id),
+stored AS (SELECT v.vault_id, v.source_path, v.revision, v.content_hash FROM fx_versions v JOIN half USING (vault_id) WHERE v.revision <= half.current_revision),
+lined AS (SELECT *, row_number() OVER (PARTITION BY vault_id, source_path ORDER BY seq) AS k FROM {good}),
+fold(vault_id, source_path, k, rev, hash, gone, latest, seq, kind, base, decision, event_type, content, seen) AS (
+  SELECT p.vault_id, p.source_path, 0::BIGINT, h.revision, h.content_hash, coalesce(h.deleted, false), (SELECT arg_max(s.content_hash, s.revision) FROM stored s WHERE s.vault_id = p.vault_id AND s.source_path = p.source_path), NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT
+  FROM (SELECT DISTINCT vault_id, source_path FROM lined) p LEFT JOIN fx_half_log h ON h.vault_id = p.vault_id AND h.source_path = p.source_path
+  UNION ALL
+  SELECT vault_id, source_path, k, CASE WHEN event_type IS NULL THEN rev ELSE -seq END, CASE WHEN event_type IS NULL THEN hash ELSE content END, CASE WHEN event_type IS NULL THEN gone ELSE event_type = 'DELETE' END,
+    CASE WHEN event_type <> 'DELETE' AND source_path LIKE '%.md' THEN content ELSE latest END, seq, kind, base, decision, event_type, content, CASE WHEN decision = 'conflict' THEN coalesce(rev, 0) END FROM (
+    SELECT *, CASE WHEN decision <> 'accepted' THEN NULL WHEN kind IN ('DELETE', 'RESTORE') THEN kind WHEN live THEN 'UPDATE' ELSE 'CREATE' END AS event_type,
+      CASE WHEN decision <> 'accepted' THEN NULL WHEN kind = 'DELETE' THEN hash WHEN kind = 'RESTORE' THEN wanted ELSE asked END AS content FROM (
+      SELECT *, CASE kind WHEN 'PUT' THEN CASE WHEN base = 0 AND NOT live THEN 'accepted' WHEN NOT live OR base <> rev THEN 'conflict' WHEN asked = hash THEN 'replay' ELSE 'accepted' END
+          WHEN 'FORCE' THEN CASE WHEN live AND asked = hash THEN 'noop' ELSE 'accepted' END
+          WHEN 'DELETE' THEN CASE WHEN NOT live THEN 'not_found' WHEN base <> rev THEN 'conflict' ELSE 'accepted' END
+          ELSE CASE WHEN live THEN 'rejected' WHEN rev IS NULL OR wanted IS NULL THEN 'not_found' ELSE 'accepted' END END AS decision FROM (
+        SELECT f.vault_id, f.source_path, l.k, f.rev, f.hash, f.gone, f.latest, l.seq, l.kind, coalesce(l.base_revision, 0) AS base, l.content_hash AS asked, f.rev IS NOT NULL AND NOT f.gone AS live,
+          CASE WHEN l.restore_revision IS NULL THEN f.latest ELSE (SELECT max(s.content_hash) FROM stored s WHERE s.vault_id = f.vault_id AND s.source_path = f.source_path AND s.revision = l.restore_revision) END AS wanted
+        FROM fold f JOIN lined l ON l.vault_id = f.vault_id AND l.source_path = f.source_path AND l.k = f.k + 1) a) b) c),
+given AS (SELECT f.*, current_revision + row_number() OVER (PARTITION BY vault_id ORDER BY seq) AS revision FROM fold f JOIN half USING (vault_id) WHERE decision = 'accepted'),
+decided AS (SELECT f.vault_id, f.source_path, f.seq, f.kind, f.base, f.decision, f.event_type, f.content AS content_hash, g.revision, CASE WHEN f.seen < 0 THEN s.revision ELSE f.seen END AS server_revision
+  FROM fold f LEFT JOIN given g ON g.vault_id = f.vault_id AND g.seq = f.seq LEFT JOIN given s ON s.vault_id = f.vault_id AND s.seq = -f.seen WHERE f.k > 0),
+after AS (SELECT vault_id, source_path, max(revision) AS revision, arg_max(content_hash, revision) AS content_hash, arg_max(event_type, revision) = 'DELETE' AS deleted FROM decided WHERE decision = 'accepted' GROUP BY ALL),
+state AS (SELECT vault_id, source_path, revision, content_hash, deleted, CASE WHEN deleted OR NOT source_path LIKE '%.md' THEN 'skipped' ELSE 'pending' END AS index_status FROM after
+  UNION ALL SELECT vault_id, source_path, revision, content_hash, deleted, 'indexed' FROM fx_half_log h WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.vault_id = h.vault_id AND a.source_path = h.source_path))"""
+
+
+LOG = ("sync_events", "half_log", "versions")
+PLAIN = f"WITH RECURSIVE {fold_sql('fx_requests')}"
+CHECKED_WRITES = """checked AS (SELECT *, trim(source_path) AS path, CASE WHEN vault_id = 'v99' THEN 'vault not found' WHEN source_path LIKE '../%' THEN 'source path cannot contain empty or traversal parts'
+    WHEN kind IN ('PUT', 'FORCE') THEN CASE WHEN source_path LIKE '.trash/%' THEN 'source path is ignored' WHEN source_path LIKE '%.zip' THEN 'file extension is explicitly excluded' WHEN n_bytes < 0 THEN 'file size cannot be negative' WHEN n_bytes > 50000000 THEN 'file exceeds size limit' END END AS error FROM fx_writes),
+fit AS (SELECT * REPLACE (path AS source_path) FROM checked WHERE error IS NULL)"""
+WHOLE = f"WITH RECURSIVE {CHECKED_WRITES}, {fold_sql('fit')}"
+WRITES = (*LOG, "writes")
+
+
+@query("jb04_admit_writes", *LOG, "requests", sql=f"{PLAIN} SELECT vault_id, source_path, seq, kind, decision, event_type, content_hash, base AS base_revision, revision, server_revision FROM decided")
 def _(t):
     return admitted(t)
 
 
-@query("jb04_applied_state", "requests")
+@query("jb04_applied_state", *LOG, "requests", sql=f"{PLAIN} SELECT * FROM state")
 def _(t):
     return V.applied_state(t("half_log").withColumn("index_status", F.lit("indexed")), admitted(t))
 
 
+def admission(t) -> dict[str, DataFrame]:
+    known = t("versions").join(half_vaults(t), "vault_id").where("revision <= current_revision").drop("current_revision")
+    return V.admission(t("writes"), t("half_log").withColumn("index_status", F.lit("indexed")), known, half_vaults(t))
+
+
+@query("jb04_decisions", *WRITES, sql=f"{WHOLE} SELECT vault_id, source_path, seq, kind, decision, NULL AS error, event_type, content_hash, revision, server_revision FROM decided UNION ALL SELECT vault_id, source_path, seq, kind, 'invalid', error, NULL, NULL, NULL, NULL FROM checked WHERE error IS NOT NULL")
+def _(t):
+    return admission(t)["decisions"]
+
+
+@query("jb04_events", *WRITES, sql=f"""{WHOLE} SELECT d.vault_id, d.revision, d.source_path, d.event_type, d.content_hash, d.event_type = 'DELETE' AS deleted, w.device_id, CASE WHEN d.kind IN ('PUT', 'FORCE') THEN w.origin END AS origin
+  FROM decided d JOIN fx_writes w ON w.vault_id = d.vault_id AND w.seq = d.seq WHERE decision = 'accepted'""")
+def _(t):
+    return admission(t)["events"]
+
+
+@query("jb04_versions", *WRITES, sql=f"""{WHOLE} SELECT d.vault_id, d.revision, d.source_path, d.event_type, d.content_hash, w.device_id FROM decided d JOIN fx_writes w ON w.vault_id = d.vault_id AND w.seq = d.seq
+  WHERE decision = 'accepted' AND d.event_type <> 'DELETE' AND d.source_path LIKE '%.md'""")
+def _(t):
+    return admission(t)["versions"]
+
+
+@query("jb04_conflicts", *WRITES, sql=f"""{WHOLE} SELECT d.vault_id, d.source_path, d.seq, d.server_revision, d.base AS client_base_revision, w.device_id,
+  CASE WHEN EXISTS (SELECT 1 FROM decided a WHERE a.vault_id = d.vault_id AND a.source_path = d.source_path AND a.decision = 'accepted' AND a.seq > d.seq) THEN 'RESOLVED' ELSE 'OPEN' END AS status
+  FROM decided d JOIN fx_writes w ON w.vault_id = d.vault_id AND w.seq = d.seq WHERE decision = 'conflict'""")
+def _(t):
+    return admission(t)["conflicts"]
+
+
+@query("jb04_files", *WRITES, sql=f"{WHOLE} SELECT * FROM state")
+def _(t):
+    return admission(t)["files"]
+
+
 @query("wn08_resolved_conflicts", "conflicts", "sync_events", sql="""SELECT c.id, CASE WHEN c.status = 'OPEN' AND last > c.seq THEN 'RESOLVED' ELSE c.status END AS status FROM fx_conflicts c
   LEFT JOIN (SELECT vault_id, source_path, max(revision) AS last FROM fx_sync_events WHERE event_type IN ('CREATE', 'DELETE') GROUP BY ALL) a ON a.vault_id = c.vault_id AND a.source_path = c.source_path""")
 def _(t):

@@ -204,7 +204,7 @@ def admit_stream(requests: DataFrame, vaults: Callable[[], DataFrame], folder: s
         V.admit_writes(batch, old, stored, known).write.mode("overwrite").parquet(f"{folder}/decisions/v={number}")
         decisions = spark.read.parquet(f"{folder}/decisions/v={number}")
         accepted = decisions.where("decision = 'accepted'")
-        kept = accepted.where("event_type != 'DELETE'").select(*KEYS, "revision", "content_hash")
+        kept = accepted.where("event_type != 'DELETE' AND source_path LIKE '%.md'").select(*KEYS, "revision", "content_hash")
         kept.withColumn("part", versions_hash()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/versions/v={number}")
         files.write(number, heads[0], V.applied_state(old, decisions).join(accepted.select(*KEYS).distinct(), KEYS, "left_semi"))
         counters.write(number, heads[1], accepted.groupBy("vault_id").agg(F.max("revision").alias("current_revision")))

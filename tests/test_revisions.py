@@ -126,3 +126,48 @@ def test_a_dominant_path_is_folded_in_batches(spark, monkeypatch):
     assert got == replay(requests, files, versions, {"a": 400})
     assert {"accepted", "rejected", "not_found"} <= {x[0] for x in got.values()}
     assert plans and not any("FlatMapGroups" in p or "collect_list" in p for p in plans)
+
+
+def test_whole_admission(spark):
+    """Bad requests change nothing; only markdown has versions to restore; later writes settle conflicts."""
+    schema = "vault_id string, source_path string, seq long, kind string, base_revision long, content_hash string, restore_revision long, n_bytes long, device_id string, origin string"
+    rows = [
+        ("v", " a.md", 1, "PUT", 0, "h1", None, 5, "d1", "mcp"), ("v", "b.png", 2, "PUT", 0, "h2", None, 5, "d1", None), ("v", "../a.md", 3, "PUT", 0, "h3", None, 5, "d1", None), ("gone", "a.md", 4, "PUT", 0, "h3", None, 5, "d1", None),
+        ("v", "a.md", 5, "PUT", 0, "h5", None, 5, "d2", None), ("v", "a.exe", 6, "PUT", 0, "h5", None, 5, "d2", None), ("v", "a.md", 7, "FORCE", None, "h7", None, 5, "d2", "mcp"), ("v", "a.md", 8, "PUT", 1, "h8", None, 5, "d1", None),
+        ("v", "c.png", 9, "FORCE", None, "h9", None, 99_000_000, "d1", None), ("w", "a.md", 1, "DELETE", 4, None, None, None, "d1", "mcp"), ("w", "a.md", 2, "RESTORE", None, None, None, None, "d1", "mcp"), ("w", "b.png", 3, "DELETE", 3, None, None, None, "d1", None), ("w", "b.png", 4, "RESTORE", None, None, None, None, "d1", None),
+    ]
+    files = spark.createDataFrame([("w", "a.md", 4, "x4", False, "indexed"), ("w", "b.png", 3, "x3", False, "skipped")], "vault_id string, source_path string, revision long, content_hash string, deleted boolean, index_status string")
+    versions = spark.createDataFrame([("w", "a.md", 4, "x4")], "vault_id string, source_path string, revision long, content_hash string")
+    vaults = spark.createDataFrame([("v", 0), ("w", 4)], "vault_id string, current_revision long")
+    out = V.admission(spark.createDataFrame(rows, schema), files, versions, vaults)
+    got = {(r.vault_id, r.seq): (r.decision, r.error, r.revision, r.server_revision) for r in out["decisions"].collect()}
+    assert got == {
+        ("v", 1): ("accepted", None, 1, None), ("v", 2): ("accepted", None, 2, None), ("v", 3): ("invalid", "source path cannot contain empty or traversal parts", None, None), ("gone", 4): ("invalid", "vault not found", None, None),
+        ("v", 5): ("conflict", None, None, 1), ("v", 6): ("invalid", got["v", 6][1], None, None), ("v", 7): ("accepted", None, 3, None), ("v", 8): ("conflict", None, None, 3), ("v", 9): ("invalid", "file exceeds size limit", None, None),
+        ("w", 1): ("accepted", None, 5, None), ("w", 2): ("accepted", None, 6, None), ("w", 3): ("accepted", None, 7, None), ("w", 4): ("not_found", None, None, None),
+    }
+    assert "extension" in got["v", 6][1]
+    assert sorted((r.source_path, r.seq, r.status, r.client_base_revision) for r in out["conflicts"].collect()) == [("a.md", 5, "RESOLVED", 0), ("a.md", 8, "OPEN", 1)]
+    assert sorted((r.vault_id, r.revision, r.event_type, r.origin) for r in out["events"].collect()) == [("v", 1, "CREATE", "mcp"), ("v", 2, "CREATE", None), ("v", 3, "UPDATE", "mcp"), ("w", 5, "DELETE", None), ("w", 6, "RESTORE", None), ("w", 7, "DELETE", None)]
+    assert sorted((r.vault_id, r.revision, r.content_hash) for r in out["versions"].collect()) == [("v", 1, "h1"), ("v", 3, "h7"), ("w", 6, "x4")]
+    assert sorted((r.vault_id, r.source_path, r.deleted) for r in out["files"].collect()) == [("v", "a.md", False), ("v", "b.png", False), ("w", "a.md", False), ("w", "b.png", True)]
+
+
+def test_change_feed_is_exact_and_bounded(spark):
+    """Missing revisions, cursors beyond both ends, vaults without devices and one large vault: pages as by definition, slices no more than pages need."""
+    rng = random.Random(3)
+    logs = {"big": sorted(rng.sample(range(1, 40_000), 9000)), "thin": sorted(rng.sample(range(1, 3_000_000), 300)), "dense": list(range(1, 2001)), "idle": [1, 2], "one": [77]}
+    events = spark.createDataFrame([(v, r, f"n{r % 9}.md") for v, log in logs.items() for r in log], "vault_id string, revision long, source_path string")
+    cursors = [(v, f"{v}{i}", c) for v, log in logs.items() if v != "idle" for i, c in enumerate([0, log[-1], log[0], log[len(log) // 2], log[-1] + 5000, log[len(log) // 3] + 1])] + [("none", "x", 0), ("big", "null", None)]
+    devices = spark.createDataFrame(cursors, "vault_id string, device_id string, cursor long")
+    for limit in (3, 200, 1000):
+        got = {}
+        for r in V.change_feed(events, devices, limit).collect():
+            got.setdefault((r.vault_id, r.to_device), []).append(r.revision)
+        want = {(v, d): page for v, d, c in cursors if c is not None and (page := [r for r in logs.get(v, []) if r > c][:limit])}
+        assert {k: sorted(v) for k, v in got.items()} == want
+        marks = devices.where("cursor IS NOT NULL").withColumnRenamed("device_id", "to_device")
+        reach = V.feed_reach(marks.select("vault_id", "to_device", "cursor"), V.feed_slices(events), limit)
+        slices = V.feed_slices(events).select("vault_id", "rank", "slice")
+        met = reach.join(slices, ["vault_id", "rank"]).join(events.selectExpr("vault_id AS vault_id", f"floor(revision / {V.FEED_SLICE}) AS slice"), ["vault_id", "slice"])
+        assert max(r["count"] for r in met.groupBy("to_device").count().collect()) <= limit + 2 * V.FEED_SLICE
