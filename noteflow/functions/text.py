@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: A word (letters, digits, underscore) or one other visible character, in Unicode.
@@ -204,3 +204,8 @@ def note_markdown(title: Column, tags: Column, project: Column, day: Column, bod
 
 def note_path(title: Column, day: Column) -> Column:
     return F.concat(F.lit("Agent Notes/"), day, F.lit("-"), slug(title), F.lit(".md"))
+
+
+def register_sql(spark: SparkSession) -> None:
+    """``immutable_tags_text(tags)`` for SQL users: the tags with spaces between; null tags give an empty text, null elements none."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION immutable_tags_text(tags ARRAY<STRING>) RETURNS STRING RETURN array_join(coalesce(tags, array()), ' ')")

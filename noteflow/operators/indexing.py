@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteflow.functions import notes as N
@@ -85,9 +85,29 @@ def index_notes(files: DataFrame, notes: DataFrame, old_chunks: DataFrame, embed
     return {"chunks": chunks, "files": status, "failures": failures, "report": index_report(status, counts)}
 
 
+CODES = {"frontmatter": "VALIDATION_ERROR", "embedding": "EMBEDDING_FAILED", "unknown": "INDEXING_FAILED"}
+
+
+def failure_log(failures: DataFrame, files: DataFrame, at: Column) -> DataFrame:
+    """Rows to append to the failure log: keys, content_hash of the file, phase, code, message, details (JSON or null), clock as given.
+
+    The details name the field that the frontmatter check stopped at, and what
+    is missing.
+    """
+    code = F.coalesce(*[F.when(F.col("phase") == phase, code) for phase, code in CODES.items()])
+    field, missing = F.regexp_extract("error", r"frontmatter field (\w+)", 1), F.regexp_extract("error", r"missing required fields: (.+)$", 1)
+    details = F.when(missing != "", F.to_json(F.struct(F.split(missing, ", ").alias("missing_fields")))).when(field != "", F.to_json(F.struct(field.alias("field"))))
+    rows = failures.join(files.select(*PATH, "content_hash"), PATH, "left")
+    return rows.select(*PATH, "content_hash", "phase", code.alias("error_code"), F.col("error").alias("error_message"), details.alias("error_details"), at.alias("created_at"))
+
+
+def append_failures(log: DataFrame, path: str) -> None:
+    """Add rows to the stored failure log, in files by the day of their clock."""
+    log.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def index_report(status: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per vault: indexed, skipped and failed files, created, updated and deleted chunks, failed paths. Raced files count nowhere."""
+    """Per vault: indexed, skipped and failed files, created, updated and deleted chunks. Raced files count nowhere; the failed paths are the rows of the failure log."""
     of = lambda s: F.count_if(F.col("index_status") == s)
-    failed = F.sort_array(F.collect_list(F.when(F.col("index_status") == "failed", F.col("source_path"))))
-    files = status.groupBy("vault_id").agg(of("indexed").alias("indexed"), of("skipped").alias("skipped"), of("failed").alias("failed"), failed.alias("failed_paths"))
+    files = status.groupBy("vault_id").agg(of("indexed").alias("indexed"), of("skipped").alias("skipped"), of("failed").alias("failed"))
     return files.join(counts, "vault_id", "left").fillna(0, ["created", "updated", "deleted"])

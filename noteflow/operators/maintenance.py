@@ -35,10 +35,30 @@ def prunable_versions(versions: DataFrame, as_of: Column, days: int) -> DataFram
     return rows.where(F.col("revision") < F.col("max_revision")).select(*PATH, "revision")
 
 
-def retention_summary(archived: DataFrame, pruned: DataFrame) -> DataFrame:
-    label = F.concat_ws("/", "vault_id", "source_path")
-    a = archived.agg(F.count("*").alias("archived"), F.sort_array(F.collect_list(label)).alias("archived_paths"))
-    return a.crossJoin(pruned.agg(F.count("*").alias("pruned")))  # one row each
+def retention_rows(archived: DataFrame, pruned: DataFrame) -> DataFrame:
+    """What a retention run does, as rows: kind (archived, pruned), vault_id, source_path, revision (of pruned versions)."""
+    a = archived.select(F.lit("archived").alias("kind"), *PATH, F.lit(None).cast("long").alias("revision"))
+    return a.unionByName(pruned.select(F.lit("pruned").alias("kind"), *PATH, F.col("revision").cast("long")))
+
+
+def retention_summary(rows: DataFrame) -> DataFrame:
+    """Archived files and pruned versions of each vault that has any."""
+    return rows.groupBy("vault_id").agg(F.count_if(F.col("kind") == "archived").alias("archived"), F.count_if(F.col("kind") == "pruned").alias("pruned"))
+
+
+def retention(files: DataFrame, chunks: DataFrame, versions: DataFrame, as_of: Column, days: int, version_days: int, dry_run: bool = False) -> dict[str, DataFrame]:
+    """The whole retention job: files, chunks and versions after it, what it archives and prunes, and the summary per vault.
+
+    A dry run gives the same rows and summary, and leaves files, chunks and
+    versions as they are. The archives are what a run would add to.
+    """
+    done = apply_retention(files, chunks, as_of, days)
+    pruned = prunable_versions(versions, as_of, version_days)
+    rows = retention_rows(done["archived_files"], pruned)
+    kept = {"files": done["files"], "chunks": done["chunks"], "versions": versions.join(pruned, [*PATH, "revision"], "left_anti")}
+    if dry_run:
+        kept = {"files": files, "chunks": chunks, "versions": versions}
+    return kept | {"archived_files": done["archived_files"], "archived_chunks": done["archived_chunks"], "rows": rows, "summary": retention_summary(rows)}
 
 
 def stale_conflicts(conflicts: DataFrame, files: DataFrame) -> DataFrame:
@@ -62,6 +82,30 @@ def still_open(conflicts: DataFrame, stale: DataFrame) -> DataFrame:
     return rows.groupBy("vault_id").agg(F.count("*").alias("open_conflicts"))
 
 
+def resolve_stale_conflicts(conflicts: DataFrame, files: DataFrame, apply: bool = False) -> dict[str, DataFrame]:
+    """The job on stale conflicts: the rows, their counts, what stays open, and the conflicts, of which the stale ones are resolved if ``apply``."""
+    stale = stale_conflicts(conflicts, files)
+    found = stale.select("id", F.lit(True).alias("is_stale"))
+    after = conflicts
+    if apply:
+        after = conflicts.join(found, "id", "left")
+        after = after.withColumn("status", F.when(F.col("is_stale"), "RESOLVED").otherwise(F.col("status"))).select(*conflicts.columns)
+    return {"stale": stale, "counts": stale_counts(stale), "open": still_open(conflicts, stale), "conflicts": after}
+
+
+def vault_status(vaults: DataFrame, files: DataFrame, chunks: DataFrame, conflicts: DataFrame, devices: DataFrame, events: DataFrame, model: str) -> DataFrame:
+    """One row per vault and device, and per vault without devices: server revision, cursor, events after it, open conflicts, index counts.
+
+    A vault without devices, or a device without a cursor, has all events before it.
+    """
+    asked = vaults.select("vault_id", F.col("current_revision").alias("server_revision")).join(devices.select("vault_id", "device_id", "cursor"), "vault_id", "left")
+    asked = asked.withColumn("since", F.coalesce("cursor", F.lit(0)))
+    ahead = events_after(events, asked.select("vault_id", F.col("since").alias("cursor"))).withColumnRenamed("cursor", "since")
+    open_ = conflicts.where("status = 'OPEN'").groupBy("vault_id").agg(F.count("*").alias("open_conflicts"))
+    rows = asked.join(ahead, ["vault_id", "since"], "left").join(open_, "vault_id", "left").join(index_status(vaults, files, chunks, model), "vault_id")
+    return rows.drop("since").fillna(0, ["events_after", "open_conflicts"])
+
+
 def index_status(vaults: DataFrame, files: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
     """pending, failed, model-stale counts and freshness of each vault, zeros included."""
     live = files.where("vectorize AND NOT deleted")

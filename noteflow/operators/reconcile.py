@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from noteflow.functions import rules as R
 from noteflow.operators.revisions import events_after, latest_per_path
+from noteflow.sources.scratch import written
 
 KEYS = ["vault_id", "device_id", "source_path"]
 POLICIES = ("manual", "local-wins", "remote-wins")
@@ -108,3 +109,23 @@ def new_reports(conflicts: DataFrame, existing: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(*KEYS, "mark").orderBy("server_revision", "content_hash"))
     rows = rows.withColumn("n", first).where("n = 1").drop("n")
     return rows.join(existing.select(*KEYS, "mark"), [*KEYS, "mark"], "left_anti")
+
+
+def plan_sync(
+    events: DataFrame, cursors: DataFrame, manifest: DataFrame, scan: DataFrame, tracked: DataFrame, reports: DataFrame, policy: str = "manual", sync_attachments: bool = True, stored: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """A whole sync of each device: pull and push plans as one, the conflict reports that are new, and the summary.
+
+    tracked: conflicts that the device knows of; reports: those that were
+    reported (keys, mark). Only the manual policy reports conflicts. The two
+    plans are written once, since reports and summary start from them.
+    """
+    spark = events.sparkSession
+    pull = written(spark, pull_plan(events, cursors, manifest, scan, policy, sync_attachments, stored), "pull")
+    push = written(spark, push_plan(local_changes(scan, manifest, sync_attachments=sync_attachments), tracked, pull), "push")
+    none = lambda kind: F.lit(None).cast(kind)
+    plan = pull.select(*KEYS, F.lit("pull").alias("side"), "action", "resolution", "revision", none("long").alias("base_revision"))
+    plan = plan.unionByName(push.select(*KEYS, F.lit("push").alias("side"), "action", none("string").alias("resolution"), none("long").alias("revision"), F.col("base_revision").cast("long")))
+    local = scan.select(*KEYS, "content_hash")
+    found = pull.where("resolution IN ('report', 'report_deleted')").select(*KEYS, F.col("revision").alias("server_revision")).join(local, KEYS, "left")
+    return {"plan": plan, "reports": new_reports(found, reports), "summary": sync_summary(pull, push, cursors, events)}

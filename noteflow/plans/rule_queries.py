@@ -224,6 +224,22 @@ def _(t):
     return S.postings(t("chunks")).select("chunk_id", "term", "tf")
 
 
+@query("fn16_query_tree", sql=r"""WITH q AS (SELECT conv_id, turn, lower(translate(concat(role, ' "', text, '" -', role, ' or "', left(text, 40), ' --', text), '&|!()', '     ')) AS q FROM conversations),
+  tok AS (SELECT conv_id, turn, unnest(regexp_extract_all(q, '((?:-\s*)*)("[^"]*"?|[^\s"-][^\s"]*)', 1)) AS sign, unnest(regexp_extract_all(q, '((?:-\s*)*)("[^"]*"?|[^\s"-][^\s"]*)', 2)) AS value, unnest(range(1, 1 + len(regexp_extract_all(q, '((?:-\s*)*)("[^"]*"?|[^\s"-][^\s"]*)')))) AS i FROM q),
+  bare AS (SELECT *, sign = '' AND value = 'or' AS is_or, max(i) OVER (PARTITION BY conv_id, turn) AS n FROM tok),
+  run AS (SELECT *, i - coalesce(max(CASE WHEN NOT is_or THEN i END) OVER (PARTITION BY conv_id, turn ORDER BY i), 1) AS k, max(CASE WHEN NOT is_or THEN i END) OVER (PARTITION BY conv_id, turn ORDER BY i) IS NULL AS leads FROM bare),
+  marked AS (SELECT *, is_or AND i < n AND k % 2 = 1 AS splits FROM run),
+  grouped AS (SELECT *, sum(splits::INT) OVER (PARTITION BY conv_id, turn ORDER BY i) AS g, regexp_extract_all(value, '[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*') AS w FROM marked),
+  lits AS (SELECT conv_id, turn, g, i, CASE WHEN len(replace(sign, ' ', '')) % 2 = 1 THEN '-' ELSE '' END || array_to_string(flatten([CASE WHEN contains(x, '-') THEN [x] || string_split(x, '-') ELSE [x] END for x in w]), '_') AS lit FROM grouped WHERE NOT splits AND len(w) > 0),
+  alts AS (SELECT conv_id, turn, g, string_agg(lit, ' ' ORDER BY i) AS alt FROM lits GROUP BY ALL)
+SELECT conv_id, turn, string_agg(alt, ' | ' ORDER BY g) AS tree FROM alts GROUP BY ALL""".replace("\\\\", "\\"))
+def _(t):
+    """Whole turns read as queries: a word, the turn in quotes, a barred word, and the turn again behind an ``or``."""
+    text = F.concat("role", F.lit(' "'), "text", F.lit('" -'), "role", F.lit(' or "'), F.substring("text", 1, 40), F.lit(" --"), "text")
+    shown = F.array_join(F.transform(T.query_tree(text), lambda g: F.array_join(F.transform(g, lambda x: F.concat(F.when(x["barred"], "-").otherwise(""), F.array_join(x["phrase"], "_"))), " ")), " | ")
+    return t("conversations").select("conv_id", "turn", shown.alias("tree"))
+
+
 @query("fn16_query_terms", sql=r"""SELECT conv_id, turn, list_filter(a, lambda x, i: list_position(a, x) = i) AS must, list_filter(b, lambda x, i: list_position(b, x) = i) AS must_not
   FROM (SELECT conv_id, turn, flatten([regexp_extract_all(w, '[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*') for w in ws if NOT starts_with(w, '-')]) AS a,
   flatten([regexp_extract_all(w, '[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*') for w in ws if starts_with(w, '-')]) AS b
@@ -280,7 +296,9 @@ def _(t):
 
 @query("ud_tags_text", "chunks", sql="SELECT chunk_id, coalesce(array_to_string(tags, ' '), '') AS tags_text FROM fx_chunks")
 def _(t):
-    return t("chunks").select("chunk_id", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ").alias("tags_text"))
+    chunks = t("chunks")
+    T.register_sql(chunks.sparkSession)
+    return chunks.selectExpr("chunk_id", "immutable_tags_text(tags) AS tags_text")
 
 
 @query("so03_missing_fields", sql="SELECT doc_id, list_sort(list_filter(['created', 'domain', 'priority', 'project', 'status', 'tags', 'title', 'type', 'updated', 'vectorize', 'visibility'], lambda f: NOT list_contains(['title', 'type', lang, 'tags', CASE WHEN doc_id % 2 = 0 THEN 'status' ELSE 'domain' END], f))) AS missing FROM documents")

@@ -518,7 +518,33 @@ def _(t):
 @query("ag11_retention_summary", "files", "versions", sql=f"""WITH {OLD} SELECT (SELECT count(*) FROM old) AS archived, (SELECT list_sort(list(concat(vault_id, '/', source_path))) FROM old) AS archived_paths,
   (SELECT count(*) FROM fx_versions v JOIN (SELECT vault_id, source_path, max(revision) AS top FROM fx_versions GROUP BY ALL) m USING (vault_id, source_path) WHERE v.revision < m.top AND v.created_at < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 20 DAY) AS pruned""")
 def _(t):
-    return M.retention_summary(M.expired_files(t("files"), now(), 7), M.prunable_versions(t("versions"), now(), 20))
+    rows = M.retention_rows(M.expired_files(t("files"), now(), 7), M.prunable_versions(t("versions"), now(), 20))
+    archived = F.col("kind") == "archived"
+    # the operator gives rows; this query lists the paths in one row, as its SQL does
+    paths = F.sort_array(F.collect_list(F.when(archived, F.concat_ws("/", "vault_id", "source_path"))))
+    return rows.agg(F.count_if(archived).alias("archived"), paths.alias("archived_paths"), F.count_if(~archived).alias("pruned"))
+
+
+PRUNED = "pruned AS (SELECT v.vault_id, v.source_path, v.revision FROM fx_versions v JOIN (SELECT vault_id, source_path, max(revision) AS top FROM fx_versions GROUP BY ALL) m USING (vault_id, source_path) WHERE v.revision < m.top AND v.created_at < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 20 DAY)"
+RETAINED = f"WITH {OLD}, {PRUNED}, done AS (SELECT 'archived' AS kind, vault_id, source_path, NULL AS revision FROM old UNION ALL SELECT 'pruned', vault_id, source_path, revision FROM pruned)"
+RETENTION = ("files", "chunks", "versions")
+
+
+@query("ag11_retention_rows", *RETENTION, sql=f"{RETAINED} SELECT * FROM done")
+def _(t):
+    return M.retention(t("files"), t("chunks"), t("versions"), now(), 7, 20, dry_run=True)["rows"]
+
+
+@query("jb07_retention_job", *RETENTION, sql=f"""{RETAINED}, s AS (SELECT vault_id, count(*) FILTER (kind = 'archived') AS archived, count(*) FILTER (kind = 'pruned') AS pruned FROM done GROUP BY vault_id),
+  after AS (SELECT vault_id, count(*) AS n FROM fx_versions GROUP BY vault_id)
+  SELECT s.vault_id, archived, pruned, dry, n - CASE WHEN dry THEN 0 ELSE pruned END AS versions_after FROM s LEFT JOIN after USING (vault_id) CROSS JOIN (SELECT true AS dry UNION ALL SELECT false) d""")
+def _(t):
+    def run(dry: bool) -> DataFrame:
+        done = M.retention(t("files"), t("chunks"), t("versions"), now(), 7, 20, dry_run=dry)
+        left = done["versions"].groupBy("vault_id").agg(F.count("*").alias("versions_after"))
+        return done["summary"].join(left, "vault_id", "left").withColumn("dry", F.lit(dry))
+
+    return run(True).unionByName(run(False))
 
 
 @query("ag01_index_status", "vaults", "files", "chunks", sql="""WITH s AS (SELECT vault_id, count(*) AS n FROM fx_files f WHERE vectorize AND NOT deleted AND index_status = 'indexed' AND EXISTS (SELECT 1 FROM fx_chunks c WHERE c.vault_id = f.vault_id AND c.source_path = f.source_path AND c.content_hash = f.content_hash AND c.embedding_model <> 'bge-m3') GROUP BY vault_id),
@@ -633,11 +659,15 @@ def _(t):
     return N.chunk_notes(t("notes"), ["source_path"]).where("error IS NOT NULL").select("source_path", "error")
 
 
-def indexed(t) -> dict[str, DataFrame]:
+def note_files(notes: DataFrame) -> DataFrame:
+    return notes.select("vault_id", "source_path", F.expr("CASE WHEN doc_id % 30 = 1 THEN 'older' ELSE sha2(content, 256) END").alias("content_hash"), F.lit("current").alias("status"), F.lit("pending").alias("index_status"),
+                        F.expr("doc_id % 11 <> 0").alias("vectorize"), F.expr("doc_id % 13 = 0").alias("deleted"))
+
+
+def indexed(t, old: DataFrame | None = None) -> dict[str, DataFrame]:
     notes = t("notes")
-    files = notes.select("vault_id", "source_path", F.expr("CASE WHEN doc_id % 30 = 1 THEN 'older' ELSE sha2(content, 256) END").alias("content_hash"), F.lit("current").alias("status"), F.lit("pending").alias("index_status"),
-                         F.expr("doc_id % 11 <> 0").alias("vectorize"), F.expr("doc_id % 13 = 0").alias("deleted"))
-    old = t("documents").sparkSession.createDataFrame([], "vault_id string, source_path string, chunk_index int")
+    files = note_files(notes)
+    old = t("documents").sparkSession.createDataFrame([], "vault_id string, source_path string, chunk_index int") if old is None else old
     return I.index_notes(files, notes.select("vault_id", "source_path", "content"), old, I.hashing_embedder(16), 16, MODEL)
 
 
@@ -649,7 +679,19 @@ def _(t):
 @query("ag05_index_report", "notes", sql="""WITH s AS (SELECT *, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'skipped' WHEN doc_id % 20 IN (3, 7) THEN 'failed' WHEN doc_id % 30 = 1 THEN 'pending' ELSE 'indexed' END AS st FROM fx_notes)
 SELECT vault_id, count(*) FILTER (st = 'indexed') AS indexed, count(*) FILTER (st = 'skipped') AS skipped, count(*) FILTER (st = 'failed') AS failed, list_sort(list(source_path) FILTER (st = 'failed')) AS failed_paths FROM s GROUP BY vault_id""")
 def _(t):
-    return indexed(t)["report"].select("vault_id", "indexed", "skipped", "failed", "failed_paths")
+    done = indexed(t)
+    failed = done["files"].groupBy("vault_id").agg(F.sort_array(F.collect_list(F.when(F.col("index_status") == "failed", F.col("source_path")))).alias("failed_paths"))
+    return done["report"].join(failed, "vault_id").select("vault_id", "indexed", "skipped", "failed", "failed_paths")
+
+
+@query("ag05_chunk_counts", "notes", sql=f"""WITH RECURSIVE {CHUNKED}, wanted AS (SELECT c.vault_id, c.source_path, c.doc_id, c.chunk_index FROM chunked c WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0),
+  stored AS (SELECT vault_id, source_path, doc_id, i AS chunk_index FROM fx_notes, (SELECT unnest([0, 1, 2]) AS i) WHERE doc_id % 4 = 0),
+  failing AS (SELECT vault_id, source_path FROM fx_notes WHERE doc_id % 20 IN (3, 7) AND doc_id % 11 <> 0 AND doc_id % 13 <> 0)
+  SELECT v.vault_id, (SELECT count(*) FROM wanted w WHERE w.vault_id = v.vault_id) AS created, 0 AS updated,
+    (SELECT count(*) FROM stored s WHERE s.vault_id = v.vault_id AND NOT EXISTS (SELECT 1 FROM failing f WHERE f.vault_id = s.vault_id AND f.source_path = s.source_path)) AS deleted FROM (SELECT DISTINCT vault_id FROM fx_notes) v""")
+def _(t):
+    stored = t("notes").where("doc_id % 4 = 0").select("vault_id", "source_path", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("chunk_index"))
+    return indexed(t, stored)["report"].select("vault_id", "created", "updated", "deleted")
 
 
 @query("jb01_chunks", "notes", sql=f"""WITH RECURSIVE {CHUNKED} SELECT vault_id, source_path, chunk_index, sha256(b.content) AS content_hash, concat('[reference] priority:high project:', source, ' domain:', lang, ' section:D', doc_id, ' tags:', lang, ',', source) AS agent_hint, 16 AS dimension
@@ -663,6 +705,16 @@ def _(t):
     return indexed(t)["failures"].select("vault_id", "source_path", "phase")
 
 
+@query("io11_failure_log", "notes", sql="""SELECT vault_id, source_path, CASE WHEN doc_id % 30 = 1 THEN 'older' ELSE sha256(content) END AS content_hash, 'frontmatter' AS phase, 'VALIDATION_ERROR' AS error_code, TIMESTAMP '2024-02-01 00:00:00' AS created_at,
+  CASE doc_id % 20 WHEN 3 THEN 'frontmatter is missing required fields: type' ELSE 'frontmatter field priority has an unsupported value' END AS error_message, CASE doc_id % 20 WHEN 3 THEN '{"missing_fields":["type"]}' ELSE '{"field":"priority"}' END AS error_details
+  FROM fx_notes WHERE doc_id % 20 IN (3, 7) AND doc_id % 11 <> 0 AND doc_id % 13 <> 0""")
+def _(t):
+    log = I.failure_log(indexed(t)["failures"], note_files(t("notes")), now())
+    path = new_folder(log.sparkSession, "failure_log")
+    I.append_failures(log, path)
+    return log.sparkSession.read.parquet(path).drop("day")
+
+
 # watch events and streams, as batches
 
 
@@ -699,22 +751,50 @@ def _(t):
 
 @query("jb06_plan_sync", *SYNC, sql=f"""WITH {LOCAL}, {PULL}, {PUSH} SELECT vault_id, device_id, source_path, 'pull' AS side, action FROM pull UNION ALL SELECT vault_id, device_id, source_path, 'push' AS side, action FROM push""")
 def _(t):
-    side = lambda rows, name: rows.select(*C.KEYS, F.lit(name).alias("side"), "action")
-    return side(pulled(t), "pull").unionByName(side(pushed(t), "push"))
+    return sync(t)["plan"].select(*C.KEYS, "side", "action")
+
+
+def sync(t) -> dict[str, DataFrame]:
+    known = t("sync_events").where("revision % 3 = 0").select("vault_id", F.lit("devA").alias("device_id"), "source_path", F.col("revision").cast("string").alias("mark"))
+    return C.plan_sync(t("sync_events"), t("cursors"), t("manifest"), t("scan"), t("tracked"), known)
+
+
+@query("jb06_reports", *SYNC, sql=f"""WITH {PULL}, r AS (SELECT p.vault_id, p.device_id, p.source_path, p.revision AS server_revision, s.content_hash, CASE WHEN p.source_path LIKE '%.md' THEN CAST(p.revision AS VARCHAR) ELSE s.content_hash END AS mark
+    FROM pull p LEFT JOIN fx_scan s ON s.vault_id = p.vault_id AND s.device_id = p.device_id AND s.source_path = p.source_path WHERE p.action LIKE '%conflict')
+  SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM fx_sync_events e WHERE e.revision % 3 = 0 AND r.device_id = 'devA' AND e.vault_id = r.vault_id AND e.source_path = r.source_path AND CAST(e.revision AS VARCHAR) = r.mark)""")
+def _(t):
+    return sync(t)["reports"]
 
 
 @query("jb08_resolve_stale", "conflicts", "half_log", sql=f"WITH {STALE} SELECT id, CASE WHEN id IN (SELECT id FROM stale) THEN 'RESOLVED' ELSE status END AS status FROM fx_conflicts")
 def _(t):
-    found = stale(t).select("id", F.lit(True).alias("is_stale"))
-    return t("conflicts").join(found, "id", "left").select("id", F.when(F.col("is_stale"), "RESOLVED").otherwise(F.col("status")).alias("status"))
+    return M.resolve_stale_conflicts(t("conflicts"), t("half_log"), apply=True)["conflicts"].select("id", "status")
+
+
+@query("jb08_dry_run", "conflicts", "half_log", sql=f"WITH {STALE} SELECT vault_id, reason, count(*) AS conflicts, (SELECT count(*) FROM fx_conflicts c WHERE c.vault_id = stale.vault_id AND c.status = 'OPEN') AS still_listed_open FROM stale GROUP BY ALL")
+def _(t):
+    done = M.resolve_stale_conflicts(t("conflicts"), t("half_log"))
+    left = done["conflicts"].where("status = 'OPEN'").groupBy("vault_id").agg(F.count("*").alias("still_listed_open"))
+    return done["counts"].join(left, "vault_id")
+
+
+STATUS = ("vaults", "files", "chunks", "conflicts", "cursors", "sync_events")
+
 
+def status(t) -> DataFrame:
+    return M.vault_status(t("vaults"), t("files"), t("chunks"), t("conflicts"), t("cursors"), t("sync_events"), MODEL)
 
-@query("jb10_vault_status", "vaults", "files", "conflicts", sql="""SELECT v.vault_id, v.current_revision, (SELECT count(*) FROM fx_files f WHERE f.vault_id = v.vault_id AND vectorize AND NOT deleted AND index_status = 'pending') AS pending,
+
+@query("jb10_vault_status", *STATUS, sql="""SELECT v.vault_id, v.current_revision, (SELECT count(*) FROM fx_files f WHERE f.vault_id = v.vault_id AND vectorize AND NOT deleted AND index_status = 'pending') AS pending,
   (SELECT count(*) FROM fx_conflicts c WHERE c.vault_id = v.vault_id AND c.status = 'OPEN') AS open_conflicts FROM fx_vaults v""")
 def _(t):
-    status = M.index_status(t("vaults"), t("files"), t("chunks"), MODEL).select("vault_id", "pending")
-    open_ = t("conflicts").where("status = 'OPEN'").groupBy("vault_id").agg(F.count("*").alias("open_conflicts"))
-    return t("vaults").select("vault_id", "current_revision").join(status, "vault_id").join(open_, "vault_id", "left").fillna(0, ["open_conflicts"])
+    return status(t).select("vault_id", F.col("server_revision").alias("current_revision"), "pending", "open_conflicts").distinct()
+
+
+@query("jb10_device_status", *STATUS, sql="""SELECT v.vault_id, v.current_revision AS server_revision, d.device_id, d.cursor, (SELECT count(*) FROM fx_sync_events e WHERE e.vault_id = v.vault_id AND e.revision > coalesce(d.cursor, 0)) AS events_after,
+  (SELECT count(*) FROM fx_conflicts c WHERE c.vault_id = v.vault_id AND c.status = 'OPEN') AS open_conflicts FROM fx_vaults v LEFT JOIN fx_cursors d ON d.vault_id = v.vault_id""")
+def _(t):
+    return status(t).select("vault_id", "server_revision", "device_id", "cursor", "events_after", "open_conflicts")
 
 
 @query("so01_union_of_legs", *AT, sql=f"{ALL_LEGS} SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, chunk_id FROM vec UNION SELECT query_id, chunk_id FROM lex)")

@@ -79,3 +79,28 @@ def test_later_feedback_overwrites_with_nulls(spark):
     done, bad = M.attach_feedback(logs, fb)
     assert (done.first().feedback_helpful, done.first().feedback_comment) == (False, None)
     assert sorted((r.seq, r.reason) for r in bad.collect()) == [(3, "request not found"), (4, "feedback is empty")]
+
+
+def test_dry_run_and_run_tell_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from noteflow.operators import maintenance as M
+
+    old, new = "2024-01-01 00:00:00", "2024-03-01 00:00:00"
+    files = spark.createDataFrame([("v", "a.md", True, old), ("v", "b.md", True, new), ("w", "c.md", False, None)], "vault_id string, source_path string, deleted boolean, deleted_at string").withColumn("deleted_at", F.col("deleted_at").cast("timestamp"))
+    chunks = spark.createDataFrame([("v", "a.md", 0), ("v", "a.md", 1), ("w", "c.md", 0)], "vault_id string, source_path string, chunk_index int")
+    versions = spark.createDataFrame([("v", "a.md", 1, old), ("v", "a.md", 2, old), ("w", "c.md", 1, old), ("w", "c.md", 5, new)], "vault_id string, source_path string, revision long, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    as_of = F.lit("2024-03-02 00:00:00").cast("timestamp")
+    real, dry = (M.retention(files, chunks, versions, as_of, 7, 30, dry_run=d) for d in (False, True))
+    for name in ("summary", "rows", "archived_files", "archived_chunks"):
+        assert sorted(map(str, real[name].collect())) == sorted(map(str, dry[name].collect()))
+    assert sorted((r.vault_id, r.archived, r.pruned) for r in dry["summary"].collect()) == [("v", 1, 1), ("w", 0, 1)]
+    assert [real[n].count() for n in ("files", "chunks", "versions")] == [2, 1, 2] and [dry[n].count() for n in ("files", "chunks", "versions")] == [3, 3, 4]
+
+
+def test_tags_text_in_sql(spark):
+    from noteflow.functions import text as T
+
+    T.register_sql(spark)
+    rows = spark.sql("SELECT immutable_tags_text(t) AS x FROM VALUES (array('a', 'b c')), (array()), (cast(null AS array<string>)), (array('a', null)) AS v(t)").collect()
+    assert [r.x for r in rows] == ["a b c", "", "", "a"]
