@@ -208,11 +208,13 @@ def lexical_leg(queries: DataFrame, chunks: DataFrame, n: int = CANDIDATES) -> D
     asked = queries.select("query_id", "vault_id", T.query_tree(F.col("query")).alias("tree"), *own).where(F.size("tree") > 0)
     words = asked.select("query_id", "vault_id", F.explode(T.tree_terms(F.col("tree"))).alias("term"))
     terms = T.positioned(T.lexical_document(F.col("title"), F.col("source_path"), F.col("tags"), F.col("content")))
-    found = chunks.select("chunk_id", "vault_id", F.posexplode(terms).alias("place", "term")).join(words, ["vault_id", "term"]).select("query_id", "chunk_id", "term", "place")
+    # the places of a term in a chunk are gathered once, however many queries ask for it
+    found = chunks.select("chunk_id", "vault_id", F.posexplode(terms).alias("place", "term")).join(words.select("vault_id", "term").distinct(), ["vault_id", "term"])
+    found = found.groupBy("chunk_id", "vault_id", "term").agg(F.collect_list("place").alias("places"))
+    found = found.join(words, ["vault_id", "term"]).select("query_id", "chunk_id", "term", "places")
     open_ = asked.where(F.exists("tree", lambda group: F.forall(group, lambda x: x["barred"]))).select("query_id", "vault_id")
-    every = chunks.select("chunk_id", "vault_id").join(open_, "vault_id").select("query_id", "chunk_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("place"))
-    found = found.unionByName(every).groupBy("query_id", "chunk_id", "term").agg(F.collect_list("place").alias("places"))
-    found = found.groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "places")))).alias("places"))
+    every = chunks.select("chunk_id", "vault_id").join(open_, "vault_id").select("query_id", "chunk_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("array<int>").alias("places"))
+    found = found.unionByName(every).groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "places")))).alias("places"))
     hits = found.join(asked.drop("vault_id"), "query_id").where(T.tree_holds(F.col("tree"), F.col("places")))
     if own:
         hits = hits.join(chunks.select("chunk_id", *META), "chunk_id").where(query_filter(LISTS))
