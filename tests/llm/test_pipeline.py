@@ -26,7 +26,7 @@ def test_stages(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_table(spark, name):
-    table = "pages" if name == "op1_warc" else "documents"
+    table = {"op1_warc": "pages", "op12_near_vectors": "embeddings"}.get(name, "documents")
     assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
@@ -34,7 +34,7 @@ def test_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         result = con.execute(sql)
