@@ -124,7 +124,12 @@ def best_window(before: np.ndarray, after: np.ndarray, hit: np.ndarray, n: int,
 
 def best_matches(text: str, templates: Templates) -> dict[str, float]:
     """Best coefficient of each licence that a window of the text reaches."""
-    best: dict[str, float] = {}
+    return {name: dice for name, (dice, _) in sized_matches(text, templates).items()}
+
+
+def sized_matches(text: str, templates: Templates) -> dict[str, tuple[float, int]]:
+    """The same, and the bigrams of the largest template that reaches it."""
+    best: dict[str, tuple[float, int]] = {}
     words = WORD.findall(text.lower())
     pairs = list(zip(words, words[1:]))
     shared = templates.known.intersection(pairs)
@@ -143,12 +148,16 @@ def best_matches(text: str, templates: Templates) -> dict[str, float]:
         has[[numbers[p] for p in shared & b]] = True
         dice = best_window(before, after, has[codes], len(b), templates.bounds(len(b)))
         if dice >= templates.least:
-            best[name] = max(best.get(name, 0.0), dice)
+            best[name] = max(best.get(name, (0.0, 0)), (dice, len(b)))
     return best
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, n_licences, licence (the best, null if none), dice, licences (``name:coefficient`` by name)."""
+    """doc_id, n_licences, licence (the best, null if none), dice, licences (``name:coefficient`` by name).
+
+    Of equal coefficients the one of the larger template is the best, then the
+    first name: a text that another one contains does not hide it.
+    """
     notices = all_templates() if notices is None else notices
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,8 +165,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
         for batch in batches:
             rows = []
             for key, text in zip(batch["doc_id"], batch["text"]):
-                best = best_matches(text, templates)
-                first = min(best, key=lambda name: (-best[name], name), default=None)
+                found = sized_matches(text, templates)
+                first = min(found, key=lambda name: (-found[name][0], -found[name][1], name), default=None)
+                best = {name: dice for name, (dice, _) in found.items()}
                 rows.append((key, len(best), first, best.get(first), ",".join(f"{k}:{v:.4f}" for k, v in sorted(best.items()))))
             yield pd.DataFrame(rows, columns=["doc_id", "n_licences", "licence", "dice", "licences"]).astype({"doc_id": "Int64"})
 

@@ -196,3 +196,16 @@ def test_manifest_against_its_definition(spark, n, fan):
 def test_manifest_of_nothing(spark):
     frame = spark.createDataFrame([], DOCS)
     assert manifest.manifest(spark, frame).count() == 0
+
+
+# 6: ties between licences
+
+
+def test_a_full_text_is_its_own_licence():
+    from noteflow.llm import licences
+
+    templates = licences.Templates(licences.all_templates())
+    for name, texts in licences.all_templates().items():
+        full = max(texts, key=len)
+        found = licences.sized_matches("words before\n" + full, templates)
+        assert min(found, key=lambda n: (-found[n][0], -found[n][1], n)) == name or len(full) < 800
