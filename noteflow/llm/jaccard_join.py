@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteflow.llm.quality import batches_of
-from noteflow.llm.store import free_names, lookup, written
+from noteflow.llm.store import COUNTERS, HOT_KEYS, free_names, lookup, written
 from noteflow.sources.splits import spread
 
 SHINGLE_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
@@ -113,7 +113,7 @@ def drawn(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
-    """Slim rows: doc_id, text_key, cls (digest of the shingle set), n, and keys (its nodes at level 1)."""
+    """Slim rows: doc_id, text_key, digest (of the shingle set), n, and keys (its nodes at level 1)."""
     roots = _mix(np.arange(1, runs + 1, dtype=np.uint64) * ODD[2])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,10 +122,10 @@ def prints(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
             for a, b in batches_of(texts):
                 sets = shingle_sets(texts[a:b])
                 keys = [drawn(s, roots)[1].view(np.int64) for s in sets]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").array, "text_key": batch["text_key"].iloc[a:b].array, "cls": [set_digest(s) for s in sets], "n": [len(s) for s in sets], "keys": keys})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").array, "text_key": batch["text_key"].iloc[a:b].array, "digest": [set_digest(s) for s in sets], "n": [len(s) for s in sets], "keys": keys})
 
     rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_key long, cls string, n long, keys array<long>")
+    return rows.mapInPandas(run, "doc_id long, text_key long, digest string, n long, keys array<long>")
 
 
 def _alike_sizes(members: str) -> str:
@@ -133,16 +133,36 @@ def _alike_sizes(members: str) -> str:
     return f"filter({members}, x -> exists({members}, y -> y.cls != x.cls AND least(x.n, y.n) >= {SIMILARITY} * greatest(x.n, y.n)))"
 
 
-def sized(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Rows (of a written table) of the keys that two rows or more have, with the key's size."""
-    sizes = written(spark, rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    return written(spark, lookup(spark, rows, sizes, "key", "inner", stable=True), name)
+def bucketed(spark: SparkSession, rows: DataFrame, most: int, name: str) -> DataFrame:
+    """Rows (key, cls, n; the same when read again) by bucket: key, members (structs of cls and n), large.
+
+    A bucket of 2 to ``most`` rows is one row with all its members; each row of a
+    larger one stays a row, ``large``, with itself as its only member. Rows are
+    shuffled by key once: counted there, and listed where they stand. Keys that a
+    Misra-Gries summary names and a count confirms (at most HOT_KEYS, broadcast)
+    do not take part in it; no other key has more than one in HOT_KEYS of the rows.
+    """
+    top = rows.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {COUNTERS})").alias("top")).select(F.explode("top.item").alias("key"))
+    top = written(spark, top, "top")
+    hot = rows.join(F.broadcast(top), "key", "left_semi").groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most)
+    hot = F.broadcast(written(spark, hot.select("key"), "hot_keys"))
+    rest = rows.join(hot, "key", "left_anti").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    alone = F.when(F.col("size") > most, F.col("cls"))
+    rest = rest.groupBy("key", alone.alias("alone")).agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("members"))
+    rest = rest.select("key", "members", F.col("alone").isNotNull().alias("large"))
+    apart = rows.join(hot, "key").select("key", F.array(F.struct("cls", "n")).alias("members"), F.lit(True).alias("large"))
+    return written(spark, rest.unionByName(apart), name)
+
+
+def member_lists(found: DataFrame) -> DataFrame:
+    """Members (an array of cls) of each small bucket that could hold a link."""
+    members = found.where("NOT large").select(F.expr(f"transform({_alike_sizes('members')}, x -> x.cls)").alias("members"))
+    return members.where(F.size("members") > 1)
 
 
-def member_lists(rows: DataFrame, most: int = SMALL) -> DataFrame:
-    """Members (an array of cls) of each small bucket of ``sized`` rows that could hold a link."""
-    members = rows.where(F.col("size") <= most).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("members"))
-    return members.select(F.expr(f"transform({_alike_sizes('members')}, x -> x.cls)").alias("members")).where(F.size("members") > 1)
+def large_rows(found: DataFrame) -> DataFrame:
+    """Rows (key, cls, n) of the large buckets."""
+    return found.where("large").select("key", F.inline("members"))
 
 
 def paths_below(rows: DataFrame) -> DataFrame:
@@ -159,7 +179,7 @@ def paths_below(rows: DataFrame) -> DataFrame:
                     levels[f"k{d}"].append(nodes.view(np.int64))
             yield pd.DataFrame({"cls": batch["cls"], "n": batch["tokens"].map(len)} | levels)
 
-    return rows.mapInPandas(run, "cls string, n long" + "".join(f", p{d} array<long>, k{d} array<long>" for d in range(2, DEPTH + 1)))
+    return rows.mapInPandas(run, "cls long, n long" + "".join(f", p{d} array<long>, k{d} array<long>" for d in range(2, DEPTH + 1)))
 
 
 def buckets(spark: SparkSession, large: DataFrame, sets: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -171,9 +191,9 @@ def buckets(spark: SparkSession, large: DataFrame, sets: DataFrame) -> tuple[lis
         rows = paths.select("cls", "n", F.explode(F.arrays_zip(f"p{level}", f"k{level}")).alias("x")).select("cls", "n", F.col(f"x.p{level}").alias("parent"), F.col(f"x.k{level}").alias("key"))
         if level > 2:
             rows = written(spark, rows.join(large.select(F.col("key").alias("parent")).distinct(), "parent", "left_semi"), "below")
-        rows = sized(spark, rows.select("cls", "n", "key"), f"level{level}")
-        lists.append(member_lists(rows))
-        large = rows.where(F.col("size") > SMALL).select("key", "cls", "n")
+        found = bucketed(spark, rows.select("key", "cls", "n"), SMALL, f"level{level}")
+        lists.append(member_lists(found))
+        large = large_rows(found)
     return lists, large
 
 
@@ -241,9 +261,9 @@ def settled(spark: SparkSession, large: DataFrame, sets: DataFrame) -> tuple[lis
         group = found.where("around").select("cls", F.xxhash64(F.lit(level), "grp").alias("gid"), "u", "n_c", "near", "diff")
         groups = group if groups is None else groups.unionByName(group)
         below = found.where("NOT near").select("cls", F.explode("children").alias("key")).distinct().join(sets.select("cls", F.size("tokens").alias("n")), "cls")
-        rows = sized(spark, written(spark, below, "below"), f"level{level}")
-        lists.append(member_lists(rows, LATER))
-        large = rows.where(F.col("size") > LATER).select("key", "cls", "n")
+        found = bucketed(spark, written(spark, below.select("key", "cls", "n"), "below"), LATER, f"level{level}")
+        lists.append(member_lists(found))
+        large = large_rows(found)
     return lists, groups
 
 
@@ -287,7 +307,7 @@ def _compare_nodes(rows: pd.DataFrame) -> pd.DataFrame:
     any_hit = hit.any(axis=1)
     out = pd.DataFrame({"node": rows["node"], "links": hit @ size - hit.diagonal(), "partner": reps[hit.argmax(axis=1)]})[any_hit]
     edges = pd.DataFrame([(reps[i], reps[j]) for i, j in _forest(hit)], columns=["a", "b"])
-    return pd.concat([out.assign(a=None, b=None), edges.assign(node=None, links=None, partner=None)], ignore_index=True).astype({"node": "Int64", "links": "Int64"})
+    return pd.concat([out.assign(a=None, b=None), edges.assign(node=None, links=None, partner=None)], ignore_index=True).astype(dict.fromkeys(("node", "links", "partner", "a", "b"), "Int64"))
 
 
 def group_links(spark: SparkSession, members: DataFrame, rare: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,7 +318,7 @@ def group_links(spark: SparkSession, members: DataFrame, rare: DataFrame) -> tup
     units = lookup(spark, nodes, blocks, "gid").withColumn("own", F.pmod("node", F.col("blocks")))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = units.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
-    found = units.groupBy("gid", "low", "high").applyInPandas(_compare_nodes, "node long, links long, partner string, a string, b string")
+    found = units.groupBy("gid", "low", "high").applyInPandas(_compare_nodes, "node long, links long, partner long, a long, b long")
     found = written(spark, found, "node_links")
     of_node = written(spark, found.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"), F.min("partner").alias("partner")), "of_node")
     linked = written(spark, lookup(spark, members.select("node", "cls"), of_node, "node").where("links > 0"), "linked")
@@ -355,7 +375,7 @@ def _forest(hit: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _compare(rows: list[tuple[str, np.ndarray]]) -> list[tuple[str, str]]:
+def _compare(rows: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     """Linked pairs of a small bucket."""
     names, sets = zip(*rows)
     sizes = np.array([len(s) for s in sets])
@@ -368,8 +388,8 @@ def compare_units(units: DataFrame) -> DataFrame:
     """Brute force inside each unit (unit, cls, tokens); the rows of a unit stand together in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.string()), ("b", pa.string())])
-        table = lambda out: pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], schema=schema)
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        table = lambda out: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
         unit, rows, out = None, [], []
         for batch in batches:
             tokens = batch.column("tokens")
@@ -389,7 +409,7 @@ def compare_units(units: DataFrame) -> DataFrame:
         if out:
             yield table(out)
 
-    return units.mapInArrow(run, "a string, b string")
+    return units.mapInArrow(run, "a long, b long")
 
 
 def token_sets(rows: DataFrame) -> DataFrame:
@@ -402,7 +422,7 @@ def token_sets(rows: DataFrame) -> DataFrame:
                 sets = [_distinct((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in shingle_sets(texts[a:b])]
                 yield pd.DataFrame({"cls": batch["cls"].iloc[a:b].array, "tokens": sets})
 
-    return rows.mapInPandas(run, "cls string, tokens array<int>")
+    return rows.mapInPandas(run, "cls long, tokens array<int>")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -426,9 +446,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 def links_of_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Counts (cls, links) that add up to each class's links, and edges (a, b) with the same components as all links."""
-    rows = sized(spark, classes.select("cls", "n", F.explode("keys").alias("key")), "level1")
-    members = written(spark, member_lists(rows).distinct(), "lists")  # a list is often the same in many buckets
-    large = rows.where(F.col("size") > SMALL).select("key", "cls", "n")
+    found = bucketed(spark, classes.select(F.explode("keys").alias("key"), "cls", "n"), SMALL, "level1")
+    members = written(spark, member_lists(found).distinct(), "lists")  # a list is often the same in many buckets
+    large = large_rows(found)
 
     # the sets of the classes that met another; the slim side is built, so that texts are shuffled once and not sorted
     met = members.select(F.explode("members").alias("cls")).unionByName(large.select("cls")).distinct()
@@ -440,7 +460,8 @@ def links_of_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, i
     more, groups = settled(spark, large, sets)
     members = written(spark, union_of([members, *lists, *more]).distinct(), "lists")
 
-    units = members.select(F.sha2(F.array_join("members", ""), 256).alias("unit"), F.explode("members").alias("cls"))
+    # lists with the same hash are one unit: all their pairs are compared
+    units = members.select(F.xxhash64("members").alias("unit"), F.explode("members").alias("cls"))
     units = units.join(sets.hint("shuffle_hash"), "cls").repartition("unit").sortWithinPartitions("unit", "cls")
     pairs = compare_units(units).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = edges = written(spark, pairs, "pairs")
@@ -464,15 +485,17 @@ def join_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     first_key tells the rows of the text that class_id stands for.
     """
     seen = written(spark, prints(docs, id_col, text_col, runs_for(recall)), "prints")
-    classes = written(spark, seen.groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.any_value("keys").alias("keys")), "classes")
+    # classes go by numbers, half as wide as digests in all that is shuffled; they hold in the written table
+    classes = seen.groupBy("digest", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.any_value("keys").alias("keys"))
+    classes = written(spark, classes.sortWithinPartitions("digest").withColumn("cls", F.monotonically_increasing_id()), "classes")
     counts, edges = links_of_classes(spark, docs, classes, id_col, text_col)
     counts = counts.groupBy("cls").agg(F.sum("links").alias("n_links"))
-    of_class = classes.select("cls", "first").join(components(spark, edges), "cls", "left").join(counts, "cls", "left")
-    of_class = written(spark, of_class.select("cls", "first", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rooted")
+    of_class = classes.select("cls", "digest", "first").join(components(spark, edges), "cls", "left").join(counts, "cls", "left")
+    of_class = written(spark, of_class.select("digest", "first", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rooted")
     heads = written(spark, of_class.groupBy("root").agg(F.min("first").alias("head")), "roots")
-    of_class = lookup(spark, of_class, heads, "root").select("cls", F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("first_key"), "n_links")
+    of_class = lookup(spark, of_class, heads, "root").select("digest", F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("first_key"), "n_links")
     of_class = written(spark, of_class, "of_class")
-    return lookup(spark, seen.select("doc_id", "text_key", "cls"), of_class, "cls").select("doc_id", "text_key", "class_id", "n_links", "first_key")
+    return lookup(spark, seen.select("doc_id", "text_key", "digest"), of_class, "digest").select("doc_id", "text_key", "class_id", "n_links", "first_key")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
