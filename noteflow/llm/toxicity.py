@@ -6,11 +6,15 @@ negations, reporting words, all else. Small transducers over the classes are
 composed into one: negation and reported speech rewrite the insults and threats
 that they govern, target binds those near a person, context binds other insults
 to what their clause says besides, and the last gives each match its kind.
-Clauses run through the composed machine. A clause counts once for each kind,
-with its strongest match; a text's score is a logistic function of the sums over
-its clauses. A word counts only as a part of a match: an insult that is its
-whole clause, or a threat without a target, a negation or a report, matches
-nothing.
+Clauses run through the composed machine, after reported speech has run over
+them from their end, for what the reporting word follows. A clause counts once
+for each kind, with its strongest match; a text's score is a logistic function
+of the sums over its clauses. A word counts only as a part of a match: an insult
+that is its whole clause, or a threat without a target, a negation or a report,
+matches nothing. An insult aimed at no one counts in full only if the text has
+another one, neither negated nor reported, in the same clause or elsewhere; alone
+it is too weak to reject a text. So are negated and reported kinds, which count
+once a text, and one threat, until a labelled text shows such threats.
 
 The lexicon and the weights of the kinds are learned from a bounded sample
 (``labelled.TRAIN_ROWS``); it holds words and beginnings of words of MIN_STEM to
@@ -40,18 +44,27 @@ from noteflow.llm.store import written
 from noteflow.sources.splits import spread
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-NOT_INSULT, NOT_THREAT, SAID_INSULT, SAID_THREAT, AT_INSULT, AT_THREAT = range(7, 13)
-SYMBOLS = 13
+NOT_INSULT, NOT_THREAT, SAID_INSULT, SAID_THREAT, AT_INSULT, AT_THREAT, OBJECT = range(7, 14)
+SYMBOLS = 14
+#: A text's insults aimed at no one if no other insult backs them; no symbol of a clause.
+LONE = 14
 #: Kinds of matches, as the last transducer gives them, and what each is worth before anything is learned.
-KINDS = {INSULT: 1.0, NOT_INSULT: 0.4, NOT_THREAT: 0.1, SAID_INSULT: 0.4, SAID_THREAT: 0.1, AT_INSULT: 1.5, AT_THREAT: 2.0}
+KINDS = {INSULT: 1.0, NOT_INSULT: 0.4, NOT_THREAT: 0.1, SAID_INSULT: 0.4, SAID_THREAT: 0.1, AT_INSULT: 1.5, AT_THREAT: 2.0, LONE: 0.4}
 KIND_ORDER = tuple(KINDS)
 #: Weight of a threat verb, before it is scaled by its kind.
 THREAT_WEIGHT = 3.0
+#: Kinds that count once a text, and the most that each may be worth: of its plain kind, and of what rejects a text.
+WEAK = {NOT_INSULT: INSULT, SAID_INSULT: INSULT, NOT_THREAT: AT_THREAT, SAID_THREAT: AT_THREAT}
+OF_PLAIN, OF_LIMIT = 0.4, 0.22
+#: The most that a lone insult, and a threat while no labelled text shows one, may be worth of what rejects a text.
+UNDER = 0.9
 
 # Closed word classes of the four languages of the corpus.
 CLASS_WORDS = {
     THREAT: "kill murder hurt destroy beat stab shoot hang strangle töten umbringen verprügeln erschießen tuer frapper égorger matar golpear degollar",
-    TARGET: "you your yours yourself he him his she her they them their du dich dir dein deine ihr euch euer er ihn ihm tu te toi ton ta tes vous votre vos lui leur tú ti tus usted ustedes vosotros ellos",
+    TARGET: "your yours he his she they their du dein deine ihr euer er tu ton ta tes votre vos leur tú tus",
+    # targets that a threat may have for its object
+    OBJECT: "you yourself him her them dich dir euch ihn ihm te toi vous lui ti usted ustedes vosotros ellos",
     NEGATION: "not never no isn't aren't wasn't don't won't nobody nicht nie kein keine niemals ne pas jamais nunca jamás tampoco",
     REPORT: "said says wrote writes called calls quoted reported claims claimed sagte schrieb nannte dit écrit appelle dijo escribió llamó",
 }
@@ -117,28 +130,30 @@ def reported() -> Transducer:
 
 
 def targeted() -> Transducer:
-    """Within REACH other words after a target, an insult or threat is aimed at it; so is a threat with a target as near behind it.
+    """Within REACH other words after a target, an insult is aimed at it. A threat is aimed at an object that follows it at once, or at a target as near before it if its clause ends with it.
 
-    States: words that a target's reach has left, then those that a threat's has left; such a threat is given out where its target stands.
+    States: words that a target's reach has left, then those behind a threat: with no target before it, with one. A threat is given out where it turns out to be aimed.
     """
-    rest = [max(0, k - 1) for k in range(REACH + 2)] + [k + REACH + 1 if k else 0 for k in range(REACH + 1)]
+    free, aimed = REACH + 2, REACH + 3
     arcs = {}
-    for k in range(REACH + 1):
-        at = REACH + 2 + k
-        arcs[at, TARGET], arcs[at, THREAT], arcs[at, END] = (REACH + 1, AT_THREAT), (2 * REACH + 2, THREAT), (0, END)
-    arcs[0, THREAT] = (2 * REACH + 2, THREAT)
-    for k in range(REACH + 2):
-        arcs[k, TARGET] = (REACH + 1, TARGET)
-        arcs[k, END] = (0, END)
-        if k:
-            arcs[k, INSULT], arcs[k, THREAT] = (REACH + 1, AT_INSULT), (REACH + 1, AT_THREAT)
-    return Transducer(rest, arcs)
+    for k in range(REACH + 4):
+        arcs[k, TARGET], arcs[k, OBJECT], arcs[k, END] = (REACH + 1, TARGET), (REACH + 1, OBJECT), (0, END)
+        arcs[k, THREAT] = (free if k in (0, free) else aimed, THREAT)
+        if k not in (0, free):
+            arcs[k, INSULT] = (REACH + 1, AT_INSULT)
+    arcs[free, OBJECT] = arcs[aimed, OBJECT] = (REACH + 1, AT_THREAT)
+    arcs[aimed, END] = (0, AT_THREAT)
+    return Transducer([max(0, k - 1) for k in range(REACH + 2)] + [0, REACH], arcs)
+
+
+REPORTED = reported()
+IS_WEAK = np.array([k in WEAK for k in KIND_ORDER])
 
 
 def in_context() -> Transducer:
     """Insults with another word of their clause before them stay; one that begins its clause is given out at the next word; one that is all of it is not."""
     arcs = {(0, INSULT): (2, OTHER), (0, END): (0, END), (1, END): (0, END), (2, END): (0, END)}
-    return Transducer([1, 1, 1], arcs | {(2, s): (1, INSULT) for s in (OTHER, THREAT, TARGET, NEGATION, REPORT)})
+    return Transducer([1, 1, 1], arcs | {(2, s): (1, INSULT) for s in (OTHER, THREAT, TARGET, OBJECT, NEGATION, REPORT)})
 
 
 def matches() -> Transducer:
@@ -179,15 +194,12 @@ def stems_of(word: str) -> list[str]:
     return [word[:k] for k in range(MIN_STEM, min(MAX_STEM, len(word)) + 1)] + [f"{word}$"]
 
 
-def clause_weights(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
-    """Sum over a text's clauses of the strongest match of each kind."""
-    total = np.zeros(len(KIND_ORDER))
+def clause_matches(text: str, lexicon: Lexicon, machine: Transducer) -> Iterator[tuple[np.ndarray, int]]:
+    """The strongest match of each kind of each clause, and its insults that are neither negated nor reported."""
     small = text.lower()
     places = [end for end, _ in lexicon.places.iter(small)]
-    if not places:
-        return total
     # only the clauses that may hold an insult or a threat run through the machine
-    cuts = [0, *(m.end() for m in CLAUSE_END.finditer(small)), len(small)]
+    cuts = [0, *(m.end() for m in CLAUSE_END.finditer(small)), len(small)] if places else []
     done = -1
     for place in places:
         if place < done:
@@ -196,17 +208,36 @@ def clause_weights(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarr
         begin, done = cuts[i - 1], cuts[min(i, len(cuts) - 1)]
         clause = [lexicon.classify(w) for w in LETTERS.findall(small, begin, done)]
         if any(kind == INSULT or kind == THREAT for kind, _ in clause):
-            best = np.zeros(len(KIND_ORDER))
-            for symbol, (kind, weight) in zip(machine.run([k for k, _ in clause]), clause):
+            best, meant = np.zeros(len(KIND_ORDER)), sum(kind == INSULT for kind, _ in clause)
+            kinds = REPORTED.run([k for k, _ in reversed(clause)])[::-1] + [END]
+            for symbol, (kind, weight) in zip(machine.run(kinds), [*clause, (END, 0.0)]):
                 if symbol in KINDS:
                     if symbol == INSULT != kind:  # given out behind its word, which began the clause
                         weight = clause[0][1]
-                    elif symbol == AT_THREAT and kind == TARGET:
+                    elif symbol == AT_THREAT:
                         weight = THREAT_WEIGHT
+                    meant -= symbol in (NOT_INSULT, SAID_INSULT)
                     at = KIND_ORDER.index(symbol)
                     best[at] = max(best[at], weight)
-            total += best
-    return total
+            yield best, meant
+
+
+def clause_weights(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
+    """Sum over a text's clauses of the strongest match of each kind."""
+    return sum((best for best, _ in clause_matches(text, lexicon, machine)), np.zeros(len(KIND_ORDER)))
+
+
+def text_weights(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
+    """What a text counts with of each kind: an insult aimed at no one needs a second one, weak kinds count once."""
+    total, most, meant = np.zeros(len(KIND_ORDER)), np.zeros(len(KIND_ORDER)), 0
+    for best, insults in clause_matches(text, lexicon, machine):
+        total += best
+        most = np.maximum(most, best)
+        meant += insults
+    if meant < 2:
+        plain, lone = KIND_ORDER.index(INSULT), KIND_ORDER.index(LONE)
+        total[lone], total[plain] = total[plain], 0.0
+    return np.where(IS_WEAK, most, total)
 
 
 def learned_stems(sample: DataFrame) -> dict[str, float]:
@@ -265,8 +296,8 @@ def learned_stems(sample: DataFrame) -> dict[str, float]:
     return taken
 
 
-def fit_kinds(weights: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps; kinds that the sample hardly shows stay near their prior worth."""
+def fit_kinds(weights: np.ndarray, y: np.ndarray, heaviest: float, strength: float = 1.0, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps; kinds that the sample hardly shows stay near their prior worth, weak kinds below their plain ones."""
     prior = np.r_[[KINDS[k] for k in KIND_ORDER], -2.0]
     x = np.c_[weights, np.ones(len(y))]
     w, ridge = prior.copy(), np.r_[np.full(len(KIND_ORDER), strength), 0.01]
@@ -277,7 +308,15 @@ def fit_kinds(weights: np.ndarray, y: np.ndarray, strength: float = 1.0, steps:
         w -= np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-6:
             break
-    return np.maximum(w[:-1], 0.0), float(w[-1])
+    kinds, bias = np.maximum(w[:-1], 0.0), float(w[-1])
+    limit = max(-bias, 0.0)  # what rejects a text
+    at = {k: i for i, k in enumerate(KIND_ORDER)}
+    if not weights[y == 1, at[AT_THREAT]].any():
+        kinds[at[AT_THREAT]] = min(kinds[at[AT_THREAT]], UNDER * limit / THREAT_WEIGHT)
+    kinds[at[LONE]] = min(kinds[at[LONE]], UNDER * limit / max(heaviest, THREAT_WEIGHT))
+    for kind, plain in WEAK.items():
+        kinds[at[kind]] = min(kinds[at[kind]], OF_PLAIN * kinds[at[plain]], OF_LIMIT * limit / max(heaviest, THREAT_WEIGHT))
+    return kinds, bias
 
 
 class Model:
@@ -292,12 +331,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, machine = Lexicon(stems), grammar()
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "x": [clause_weights(t, lexicon, machine) for t in batch["text"]]})
+            yield pd.DataFrame({"y": batch["y"], "x": [text_weights(t, lexicon, machine) for t in batch["text"]]})
 
     seen = sample.mapInPandas(weigh, "y int, x array<double>").toPandas()  # bounded by rows
     if not len(seen):
         return Model(stems, np.array([KINDS[k] for k in KIND_ORDER]), -2.0)
-    kinds, bias = fit_kinds(np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(float))
+    kinds, bias = fit_kinds(np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(float), max(stems.values(), default=0.0))
     return Model(stems, kinds, bias)
 
 
@@ -309,7 +348,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, id_col:
         stems, kinds, bias = shared.value
         lexicon, machine = Lexicon(stems), grammar()
         for batch in batches:
-            total = np.array([clause_weights(t, lexicon, machine) @ kinds for t in batch["text"]]) + bias
+            total = np.array([text_weights(t, lexicon, machine) @ kinds for t in batch["text"]]) + bias
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))})
 
     rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -332,6 +371,6 @@ def clean_documents(spark: SparkSession, docs: DataFrame, model: Model, threshol
         lexicon, machine = Lexicon(stems), grammar()
         least = np.log(threshold / (1 - threshold))
         for texts in batches:
-            yield pd.Series([bool(clause_weights(t, lexicon, machine) @ kinds + bias >= least) for t in texts], dtype=bool)
+            yield pd.Series([bool(text_weights(t, lexicon, machine) @ kinds + bias >= least) for t in texts], dtype=bool)
 
     return spread(docs).where(~toxic(F.coalesce("text", F.lit(""))))

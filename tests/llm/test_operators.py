@@ -520,6 +520,35 @@ def test_toxic_grammar_weighs_clauses():
     assert kinds("nothing here") == {} and kinds("") == {}
 
 
+def test_toxic_texts_by_what_their_clauses_say():
+    lexicon, machine = toxicity.Lexicon({"zork": 4.0, "blarg$": 5.0}), toxicity.grammar()
+    kinds = lambda text: {k: w for k, w in zip(toxicity.KIND_ORDER, toxicity.text_weights(text, lexicon, machine)) if w}
+    assert kinds("the next blarg word") == {toxicity.LONE: 5.0} and kinds("blarg") == {}
+    assert kinds("the blarg word. a zork too") == {toxicity.INSULT: 9.0} and kinds("so zork and blarg") == {toxicity.INSULT: 5.0}
+    assert kinds("the blarg word. not a zork. no blarg") == {toxicity.LONE: 5.0, toxicity.NOT_INSULT: 5.0}
+    assert kinds("that zork, they said. he says a blarg") == {toxicity.SAID_INSULT: 5.0}
+    assert kinds("The film beat expectations, they said.") == {toxicity.SAID_THREAT: 3.0}
+    assert kinds("You should kill the process and restart.") == {} and kinds("they beat your record") == {}
+    assert kinds("we kill them") == kinds("ich werde dich töten") == {toxicity.AT_THREAT: 3.0}
+
+
+def test_weak_kinds_reject_no_text():
+    rng = np.random.default_rng(1)
+    y = (np.arange(400) % 4 == 0).astype(float)
+    at = {k: i for i, k in enumerate(toxicity.KIND_ORDER)}
+    x = np.zeros((400, len(at)))
+    x[y == 1, at[toxicity.INSULT]] = 6.0
+    for kind in (toxicity.NOT_INSULT, toxicity.SAID_INSULT, toxicity.LONE):  # labels that call for more
+        x[(y == 1) & (rng.random(400) < 0.5), at[kind]] = 6.0
+    kinds, bias = toxicity.fit_kinds(x, y, 6.0)
+    worth = dict(zip(toxicity.KIND_ORDER, kinds))
+    assert worth[toxicity.INSULT] * 6 + bias > 0
+    assert worth[toxicity.LONE] * 6 + bias < 0 and worth[toxicity.AT_THREAT] * toxicity.THREAT_WEIGHT + bias < 0
+    weak = [worth[k] for k in toxicity.WEAK]
+    assert sum(w * 6 for w in weak) + bias < 0
+    assert all(worth[k] < worth[plain] for k, plain in toxicity.WEAK.items())
+
+
 def test_composition_equals_running_in_turn():
     rng = random.Random(9)
     parts = [toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.in_context(), toxicity.matches()]
