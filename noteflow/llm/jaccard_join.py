@@ -48,7 +48,8 @@ LATER = 64
 LIKE = 0.25
 #: Sets of a group per copy of its centre; nodes per block; members of a group that share a rare token.
 PART, NODES, RARE = 1024, 512, 32
-COLUMNS = 8192
+#: Columns and elements that are counted at a time, whatever the length of the texts.
+COLUMNS, ELEMENTS = 8192, 1 << 20
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -340,10 +341,17 @@ def group_links(spark: SparkSession, members: DataFrame, rare: DataFrame) -> tup
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the numbers of elements that each two of the sets (of distinct elements) share."""
+    """Matrix of the numbers of elements that each two of the sets (of distinct well-mixed elements) share."""
     both = np.zeros((len(sets), len(sets)), np.float32)
+    parts = -(-sum(map(len, sets)) // ELEMENTS)
+    for k in range(parts):
+        _add_shared(both, [s[s % parts == k] for s in sets] if parts > 1 else sets)
+    return both
+
+
+def _add_shared(both: np.ndarray, sets: list[np.ndarray]) -> None:
     if not sum(map(len, sets)):
-        return both
+        return
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # only elements of two sets or more count
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[number >= 0]
@@ -355,7 +363,6 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((len(sets), min(COLUMNS, int(number[b - 1]) - first + 1)), np.float32)
         part[owner[a:b], number[a:b] - first] = 1
         both += part @ part.T
-    return both
 
 
 def _forest(hit: np.ndarray) -> list[tuple[int, int]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -292,6 +293,22 @@ def test_jaccard_join_finds_the_links(spark, small, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.class_id for r in got.values()})
 
 
+def test_shared_counts_of_long_sets_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(-(2**62), 2**62, 40_000)
+    sets = [rng.choice(pool, 8192, replace=False) for _ in range(500)] + [pool[:0]]
+    tracemalloc.start()
+    got = jaccard_join.shared_counts(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128e6  # the sets have 33 MB
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in [(0, 0), (0, 1), (7, 499), (499, 7), (3, 500), (500, 500)])
+    short = [s[:50] for s in sets[:20]]
+    want = jaccard_join.shared_counts(short)
+    monkeypatch.setattr(jaccard_join, "ELEMENTS", 7)
+    assert (jaccard_join.shared_counts(short) == want).all() and not jaccard_join.shared_counts([pool[:0]] * 2).any()
+
+
 def test_jaccard_join_of_empty_tables(spark):
     docs = docs_of(spark, [None, ""])
     assert [(r.class_id, r.n_links) for r in jaccard_join.join_classes(spark, docs).collect()] == [(0, 0), (0, 0)]
