@@ -7,6 +7,7 @@ symbols; a round finds the smallest pair rank of every word by a segmented
 minimum, merges all its leftmost occurrences at once, and compacts; words
 without a pair left retire. Inside a word, places where no piece holds the two
 neighbouring characters are cut too, so scripts without spaces stay short.
+Pairs are looked up in a hash table (``Places``).
 
 Merging all occurrences at once equals the library's one-by-one order unless
 the merged symbol can take part in a pair of the same or better rank: such
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +37,46 @@ from noteflow.sources.splits import spread
 
 MARK = "▁"
 NONE = np.int32(1 << 30)
-#: Words that a worker remembers before it starts anew, and characters that it encodes at once.
+#: Words that a worker remembers before it starts anew (those of one batch may come on top), and characters that it encodes at once.
 CACHE_WORDS, BATCH_CHARS = 200_000, 2 << 20
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
+class Places:
+    """Where a key (a pair of numbers below 2^31) lies in a list of distinct keys, by a hash table with linear probing."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray) -> None:
+        self.code = left.astype(np.int64) << 32 | right
+        bits = max(8, (8 * len(left)).bit_length())
+        self.down, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, dtype=np.int32)
+        todo = np.arange(len(left), dtype=np.int32)
+        slot = self.slots(self.code)
+        while len(todo):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = todo[free]
+            lost = self.table[slot] != todo
+            todo, slot = todo[lost], (slot[lost] + 1) & self.last
+
+    def slots(self, code: np.ndarray) -> np.ndarray:
+        return (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.down).view(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each key, negative where it is none of the list."""
+        code = left.astype(np.int64) << 32 | right
+        slot = self.slots(code)
+        at = self.table[slot]
+        # an empty slot reads the last key, and meets it only if that key is the one looked for
+        other = np.flatnonzero((self.code[at] != code) & (at >= 0))
+        slot, code = slot[other], code[other]
+        while len(other):
+            slot = (slot + 1) & self.last
+            at[other] = now = self.table[slot]
+            more = (self.code[now] != code) & (now >= 0)
+            other, slot, code = other[more], slot[more], code[more]
+        return at
+
+
 class Vocabulary:
     """Pieces, pair ranks and cuts of a byte-fallback BPE model, as arrays."""
 
@@ -64,14 +102,13 @@ class Vocabulary:
                 a, b = ids.get(piece[:cut]), ids.get(piece[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(i)
-        left, right, merged = (np.array(x, dtype=np.int64) for x in (left, right, merged))
-        code = left << 32 | right
-        order = np.argsort(code)
-        self.code, self.merged = code[order], merged[order].astype(np.int32)
+        left, right, merged = (np.array(x, dtype=np.int32) for x in (left, right, merged))
+        self.pairs = Places(left, right)
         rank = np.full(n, NONE, dtype=np.int32)
         for i, s in scores.items():
             rank[i] = rank_of_score[s]
-        self.rank = rank[self.merged]
+        # the last entry is that of no pair
+        self.merged, self.rank = np.r_[merged, np.int32(0)], np.r_[rank[merged], NONE]
         # ranks whose merged symbol is part of a pair that is at least as good
         best_use = np.full(n, NONE, dtype=np.int32)
         np.minimum.at(best_use, left, rank[merged])
@@ -79,27 +116,34 @@ class Vocabulary:
         self.one_by_one = np.zeros(len(rank_of_score), dtype=bool)
         made = np.unique(merged)
         self.one_by_one[rank[made[best_use[made] <= rank[made]]]] = True
-        neighbours = {(a, b) for piece in ids for a, b in zip(piece, piece[1:])}
-        self.neighbours = np.sort(np.array([ord(a) << 32 | ord(b) for a, b in neighbours], dtype=np.int64))
+        neighbours = np.array(sorted({(ord(a), ord(b)) for piece in ids for a, b in zip(piece, piece[1:])}), dtype=np.int32).reshape(-1, 2)
+        self.neighbours = Places(neighbours[:, 0], neighbours[:, 1])
+        text = [f"{i},".encode() for i in range(n)]
+        self.decimal = np.array(text, dtype=f"S{max(map(len, text))}")
+        self.decimal_size = np.array(list(map(len, text)), dtype=np.int32)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE: no pair) and merged symbol of each pair."""
-        code = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        found = self.code[at] == code
-        return np.where(found, self.rank[at], NONE), self.merged[at]
+        at = self.pairs.find(left, right)
+        return self.rank[at], self.merged[at]
+
+    def decimals(self, ids: list[np.ndarray]) -> Iterator[bytes]:
+        """The ids of each text in decimal, with commas between them."""
+        flat = np.concatenate(ids)
+        data = self.decimal[flat].tobytes().translate(None, b"\0")  # shorter numbers are filled up with zero bytes
+        ends = np.r_[0, np.cumsum(self.decimal_size[flat], dtype=np.int64)][np.cumsum([len(x) for x in ids])].tolist()
+        for begin, end in itertools.pairwise([0, *ends]):
+            yield data[begin : max(begin, end - 1)]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and how many each word has. Words carry their marks and are not empty."""
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.int32)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         starts = np.cumsum(lengths) - lengths
         cut = np.ones(len(points), dtype=bool)  # a segment starts here
-        code = points[:-1] << 32 | points[1:]
-        at = np.minimum(np.searchsorted(self.neighbours, code), len(self.neighbours) - 1)
-        cut[1:] = self.neighbours[at] != code
+        cut[1:] = self.neighbours.find(points[:-1], points[1:]) < 0
         cut[starts] = True
-        out = self.rounds(self.symbol[points], np.cumsum(cut) - 1)
+        out = self.rounds(self.symbol[points], np.cumsum(cut, dtype=np.int32))
         kept = out >= 0
         ids, place = out[kept], np.nonzero(kept)[0]
         counts = np.add.reduceat(kept.astype(np.int64), starts)
@@ -118,41 +162,33 @@ class Vocabulary:
     def rounds(self, sym: np.ndarray, seg: np.ndarray) -> np.ndarray:
         """Merge rounds over segments (numbered, ascending): the symbol that starts at each place, -1 elsewhere."""
         out = np.full(len(sym), -1, dtype=np.int32)
-        place = np.arange(len(sym))
+        place = np.arange(len(sym), dtype=np.int32)
         rank = np.full(len(sym), NONE, dtype=np.int32)  # of the pair that starts here
         into = np.zeros(len(sym), dtype=np.int32)
-        inner = np.nonzero(seg[:-1] == seg[1:])[0]
+        inner = np.flatnonzero(seg[:-1] == seg[1:])
         rank[inner], into[inner] = self.pair(sym[inner], sym[inner + 1])
         while len(sym):
-            starts = np.nonzero(np.r_[True, seg[1:] != seg[:-1]])[0]
-            sizes = np.diff(np.r_[starts, len(seg)])
-            least = np.minimum.reduceat(rank, starts)
-            done = least == NONE
-            if done.any():  # compaction: finished segments leave
-                gone = np.repeat(done, sizes)
-                out[place[gone]] = sym[gone]
-                stay = ~gone
-                sym, seg, place, rank, into = sym[stay], seg[stay], place[stay], rank[stay], into[stay]
-                least, sizes = least[~done], sizes[~done]
-                if not len(sym):
-                    break
-            at = np.nonzero(rank == np.repeat(least, sizes))[0]
+            starts = np.r_[0, np.flatnonzero(seg[1:] != seg[:-1]) + 1]
+            sizes = np.diff(starts, append=len(seg))
+            least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            stay = least != NONE
+            gone = np.flatnonzero(~stay)  # finished segments leave
+            out[place[gone]] = sym[gone]
+            at = np.flatnonzero((rank == least) & stay)
             owner = seg[at]
-            first = np.r_[True, owner[1:] != owner[:-1]]
-            alone = np.r_[True, at[1:] != at[:-1] + 1]  # overlapping pairs: every other one from the left
+            first = np.r_[True, owner[1:] != owner[:-1]][: len(at)]
+            alone = np.r_[True, at[1:] != at[:-1] + 1][: len(at)]  # overlapping pairs: every other one from the left
             number = np.arange(len(at))
             odd = (number - np.maximum.accumulate(np.where(alone, number, 0))) & 1
             at = at[first | (~self.one_by_one[rank[at]] & (odd == 0))]
             sym[at] = into[at]
-            stay = np.ones(len(sym), dtype=bool)
-            stay[at + 1] = False
-            moved = np.cumsum(stay) - 1
-            at = moved[at]
-            sym, seg, place, rank, into = sym[stay], seg[stay], place[stay], rank[stay], into[stay]
             rank[at] = NONE
-            near = np.unique(np.r_[at, at - 1])
-            near = near[(near >= 0) & (near < len(sym) - 1)]
-            near = near[seg[near] == seg[near + 1]]
+            stay[at + 1] = False
+            changed = np.zeros(len(sym), dtype=bool)
+            changed[at] = True
+            kept = np.flatnonzero(stay)
+            sym, seg, place, rank, into, changed = sym[kept], seg[kept], place[kept], rank[kept], into[kept], changed[kept]
+            near = np.flatnonzero((changed[:-1] | changed[1:]) & (seg[:-1] == seg[1:]))
             rank[near], into[near] = self.pair(sym[near], sym[near + 1])
         return out
 
@@ -170,35 +206,36 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        #: the number of each word, given at its first look-up
+        self.known: dict[str, int] = defaultdict(itertools.count().__next__)
         self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self) -> None:
+        """Encode the words that have a number but no ids."""
+        new = [MARK + w for w in itertools.islice(self.known, len(self.counts), None)]
         if not new:
             return
-        ids, counts = self.vocabulary.encode_words([MARK + w for w in new])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        ids, counts = self.vocabulary.encode_words(new)
         self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts]
         self.counts, self.ids = np.r_[self.counts, counts], np.r_[self.ids, ids]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. A word is named by what follows its first mark; all words begin with one."""
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
         per_text = []
         for text in texts:
             words = text.split(" ") if text else []
             if "" in words or MARK in text:
                 words = [w[1:] for w in WORD.findall(MARK + text.replace(" ", MARK))]
             per_text.append(words)
-        every = [w for words in per_text for w in words]
-        distinct = set(every)
-        if len(self.known) + len(distinct) > CACHE_WORDS:
-            self.forget()
-        self.learn([w for w in distinct if w not in self.known])
-        word = np.fromiter(map(self.known.__getitem__, every), dtype=np.int64, count=len(every))
+        sizes = [len(words) for words in per_text]
+        word = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(per_text)), dtype=np.int64, count=sum(sizes))
+        self.learn()
         counts = self.counts[word]
         ends = np.cumsum(counts)
         flat = self.ids[np.repeat(self.starts[word] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.r_[0, ends][np.cumsum([len(w) for w in per_text])]
+        upto = np.r_[0, ends][np.cumsum(sizes)]
         return np.split(flat, upto[:-1])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -237,7 +274,7 @@ def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path)
-        digest = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+        digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in _batches(texts):
@@ -245,8 +282,8 @@ def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].iloc[a:b].astype("Int64"),
                     "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [digest(",".join(map(str, x.tolist()))) for x in ids],
-                    "decoded_sha256": [digest(encoder.decode(x)) for x in ids],
+                    "ids_sha256": [digest(x) for x in encoder.vocabulary.decimals(ids)],
+                    "decoded_sha256": [digest(encoder.decode(x).encode("utf-8", "surrogatepass")) for x in ids],
                 })
 
     rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
