@@ -127,7 +127,8 @@ def _(t):
 
 @query("io03_vector_codec", sql="SELECT vec_id, len(embedding) AS n, concat('[', array_to_string([CAST(CAST(round(x * 1000) AS INT) AS VARCHAR) for x in embedding], ','), ']') AS literal, true AS round_trip FROM embeddings")
 def _(t):
-    whole = F.transform("embedding", lambda x: F.round(x * 1000).cast("int"))
+    # a float times an int is a double in Spark: 0.3195 would be 319.49999... there and 319.5 in SQL
+    whole = F.transform("embedding", lambda x: F.round(x * F.lit(1000.0).cast("float")).cast("int"))
     back = T.parsed_vector(T.vector_literal(F.col("embedding")))
     return t("embeddings").select("vec_id", F.size(back).alias("n"), T.vector_literal(whole).alias("literal"), (back == F.col("embedding")).alias("round_trip"))
 

@@ -91,3 +91,18 @@ def test_embedding_input_without_tags(spark):
     d = spark.createDataFrame([("t", ["a"], None, " c "), ("t", ["a"], ["x", "y"], "c")], "t string, h array<string>, g array<string>, c string")
     got = d.select(T.embedding_input(*[F.col("t")] * 4, F.col("h"), F.col("g"), F.col("c")).alias("i")).collect()
     assert [r.i for r in got] == [f"Title: t\nType: t\nProject: t\nDomain: t\nHeading: a\nTags: {g}\n\nContent:\nc" for g in ("", "x, y")]
+
+
+def test_vector_codec_rounds_halves_as_its_sql(spark, tmp_path):
+    """A component times 1000 that is a half in single precision (319.5) is rounded up in SQL."""
+    import duckdb
+
+    from noteflow.plans import QUERIES, oracles
+
+    rows = [(1, [0.31949999928474426, -0.13349999487400055, 0.19249999523162842]), (2, [0.0005, -0.0005, 0.25])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["io03_vector_codec"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(oracles()["io03_vector_codec"]).fetchall())
+    assert got[0][2] == "[320,-134,193]"
