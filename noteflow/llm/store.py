@@ -35,7 +35,9 @@ def lookup(spark: SparkSession, rows: DataFrame, table: DataFrame, key: str, how
     if table.limit(MAP_SIDE + 1).count() <= MAP_SIDE:
         return rows.join(F.broadcast(table), key, how)
     rows = rows if stable else written(spark, rows, "looked_up")
-    top = written(spark, rows.agg(F.expr(f"approx_top_k({key}, {HOT_KEYS}, {COUNTERS})").alias("top")).select(F.explode("top.item").alias(key)), "top")
+    binary = dict(rows.dtypes)[key] == "binary"  # which the summary does not count: it gets them as hex digits
+    top = rows.agg(F.expr(f"approx_top_k({f'hex({key})' if binary else key}, {HOT_KEYS}, {COUNTERS})").alias("top")).select(F.explode("top.item").alias(key))
+    top = written(spark, top.select(F.unhex(key).alias(key)) if binary else top, "top")
     hot = F.broadcast(table.join(F.broadcast(top), key))
     common = rows.join(F.broadcast(top), key, "left_semi").join(hot, key, how)
     return common.unionByName(rows.join(F.broadcast(top), key, "left_anti").join(table, key, how))

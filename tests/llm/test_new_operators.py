@@ -137,6 +137,21 @@ def test_vector_edge_cases(spark):
 # 13: Merkle manifest
 
 
+def test_near_duplicates_of_many_vectors(spark, monkeypatch):
+    """More vectors than are looked up on the map side: digests are shuffled, frequent ones settled apart."""
+    from noteflow.llm import store
+
+    rng = np.random.default_rng(3)
+    vectors = [v.tolist() for v in rng.standard_normal((12, 6))]
+    rows = list(enumerate([*vectors, *[vectors[0]] * 9, [x + 0.01 for x in vectors[1]], [0.0] * 6, None]))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    key = lambda r: (r.vec_id, r.n_links, r.component_id, r.kept)
+    wanted = sorted(map(key, nn_descent.near_duplicates(spark, frame).collect()))
+    monkeypatch.setattr(store, "MAP_SIDE", 3)
+    assert sorted(map(key, nn_descent.near_duplicates(spark, frame).collect())) == wanted
+    assert wanted[20][:3] == (20, 9, 0) and wanted[21] == (21, 1, 1, False) and wanted[23] == (23, 0, 23, True)
+
+
 def H(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
