@@ -134,10 +134,15 @@ def query_terms(query: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double; null where a norm is 0 or the lengths differ."""
+    """Cosine similarity in double, from -1 to 1; null where a norm is 0 or the lengths differ.
+
+    Summed in the order of the components and divided by the root of the product
+    of the squared norms, so that it is the same to the last bit in SQL.
+    """
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
+    norms = F.sqrt(dot(a, a) * dot(b, b))
+    bounded = F.transform(F.array(dot(a, b) / norms), lambda s: F.when(F.isnan(s), s).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))))
+    return F.when((F.size(a) == F.size(b)) & (norms > 0), bounded[0])
 
 
 def _stamp(clock: Column) -> Column:

@@ -7,6 +7,8 @@ Every ranking ends with chunk_id, so results do not depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +28,12 @@ FILTERS = (*(f"f_{c}" for c in LISTS), "f_tags", "f_project", "f_domain")
 META = (*LISTS, "tags", "project", "domain")
 #: Chunks and queries of a tile of the vector leg.
 TILE_CHUNKS, TILE_QUERIES = 16_384, 1024
+#: Chunks, characters of their texts and queries of a tile of the keyword leg.
+LEXICAL_CHUNKS, LEXICAL_CHARS, LEXICAL_QUERIES = 16_384, 48_000_000, 16_384
+#: Chunks and queries of a tile that gives all pairs.
+PAIR_CHUNKS, PAIR_QUERIES = 1024, 1024
+#: What a matrix product may be off the cosine that is summed in order.
+MARGIN = 1e-9
 
 
 def fresh_chunks(chunks: DataFrame, files: DataFrame, model: str) -> DataFrame:
@@ -100,44 +108,104 @@ def _top(rows: DataFrame, order: list[Column], n: int, rank: str) -> DataFrame:
 
 
 def vector_leg(queries: DataFrame, chunks: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """query_id, chunk_id, score, vector_rank: the n nearest chunks of the query's vault."""
+    """query_id, chunk_id, score, vector_rank: the n nearest chunks of the query's vault, by a join of all pairs. ``block_vector_leg`` gives the same in blocks."""
     pairs = chunks.join(queries.select("query_id", "vault_id", "query_embedding"), "vault_id")
     scored = pairs.select("query_id", "chunk_id", T.cosine(F.col("embedding"), F.col("query_embedding")).alias("score")).where("score IS NOT NULL")
     return _top(scored, [F.desc("score"), F.asc("chunk_id")], n, "vector_rank")
 
 
+def _tiled(asked: DataFrame, chunks: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, parts: Column, n_queries: int) -> DataFrame:
+    """``run(chunks, queries)`` of all pairs of a part of a vault's chunks and a block of its queries.
+
+    Parts and blocks are dealt by hash; ``parts`` is an aggregate over a vault's chunks.
+    """
+    tiles = asked.groupBy("vault_id").agg(F.ceil(F.count("*") / n_queries).cast("int").alias("blocks"))
+    tiles = tiles.join(chunks.groupBy("vault_id").agg(parts.cast("int").alias("parts")), "vault_id")
+    tiles = written(asked.sparkSession, tiles, "tiles")  # a row a vault
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one_of = lambda key, c: F.pmod(F.xxhash64(key), c).cast("int")
+    left = chunks.join(tiles, "vault_id").withColumn("part", one_of("chunk_id", "parts")).withColumn("block", all_of("blocks")).drop("parts", "blocks")
+    right = asked.join(tiles, "vault_id").withColumn("block", one_of("query_id", "blocks")).withColumn("part", all_of("parts")).drop("parts", "blocks")
+    keys = ["vault_id", "part", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def block_vector_leg(queries: DataFrame, chunks: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """The same by matrix products of tiles: the chunks of a vault in parts, its queries in blocks, a task for each pair of them.
 
     Parts and blocks are dealt by hash and have a bounded number of rows, so a
     vault of any size is many tiles; chunks are shuffled once for every block
     of queries of their vault (one, mostly), and each tile keeps n chunks a
-    query. Queries with filters (``FILTERS``) get chunks that pass them.
+    query. What a product leaves near a query's n best is scored again in the
+    order of the components, so ties are ties. Queries with filters
+    (``FILTERS``) get chunks that pass them.
     """
-    spark, own = queries.sparkSession, [c for c in FILTERS if c in queries.columns]
+    own = [c for c in FILTERS if c in queries.columns]
     asked = queries.select("query_id", "vault_id", "query_embedding", *own).where("query_embedding IS NOT NULL")
     chunks = chunks.select("chunk_id", "vault_id", "embedding", *(META if own else ()))
-    tiles = asked.groupBy("vault_id").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("blocks"))
-    tiles = tiles.join(chunks.groupBy("vault_id").agg(F.ceil(F.count("*") / TILE_CHUNKS).cast("int").alias("parts")), "vault_id")
-    tiles = written(spark, tiles, "tiles")  # a row a vault
-    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    one_of = lambda key, c: F.pmod(F.xxhash64(key), c).cast("int")
-    left = chunks.join(tiles, "vault_id").withColumn("part", one_of("chunk_id", "parts")).withColumn("block", all_of("blocks")).drop("parts", "blocks")
-    right = asked.join(tiles, "vault_id").withColumn("block", one_of("query_id", "blocks")).withColumn("part", all_of("parts")).drop("parts", "blocks")
-    keys = ["vault_id", "part", "block"]
-    run = lambda a, b: _tile(a, b, n, own)
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, chunk_id long, score double")
+    best = _tiled(asked, chunks, lambda a, b: _tile(a, b, n, own), "query_id long, chunk_id long, score double", F.ceil(F.count("*") / TILE_CHUNKS), TILE_QUERIES)
     return _top(best, [F.desc("score"), F.asc("chunk_id")], n, "vector_rank")
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the column with vectors of that width and a norm over 0, and their unit vectors."""
-    column = column.combine_chunks()
-    rows = np.nonzero(pc.equal(pc.fill_null(pc.list_value_length(column), -1), width).to_numpy(zero_copy_only=False))[0]
-    x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
-    norms = np.sqrt((x * x).sum(axis=1))
-    good = norms > 0
-    return rows[good], x[good] / norms[good, None]
+def pair_cosines(queries: DataFrame, chunks: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, chunk_id, score: the rounded cosine of every query with every chunk of its vault, null where there is none; in tiles."""
+    asked = queries.select("query_id", "vault_id", "query_embedding")
+    chunks = chunks.select("chunk_id", "vault_id", "embedding")
+    return _tiled(asked, chunks, lambda a, b: _pairs(a, b, digits), "query_id long, chunk_id long, score double", F.ceil(F.count("*") / PAIR_CHUNKS), PAIR_QUERIES)
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves go away from zero."""
+    scaled = x * 10.0**digits
+    whole = np.trunc(scaled)
+    return (whole + np.where(np.abs(scaled - whole) >= 0.5, np.sign(scaled), 0.0)) / 10.0**digits
+
+
+class _Vectors:
+    """Vectors of one width with a norm over 0: their rows in the column, components (one a row), squared norms; sums go in the order of the components."""
+
+    def __init__(self, column: pa.ChunkedArray, width: int) -> None:
+        column = column.combine_chunks()
+        rows = np.nonzero(pc.equal(pc.fill_null(pc.list_value_length(column), -1), width).to_numpy(zero_copy_only=False))[0]
+        x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
+        squares = np.zeros(len(rows))
+        for c in x.T:
+            squares += np.square(c, dtype=np.float64)
+        good = squares > 0
+        self.rows, self.at, self.squares = rows[good], np.ascontiguousarray(x[good].T), squares[good]
+
+    def sorted(self, key: np.ndarray) -> _Vectors:
+        order = np.argsort(key[self.rows], kind="stable")
+        self.rows, self.at, self.squares = self.rows[order], self.at[:, order], self.squares[order]
+        return self
+
+    def units(self) -> np.ndarray:
+        return self.at.T / np.sqrt(self.squares)[:, None]
+
+    def cosines(self, i, other: _Vectors, j) -> np.ndarray:
+        """Of the vectors i with the vectors j of ``other`` (indices that broadcast)."""
+        squares = self.squares[i] * other.squares[j]
+        dot = np.zeros(squares.shape)
+        for a, b in zip(self.at, other.at):
+            dot += a[i].astype(np.float64) * b[j]
+        return np.clip(dot / np.sqrt(squares), -1.0, 1.0)
+
+
+def _pairs(chunks: pa.Table, queries: pa.Table, digits: int) -> pa.Table:
+    """query_id, chunk_id, score of all pairs of a tile."""
+    scores = np.zeros((queries.num_rows, chunks.num_rows))
+    known = np.zeros(scores.shape, bool)
+    for width in np.unique(pc.list_value_length(queries.column("query_embedding").drop_null()).to_numpy()).tolist():
+        x, q = _Vectors(chunks.column("embedding"), width), _Vectors(queries.column("query_embedding"), width)
+        if not len(x.rows):
+            continue
+        for begin in range(0, len(q.rows), 64):
+            part = np.arange(begin, min(begin + 64, len(q.rows)))
+            at = np.ix_(q.rows[part], x.rows)
+            scores[at], known[at] = _rounded(q.cosines(part[:, None], x, np.arange(len(x.rows))[None, :]), digits), True
+    query = np.repeat(queries.column("query_id").to_numpy(), chunks.num_rows)
+    chunk = np.tile(chunks.column("chunk_id").to_numpy(), queries.num_rows)
+    return pa.table([pa.array(query, pa.int64()), pa.array(chunk, pa.int64()), pa.array(scores.ravel(), pa.float64(), mask=~known.ravel())], ["query_id", "chunk_id", "score"])
 
 
 def _passing(filters: tuple, meta: dict[str, list]) -> np.ndarray:
@@ -146,12 +214,13 @@ def _passing(filters: tuple, meta: dict[str, list]) -> np.ndarray:
     out = np.ones(len(meta["status"]), bool)
     for c in LISTS:
         if wanted[f"f_{c}"]:
-            out &= np.isin(np.array(meta[c], dtype=object), list(wanted[f"f_{c}"]))
+            given = set(wanted[f"f_{c}"]) - {None}
+            out &= np.array([v in given for v in meta[c]], bool)
     for c in ("project", "domain"):
         if wanted[f"f_{c}"] is not None:
             out &= np.array([v == wanted[f"f_{c}"] for v in meta[c]], bool)
     if wanted["f_tags"]:
-        tags = set(wanted["f_tags"])
+        tags = set(wanted["f_tags"]) - {None}
         out &= np.array([bool(tags.intersection(v or ())) for v in meta["tags"]], bool)
     return out
 
@@ -165,25 +234,24 @@ def _tile(chunks: pa.Table, queries: pa.Table, n: int, own: list[str]) -> pa.Tab
     widths = np.unique(pc.list_value_length(queries.column("query_embedding")).to_numpy())
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for width in widths.tolist():
-        at, x = _matrix(chunks.column("embedding"), width)
-        asks, q = _matrix(queries.column("query_embedding"), width)
-        order = np.argsort(chunk[at], kind="stable")
-        at, x = at[order], x[order]
+        x, q = _Vectors(chunks.column("embedding"), width).sorted(chunk), _Vectors(queries.column("query_embedding"), width)
+        at, asks = x.rows, q.rows
+        near, far = q.units(), x.units()
         for begin in range(0, len(asks) if len(at) else 0, 128):
-            scores = q[begin : begin + 128] @ x.T
+            scores = near[begin : begin + 128] @ far.T
             if own:
                 for i, row in enumerate(asks[begin : begin + 128]):
                     if asked[row] not in masks:
                         masks[asked[row]] = _passing(asked[row], meta)
                     scores[i, ~masks[asked[row]][at]] = -np.inf
             last = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n] if len(at) > n else np.full((len(scores), 1), -np.inf)
-            i, j = np.nonzero((scores >= last) & (scores > -np.inf))
-            best = np.lexsort((chunk[at[j]], -scores[i, j], i))
-            i, j = i[best], j[best]
+            i, j = np.nonzero((scores >= last - MARGIN) & (scores > -np.inf))
+            exact = q.cosines(begin + i, x, j)
+            best = np.lexsort((chunk[at[j]], -exact, i))
+            i, j, exact = i[best], j[best], exact[best]
             firsts = np.searchsorted(i, np.arange(len(scores)))
             head = np.arange(len(i)) - firsts[i] < n
-            i, j = i[head], j[head]
-            found.append((query[asks[begin + i]], chunk[at[j]], scores[i, j]))
+            found.append((query[asks[begin + i[head]]], chunk[at[j[head]]], exact[head]))
     columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "chunk_id", "score"])
 
@@ -198,36 +266,119 @@ def postings(chunks: DataFrame) -> DataFrame:
 def lexical_leg(queries: DataFrame, chunks: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """query_id, chunk_id, rank_value, lexical_rank: chunks for which the query's tree (``text.query_tree``) holds.
 
-    Only words of queries leave a chunk's task, with their positions: postings
-    are joined with them before any shuffle. An alternative of barred literals
-    alone asks for all chunks of the vault (by their ids). The rank is the mean,
+    In tiles, as the vector leg: the terms of a part of a vault's chunks, as one
+    text each, meet a block of its queries in one task, which keeps n chunks a
+    query, so no table holds a row for each query and chunk. The rank is the mean,
     over the distinct words of literals that are not barred, of the sum of 1 / i**2
     for i up to the word's count. Queries with filters get chunks that pass them.
     """
     own = [c for c in FILTERS if c in queries.columns]
-    asked = queries.select("query_id", "vault_id", T.query_tree(F.col("query")).alias("tree"), *own).where(F.size("tree") > 0)
-    words = asked.select("query_id", "vault_id", F.explode(T.tree_terms(F.col("tree"))).alias("term"))
+    tree = T.query_tree(F.col("query"))
+    asked = queries.select("query_id", "vault_id", tree.alias("tree"), *own).where(F.size("tree") > 0)
+    asked = asked.select("query_id", "vault_id", "tree", T.tree_terms(F.col("tree"), barred=False).alias("of"), *own)
     terms = T.positioned(T.lexical_document(F.col("title"), F.col("source_path"), F.col("tags"), F.col("content")))
-    # the places of a term in a chunk are gathered once, however many queries ask for it
-    found = chunks.select("chunk_id", "vault_id", F.posexplode(terms).alias("place", "term")).join(words.select("vault_id", "term").distinct(), ["vault_id", "term"])
-    found = found.groupBy("chunk_id", "vault_id", "term").agg(F.collect_list("place").alias("places"))
-    found = found.join(words, ["vault_id", "term"]).select("query_id", "chunk_id", "term", "places")
-    open_ = asked.where(F.exists("tree", lambda group: F.forall(group, lambda x: x["barred"]))).select("query_id", "vault_id")
-    every = chunks.select("chunk_id", "vault_id").join(open_, "vault_id").select("query_id", "chunk_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("array<int>").alias("places"))
-    found = found.unionByName(every).groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "places")))).alias("places"))
-    hits = found.join(asked.drop("vault_id"), "query_id").where(T.tree_holds(F.col("tree"), F.col("places")))
-    if own:
-        hits = hits.join(chunks.select("chunk_id", *META), "chunk_id").where(query_filter(LISTS))
-    gain = lambda k: F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))
-    of = T.tree_terms(F.col("tree"), barred=False)
-    total = F.aggregate(of, F.lit(0.0), lambda a, t: a + gain(F.coalesce(F.size(F.try_element_at("places", t)), F.lit(0))))
-    rank = F.when(F.size(of) > 0, F.round(total / F.size(of), 9)).otherwise(F.lit(0.0))
-    return _top(hits.select("query_id", "chunk_id", rank.alias("rank_value")), [F.desc("rank_value"), F.asc("chunk_id")], n, "lexical_rank")
+    texts = chunks.select("chunk_id", "vault_id", F.array_join(terms, " ").alias("terms"), F.length("content").alias("chars"), *(META if own else ()))
+    parts = F.ceil(F.greatest(F.count("*") / LEXICAL_CHUNKS, F.coalesce(F.sum("chars"), F.lit(0)) / LEXICAL_CHARS))
+    best = _tiled(asked, texts, lambda a, b: _lexical_tile(a, b, n, own), "query_id long, chunk_id long, rank_value double", parts, LEXICAL_QUERIES)
+    return _top(best, [F.desc("rank_value"), F.asc("chunk_id")], n, "lexical_rank")
+
+
+class _Postings:
+    """Where the words that are asked for stand in the chunks of a tile."""
+
+    def __init__(self, texts: pa.ChunkedArray, words: set[str], longest: int) -> None:
+        self.code = {w: i for i, w in enumerate(words)}
+        blank, pieces, sizes = np.full(longest, -1, np.int32), [], []
+        for text in texts:
+            text = text.as_py()
+            found = text.split(" ") if text else []
+            # blanks after each text: no phrase goes on in the next one
+            pieces += [np.fromiter((self.code.get(w, -1) for w in found), np.int32, len(found)), blank]
+            sizes.append(len(found) + longest)
+        self.stream = np.concatenate([blank, *pieces, blank])
+        at = np.nonzero(self.stream >= 0)[0]
+        codes = self.stream[at]
+        order = np.argsort(codes, kind="stable")
+        at, codes = at[order], codes[order]
+        self.starts = np.cumsum([longest, *sizes])[:-1]
+        self.at, self.ends = at, np.searchsorted(codes, np.arange(len(self.code) + 1))
+        # per word and chunk: 1 + 1/4 + 1/9 ... up to the count
+        key = codes.astype(np.int64) * max(len(sizes), 1) + self.chunks(at)
+        first = np.nonzero(np.diff(key, prepend=-1))[0]
+        count = np.diff(first, append=len(key))
+        self.chunk = key[first] % max(len(sizes), 1)
+        gains = np.concatenate([[0.0], np.cumsum(1.0 / np.square(np.arange(1.0, count.max(initial=0) + 1)))])
+        self.gain, self.firsts = gains[count], np.searchsorted(key[first], np.arange(len(self.code) + 1) * max(len(sizes), 1))
+
+    def chunks(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+    def word(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that hold the word, and its gain in each."""
+        at = slice(self.firsts[self.code[word]], self.firsts[self.code[word] + 1])
+        return self.chunk[at], self.gain[at]
+
+    def holding(self, phrase: list[str]) -> np.ndarray:
+        """Chunks that hold the words in that order with nothing in between (repeats where a chunk holds them twice)."""
+        if len(phrase) == 1:
+            return self.word(phrase[0])[0]
+        codes = [self.code[w] for w in phrase]
+        rarest = min(range(len(codes)), key=lambda i: self.ends[codes[i] + 1] - self.ends[codes[i]])
+        at = self.at[self.ends[codes[rarest]] : self.ends[codes[rarest] + 1]] - rarest
+        for i, code in enumerate(codes):
+            if i != rarest:
+                at = at[self.stream[at + i] == code]
+        return self.chunks(at)
+
+
+def _lexical_tile(chunks: pa.Table, queries: pa.Table, n: int, own: list[str]) -> pa.Table:
+    """query_id, chunk_id, rank_value: the n best chunks of a tile for each of its queries; ties go to the smaller chunk_id."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if chunks.num_rows and queries.num_rows:
+        chunks = chunks.sort_by("chunk_id")
+        meta = {c: chunks.column(c).to_pylist() for c in META} if own else {}
+        masks: dict[tuple, np.ndarray] = {}
+        chunk, size = chunks.column("chunk_id").to_numpy(), chunks.num_rows
+        asked = queries.to_pylist()
+        phrases = [x["phrase"] for r in asked for group in r["tree"] for x in group]
+        held = _Postings(chunks.column("terms"), {w for p in phrases for w in p}, max(map(len, phrases)))
+        for r in asked:
+            holds = np.zeros(size, bool)
+            for group in r["tree"]:
+                every = np.ones(size, bool)
+                for x in group:
+                    has = np.zeros(size, bool)
+                    has[held.holding(x["phrase"])] = True
+                    every &= has != x["barred"]
+                holds |= every
+            if own:
+                filters = tuple(sorted((c, tuple(r[c]) if isinstance(r[c], list) else r[c]) for c in own))
+                if filters not in masks:
+                    masks[filters] = _passing(filters, meta)
+                holds &= masks[filters]
+            hits = np.nonzero(holds)[0]
+            if r["of"]:
+                total = np.zeros(size)
+                for w in r["of"]:
+                    at, gain = held.word(w)
+                    total[at] += gain
+                ranks = _rounded(total[hits] / len(r["of"]), 9)
+                if len(hits) > n:
+                    near = ranks >= -np.partition(-ranks, n - 1)[n - 1]
+                    hits, ranks = hits[near], ranks[near]
+                best = np.argsort(-ranks, kind="stable")[:n]
+                hits, ranks = hits[best], ranks[best]
+            else:
+                hits = hits[:n]
+                ranks = np.zeros(len(hits))
+            found.append((np.full(len(hits), r["query_id"], np.int64), chunk[hits], ranks))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "chunk_id", "rank_value"])
 
 
 def fused(vector: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
-    """query_id, chunk_id, rrf, matched_by, fused_rank by reciprocal rank fusion; ties by order of first sight."""
-    both = vector.select("query_id", "chunk_id", "vector_rank").join(lexical.select("query_id", "chunk_id", "lexical_rank"), ["query_id", "chunk_id"], "full_outer")
+    """query_id, chunk_id, rrf, matched_by, fused_rank by reciprocal rank fusion; ties by order of first sight. A score of ``vector`` is kept."""
+    both = vector.select("query_id", "chunk_id", "vector_rank", *[c for c in ("score",) if c in vector.columns]).join(lexical.select("query_id", "chunk_id", "lexical_rank"), ["query_id", "chunk_id"], "full_outer")
     part = lambda c: F.when(F.col(c).isNotNull(), F.lit(1.0) / (k + F.col(c))).otherwise(F.lit(0.0))
     by = F.when(F.col("lexical_rank").isNull(), "vector").when(F.col("vector_rank").isNull(), "lexical").otherwise("both")
     both = both.withColumns({"rrf": F.round(part("vector_rank") + part("lexical_rank"), 12), "matched_by": by})
@@ -320,10 +471,10 @@ def hybrid_search(
     vector = block_vector_leg(queries, pool, budget)
     lexical = lexical_leg(queries, pool, candidates) if hybrid else vector.limit(0).select("query_id", "chunk_id", F.lit(0.0).alias("rank_value"), F.lit(0).alias("lexical_rank"))
     # at most two legs of candidates a query: written once, since ranking and outcome both start from it
-    merged = written(spark, fused(vector, lexical), "fused")
-    asked = queries.select("query_id", "query_embedding", "query", own("top_k", top_k).alias("own_top_k"), own("min_score", float(min_score)).alias("own_min_score"))
-    found = merged.join(pool.select("chunk_id", "source_path", "content", "embedding"), "chunk_id").join(asked, "query_id")
-    found = found.withColumn("score", F.round(T.cosine(F.col("embedding"), F.col("query_embedding")), 6)).drop("embedding", "query_embedding")
+    merged = written(spark, fused(vector, lexical).withColumn("score", F.round("score", 6)), "fused")
+    asked = queries.select("query_id", "query", own("top_k", top_k).alias("own_top_k"), own("min_score", float(min_score)).alias("own_min_score"))
+    # the bar is for rows of the vector leg alone, which has their score; vectors come in again for what is left at the end
+    found = merged.join(pool.select("chunk_id", "source_path", *(["content"] if rerank is not None else [])), "chunk_id").join(asked, "query_id")
     kept = passing(found, F.col("own_min_score"))
     order = "fused_rank"
     if rerank is not None:
@@ -333,7 +484,10 @@ def hybrid_search(
     # the constant lets each task drop what no query can keep before the shuffle
     most = max(top_k, MOST_TOP_K) if "top_k" in queries.columns else top_k
     ranked = kept.withColumn("rank", place).where((F.col("rank") <= most) & (F.col("rank") <= F.col("own_top_k")))
-    ranked = ranked.select("query_id", "rank", "chunk_id", "source_path", "score", "matched_by", "rrf")
+    ranked = written(spark, ranked.select("query_id", "rank", "chunk_id", "source_path", "score", "matched_by", "rrf"), "ranked")
+    unknown = ranked.where("score IS NULL").drop("score").join(pool.select("chunk_id", "embedding"), "chunk_id").join(queries.select("query_id", "query_embedding"), "query_id")
+    unknown = unknown.withColumn("score", F.round(T.cosine(F.col("embedding"), F.col("query_embedding")), 6)).select(*ranked.columns)
+    ranked = ranked.where("score IS NOT NULL").unionByName(unknown)
     return ranked, outcome(queries, merged, ranked)
 
 

@@ -145,3 +145,26 @@ def test_rejected_queries_and_notices(spark):
     assert (rows[1].failed, rows[1].model_stale, rows[1].reindex_mode, len(rows[1].notices)) == (1, 1, "full", 2)
     assert rows[5].no_candidates and len(rows[5].notices) == 2 and rows[3].candidate_count is None
     assert sorted(r.request_id for r in out["log"].collect()) == ["1", "5"]
+
+
+@pytest.mark.parametrize("name", ["tk01_vector_leg"])
+def test_no_table_of_all_pairs(spark, name):
+    """Queries meet chunks in tiles (co-groups), never in a join on the vault that makes a row of each pair."""
+    from noteflow.plans import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_equal_scores_are_ties(spark):
+    """Copies of a vector, scaled or not, have one score of at most 1 in every place of a tile, so the smaller chunk_id comes first."""
+    import random
+
+    rng = random.Random(4)
+    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(3)]
+    chunks = spark.createDataFrame([chunk(i, [x * 2.0 ** (i % 5) for x in base[i % 3]]) for i in range(301)], CHUNK)
+    q = spark.createDataFrame([(i, "v", "x", base[i]) for i in range(3)], "query_id long, vault_id string, query string, query_embedding array<float>")
+    for leg in (S.vector_leg, S.block_vector_leg):
+        rows = leg(q, chunks, 60).collect()
+        assert len(rows) == 180 and max(r.score for r in rows) <= 1.0
+        assert all(sorted(r.chunk_id for r in rows if r.query_id == i) == list(range(i, 180, 3)) for i in range(3))
