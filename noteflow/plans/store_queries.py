@@ -184,7 +184,7 @@ def _(t):
 @query("wn04_source_cap", *AT, sql=f"WITH {POOL}, {SCORED} SELECT query_id, chunk_id FROM (SELECT v.*, row_number() OVER (PARTITION BY query_id, source_path ORDER BY vector_rank) AS n FROM vec v JOIN pool p ON p.chunk_id = v.chunk_id) WHERE n <= 2")
 def _(t):
     p = pool(t)
-    rows = S.vector_leg(t("asked"), p).join(p.select("chunk_id", "source_path"), "chunk_id")
+    rows = S.block_vector_leg(t("asked"), p).join(p.select("chunk_id", "source_path"), "chunk_id")
     return S.capped(rows, 2, "vector_rank").select("query_id", "chunk_id")
 
 
