@@ -811,7 +811,7 @@ def _(t):
 
 @query("wn02_leg_ranks", *AT, sql=f"WITH {POOL}, {SCORED} SELECT query_id, max(vector_rank) AS last_rank, count(*) AS n FROM vec GROUP BY query_id")
 def _(t):
-    return S.vector_leg(t("asked"), pool(t)).groupBy("query_id").agg(F.max("vector_rank").alias("last_rank"), F.count("*").alias("n"))
+    return S.block_vector_leg(t("asked"), pool(t)).groupBy("query_id").agg(F.max("vector_rank").alias("last_rank"), F.count("*").alias("n"))
 
 
 @query("pr12_threshold", *AT, sql=f"{ALL_LEGS}, kept AS (SELECT f.*, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(query_embedding AS DOUBLE[])), 6) AS score FROM fused f JOIN pool p ON p.chunk_id = f.chunk_id JOIN fx_asked q ON q.query_id = f.query_id) SELECT query_id, chunk_id, score FROM kept WHERE matched_by <> 'vector' OR score >= 0.1")
