@@ -191,7 +191,7 @@ def _(t):
 @query("ud04_rerank", *AT, sql=f"WITH {POOL}, {SCORED} SELECT query_id, chunk_id, CAST(CASE WHEN vector_rank <= m THEN m + 1 - vector_rank ELSE vector_rank END AS INT) AS rank FROM (SELECT *, least(15, count(*) OVER (PARTITION BY query_id)) AS m FROM vec)")
 def _(t):
     backwards = lambda q, texts: str(list(range(len(texts), 0, -1)))
-    rows = S.vector_leg(t("asked"), pool(t)).withColumnRenamed("vector_rank", "fused_rank").join(t("chunks").select("chunk_id", "content"), "chunk_id").withColumn("query", F.lit("q"))
+    rows = S.block_vector_leg(t("asked"), pool(t)).withColumnRenamed("vector_rank", "fused_rank").join(t("chunks").select("chunk_id", "content"), "chunk_id").withColumn("query", F.lit("q"))
     return S.reranked(rows, backwards).select("query_id", "chunk_id", "rank")
 
 
