@@ -252,8 +252,7 @@ def _(t):
 
 @query("fn18_cosine", "chunks", "asked", sql="SELECT query_id, chunk_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(query_embedding AS DOUBLE[])), 6) AS score FROM fx_asked q JOIN fx_chunks c ON c.vault_id = q.vault_id")
 def _(t):
-    pairs = t("chunks").join(t("asked"), "vault_id")
-    return pairs.select("query_id", "chunk_id", F.round(T.cosine(F.col("embedding"), F.col("query_embedding")), 6).alias("score"))
+    return S.pair_cosines(t("asked"), t("chunks"))
 
 
 @query("fn19_report_names", "conflicts", sql="""SELECT id, concat(regexp_replace(source_path, '\\.[^./]+$', ''), '.conflict.', device_id, '.20240201-000000', regexp_extract(source_path, '(\\.[^./]+)$', 1)) AS name,
