@@ -274,10 +274,12 @@ def lexical_leg(queries: DataFrame, chunks: DataFrame, n: int = CANDIDATES) -> D
     """
     own = [c for c in FILTERS if c in queries.columns]
     tree = T.query_tree(F.col("query"))
-    asked = queries.select("query_id", "vault_id", tree.alias("tree"), *own).where(F.size("tree") > 0)
+    # texts and trees are made once, since tiles are counted before they are dealt; a filter on trees before that could move ahead of the joins that give the queries
+    asked = written(queries.sparkSession, queries.select("query_id", "vault_id", tree.alias("tree"), *own), "trees").where(F.size("tree") > 0)
     asked = asked.select("query_id", "vault_id", "tree", T.tree_terms(F.col("tree"), barred=False).alias("of"), *own)
     terms = T.positioned(T.lexical_document(F.col("title"), F.col("source_path"), F.col("tags"), F.col("content")))
-    texts = chunks.select("chunk_id", "vault_id", F.array_join(terms, " ").alias("terms"), F.length("content").alias("chars"), *(META if own else ()))
+    texts = chunks.select("chunk_id", "vault_id", F.array_join(terms, " ").alias("terms"), *(META if own else ()))
+    texts = written(queries.sparkSession, texts.withColumn("chars", F.length("terms")), "terms")
     parts = F.ceil(F.greatest(F.count("*") / LEXICAL_CHUNKS, F.coalesce(F.sum("chars"), F.lit(0)) / LEXICAL_CHARS))
     best = _tiled(asked, texts, lambda a, b: _lexical_tile(a, b, n, own), "query_id long, chunk_id long, rank_value double", parts, LEXICAL_QUERIES)
     return _top(best, [F.desc("rank_value"), F.asc("chunk_id")], n, "lexical_rank")
@@ -462,19 +464,21 @@ def hybrid_search(
     if filtered:
         queries, where = effective_filters(queries), F.lit(True) if where is None else where
     spark, where = queries.sparkSession, metadata_filter() if where is None else where
-    # which chunks count is found once, on slim rows; both legs and the ranking join these keys
-    keys = chunks.where(where).select("chunk_id", "vault_id", "source_path", "content_hash", "embedding_model", F.col("embedding").isNotNull().alias("embedding"))
-    keys = keys.withColumn("embedding", F.when(F.col("embedding"), F.lit(True)))
-    keys = written(spark, fresh_chunks(keys, files, model).select("chunk_id"), "pool")
-    pool = chunks.join(keys, "chunk_id")
+    # queries and the chunks that count are found once, these without their texts, which only the keyword leg and a rerank read
+    queries = written(spark, queries, "queries")
+    slim = ("chunk_id", "vault_id", "source_path", "embedding", *(META if filtered else ()))
+    pool = chunks.where(where).select(*dict.fromkeys([*slim, "content_hash", "embedding_model"]))
+    pool = written(spark, fresh_chunks(pool, files, model).select(*slim), "pool")
+    texts = chunks.select("chunk_id", "vault_id", "title", "source_path", "tags", "content", *[c for c in META if filtered and c != "tags"]).join(pool.select("chunk_id"), "chunk_id")
     budget = candidates if hybrid or per_source > 0 else max(top_k, MOST_TOP_K) if "top_k" in queries.columns else top_k
     vector = block_vector_leg(queries, pool, budget)
-    lexical = lexical_leg(queries, pool, candidates) if hybrid else vector.limit(0).select("query_id", "chunk_id", F.lit(0.0).alias("rank_value"), F.lit(0).alias("lexical_rank"))
+    lexical = lexical_leg(queries, texts, candidates) if hybrid else vector.limit(0).select("query_id", "chunk_id", F.lit(0.0).alias("rank_value"), F.lit(0).alias("lexical_rank"))
     # at most two legs of candidates a query: written once, since ranking and outcome both start from it
     merged = written(spark, fused(vector, lexical).withColumn("score", F.round("score", 6)), "fused")
     asked = queries.select("query_id", "query", own("top_k", top_k).alias("own_top_k"), own("min_score", float(min_score)).alias("own_min_score"))
     # the bar is for rows of the vector leg alone, which has their score; vectors come in again for what is left at the end
-    found = merged.join(pool.select("chunk_id", "source_path", *(["content"] if rerank is not None else [])), "chunk_id").join(asked, "query_id")
+    found = merged.join(pool.select("chunk_id", "source_path"), "chunk_id").join(asked, "query_id")
+    found = found if rerank is None else found.join(texts.select("chunk_id", "content"), "chunk_id")
     kept = passing(found, F.col("own_min_score"))
     order = "fused_rank"
     if rerank is not None:

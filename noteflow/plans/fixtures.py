@@ -35,7 +35,9 @@ class Dialect:
 
     def word(self, i: int) -> str:
         """The i-th word of small ASCII letters of a document's text; null if it has fewer."""
-        return f"try_element_at(regexp_extract_all(lower(d.text), '[a-z]{{2,}}', 0), {i})" if self.spark else f"regexp_extract_all(lower(d.text), '[a-z]{{2,}}')[{i}]"
+        if self.spark:  # reads a text no further than to that word
+            return f"nullif(regexp_extract(lower(d.text), '(?s)^(?>.*?[a-z]{{2,}}+){{{i - 1}}}.*?([a-z]{{2,}})', 1), '')"
+        return f"regexp_extract_all(lower(d.text), '[a-z]{{2,}}')[{i}]"
 
     @property
     def newline(self) -> str:

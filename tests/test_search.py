@@ -168,3 +168,30 @@ def test_equal_scores_are_ties(spark):
         rows = leg(q, chunks, 60).collect()
         assert len(rows) == 180 and max(r.score for r in rows) <= 1.0
         assert all(sorted(r.chunk_id for r in rows if r.query_id == i) == list(range(i, 180, 3)) for i in range(3))
+
+
+@pytest.mark.parametrize("name", ["jb02_many_queries"])
+def test_both_legs_go_by_tiles(spark, name, monkeypatch):
+    """Neither leg of a search writes or shuffles a row for each query and chunk."""
+    from noteflow.plans import QUERIES
+
+    seen, real = [], S._tiled
+    monkeypatch.setattr(S, "_tiled", lambda *a: seen.append(a[3].split()[4]) or real(*a))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(seen) == ["rank_value", "score"]
+
+
+@pytest.mark.parametrize("sizes", [(4, 1000, 3), (1000, 60, 2)])
+def test_keyword_tiles_of_any_size(spark, sizes, monkeypatch):
+    """Small tiles give what one gives: phrases end with their chunk, ties go to the smaller chunk_id, counts of words add up."""
+    texts = ["red fox", "fox red", "red", "fox runs", "red red fox", "", "well-known fox", "the red fox and the red fox"]
+    chunks = spark.createDataFrame([chunk(i, [0.0, 1.0], texts[i % 8], tags=["x"] if i % 3 else None) for i in range(48)], CHUNK)
+    asks = ['"red fox"', "red fox", "fox or runs", "-fox", '-"red fox" red', '"fox red"', "known -red", "absent", '"well-known fox"']
+    q = spark.createDataFrame([(i, "v", text, ["x"] if i % 2 else []) for i, text in enumerate(asks)], "query_id long, vault_id string, query string, f_tags array<string>")
+    rows = lambda: sorted(map(tuple, S.lexical_leg(S.effective_filters(q), chunks, 7).select("query_id", "lexical_rank", "chunk_id", "rank_value").collect()))
+    wanted = rows()
+    for name, size in zip(("LEXICAL_CHUNKS", "LEXICAL_CHARS", "LEXICAL_QUERIES"), sizes):
+        monkeypatch.setattr(S, name, size)
+    assert rows() == wanted
+    assert [r[2:] for r in wanted if r[0] == 0] == [(i, 1.25) for i in range(7, 48, 8)] + [(4, 1.125)]
+    assert [r[2] for r in wanted if r[0] == 5] == [i for i in range(48) if i % 8 == 1 and i % 3] and not [r for r in wanted if r[0] == 7]
