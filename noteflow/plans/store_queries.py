@@ -800,7 +800,7 @@ def _(t):
 @query("so01_union_of_legs", *AT, sql=f"{ALL_LEGS} SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, chunk_id FROM vec UNION SELECT query_id, chunk_id FROM lex)")
 def _(t):
     p = pool(t)
-    return S.vector_leg(t("asked"), p).select("query_id", "chunk_id").unionByName(S.lexical_leg(t("asked"), p).select("query_id", "chunk_id")).distinct()
+    return S.block_vector_leg(t("asked"), p).select("query_id", "chunk_id").unionByName(S.lexical_leg(t("asked"), p).select("query_id", "chunk_id")).distinct()
 
 
 @query("so02_move", "files", sql=f"WITH {OLD} SELECT (SELECT count(*) FROM fx_files) - (SELECT count(*) FROM old) AS live, (SELECT count(*) FROM old) AS archived")
