@@ -147,7 +147,7 @@ def test_rejected_queries_and_notices(spark):
     assert sorted(r.request_id for r in out["log"].collect()) == ["1", "5"]
 
 
-@pytest.mark.parametrize("name", ["tk01_vector_leg", "wn04_source_cap", "wn02_leg_ranks", "ud04_rerank", "fn18_cosine"])
+@pytest.mark.parametrize("name", ["tk01_vector_leg", "wn04_source_cap", "wn02_leg_ranks", "ud04_rerank", "fn18_cosine", "tk02_query_syntax"])
 def test_no_table_of_all_pairs(spark, name):
     """Queries meet chunks in tiles (co-groups), never in a join on the vault that makes a row of each pair."""
     from noteflow.plans import QUERIES
