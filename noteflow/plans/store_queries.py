@@ -69,7 +69,7 @@ def _(t):
 @query("ag08_fusion", *AT, sql=ALL_LEGS + " SELECT query_id, chunk_id, rrf, matched_by, fused_rank FROM fused")
 def _(t):
     p = pool(t)
-    return S.fused(S.vector_leg(t("asked"), p), S.lexical_leg(t("asked"), p)).select("query_id", "chunk_id", "rrf", "matched_by", "fused_rank")
+    return S.fused(S.block_vector_leg(t("asked"), p), S.lexical_leg(t("asked"), p)).select("query_id", "chunk_id", "rrf", "matched_by", "fused_rank")
 
 
 @query("jb02_hybrid_search", *AT, sql=f"{ALL_LEGS}, {RANKED} SELECT query_id, rank, chunk_id, source_path, score, matched_by, rrf FROM ranked")
