@@ -819,7 +819,7 @@ def _(t):
     from noteflow.functions import text as T
 
     p = pool(t)
-    rows = S.fused(S.vector_leg(t("asked"), p), S.lexical_leg(t("asked"), p)).join(p.select("chunk_id", "embedding"), "chunk_id").join(t("asked").select("query_id", "query_embedding"), "query_id")
+    rows = S.fused(S.block_vector_leg(t("asked"), p), S.lexical_leg(t("asked"), p)).join(p.select("chunk_id", "embedding"), "chunk_id").join(t("asked").select("query_id", "query_embedding"), "query_id")
     return S.passing(rows.withColumn("score", F.round(T.cosine(F.col("embedding"), F.col("query_embedding")), 6)), 0.1).select("query_id", "chunk_id", "score")
 
 

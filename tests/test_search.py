@@ -170,7 +170,7 @@ def test_equal_scores_are_ties(spark):
         assert all(sorted(r.chunk_id for r in rows if r.query_id == i) == list(range(i, 180, 3)) for i in range(3))
 
 
-@pytest.mark.parametrize("name", ["jb02_many_queries", "jb02_answers", "so01_union_of_legs", "ag10_evidence", "io10_search_log", "ag08_fusion"])
+@pytest.mark.parametrize("name", ["jb02_many_queries", "jb02_answers", "so01_union_of_legs", "ag10_evidence", "io10_search_log", "ag08_fusion", "pr12_threshold"])
 def test_both_legs_go_by_tiles(spark, name, monkeypatch):
     """Neither leg of a search writes or shuffles a row for each query and chunk."""
     from noteflow.plans import QUERIES
